@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, secrets, simhash
+from . import fingerprints, packing, secrets, simhash, warc
 from .common import table
 
 
@@ -26,12 +26,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op8_secret_scan": op8_secret_scan,
+        "op9_warc": op9_warc,
     }
 
 
