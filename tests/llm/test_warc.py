@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import uuid
 from pathlib import Path
 
 from planweave.llm import warc
@@ -33,7 +34,7 @@ def test_round_trip(spark):
 def test_many_blocks_and_plain_gzip(spark):
     rows = [(i, f"http://h{i % 7}.example/{i % 50}", f"page {i % 400}") for i in range(2000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], PAGES)
-    folder = shared_folder(spark) + "/warc-test"
+    folder = f"{shared_folder(spark)}/warc-test-{uuid.uuid4().hex}"
     captures = warc.archive(pages, folder)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
