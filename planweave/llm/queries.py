@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, secrets, simhash, warc
+from . import ann, fingerprints, packing, secrets, simhash, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -35,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op8_secret_scan": op8_secret_scan,
         "op9_warc": op9_warc,
     }
