@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprints, packing, quality, secrets, simhash, toxicity, warc
+from . import ann, fingerprints, lm, packing, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_nearest_neighbours": op6_nearest_neighbours,
+        "op7_language_model": op7_language_model,
         "op8_secret_scan": op8_secret_scan,
         "op9_warc": op9_warc,
         "op10_quality_classifier": op10_quality_classifier,
