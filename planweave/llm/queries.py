@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprints, lm, packing, quality, secrets, simhash, toxicity, warc
+from . import ann, fingerprints, lm, packing, pieces, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_toxicity": op3_toxicity,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_language_model": op7_language_model,
         "op8_secret_scan": op8_secret_scan,
