@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, after its workers have been given this package, wherever the driver was started."""
+    context = spark.sparkContext
+    if not getattr(context, "_planweave_shipped", False):
+        root = Path(__file__).resolve().parent
+        if root.is_dir():
+            name = Path(tempfile.mkdtemp(prefix="planweave-py-")) / "planweave.zip"
+            with zipfile.ZipFile(name, "w") as out:
+                for file in sorted(root.rglob("*.py")):
+                    out.write(file, file.relative_to(root.parent))
+            context.addPyFile(str(name))
+        context._planweave_shipped = True
+    return spark
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """`df` written once to the shared folder and read back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
