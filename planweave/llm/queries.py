@@ -65,5 +65,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP9 = """
+with page as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) || '0' hex from pages),
+first as (select hex, min(page_id) as first_id from page group by hex)
+select page_id, payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || rpad(substr(hex, cast(1 + (5*i) // 4 as bigint), 3), 3, '0'))::int) >> cast(7 - (5*i) % 4 as int)) & 31), 1) for i in range(32)], 'string_agg', '') payload_digest,
+  case when page_id > first_id then 'revisit' else 'response' end record_type,
+  case when page_id > first_id then first_id end refers_to
+from page join first using (hex)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9}

@@ -270,4 +270,4 @@ def report(pages: DataFrame, least: int = 0) -> DataFrame:
     folder = f"{shared_folder(pages.sparkSession)}/planweave-warc-{uuid.uuid4().hex}"
     captures = archive(pages.select("page_id", "url", "html"), folder, least)
     top = index(captures, folder)
-    return read_back(captures, folder, top).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return read_back(captures, folder, top).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -56,3 +56,17 @@ def test_surt():
     assert warc.surt("http://User@WWW.Example.com:80/A?b#c") == "com,example,www)/A?b"
     assert warc.surt(None) == ")/"
     assert "\t" not in warc.surt("http://x/a\tb\n")
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    from planweave.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{d}/pages.parquet'")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    expected = con.sql(f"select {', '.join(columns)} from ({queries.oracle_sql()['op9_warc']})").fetchall()
+    got = [tuple(r) for r in queries.queries()["op9_warc"](spark, d).select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
