@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RING = "array<struct<x:double,y:double>>"
@@ -117,3 +119,37 @@ def projected(lon: Column, lat: Column, crs: str) -> tuple[Column, Column]:
     x = k0 * v * (a + (1 - t + c) * a**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * ep2) * a**5 / 120) + 500000.0
     y = k0 * (arc + v * F.tan(p) * (a**2 / 2 + (5 - t + 9 * c + 4 * c**2) * a**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * ep2) * a**6 / 720))
     return x, y
+
+
+def simplified_ring(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """The points that stay when those within `tolerance` of the line between kept neighbours go; the ends of the two farthest-apart halves stay."""
+    if len(points) < 4:
+        return points
+    far = int(np.hypot(*(points - points[0]).T).argmax())
+    keep = np.zeros(len(points) + 1, bool)
+    keep[[0, far, len(points)]] = True
+    closed, todo = np.vstack([points, points[:1]]), [(0, far), (far, len(points))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        along, off = closed[b] - closed[a], closed[a + 1 : b] - closed[a]
+        part = np.clip(off @ along / max(along @ along, 1e-300), 0, 1)
+        gap = np.hypot(*(off - part[:, None] * along).T)
+        worst = int(gap.argmax())
+        if gap[worst] > tolerance:
+            keep[a + 1 + worst] = True
+            todo += [(a, a + 1 + worst), (a + 1 + worst, b)]
+    kept = points[keep[:-1]]
+    return kept if len(kept) > 2 else points
+
+
+def simplified(polygons: DataFrame, tolerance: float) -> DataFrame:
+    """`geom` with fewer points, ring by ring; rings that would vanish stay as they are."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rings = frame["geom"].map(lambda g: None if g is None else [[{"x": x, "y": y} for x, y in simplified_ring(np.array([(p["x"], p["y"]) for p in r]), tolerance)] for r in g])
+            yield frame.assign(geom=rings)
+
+    return polygons.mapInPandas(run, polygons.schema)

@@ -13,7 +13,7 @@ from planweave.functions import geometry, scalar
 from planweave.operators import audit, chains, graph, metrics, selection, spatial
 from planweave.plans.surrogate import K, Surrogate, prelude
 from planweave.session import shared_folder
-from planweave.sources import tables
+from planweave.sources import reports, tables
 from planweave.streaming import frontier as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,6 +476,36 @@ def palette_rotation(s):
     return tables.with_row_ids(s.table("nation").select("n_nationkey", "n_name"), "n_name", "at").select("n_nationkey", (F.col("at") % 8).cast("int").alias("colour"))
 
 
+@query("select unnest([0.05::double, 0.25, 0.5, 0.75, 0.95]) q, round(unnest(quantile_cont(pp_min, [0.05, 0.25, 0.5, 0.75, 0.95])), 6) pp_min from metric", MORE)
+def pp_min_quantiles(s):
+    qs = (0.05, 0.25, 0.5, 0.75, 0.95)
+    found = metrics.plan_metrics(s.units, s.edges, s.plans, K).agg(F.percentile("pp_min", F.array(*map(F.lit, qs))).alias("v"))
+    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("v"))).alias("x")).select("x.q", F.round("x.v", 6).alias("pp_min"))
+
+
+@query("select state, round(sum(area_m2) / (1200.0::double * 1200.0 * count(*)), 6) coverage from units group by state")
+def coverage_ratio(s):
+    return s.units.groupBy("state").agg(F.round(F.sum("area_m2") / (F.lit(1200.0 * 1200.0) * F.count(F.lit(1))), 6).alias("coverage"))
+
+
+@query("select step, pp_mean, county_splits, cut_border_m from allm", MORE)
+def frontier_csv(s):
+    folder = f"{shared_folder(s.spark)}/planweave-csv-{uuid.uuid4().hex}"
+    reports.write_frontier(all_metrics(s).select("step", "pp_mean", "county_splits", "cut_border_m"), folder)
+    return reports.read_frontier(s.spark, folder, "step long, pp_mean double, county_splits long, cut_border_m double")
+
+
+@query("""select (select count(*) from allm) total_plans, (select count(*) from good) passed_plans,
+ (select step from grp order by pp_mean desc, step limit 1) compact, (select step from grp order by county_splits, pp_mean desc, step limit 1) splits, 0.35::double pop_dev_max""", BEST)
+def ensemble_report(s):
+    folder = f"{shared_folder(s.spark)}/planweave-report-{uuid.uuid4().hex}"
+    everything = all_metrics(s)
+    good = selection.hard_filter(everything, 0.0, 0.35)
+    reports.write_report(reports.ensemble_report(everything, good, selection.select_best(selection.pareto(good, selection.FIVE)), {"pop_dev_max": 0.35}), f"{folder}/xx")
+    rows = reports.read_reports(s.spark, folder, "total_plans long, passed_plans long, chosen map<string,long>, thresholds map<string,double>")
+    return rows.select("total_plans", "passed_plans", F.col("chosen")["compact"].alias("compact"), F.col("chosen")["splits"].alias("splits"), F.col("thresholds")["pop_dev_max"].alias("pop_dev_max"))
+
+
 # ---- schedules, sources, sets
 
 KS = "select n_nationkey, cast(1 + (n_nationkey * 3) % 53 as int) k from nation"

@@ -178,3 +178,19 @@ def test_chunks_resume(spark, tmp_path):
         tables.write_chunk(plans.filter(f"step div 3 = {chunk}"), str(tmp_path / "chunks"), chunk)
     assert tables.resume_at(spark, str(tmp_path / "chunks")) == 6
     assert [r.step for r in tables.consolidate(spark, str(tmp_path / "chunks"), str(tmp_path / "plans")).collect()] == list(range(6))
+
+
+def test_simplified(spark):
+    ring = [(0.0, 0.0), (5.0, 0.01), (10.0, 0.0), (10.0, 10.0), (5.0, 10.02), (0.0, 10.0)]
+    out = geometry.simplified(polygons(spark, [(1, [ring]), (2, [[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]]), (3, None)]), 0.1)
+    got = {r.id: None if r.geom is None else [(p.x, p.y) for p in r.geom[0]] for r in out.collect()}
+    assert got == {1: [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], 2: [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)], 3: None}
+
+
+def test_inlined_figures(spark):
+    from planweave.sources import reports
+
+    pages = spark.createDataFrame([(1, "a ![One](x.png) b\n![Two](y.png)"), (2, "none")], "key int, text string")
+    figures = spark.createDataFrame([("x.png", bytearray(b"hi"))], "name string, content binary")
+    got = {r.key: r.text for r in reports.inlined_figures(pages, "text", figures).collect()}
+    assert got == {1: 'a <figure><img src="data:image/png;base64,aGk="/><figcaption>One</figcaption></figure> b\n![Two](y.png)', 2: "none"}
