@@ -27,14 +27,14 @@ def district_table(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int)
     return out.select("step", "district", "pop", "area_m2", (F.col("outer") - F.col("inner")).alias("perimeter_m"))
 
 
-def plan_metrics(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """One row a step: compactness, population deviation, cut edges and their border."""
+def plan_metrics(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int, digits: int = 6, least: bool = False) -> DataFrame:
+    """One row a step: compactness, population deviation, cut edges and their border; with `least`, the shortest cut border too."""
     ideal = F.broadcast(units.agg((F.sum("pop") / F.lit(float(k))).alias("ideal")))
     scored = district_table(units, edges, plans, k).crossJoin(ideal)
     pp, dev = scalar.polsby_popper(F.col("area_m2"), F.col("perimeter_m")), F.abs(F.col("pop") - F.col("ideal")) / F.col("ideal")
     named = {"pp_min": F.min(pp), "pp_mean": F.avg(pp), "pp_max": F.max(pp), "pop_dev_max": F.max(dev), "pop_dev_mean": F.avg(dev)}
     by_step = scored.groupBy("step").agg(*(F.round(c, digits).alias(n) for n, c in named.items()))
-    return by_step.join(cut_borders(edges, plans), "step").select("step", *named, "cut_edges", "cut_border_m")
+    return by_step.join(cut_borders(edges, plans), "step").select("step", *named, "cut_edges", "cut_border_m", *(["min_cut_border_m"] if least else []))
 
 
 def cut_borders(edges: DataFrame, plans: DataFrame) -> DataFrame:

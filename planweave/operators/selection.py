@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave import model
+from planweave.session import stored
 
 
 def hard_filter(metrics: DataFrame, pp_min: float = model.PP_MIN, pop_dev_max: float = model.POP_DEV_MAX) -> DataFrame:
@@ -67,7 +68,7 @@ def pareto(rows: DataFrame, objectives: dict[str, str]) -> DataFrame:
         if best is not None:
             yield best
 
-    some = rows.mapInPandas(local, rows.schema)
+    some = stored(rows.mapInPandas(local, rows.schema), "frontier")  # both sides of the join read it, so the metrics are computed once
     a, b = some.alias("a"), some.select(*names).distinct().alias("b")
     as_good = better = None
     for n in names:

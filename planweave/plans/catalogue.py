@@ -59,8 +59,7 @@ MORE = {"dist": DIST, "scored": SCORED, "cuts": CUTS, "metric": METRICS, "splits
 
 
 def all_metrics(s: Surrogate) -> DataFrame:
-    borders = metrics.cut_borders(s.edges, s.plans).select("step", "min_cut_border_m")
-    return metrics.plan_metrics(s.units, s.edges, s.plans, K).join(metrics.county_splits(s.units, s.plans), "step").join(borders, "step")
+    return metrics.plan_metrics(s.units, s.edges, s.plans, K, least=True).join(metrics.county_splits(s.units, s.plans), "step")
 
 
 @query("select * from metric", MORE)
