@@ -139,8 +139,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = stored(fingerprints(docs), "fingerprints")
     prints = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints.select("fp")), "fp", "hub")
-    named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # both sides of the next join are written first and so shuffled for it: a component of very many fingerprints can be split
+    named = stored(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    least = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     return own.join(named.select("fp", "root").join(least, "root"), "fp")
 
 
