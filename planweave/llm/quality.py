@@ -32,10 +32,10 @@ from .common import split_of, text_slices, whole_text
 from .toxicity import labelled_texts
 
 #: Most documents of a grade that the model is fitted on.
-SAMPLE = 3000
+SAMPLE = 2000
 BUCKETS = 1 << 18
 ROUNDS, STEP, SHRINK, LEAST_DOCS = 150, 0.3, 1e-4, 5
-CACHE = 400_000
+CACHE = 300_000
 RUNS = (re.compile(r"[^\W\d_a-zà-öø-ÿß]{2,}"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]{2,}"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1+"))
 
 
@@ -92,7 +92,7 @@ class Model:
 def train(texts: list[str], ratings: list[int]) -> Model:
     grades = sorted(set(ratings)) or [0]
     weights = np.zeros(BUCKETS)
-    if len(grades) < 2:
+    if len(grades) < 2:  # nothing to tell apart
         return Model(weights, grades, np.zeros(0))
     known, feature, value, doc = Features(), [], [], []
     for d, text in enumerate(texts):
@@ -101,6 +101,7 @@ def train(texts: list[str], ratings: list[int]) -> Model:
         value.append(np.fromiter(found.values(), np.float64, len(found)))
         doc.append(np.full(len(found), d, np.int32))
     feature, value, doc = map(np.concatenate, (feature, value, doc))
+    del known
     kept = np.bincount(feature, minlength=BUCKETS)[feature] >= LEAST_DOCS
     feature, value, doc = feature[kept], value[kept], doc[kept]
     y = np.searchsorted(grades, ratings)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import split_of, text_slices, whole_text
 
 #: Most documents of a class that the model is fitted on.
-SAMPLE = 2500
+SAMPLE = 2000
 #: Hashed features, fewest documents a feature must be in, fitting rounds, step and shrinkage.
 BUCKETS = 1 << 18
 LEAST_DOCS, ROUNDS, STEP, SHRINK = 5, 60, 1.5, 4e-4
@@ -36,7 +36,9 @@ BIAS = -9.0
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
+CACHE = 300_000
+#: Words whose features the driver keeps while it trains.
+TRAIN_CACHE = 100_000
 
 
 def features(word: str) -> list[int]:
@@ -50,7 +52,7 @@ class Features(dict):
     """Words' features, kept."""
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) > CACHE:
+        if len(self) > TRAIN_CACHE:
             self.clear()
         self[word] = found = features(word)
         return found
@@ -94,7 +96,11 @@ def train(texts: list[str], labels: list[int]) -> np.ndarray:
                 sentences += 1
         if len(flat) > begun:
             in_docs[np.unique(np.concatenate(flat[begun:]))] += 1
+    if not flat:  # no words to learn from
+        weights[-1] = -np.inf
+        return weights
     feature, sentence_of, doc_of = np.concatenate(flat), np.concatenate(sentence_of), np.array(doc_of)
+    del flat, known
     kept = in_docs[feature] >= LEAST_DOCS
     feature, sentence_of = feature[kept], sentence_of[kept]
     y = np.array(labels, float)[doc_of]

@@ -93,3 +93,8 @@ def test_quality_odd_rows(spark):
     assert len(out) == 6 and {r.keep for r in out} == {1} and {r.expected_grade for r in out} == {1.0}
     assert quality.report(odd.limit(0), said).count() == 0
     assert quality.report(odd, said.limit(0)).count() == 6
+
+
+def test_texts_without_words():
+    assert toxicity.Scorer(toxicity.train(["", "?!"], [0, 1])).document("a b.")[0] == 0.0
+    assert quality.train(["", ""], [0, 1]).tails(np.zeros(1)).shape == (1, 1)
