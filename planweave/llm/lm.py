@@ -8,9 +8,11 @@ outputs of their own; all other words share BUCKETS outputs by their last three
 and within a bucket a word has its smoothed share of the bucket's training tokens. So
 a token's probability is normalised: batched matrix products give all outputs' scores.
 
-Training passes over every training document: windows of CONTEXT + 1 tokens tile the
-texts, each task descends the NCE loss over its own (noise: the outputs' frequencies)
-and the tasks' parameters are averaged by their numbers of windows, PASSES times.
+Training passes over every training document, and every token of it, the end too, is
+a target once a pass: windows of CONTEXT + 1 tokens tile the texts from each of the
+CONTEXT + 1 phases. Each task descends the NCE loss over its own windows (noise: the
+outputs' frequencies) and the tasks' parameters are averaged by their numbers of
+windows, PASSES times. WORDS is fixed, whatever the size of the corpus.
 
 Word counts are of all training tokens. At most HOT of the commonest words go to every
 task; the others' occurrences are joined with the counts.
@@ -210,6 +212,15 @@ def tiled(outputs: np.ndarray, phase: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1)[phase % (CONTEXT + 1) :: CONTEXT + 1]
 
 
+def windows_of(outputs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Windows with every token of the texts as target once: texts of `sizes` tokens lie one after the other in `outputs`."""
+    # so many places of no word after a text that its tokens are in no window of the next
+    apart = np.full(len(outputs) + CONTEXT * len(sizes), OUTPUTS)
+    apart[np.arange(len(outputs)) + CONTEXT * np.repeat(np.arange(len(sizes)), sizes)] = outputs
+    windows = np.concatenate([tiled(apart, phase) for phase in range(CONTEXT + 1)])
+    return windows[windows[:, -1] < OUTPUTS]
+
+
 def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
     flat = initial(words.frequency)
     spark = docs.sparkSession
@@ -224,11 +235,8 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
             trainer, left = Trainer(flat, frequency, turn << 32 | TaskContext.get().partitionId()), np.empty((0, CONTEXT + 1), np.int64)
             for batch in text_slices(batches, SLICE):
                 texts = [tokens(t) for t in batch.column(0).to_pylist()]
-                found, at, windows = outputs_of([w for t in texts for w in t], outputs), 0, [left]
-                for t in texts:
-                    windows.append(tiled(found[at : at + len(t)], len(t) + turn))
-                    at += len(t)
-                left = np.concatenate(windows)
+                found = outputs_of([w for t in texts for w in t], outputs)
+                left = np.concatenate([left, windows_of(found, np.array([len(t) for t in texts]))])
                 for at in range(0, len(left) // BATCH * BATCH, BATCH):
                     trainer.fit(left[at : at + BATCH])
                 left = left[len(left) // BATCH * BATCH :]

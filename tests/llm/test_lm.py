@@ -71,6 +71,26 @@ def test_windows_tile():
         assert len(tokens) == len(set(tokens)) and len(tokens) >= 23 - lm.CONTEXT
 
 
+def test_every_token_is_a_target():
+    texts = [np.array([*range(10 * i, 10 * i + n - 1), 300]) for i, n in enumerate((1, 2, 3, 4, 5, 6, 9, 23))]
+    got = sorted(map(tuple, lm.windows_of(np.concatenate(texts), np.array([len(t) for t in texts])).tolist()))
+    padded = [[lm.OUTPUTS] * lm.CONTEXT + t.tolist() for t in texts]
+    assert got == sorted(tuple(p[i : i + lm.CONTEXT + 1]) for p in padded for i in range(len(p) - lm.CONTEXT))
+
+
+def test_short_texts_and_ends_train(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(40) for t in ("", None, "aa", "aa bb", "aa bb cc")], "doc_id long, text string")
+    words = lm.vocabulary(lm.word_counts(docs))
+    before, after = lm.initial(words.frequency), lm.trained(docs.repartition(1), words)
+    end = words.outputs[lm.END]
+    shift = lm.unpacked(after)[3] - lm.unpacked(before)[3]
+    assert end == 0 and shift[end] > 0
+    rows = [[end], [words.outputs[b"aa"], end]]
+    for r in rows:
+        begins = np.arange(len(r)) == 0
+        assert lm.log_probabilities(after, np.array(r), begins)[-1] > lm.log_probabilities(before, np.array(r), begins)[-1]
+
+
 def test_gradient_descends():
     rng = np.random.default_rng(3)
     frequency = np.full(lm.OUTPUTS, 1 / lm.OUTPUTS)
