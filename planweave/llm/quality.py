@@ -8,7 +8,9 @@ grades sharing the weights and the thresholds being in order. Selection goes by
 expected grade or by a tail probability.
 
 The model is fitted in numpy on at most SAMPLE rated documents of each grade, taken
-by a hash of doc_id at a rate from the ratings' counts. Ratings are whole numbers of
+by a hash of doc_id at a rate from the counts of the ratings that have a document,
+and each counts for as many as its grade's rate left out, so the thresholds are those
+of all rated documents and KEEP means the same at any size. Ratings are whole numbers of
 any range; with a single grade every document gets it. Null, empty and blank texts
 have no features and get the grade that the thresholds alone give; null ratings are
 not learnt from; repeated rows are scored each; an empty table gives no rows.
@@ -89,7 +91,8 @@ class Model:
         return self.grades[0] + self.tails(scores) @ np.diff(np.array(self.grades, float))
 
 
-def train(texts: list[str], ratings: list[int]) -> Model:
+def train(texts: list[str], ratings: list[int], counts_for: list[float] | None = None) -> Model:
+    """The model; each text counts for one, or for as many as `counts_for` says."""
     grades = sorted(set(ratings)) or [0]
     weights = np.zeros(BUCKETS)
     if len(grades) < 2:  # nothing to tell apart
@@ -105,8 +108,10 @@ def train(texts: list[str], ratings: list[int]) -> Model:
     kept = np.bincount(feature, minlength=BUCKETS)[feature] >= LEAST_DOCS
     feature, value, doc = feature[kept], value[kept], doc[kept]
     y = np.searchsorted(grades, ratings)
+    share = np.ones(len(texts)) if counts_for is None else np.array(counts_for, float)
+    share /= share.sum()
     # thresholds start where the grades' shares put them; their gaps are exponentials, so they stay in order
-    above = np.array([(y > k).mean() for k in range(len(grades) - 1)])
+    above = np.array([share[y > k].sum() for k in range(len(grades) - 1)])
     start = -np.log(above / (1 - above))
     free = np.append(start[:1], np.log(np.maximum(np.diff(start), 1e-3)))
     spread = lambda f: np.cumsum(np.append(f[0], np.exp(f[1:])))
@@ -118,8 +123,8 @@ def train(texts: list[str], ratings: list[int]) -> Model:
         upper[y == 0], lower[y == len(grades) - 1] = 1.0, 0.0
         chance = np.maximum(upper - lower, 1e-12)
         by_upper, by_lower = upper * (1 - upper) / chance, lower * (1 - lower) / chance
-        slope = -(by_upper - by_lower) / len(texts)
-        by_cut = (np.bincount(y, by_upper, len(grades) + 1)[1:-1] - np.bincount(y, by_lower, len(grades))[:-1]) / len(texts)
+        slope = -(by_upper - by_lower) * share
+        by_cut = np.bincount(y, by_upper * share, len(grades) + 1)[1:-1] - np.bincount(y, by_lower * share, len(grades))[:-1]
         steps = np.append(1.0, np.exp(free[1:]))
         by_free = np.cumsum(by_cut[::-1])[::-1] * steps
         gradient = np.bincount(feature, slope[doc] * value, BUCKETS)

@@ -7,7 +7,9 @@ likelihood of the document labels through the noisy-or, so it learns which sente
 make a document toxic, and scoring names those sentences with their places.
 
 The model is fitted in numpy on at most SAMPLE labelled documents of either class,
-taken by a hash of doc_id at a rate from the labels' counts. Null, empty and blank
+taken by a hash of doc_id at a rate from the counts of the labels that have a
+document. Each counts for as many as its class's rate left out, so the classes weigh
+what they do in all labelled documents and a cut means the same at any size. Null, empty and blank
 texts have no sentences and score 0; labels that are null are not learnt from;
 repeated rows are scored each; an empty table gives no rows. Without labels of both
 classes every score is 0.
@@ -59,25 +61,26 @@ class Features(dict):
 
 
 def sampled(labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
-    """doc_id and label of about `most` rows of either class, by a hash of doc_id; all of a class that is no larger."""
+    """doc_id, label and weight (of how many rows of its class each is one) of about `most` rows of either class, by a hash of doc_id; all of a class that is no larger."""
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
-    rates = {r[0]: most / r["n"] for r in labels.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rates = {r[0]: min(1.0, most / r["n"]) for r in labels.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(label)), F.lit(1 << 30)) / float(1 << 30)
-    kept = F.lit(False)
+    kept, weight = F.lit(False), F.lit(1.0)
     for value, rate in rates.items():
-        kept = kept | ((F.col(label) == value) & (draw < min(1.0, rate)))
-    return labels.filter(kept)
+        kept = kept | ((F.col(label) == value) & (draw < rate))
+        weight = F.when(F.col(label) == value, 1 / rate).otherwise(weight)
+    return labels.filter(kept).withColumn("weight", weight)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels of the bounded sample; a hundredth over the bound is the most that the hash lets through."""
-    some = sampled(labels, label, most)
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[list[str], list[int], list[float]]:
+    """Texts, labels and weights of the bounded sample of the labels that have a document; a hundredth over the bound is the most that the hash lets through."""
+    some = sampled(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), label, most)
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "text").toArrow()
-    return rows["text"].to_pylist(), rows[label].to_pylist()
+    return rows["text"].to_pylist(), rows[label].to_pylist(), rows["weight"].to_pylist()
 
 
-def train(texts: list[str], labels: list[int]) -> np.ndarray:
-    """Weights of the hashed features, and at the end the bias."""
+def train(texts: list[str], labels: list[int], counts_for: list[float] | None = None) -> np.ndarray:
+    """Weights of the hashed features, and at the end the bias; each text counts for one, or for as many as `counts_for` says."""
     weights = np.zeros(BUCKETS + 1, np.float64)
     weights[-1] = BIAS
     if len(set(labels)) < 2:
@@ -104,6 +107,8 @@ def train(texts: list[str], labels: list[int]) -> np.ndarray:
     kept = in_docs[feature] >= LEAST_DOCS
     feature, sentence_of = feature[kept], sentence_of[kept]
     y = np.array(labels, float)[doc_of]
+    each = np.ones(len(texts)) if counts_for is None else np.array(counts_for, float)
+    share = (each / each.sum())[doc_of]
     second = np.zeros_like(weights)
     for _ in range(ROUNDS):
         score = np.clip(np.bincount(sentence_of, weights[feature], sentences) + weights[-1], -30, 30)
@@ -111,7 +116,7 @@ def train(texts: list[str], labels: list[int]) -> np.ndarray:
         log_clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts))[doc_of]
         clean = np.minimum(np.exp(log_clean), 1 - 1e-12)
         # of -log likelihood by a sentence's score: p for a clean document, -p * clean / (1 - clean) for a toxic one
-        slope = np.where(y > 0, -p * clean / (1 - clean), p) / len(texts)
+        slope = np.where(y > 0, -p * clean / (1 - clean), p) * share
         gradient = np.append(np.bincount(feature, slope[sentence_of], BUCKETS), slope.sum())
         second += gradient**2
         pace = STEP / (np.sqrt(second) + 1e-6)

@@ -98,3 +98,38 @@ def test_quality_odd_rows(spark):
 def test_texts_without_words():
     assert toxicity.Scorer(toxicity.train(["", "?!"], [0, 1])).document("a b.")[0] == 0.0
     assert quality.train(["", ""], [0, 1]).tails(np.zeros(1)).shape == (1, 1)
+
+
+def unsure(n=3000):
+    """Every tenth document is of the rare class; of texts with "maybe" every third is."""
+    rng, rows = random.Random(9), []
+    for i in range(n):
+        rare = i % 10 == 0
+        word = "maybe" if rng.random() < (0.9 if rare else 0.2) else "surely"
+        rows.append((i, f"{word} {prose(rng, 1)}", int(rare)))
+    return rows
+
+
+def test_sampling_keeps_the_shares(spark):
+    rows = unsure()
+    texts = docs(spark, [(i, t) for i, t, _ in rows])
+    # labels without a document, nearly all of the rare class, count for nothing
+    labels = spark.createDataFrame([(i, c) for i, _, c in rows] + [(i, 1) for i in range(10000, 19000)], "doc_id long, quality int")
+    _, found, weights = toxicity.labelled_texts(texts, labels, "quality", 300)
+    totals = np.bincount(found, weights)
+    assert found.count(1) == 300 and 240 < found.count(0) < 360
+    assert totals[1] == 300 and abs(totals[0] / 2700 - 1) < 0.2
+
+    known = quality.Features()
+
+    def mean_tail(model):
+        return model.tails(np.array([sum(model.weights[f] * x for f, x in known.of(t).items()) for _, t, _ in rows])).mean()
+
+    whole = quality.train([t for _, t, _ in rows], [c for *_, c in rows])
+    part = quality.train(*toxicity.labelled_texts(texts, labels, "quality", 300))
+    assert abs(mean_tail(whole) - 0.1) < 0.03 and abs(mean_tail(part) - 0.1) < 0.03
+
+    score = lambda w: np.mean([toxicity.Scorer(w).document(t)[0] for _, t, _ in rows])
+    whole = toxicity.train([t for _, t, _ in rows], [c for *_, c in rows])
+    part = toxicity.train(*toxicity.labelled_texts(texts, labels, "quality", 300))
+    assert abs(score(part) - score(whole)) < 0.05
