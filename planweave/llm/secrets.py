@@ -1,14 +1,19 @@
 """Secret scans: patterns plus sliding-window entropy, in DataFrame expressions only.
 
-Three base kinds are found by pattern; the fourth, `entropy`, is a run of key-like
+Three base kinds are found by pattern; the fourth, `entropy`, is a string of key-like
 characters in which some window of 20 has a Shannon entropy over the threshold of
-the run's character class. The entropy of all windows comes from one fold that
-adds the entering character to the counts and takes the leaving one out. Runs on
-the allow-list (UUIDs, dates, plain words joined by signs, placeholders, counting
-sequences) and runs inside a base span are not reported.
+the string's character class. The entropy of all windows comes from one fold that
+adds the entering character to the counts and takes the leaving one out.
+
+The allow-list takes its parts (UUIDs, dates, placeholders, counting sequences) out
+of the runs of such characters and tests what is left on either side, so a date beside
+a key doesn't hide the key. Strings of digits and signs, plain words joined by signs,
+letters of one case only (words run together look the same) and strings inside a base
+span are not reported.
 
 Null text counts as empty and has no spans; an empty table gives no rows; repeated
-rows are each scanned. Positions are code points, ends exclusive.
+rows are each scanned. Positions are code points, ends exclusive. No pattern nests
+one repetition in another and the folds' states don't grow, so a text may be of any length.
 """
 
 from __future__ import annotations
@@ -33,13 +38,23 @@ WINDOW = 20
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits per character that some window of a run must reach, by the run's character class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "letters": 4.0, "signs": 3.8}
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[0-9=_/+-]+$",
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^[/_+=-]*(?:[A-Za-z]?[a-z]*[/_+=-]+)*[A-Za-z]?[a-z]*[0-9]{0,4}[/_+=-]*$",
-    r"(?i)example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx|0123456789|abcdefghij",
+#: What is taken out of a run before it is tested.
+ALLOWED_PARTS = (
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"|(?i:example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx|0123456789|abcdefghij)"
 )
+SIGNS = r"[/_+=-]+"
+#: Strings that are of a base kind as a whole, or of digits and signs.
+NOT_TESTED = r"^(?:[0-9a-f]+|AKIA[A-Z0-9]{14,}|[0-9=_/+-]+)$"
+#: Spans that one fold gathers; the next begins where it ended.
+CHUNK = 256
+SPANS = "array<struct<start:int,rank:int,end:int,found:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of `value`, which is evaluated once."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda held, _: held, body)
 
 
 def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
@@ -49,75 +64,124 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("found"), tested.alias("tested"))
-    kept = "array<struct<start:int,rank:int,end:int,found:string>>"
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
+    parts = F.arrays_zip(gaps.alias("gap"), found.alias("found"), tested.alias("tested"))
+    fits = (lambda part: F.length(part["tested"]) >= least) if least else None
+    spans = _let(parts, lambda parts: _placed(parts, kind, fits))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
+
+
+def _placed(parts: Column, kind: str, fits=None) -> Column:
+    """The spans of alternating gaps and found strings, of those that `fits` takes.
+
+    They are folded CHUNK at a time and the chunks shifted by what went before, so long
+    lists aren't copied span by span.
+    """
     rank = KINDS.index(kind)
 
     def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["gap"])
+        start = acc["at"] + part["gap"]
         end = start + F.length(part["found"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), part["found"].alias("found"))
         more = F.concat(acc["kept"], F.array(span))
-        return F.struct(end.alias("at"), (F.when(F.length(part["tested"]) >= least, more).otherwise(acc["kept"]) if least else more).alias("kept"))
+        return F.struct(end.alias("at"), (F.when(fits(part), more).otherwise(acc["kept"]) if fits else more).alias("kept"))
+
+    init = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("kept"))
+    last = F.floor((F.size(parts) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.aggregate(F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)), init, step))
+
+    def joined(chunks: Column) -> Column:
+        begins = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+        shifted = F.zip_with(chunks, F.slice(begins, F.lit(1), F.size(chunks)), lambda c, by: F.transform(c["kept"], lambda s: _shifted(s, by)))
+        return F.flatten(shifted)
+
+    return F.when(F.size(parts) <= CHUNK, F.aggregate(parts, init, step, lambda acc: acc["kept"])).otherwise(_let(chunks, joined))
+
+
+def _shifted(span: Column, by: Column) -> Column:
+    return F.struct((span["start"] + by).alias("start"), span["rank"].alias("rank"), (span["end"] + by).alias("end"), span["found"].alias("found"))
 
-    init = F.struct(F.lit(0).alias("at"), F.array().cast(kept).alias("kept"))
-    spans = F.aggregate(parts, init, step, lambda acc: acc["kept"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kept))
+
+#: Bits of a character's count, and characters whose counts share a number.
+COUNT_BITS, SHARED = 5, 12
 
 
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy (bits a character) of any `window` neighbouring characters of `run`."""
+    """The highest Shannon entropy (bits a character) of any `window` (31 at most) neighbouring characters of `run`.
+
+    The counts of all characters are held in a few numbers, so a step costs the same in a run of any length.
+    """
     weigh = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
-    codes = F.transform(F.split(run, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    held = [f"c{i}" for i in range(-(-(len(ALPHABET) + 1) // SHARED))]
+    one = lambda code, i: F.when(F.floor(code / SHARED) == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), (code % SHARED * COUNT_BITS).cast("int"))).otherwise(F.lit(0).cast("bigint"))
 
-    def bits(total: Column) -> Column:
-        return F.lit(math.log2(window)) - total / window
+    def count(acc: Column, code: Column) -> Column:
+        number = F.get(F.array(*(acc[c] for c in held)), F.floor(code / SHARED).cast("int"))
+        return F.call_function("shiftright", number, (code % SHARED * COUNT_BITS).cast("int")).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
 
-    def step(acc: Column, i: Column) -> Column:
-        enters = codes_at(acc, i)
-        leaves = F.when(i >= window, codes_at(acc, i - window)).otherwise(F.lit(-1))
-        n_in, n_out = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
+    def step(acc: Column, pair: Column) -> Column:
+        enters, leaves = pair["enters"], pair["leaves"]
+        full = leaves.isNotNull()
+        n_in, n_out = count(acc, enters), count(acc, leaves)
         gained = F.get(weigh, n_in + 1) - F.get(weigh, n_in)
-        lost = F.when(leaves >= 0, F.get(weigh, n_out - 1) - F.get(weigh, n_out)).otherwise(F.lit(0.0))
-        counts = F.transform(acc["counts"], lambda n, at: n + (at == enters).cast("int") - (at == leaves).cast("int"))
-        return F.struct(
-            acc["codes"].alias("codes"),
-            F.when(enters == leaves, acc["counts"]).otherwise(counts).alias("counts"),
-            F.when(enters == leaves, acc["total"]).otherwise(acc["total"] + gained + lost).alias("total"),
-            F.when(i >= window, F.greatest(acc["best"], bits(acc["total"]))).otherwise(acc["best"]).alias("best"),
-        )
-
-    def codes_at(acc: Column, i: Column) -> Column:
-        return F.get(acc["codes"], i)
-
-    init = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    fold = F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), init, step, lambda acc: F.greatest(acc["best"], bits(acc["total"])))
+        lost = F.when(full, F.get(weigh, n_out - 1) - F.get(weigh, n_out)).otherwise(F.lit(0.0))
+        same = full & (enters == leaves)
+        total = F.when(same, acc["total"]).otherwise(acc["total"] + gained + lost)
+        counts = [F.when(same, acc[c]).otherwise(acc[c] + one(enters, i) - F.when(full, one(leaves, i)).otherwise(F.lit(0).cast("bigint"))).alias(c) for i, c in enumerate(held)]
+        return F.struct(*counts, total.alias("total"), F.when(full, F.least(acc["least"], acc["total"])).otherwise(acc["least"]).alias("least"))
+
+    codes = F.transform(F.split(run, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    pairs = _let(codes, lambda codes: F.arrays_zip(codes.alias("enters"), F.concat(F.array_repeat(F.lit(None).cast("int"), window), F.slice(codes, F.lit(1), F.size(codes) - window)).alias("leaves")))
+    init = F.struct(*(F.lit(0).cast("bigint").alias(c) for c in held), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
+    fold = F.aggregate(pairs, init, step, lambda acc: F.lit(math.log2(window)) - F.least(acc["least"], acc["total"]) / window)
     return F.when(F.length(run) >= window, fold).otherwise(F.lit(0.0))
 
 
 def _threshold(run: Column) -> Column:
+    """The entropy that a window of `run` needs; null for those that aren't tested."""
     mixed = run.rlike("[a-z]") & run.rlike("[A-Z]")
     return (
         F.when(run.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(THRESHOLDS["hex"]))
-        .when(run.rlike("^[A-Za-z]+$"), F.when(mixed, F.lit(THRESHOLDS["letters"])).otherwise(F.lit(99.0)))
+        .when(run.rlike("^[A-Za-z]+$"), F.when(mixed, F.lit(THRESHOLDS["letters"])))
         .when(run.rlike("^[A-Za-z0-9]+$"), F.lit(THRESHOLDS["alnum"]))
-        .otherwise(F.when(mixed | run.rlike("[0-9]"), F.lit(THRESHOLDS["signs"])).otherwise(F.lit(99.0)))
+        .when(mixed | run.rlike("[0-9]"), F.lit(THRESHOLDS["signs"]))
     )
 
 
+def _plain_words(run: Column) -> Column:
+    """Words joined by signs, the last with up to four digits."""
+    words = F.filter(F.split(run, SIGNS), lambda w: w != "")
+    first = F.forall(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w: w.rlike("^[A-Za-z]?[a-z]*$"))
+    return first & F.coalesce(F.try_element_at(words, F.lit(-1)).rlike("^[A-Za-z]?[a-z]*[0-9]{0,4}$"), F.lit(True))
+
+
 def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_spans(text, ASSIGN, "assign", 2, ASSIGN_LEAST), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
 
 
+def candidates(text: Column) -> Column:
+    """What the allowed parts leave of the runs of key-like characters, where it is a window long."""
+
+    def left(run: Column) -> Column:
+        whole = F.array(run)
+        pieces = F.split(run["found"], ALLOWED_PARTS, -1)
+        parts = F.regexp_extract_all(run["found"], F.lit(ALLOWED_PARTS), F.lit(0))
+        # gaps and found strings change places: what lies between the allowed parts is sought
+        zipped = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform(parts, F.length)).alias("gap"), pieces.alias("found"))
+        cut = _let(zipped, lambda z: F.transform(_placed(z, "entropy", lambda p: F.length(p["found"]) >= WINDOW), lambda s: _shifted(s, run["start"])))
+        return F.when(run["found"].rlike(ALLOWED_PARTS), cut).otherwise(whole)
+
+    return F.flatten(F.transform(_spans(text, RUN, "entropy"), left))
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
     def wanted(run: Column) -> Column:
-        fine = F.lit(True)
-        for pattern in ALLOWED:
-            fine = fine & ~run["found"].rlike(pattern)
-        inside = F.exists(base, lambda b: (b["start"] <= run["start"]) & (b["end"] >= run["end"]))
-        return F.when(fine & ~inside, window_entropy(run["found"]) >= _threshold(run["found"])).otherwise(F.lit(False))
+        found = run["found"]
+        inside = lambda: F.exists(base, lambda b: (b["start"] <= run["start"]) & (b["end"] >= run["end"]))
+        # the cheap tests first: a condition's later parts are evaluated only where the earlier ones hold
+        return F.when(found.rlike(NOT_TESTED) | _threshold(found).isNull() | _plain_words(found), F.lit(False)).when(window_entropy(found) < _threshold(found), F.lit(False)).otherwise(~inside())
 
-    return F.filter(_spans(text, RUN, "entropy"), wanted)
+    return F.filter(candidates(text), wanted)
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "found") -> DataFrame:

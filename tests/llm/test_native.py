@@ -103,3 +103,74 @@ def test_masked(spark):
     out = secrets.scan(docs(spark, [(1, 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" z'), (2, "plain")])).select(secrets.masked(F.col("text"), F.col("found")).alias("t"))
     assert {r.t for r in out.collect()} == {'é [SECRET]" z', "plain"}
     assert secrets.report(docs(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_secrets_in_long_texts(spark):
+    """None of these may recurse or grow by the square of its length."""
+    import random
+    import time
+
+    rng = random.Random(5)
+    base64 = "".join(rng.choices(secrets.ALPHABET[:64], k=1_000_000))
+    rows = ["a/" * 50_000 + "9A9b", "z " + "a/" * 200_000 + "9A9b", "-" * 300_000, base64, "deadbeefdeadbeef " * 20_000, "aB3/" * 100_000, "tOken=" * 50_000, "2024-05-01-" * 30_000, "x" * 500_000 + "Q"]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.report(docs(spark, list(enumerate(rows)))).collect()}
+    assert time.perf_counter() - began < 120
+    for i, text in enumerate(rows):
+        said, counts = spans_of(text)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts, i
+        assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert got[0].n_entropy == got[1].n_entropy == got[2].n_entropy == got[4].n_entropy == got[7].n_entropy == 0
+    assert got[3].n_entropy >= 1
+
+
+def test_allowed_parts_hide_no_key(spark):
+    key = "Zq8Rk2LmT5vXw9YpB3nH"
+    rows = [f"docs/example/{key}", f"backup-2024-05-01-{key}", f"id=123e4567-e89b-12d3-a456-426614174000/{key}", "id=123e4567-e89b-12d3-a456-426614174000", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", f"{key}/your_key_{key}", "é 🙂 docs/example/" + key]
+    got = {r.doc_id: r.spans for r in secrets.report(docs(spark, list(enumerate(rows)))).collect()}
+    for i, text in enumerate(rows):
+        spans = [s.split(":") for s in got[i].split(",") if s.startswith("entropy")]
+        assert len(spans) == text.count(key), (i, got[i])
+        assert all(key in text[int(a) : int(b)] for _, a, b in spans)
+
+
+def test_entropy_spans_brute_force(spark):
+    """The method's own spans by a plain version over random strings."""
+    import random
+
+    rng = random.Random(8)
+    alphabets = ["0123456789abcdef", "ABCDEF0123456789", "abcdefgh", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", secrets.ALPHABET, "ab/-=", "0123456789-"]
+    texts = [" ".join("".join(rng.choices(rng.choice(alphabets), k=rng.randrange(1, 60))) + rng.choice(["", "example", "2024-01-02"]) for _ in range(6)) for _ in range(60)]
+
+    def plain(text):
+        base = [(int(a), int(b)) for _, a, b in (s.split(":") for s in spans_of(text)[0].split(",") if s)]
+        out = []
+        for run in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            at = 0
+            for m in [*re.finditer(secrets.ALLOWED_PARTS, run[0]), None]:
+                piece, start = run[0][at : m.start() if m else None], run.start() + at
+                at = m.end() if m else at
+                words = [w for w in re.split("[/_+=-]+", piece) if w]
+                if len(piece) < 20 or re.fullmatch("[0-9=_/+-]+", piece):
+                    continue
+                if all(re.fullmatch("[A-Za-z]?[a-z]*", w) for w in words[:-1]) and (not words or re.fullmatch("[A-Za-z]?[a-z]*[0-9]{0,4}", words[-1])):
+                    continue
+                mixed = re.search("[a-z]", piece) and re.search("[A-Z]", piece)
+                if re.fullmatch("[0-9a-f]+|[0-9A-F]+", piece):
+                    least = 3.0
+                elif re.fullmatch("[A-Za-z]+", piece):
+                    least = 4.0 if mixed else 99
+                elif re.fullmatch("[A-Za-z0-9]+", piece):
+                    least = 3.6
+                else:
+                    least = 3.8 if mixed or re.search("[0-9]", piece) else 99
+                windows = [piece[i : i + 20] for i in range(len(piece) - 19)]
+                best = max(-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in windows)
+                if best >= least - 1e-12 and not any(a <= start and b >= start + len(piece) for a, b in base):
+                    out.append(f"entropy:{start}:{start + len(piece)}")
+        return out
+
+    got = {r.doc_id: r.spans for r in secrets.report(docs(spark, list(enumerate(texts)))).collect()}
+    assert sum(map(len, map(plain, texts))) > 30
+    for i, text in enumerate(texts):
+        assert [s for s in got[i].split(",") if s.startswith("entropy")] == plain(text), text
