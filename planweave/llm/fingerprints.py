@@ -8,11 +8,13 @@ stay mergeable (unite, then drop what is not low unless nothing is) and only a t
 without words has none. Fewer than five words make one shingle.
 
 Null text counts as empty. Two empty sketches are alike (1), an empty and another
-are not (0). Repeated rows get equal fingerprints; an empty table gives no rows.
+are not (0). Repeated rows get equal fingerprints; an empty table gives no rows. Rows
+of one doc_id follow each other by a hash of their text, those without doc_id come last.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ from .common import whole_text
 
 WORDS = 5
 SCALE = 4
-#: Documents in a block of neighbours, and blocks in a block of blocks.
-BLOCK = 512
+#: Documents in a block of neighbours, the most blocks, and keys for each block from which their bounds are taken.
+BLOCK, MOST_BLOCKS, SAMPLED = 512, 1 << 16, 8
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -71,28 +73,53 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def block_of(docs: DataFrame, place: Column, tie: Column, block: int) -> Column:
+    """How many of the bounds, evenly spaced quantiles of (place, tie), are at or before a row: its block.
+
+    The bounds come from the keys alone: all distinct ones, or about SAMPLED for each of
+    MOST_BLOCKS blocks by a hash, so sparse or clustered keys make blocks of one size.
+    """
+    n = docs.count()
+    blocks = max(1, min(MOST_BLOCKS, n // block))
+    if blocks == 1:
+        return F.lit(0)
+    thin = -(-n // (SAMPLED * MOST_BLOCKS))
+    keys = docs.select(place.alias("place"), tie.alias("tie"))
+    keys = (keys.filter(F.pmod(F.xxhash64("place", "tie"), F.lit(thin)) == 0) if thin > 1 else keys).distinct().toArrow()
+    places, ties = keys["place"].to_numpy(), keys["tie"].to_numpy()
+    order = np.lexsort((ties, places))
+    at = order[np.unique(np.arange(1, blocks) * len(order) // blocks)] if len(order) else order
+    written = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
+    bound_place, bound_tie, count = written(places[at].tolist()), written(ties[at].tolist()), len(at)
+    steps = [1 << i for i in reversed(range(count.bit_length()))]
+
+    def further(found: Column, step: Column) -> Column:
+        p, t = F.get(bound_place, found + step - 1), F.get(bound_tie, found + step - 1)
+        before = (p < place) | ((p == place) & (t <= tie))
+        return F.when((found + step <= count) & F.coalesce(before, F.lit(False)), found + step).otherwise(found)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
 def with_next(docs: DataFrame, key: str, value: str, derived: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """Each row with `own` and `next`: structs of `value` and the `derived` columns, `next` being those of the row that follows in descending `key` order; after the last comes the first.
 
-    One shuffle deals neighbours out in blocks; only each block's first row travels
-    again. Ties are ordered by `value`; null keys come last.
+    One shuffle deals neighbours out in blocks; only each block's first row travels again.
     """
-    low, high, n = docs.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    width = max(1, (high - low + 1) // max(1, n // block)) if low is not None else 1
+    hashed = F.shiftrightunsigned(F.xxhash64(value), 1)
+    # growing along the order: keys fall, null keys come after the least; `tie` is negative for the others
+    place = F.coalesce(F.bitwise_not(F.col(key).cast("bigint")), F.lit((1 << 63) - 1))
+    tie = F.when(F.col(key).isNull(), hashed).otherwise(-1 - hashed)
     row = F.struct(F.col(value), *(c.alias(name) for name, c in derived.items()))
-    dealt = docs.select(key, value, F.coalesce(F.expr(f"{key} div {width}L"), F.lit((low or 0) // width - 1)).alias("_block"))
-    order = [F.col(key).desc_nulls_last(), F.col("own").getField(value)]
-    near = Window.partitionBy("_block").orderBy(*order)
-    out = dealt.select(key, "_block", row.alias("own")).withColumn("_next", F.lead("own").over(near))
-    first = F.row_number().over(Window.partitionBy("_block").orderBy(F.col(key).desc_nulls_last(), value))
+    dealt = docs.select(key, value, place.alias("_place"), tie.alias("_tie"), block_of(docs, place, tie, block).alias("_block"))
+    near = Window.partitionBy("_block").orderBy("_place", "_tie", F.col("own").getField(value))
+    out = dealt.select(key, "_block", "_place", "_tie", row.alias("own")).withColumn("_next", F.lead("own").over(near))
+    first = F.row_number().over(Window.partitionBy("_block").orderBy("_place", "_tie", value))
     heads = dealt.withColumn("_first", first).filter(F.col("_first") == 1).select(F.col("_block").alias("_follows"), row.alias("_head"))
 
-    blocks = dealt.select("_block").distinct().withColumn("_super", F.expr(f"_block div {block}L"))
-    within = Window.partitionBy("_super").orderBy(F.col("_block").desc())
-    supers = blocks.groupBy("_super").agg(F.max("_block").alias("_top"))
-    across = Window.orderBy(F.col("_super").desc())
-    supers = supers.select("_super", F.coalesce(F.lead("_top").over(across), F.max("_top").over(Window.partitionBy())).alias("_then"))
-    links = blocks.withColumn("_after", F.lead("_block").over(within)).join(supers, "_super").select("_block", F.coalesce("_after", "_then").alias("_follows"))
+    # no more than MOST_BLOCKS rows
+    blocks = dealt.select("_block").distinct()
+    links = blocks.select("_block", F.coalesce(F.lead("_block").over(Window.orderBy("_block")), F.min("_block").over(Window.partitionBy())).alias("_follows"))
     links = links.join(heads, "_follows").select("_block", "_head")
     return out.join(links, "_block").select(key, "own", F.coalesce("_next", "_head").alias("next"))
 

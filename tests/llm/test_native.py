@@ -34,6 +34,62 @@ def test_fingerprints_brute_force(spark):
     assert got[9].fingerprint == got[700].fingerprint == got[12].fingerprint == ""
 
 
+def plain_sketch(text, words=5):
+    """The hashes of Spark's xxhash64 (seed 42, values chained by the hash so far), one by one."""
+    import struct
+
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    chained = lambda values, seed=42: [seed := xxhash.xxh64_intdigest(struct.pack("<q", v), seed=seed) for v in values][-1]
+    hashes = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w]
+    if not hashes:
+        return []
+    if len(hashes) < words:
+        found = words
+        for h in hashes:
+            found = signed(chained([found, h]))
+        shingles = [found]
+    else:
+        shingles = [signed(chained(hashes[i : i + words])) for i in range(len(hashes) - words + 1)]
+    low = sorted({h for h in shingles if h < -(1 << 63) + (1 << 62)})
+    return low or [min(shingles)]
+
+
+def test_sketches_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    said = [" ".join(rng.choices([f"W{i}" for i in range(40)], k=rng.randrange(0, 120))) for _ in range(60)]
+    rows = [(i * 11 - 100, t) for i, t in enumerate(said)] + [(-(1 << 63), "the least"), ((1 << 63) - 1, said[0])]
+    got = {r.doc_id: r for r in fingerprints.report(docs(spark, rows)).collect()}
+    texts = lambda hashes: "".join(f"{h & (1 << 64) - 1:016x}" for h in hashes)
+    order = sorted(rows, reverse=True)
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        mine, edited, other = map(plain_sketch, (text, text[: len(text) - half] + after[:half], after))
+        assert got[i].fingerprint == texts(mine) and got[i].edited_fingerprint == texts(edited)
+        near = lambda a, b: 1.0 if not a and not b else 0.0 if not a or not b else len({*a} & {*b}) / min(len(a), len(b))
+        assert abs(got[i].near_edited - near(mine, edited)) < 1e-12 and abs(got[i].near_next - near(mine, other)) < 1e-12
+
+
+def test_blocks_of_sparse_keys(spark):
+    """Blocks keep their size however the keys lie; one row may hold a key far away, and many none at all."""
+    from pyspark.sql import functions as F
+
+    ids = [*range(5000), 10**15, -(1 << 63), (1 << 63) - 1] + [None] * 3000
+    rows = docs(spark, [(i, f"text {n}") for n, i in enumerate(ids)])
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    place = F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))
+    tie = F.when(F.col("doc_id").isNull(), hashed).otherwise(-1 - hashed)
+    sizes = [r["count"] for r in rows.groupBy(fingerprints.block_of(rows, place, tie, 100).alias("b")).count().collect()]
+    assert len(sizes) == 80 and max(sizes) <= 102
+    follows = {r.doc_id: r.next.text for r in fingerprints.with_next(rows.filter("doc_id is not null"), "doc_id", "text", {}, block=50).collect()}
+    order = sorted((i, n) for n, i in enumerate(ids) if i is not None)
+    assert all(follows[i] == f"text {n}" for (_, n), (i, _) in zip(order, order[1:], strict=False)) and follows[-(1 << 63)] == "text 5002"
+    assert fingerprints.with_next(rows, "doc_id", "text", {}, block=50).select("next.text").distinct().count() == len(ids)
+
+
 def test_fingerprints_ties_nulls_empty(spark):
     rows = docs(spark, [(None, "b c d"), (1, "a"), (1, "a"), (1, "z"), (None, None)])
     assert fingerprints.report(rows).count() == 5
