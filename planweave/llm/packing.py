@@ -4,9 +4,11 @@ A document is its token ids and a closing id 0. Documents longer than a sequence
 cut into pieces of a sequence's length; the last piece may be shorter. Every piece
 is placed in the open sequence after which the sum, over all residual gaps, of the
 squared number of open sequences with that gap becomes smallest (ties: the smallest
-gap left); a new one is opened only when it fits in none. Pieces are dealt out by hash to groups of about
-GROUP documents and each group is packed by itself, longest first, so the number of
-groups grows with the input and a group's state is one count per gap.
+gap left); a new one is opened only when it fits in none, or, with `opening`, as the
+plain rule has it, wherever that makes the sum smallest. Pieces are dealt out by hash,
+of their place in their task too, to groups of about GROUP and each group is packed by
+itself, longest first, so the number of groups grows with the input, equal rows don't
+meet in one, and a group's state is one count per gap.
 
 Null text counts as empty (one id, the closing 0). Repeated rows are packed as often
 as they occur, null ids too; an empty table gives no rows.
@@ -28,7 +30,8 @@ from .common import text_slices, whole_text
 
 LENGTH = 2048
 CLOSING = 0
-GROUP = 4096
+#: Pieces of a group, and bytes that a token has at least on average (only the number of groups depends on it).
+GROUP, TOKEN_BYTES = 4096, 2
 #: Words whose ids a worker keeps, and the longest such word in bytes.
 CACHE, CACHED_BYTES = 400_000, 64
 
@@ -79,11 +82,14 @@ class WordTokenizer:
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document, and its place among all pieces (any number of its own)."""
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         words, closing = word_tokenizer(path), np.array([CLOSING], "<u4").tobytes()
+        place = TaskContext.get().partitionId() << 40
         for batch in text_slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -91,16 +97,17 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     piece = ids[at : at + 4 * length]
                     rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            columns = zip(*rows, strict=True)
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = [*zip(*rows, strict=True), range(place, place + len(rows))]
+            place += len(rows)
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, place long")
 
 
-def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bin and the offset of each item, placed in the given order."""
+def sum_of_squares(sizes: np.ndarray, length: int, opening: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The bin and the offset of each item, placed in the given order; with `opening`, a new bin is one of the choices even where an open one fits."""
     open_by_gap: list[list[int]] = [[] for _ in range(length + 1)]
     count = np.zeros(length + 1, np.int64)
     bins, offsets, used = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
@@ -110,7 +117,8 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
         if size < length and count[size]:
             change[0] -= 1 + 2 * count[0]
         best = int(change.argmin()) if size < length else -1
-        if best >= 0 and change[best] < 1 << 61:
+        fits = best >= 0 and change[best] < 1 << 61
+        if fits and not (opening and 1 + 2 * count[length - size] < change[best]):
             gap = best + size
             at = open_by_gap[gap].pop()
             count[gap] -= 1
@@ -124,18 +132,24 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-def packed(cut: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
-    """`cut` with sequence_id and offset; about `groups` groups are packed on their own."""
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def packed(cut: DataFrame, groups: int, length: int = LENGTH, opening: bool = False) -> DataFrame:
+    """`cut` with sequence_id and offset; about `groups` groups are packed on their own. Without a place, pieces are dealt out by what they are."""
+    own = ["place"] if "place" in cut.columns else ["doc_id", "piece", "ids_crc32"]
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = sum_of_squares(rows["length"].to_numpy(), length)
-        return rows.drop(columns="_group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+        rows = rows.sort_values(["length", *own], ascending=[False] + [True] * len(own), kind="stable")
+        bins, offsets = sum_of_squares(rows["length"].to_numpy(), length, opening)
+        return rows[COLUMNS].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, groups))))
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(*own), F.lit(max(1, groups))))
     return dealt.groupBy("_group").applyInPandas(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def report(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    return packed(pieces(docs, tokenizer, length), -(-docs.count() // GROUP), length)
+def report(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, opening: bool = False) -> DataFrame:
+    # about as many pieces as there are documents, and one more for every `length` tokens
+    expected = docs.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / (TOKEN_BYTES * length)).first()[0]
+    return packed(pieces(docs, tokenizer, length), -(-int(expected) // GROUP), length, opening)

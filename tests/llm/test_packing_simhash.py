@@ -58,6 +58,30 @@ def test_packing_is_tight(spark):
     assert packing.report(docs(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_equal_rows_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(9000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    groups = packing.packed(packing.pieces(rows), 3).groupBy(F.shiftright("sequence_id", 32)).count().collect()
+    assert len(groups) == 3 and max(r["count"] for r in groups) < 4000
+    assert check_gapless(packing.report(rows).collect()) <= 9
+
+
+def test_plain_rule_opens_where_that_is_least():
+    rng = random.Random(2)
+    for _ in range(40):
+        sizes = [rng.randrange(1, 33) for _ in range(rng.randrange(1, 60))]
+        bins, _ = packing.sum_of_squares(np.array(sizes, np.int64), 32, opening=True)
+        fill = {}
+        for size, at in zip(sizes, bins, strict=True):
+            squares = lambda f: sum(n * n for n in np.bincount([32 - x for x in f if x < 32], minlength=33))
+            after = {b: squares([x + size * (k == b) for k, x in fill.items()]) for b, f in fill.items() if f + size <= 32}
+            opened = squares([*fill.values(), size])
+            assert (after[at] if at in fill else opened) == min([opened, *after.values()])
+            assert at in fill or opened < min(after.values(), default=1 << 60)
+            fill[at] = fill.get(at, 0) + size
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 32), max_size=60))
 def test_sum_of_squares_rule(sizes):
