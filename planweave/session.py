@@ -25,12 +25,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests only) one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, with its file system's scheme: spark.checkpoint.dir.
+
+    Where that is unset a local session, as in tests, gets a folder of its own; a cluster has to name one.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_planweave_folder", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="planweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = context._planweave_folder = tempfile.mkdtemp(prefix="planweave-")
+    return qualified(spark, found.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` as a whole URI: one without a scheme is on Spark's default file system, and other libraries must be told so."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def shipped(spark: SparkSession) -> SparkSession:

@@ -194,3 +194,11 @@ def test_inlined_figures(spark):
     figures = spark.createDataFrame([("x.png", bytearray(b"hi"))], "name string, content binary")
     got = {r.key: r.text for r in reports.inlined_figures(pages, "text", figures).collect()}
     assert got == {1: 'a <figure><img src="data:image/png;base64,aGk="/><figcaption>One</figcaption></figure> b\n![Two](y.png)', 2: "none"}
+
+
+def test_shared_folder_is_a_whole_uri(spark):
+    from planweave import session
+
+    assert session.qualified(spark, "/a/b") == session.qualified(spark, "file:///a/b") == "file:///a/b"
+    assert session.qualified(spark, session.shared_folder(spark)) == session.shared_folder(spark)
+    assert session.shared_folder(spark).startswith("file:///")
