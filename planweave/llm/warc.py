@@ -9,7 +9,9 @@ so a task that is run again never touches what another has written.
 Index: captures sorted by reversed-host key and page are packed into compressed
 blocks of LINES lines; a sparse directory beside each index file holds every block's
 first key and place. Reading finds a key's index file and block by binary search,
-range-reads the block, finds the capture, and range-reads the record.
+range-reads the block, finds the capture, and range-reads the record; of a revisit it
+looks up the record referred to in the same way, and length and digest are of the
+payload found there.
 
 A null html is an empty payload, a null url an empty key; pages without page_id are
 always responses, as are those below `least` bytes. Rows that share page_id and
@@ -36,6 +38,10 @@ from planweave.session import shared_folder, stored
 from .common import text_slices
 
 LINES = 1000
+#: Archive bytes that a reading task is given at most, and at least while there are fewer tasks than cores.
+MOST_READ, LEAST_READ = 128 << 20, 1 << 20
+#: Payloads whose length and digest a reader keeps.
+KNOWN = 100_000
 ARCHIVE_BYTES = 1 << 30
 DATE = "2000-01-01T00:00:00Z"
 CAPTURE = "page_id {kind}, urlkey string, file string, offset long, length long"
@@ -60,14 +66,16 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit keeps the HTTP head, with the payload's length, and leaves the payload out."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One WARC record; a revisit keeps the HTTP head, with the payload's length, and leaves the payload out. Its field Refers-To-Key has the index key of the record referred to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {quote(refers_url, safe=''.join(map(chr, range(33, 127))))}")
+        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"Refers-To-Key: {surt(refers_url)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     block = http + (payload if refers_to is None else b"")
     head += [f"WARC-Payload-Digest: sha1:{digest_of(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -87,7 +95,7 @@ def parsed(data: bytes) -> dict:
     page = lambda name: int(said[name][len("<urn:page:") : -1]) if said.get(name, "<urn:page:>") != "<urn:page:>" else None
     out = {"page_id": page("warc-record-id"), "record_type": said["warc-type"], "refers_to": page("warc-refers-to"), "url": said.get("warc-target-uri")}
     if out["record_type"] == "revisit":
-        return out | {"payload_bytes": int(_headers(http)["content-length"]), "payload_digest": said["warc-payload-digest"].removeprefix("sha1:")}
+        return out | {"payload_bytes": int(_headers(http)["content-length"]), "payload_digest": said["warc-payload-digest"].removeprefix("sha1:"), "refers_key": said["refers-to-key"]}
     return out | {"payload_bytes": len(payload), "payload_digest": digest_of(payload), "payload": payload}
 
 
@@ -109,33 +117,35 @@ def _task_file(folder: str, suffix: str) -> str:
 
 
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, sha, refers_to of the pages whose payload a smaller page_id has."""
-    shas = pages.select("page_id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha")).filter(F.col("n") >= least).select("page_id", "sha")
+    """page_id, sha, refers_to and refers_url of the pages whose payload a smaller page_id has."""
+    shas = pages.select("page_id", "url", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha")).filter(F.col("n") >= least).select("page_id", "url", "sha")
     # written and read back, so that both sides of the join are shuffled and a payload that many pages share can be split
-    shared = stored(shas.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last").select("sha", "refers_to"), "payloads")
-    return shas.join(shared, "sha").filter("page_id > refers_to").distinct()
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    shared = shas.groupBy("sha").agg(first, F.max("page_id").alias("last")).filter("first.page_id < last")
+    shared = stored(shared.select("sha", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), "payloads")
+    return shas.select("page_id", "sha").join(shared, "sha").filter("page_id > refers_to").distinct()
 
 
 def archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write the archives; returns the captures: page_id, urlkey, file, offset, length."""
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    same = revisits(rows, least).select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "refers_to")
-    rows = rows.join(same, (F.col("page_id") == F.col("_page")) & (F.sha1("payload") == F.col("_sha")), "left").select("page_id", "url", "refers_to", "payload")
+    same = revisits(rows, least).select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "refers_to", "refers_url")
+    rows = rows.join(same, (F.col("page_id") == F.col("_page")) & (F.sha1("payload") == F.col("_sha")), "left").select("page_id", "url", "refers_to", "refers_url", "payload")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, at = None, "", 0
         store, root = _open(folder)
         for batch in text_slices(batches):
             rows = []
-            for page_id, url, refers_to, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, refers_to, refers_url, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None or at > ARCHIVE_BYTES:
                     if out:
                         out.close()
                     store.create_dir(f"{root}/archives", recursive=True)
                     name, at = f"archives/{_task_file(folder, '.warc.gz')}", 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                data = _packed(record(page_id, url, payload, refers_to))
+                data = _packed(record(page_id, url, payload, refers_to, refers_url))
                 out.write(data)
                 rows.append((page_id, surt(url), name, at, len(data)))
                 at += len(data)
@@ -190,9 +200,9 @@ def _sortable(page_id: int | None) -> str:
     return "" if page_id is None else f"{page_id + (1 << 63):020d}"
 
 
-def _by_key(rows: DataFrame) -> DataFrame:
-    """Sorted by key and page over all partitions; a key that many pages share is divided between them."""
-    return rows.repartitionByRange("urlkey", F.col("page_id").asc_nulls_first()).sortWithinPartitions("urlkey", F.col("page_id").asc_nulls_first())
+def _by_key(rows: DataFrame, *parts: int) -> DataFrame:
+    """Sorted by key and page over all partitions (so many, if said); a key that many pages share is divided between them."""
+    return rows.repartitionByRange(*parts, "urlkey", F.col("page_id").asc_nulls_first()).sortWithinPartitions("urlkey", F.col("page_id").asc_nulls_first())
 
 
 class Reader:
@@ -202,6 +212,7 @@ class Reader:
         self.store, self.root = _open(folder)
         self.firsts, self.names = [a for a, _ in top], [b for _, b in top]
         self.kept: dict[str, tuple] = {}
+        self.payloads: dict[tuple[int, str], int] = {}
 
     def once(self, what: str, key, load):
         if self.kept.get(what, (None,))[0] != key:
@@ -245,10 +256,27 @@ class Reader:
     def read(self, file: str, offset: int, length: int) -> dict:
         return parsed(zlib.decompress(self.file(file, f"archive {hash(file) % 32}").read_at(length, offset), 31))
 
+    def resolved(self, found: dict) -> dict:
+        """A record as read, or for a revisit with what the record referred to has."""
+        if found["record_type"] != "revisit":
+            return found
+        key = (found["refers_to"], found["payload_digest"])
+        if key not in self.payloads:
+            if len(self.payloads) >= KNOWN:
+                self.payloads.clear()
+            for place in self.captures(found["refers_key"], found["refers_to"]):
+                there = self.read(*place)
+                if there["record_type"] == "response" and there["payload_digest"] == key[1]:
+                    self.payloads[key] = there["payload_bytes"]
+                    break
+            else:
+                raise ValueError(f"page {found['page_id']} refers to page {key[0]}, which has no record of digest {key[1]}")
+        return found | {"payload_bytes": self.payloads[key]}
+
 
-def read_back(keys: DataFrame, folder: str, top: list[tuple[str, str]]) -> DataFrame:
-    """The records of `keys` (urlkey, page_id), found through the index."""
-    kind = keys.schema["page_id"].dataType.simpleString()
+def read_back(captures: DataFrame, folder: str, top: list[tuple[str, str]]) -> DataFrame:
+    """The records of the captures (urlkey, page_id; by their `length`s tasks get like shares), found through the index."""
+    kind = captures.schema["page_id"].dataType.simpleString()
     names = [x.split()[0] for x in FOUND.format(kind=kind).split(", ")]
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,13 +284,15 @@ def read_back(keys: DataFrame, folder: str, top: list[tuple[str, str]]) -> DataF
         for batch in batches:
             rows = []
             for key, page_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [[found[n] for n in names] for found in (reader.read(*c) for c in reader.captures(key, page_id))]
+                rows += [[found[n] for n in names] for found in (reader.resolved(reader.read(*c)) for c in reader.captures(key, page_id))]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             id_kind = batch.schema.field(1).type
             kinds = (id_kind, pa.string(), id_kind, pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return _by_key(keys.select("urlkey", "page_id").distinct()).mapInArrow(look, FOUND.format(kind=kind))
+    total = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = max(-(-total // MOST_READ), min(-(-total // LEAST_READ), 2 * captures.sparkSession.sparkContext.defaultParallelism), 1)
+    return _by_key(captures.select("urlkey", "page_id").distinct(), parts).mapInArrow(look, FOUND.format(kind=kind))
 
 
 def report(pages: DataFrame, least: int = 0) -> DataFrame:

@@ -52,6 +52,34 @@ def test_many_blocks_and_plain_gzip(spark):
     assert whole.count(b"WARC/1.1\r\n") == 2000
 
 
+def test_read_back_is_shared_out(spark):
+    """Tasks by the archives' bytes, not by the few bytes of their keys; a path without a scheme is Spark's, not the worker's."""
+    from pyspark.sql import functions as F
+
+    from planweave.session import qualified
+
+    rows = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.example/"), "id").alias("url"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.sha2(F.concat("id", i.cast("string")), 256)), "").alias("html"))
+    folder = qualified(spark, f"{shared_folder(spark).removeprefix('file://')}/warc-test-{uuid.uuid4().hex}")
+    captures = warc.archive(rows, folder)
+    out = warc.read_back(captures, folder, warc.index(captures, folder))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 4 and max(sizes) < 1500
+
+
+def test_revisits_are_resolved(spark):
+    import pytest
+
+    pages = spark.createDataFrame([(1, " http://É.example/a", "same"), (2, "http://b.example", "same"), (3, None, "same"), (1, "http://c.example", "other")], "page_id long, url string, html string")
+    folder = f"{shared_folder(spark)}/warc-test-{uuid.uuid4().hex}"
+    captures = warc.archive(pages, folder)
+    top = warc.index(captures, folder)
+    got = {(r.page_id, r.record_type): r for r in warc.read_back(captures, folder, top).collect() if r.payload_bytes == 4}
+    assert {k for k in got} == {(1, "response"), (2, "revisit"), (3, "revisit")} and len({r.payload_digest for r in got.values()}) == 1
+    reader = warc.Reader(folder, top)
+    with pytest.raises(ValueError):
+        reader.resolved({"record_type": "revisit", "page_id": 9, "refers_to": 8, "refers_key": ")/", "payload_digest": "x", "payload_bytes": 1})
+
+
 def test_surt():
     assert warc.surt("http://User@WWW.Example.com:80/A?b#c") == "com,example,www)/A?b"
     assert warc.surt(None) == ")/"
