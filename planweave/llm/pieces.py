@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding.
 
-`lattice_encode` is the relational lattice: the distinct words' substrings of bounded
-length are joined with the piece table, the edges grouped by word, and the best path
-folded by a higher-order aggregate. The best path is what a unigram piece table means.
+`lattice_encode` is the relational lattice: the distinct words' substrings no longer
+than the longest piece are joined with the piece table, the edges grouped by word, and
+the best path folded by a higher-order aggregate. The best path is what a unigram piece
+table means; `word_paths` takes the distinct words of all texts through one.
 
 The vocabulary given here is a BPE one, and what it means is another segmentation:
 the best-scored neighbours are merged until none can be. No path score gives that
@@ -20,20 +21,25 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planweave.session import stored
+
 from .common import text_slices, whole_text
 
 MARK = "▁"
 CACHE, CACHED_CHARS = 400_000, 48
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: Longer words are merged by a heap; characters that are exploded together; back steps that a fold gathers in one array.
+SHORT, PART, GATHERED = 64, 1000, 64
 
 
 def default_model() -> str:
@@ -55,39 +61,91 @@ def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(piece_rows(path or default_model()), "piece string, id int, score double, kind string")
 
 
-def lattice_encode(words: DataFrame, pieces: DataFrame, longest: int = 16, unknown: int = 0) -> DataFrame:
-    """word, ids of its best path through `pieces` (piece, id, score); a character of no piece is `unknown`, under all scores.
+def unigram_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The model's pieces with log-probabilities by Zipf's law over their order: a unigram table made of a BPE one."""
+    rows = [(p, i, -float(np.log(i + 1)), kind) for p, i, _, kind in piece_rows(path or default_model())]
+    return spark.createDataFrame(rows, "piece string, id int, score double, kind string")
+
+
+STEP = "struct<start:int,id:int>"
 
-    Words are dealt out once; exploding, the join with the small piece table and the
-    grouping all keep that dealing. Ties go to the longer last piece.
-    """
-    table = pieces.filter("kind = 'piece'").select("piece", "id", "score")
-    least = table.agg((F.min("score") - 10).alias("least"))
-    dealt = words.select("word").filter("word <> ''").distinct()
-    at = dealt.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    at = at.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size"))
-    spans = at.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
-    edges = spans.join(table, "piece", "left").crossJoin(F.broadcast(least)).filter("id is not null or size = 1")
-    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(unknown)).alias("id"), F.coalesce("score", "least").alias("score"))
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+def _grown(full: Column, last: Column, item: Column) -> tuple[Column, Column]:
+    """An array of arrays and its unfinished last one, with one item more: no step copies all that is there."""
+    done = F.size(last) >= GATHERED
+    return F.when(done, F.concat(full, F.array(last))).otherwise(full), F.when(done, F.array(item)).otherwise(F.concat(last, F.array(item)))
+
+
+def _path(edges: Column, longest: int) -> Column:
+    """ids of the best path; edges: array<struct<end,start,id,score>> in order, with one at least for every end."""
 
     def step(acc, e):
-        total = F.get(acc["best"], e["start"]) + e["score"]
-        back = F.struct(e["start"].alias("start"), e["id"].alias("id"))
-        new, better = F.size(acc["best"]) == e["end"], total > F.get(acc["best"], e["end"])
-        kept = lambda name, value: F.when(new, F.concat(acc[name], F.array(value))).when(better, F.concat(F.slice(acc[name], F.lit(1), e["end"]), F.array(value))).otherwise(acc[name])
-        return F.struct(kept("best", total).alias("best"), kept("back", back).alias("back"))
+        begins = F.size(acc["recent"]) - 1
+        total = F.get(acc["recent"], e["start"] - acc["at"] + begins) + e["score"]
+        here, back = e["end"] == acc["at"], F.struct(e["start"].alias("start"), e["id"].alias("id"))
+        better = here & (total > F.element_at(acc["recent"], -1))
+        behind = F.when(here, F.slice(acc["recent"], F.lit(1), begins)).otherwise(F.slice(acc["recent"], F.greatest(F.lit(1), begins - longest + 2), F.lit(longest)))
+        full, last = _grown(acc["full"], acc["last"], acc["back"])
+        return F.struct(
+            e["end"].alias("at"),
+            F.when(here & ~better, acc["recent"]).otherwise(F.concat(behind, F.array(total))).alias("recent"),
+            F.when(here & ~better, acc["back"]).otherwise(back).alias("back"),
+            F.when(here, acc["full"]).otherwise(full).alias("full"),
+            F.when(here, acc["last"]).otherwise(last).alias("last"),
+        )
 
     def walk(acc):
-        trail = F.aggregate(
-            acc["back"],
-            F.struct((F.size(acc["back"]) - 1).alias("at"), F.array().cast("array<int>").alias("ids")),
-            lambda t, _: F.when(t["at"] > 0, F.struct(F.get(acc["back"], t["at"])["start"].alias("at"), F.concat(F.array(F.get(acc["back"], t["at"])["id"]), t["ids"]).alias("ids"))).otherwise(t),
-        )
-        return trail["ids"]
+        return F.aggregate(F.array(F.lit(0)), F.flatten(F.concat(acc["full"], F.array(F.concat(acc["last"], F.array(acc["back"]))))), lambda held, _: held, back_from_end)
 
-    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("id"))).alias("back"))
-    return grouped.select("word", F.aggregate("edges", start, step, walk).alias("ids"))
+    def back_from_end(backs):
+        def one(t, _):
+            here = F.get(backs, t["at"])
+            full, last = _grown(t["full"], t["last"], here["id"])
+            return F.when(t["at"] > 0, F.struct(here["start"].alias("at"), full.alias("full"), last.alias("last"))).otherwise(t)
+
+        init = F.struct((F.size(backs) - 1).alias("at"), F.array().cast("array<array<int>>").alias("full"), F.array().cast("array<int>").alias("last"))
+        return F.aggregate(backs, init, one, lambda t: F.reverse(F.flatten(F.concat(t["full"], F.array(t["last"])))))
+
+    start = F.struct(
+        F.lit(0).alias("at"), F.array(F.lit(0.0)).alias("recent"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("id")).alias("back"),
+        F.array().cast(f"array<array<{STEP}>>").alias("full"), F.array().cast(f"array<{STEP}>").alias("last"),
+    )
+    return F.aggregate(edges, start, step, walk)
+
+
+def lattice_encode(words: DataFrame, pieces: DataFrame, longest: int | None = None, unknown: int = 0) -> DataFrame:
+    """word, ids of its best path through `pieces` (piece, id, score); a character of no piece is `unknown`, under all scores.
+
+    Substrings are as long as the longest piece, or as `longest` says. Words have
+    numbers of their own, so no row of the lattice carries a whole word, and are
+    exploded PART characters at a time. A word's edges meet in one row. Ties go to
+    the longer last piece.
+    """
+    table = pieces.filter("kind = 'piece'").select("piece", "id", "score")
+    least, most = table.agg(F.min("score"), F.max(F.length("piece"))).first()
+    least, most = (least or 0.0) - 10, longest or most or 1
+    dealt = stored(words.select("word").filter("word <> ''").distinct().withColumn("number", F.monotonically_increasing_id()), "words")
+    size = F.length("word")
+    parts = dealt.select("number", "word", size.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / PART).cast("int"))).alias("part"))
+    parts = parts.select("number", "n", (F.col("part") * PART).alias("from"), F.substring("word", F.col("part") * PART + 1, F.lit(PART + most - 1)).alias("text"))
+    at = parts.select("number", "from", "text", F.explode(F.sequence(F.lit(0), F.least(F.lit(PART - 1), F.col("n") - F.col("from") - 1))).alias("start"))
+    at = at.select("number", "from", "start", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.length("text") - F.col("start")))).alias("size"))
+    spans = at.select("number", (F.col("from") + F.col("start")).alias("start"), "size", F.substring("text", F.col("start") + 1, F.col("size")).alias("piece"))
+    edges = spans.join(table, "piece", "left").filter("id is not null or size = 1")
+    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(unknown)).alias("id"), F.coalesce("score", F.lit(least)).alias("score"))
+    grouped = edges.groupBy("number").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return dealt.join(grouped.select("number", _path(F.col("edges"), most).alias("ids")), "number").select("word", "ids")
+
+
+def word_paths(docs: DataFrame, pieces: DataFrame, unknown: int = 0) -> DataFrame:
+    """word (with its marks), n (how often it occurs) and ids (its best path) of the words of all texts.
+
+    Null and empty texts have no words; repeated rows count; an empty table gives no rows.
+    """
+    text = F.when(whole_text() != "", F.concat(F.lit(MARK), F.replace(whole_text(), F.lit(" "), F.lit(MARK))))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(WORD.pattern), F.lit(0))).alias("word"))
+    counts = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    return counts.join(lattice_encode(counts, pieces, unknown=unknown), "word")
 
 
 class Merger:
@@ -102,6 +160,8 @@ class Merger:
         self.known: dict[str, bytes] = {}
 
     def merged(self, word: str) -> list[str]:
+        if len(word) > SHORT:
+            return self.merged_long(word)
         parts, score = list(word), self.score.get
         scores = [score(a + b) for a, b in zip(parts, parts[1:], strict=False)]
         while True:
@@ -118,6 +178,35 @@ class Merger:
             if at:
                 scores[at - 1] = score(parts[at - 1] + parts[at])
 
+    def merged_long(self, word: str) -> list[str]:
+        """The same by a heap of the merges that are open, over linked neighbours: n log n."""
+        parts, score, n = list(word), self.score.get, len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        open_merges: list[tuple[float, int, str]] = []
+
+        def offer(left: int) -> None:
+            if left >= 0 and after[left] < n:
+                both = parts[left] + parts[after[left]]
+                s = score(both)
+                if s is not None:
+                    heapq.heappush(open_merges, (-s, left, both))
+
+        for i in range(n - 1):
+            offer(i)
+        while open_merges:
+            _, left, both = heapq.heappop(open_merges)
+            right = after[left]
+            # merges whose parts have changed since are out of date
+            if parts[left] is None or right >= n or len(parts[left]) + len(parts[right]) != len(both) or parts[left] + parts[right] != both:
+                continue
+            parts[left], parts[right] = both, None
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+            offer(before[left])
+            offer(left)
+        return [x for x in parts if x is not None]
+
     def word(self, word: str) -> bytes:
         ids: list[int] = []
         for piece in self.merged(word):

@@ -30,6 +30,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's relational lattice on a unigram table: every distinct word of the documents with its count and best path."""
+    return pieces.word_paths(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.unigram_table(spark))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_warc": op9_warc,
         "op10_quality_classifier": op10_quality_classifier,
+        "sentencepiece_lattice": sentencepiece_lattice,
     }
 
 

@@ -26,6 +26,53 @@ def test_equals_the_library_and_round_trips(spark):
     assert pieces.report(df.limit(0)).count() == 0
 
 
+def test_long_words_merge_as_short_ones():
+    import random
+    import time
+
+    from sentencepiece import SentencePieceProcessor
+
+    merger, model = pieces.Merger(pieces.piece_rows(pieces.default_model())), SentencePieceProcessor(model_file=pieces.default_model())
+    rng = random.Random(4)
+    words = ["".join(rng.choices(letters, k=rng.randrange(2, 300))) for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz0123456789", "中文字漢éa") for _ in range(60)]
+    merged = pieces.Merger.merged_long
+    for word in words:
+        short = word[: pieces.SHORT]
+        assert merged(merger, short) == merger.merged(short) and merged(merger, word) == merger.merged(word)
+        assert np.frombuffer(merger.encode(word), "<u4").tolist() == model.encode(word)
+    began = time.perf_counter()
+    merger.encode("".join(rng.choices("etaoinshrdlu", k=200_000)))
+    assert time.perf_counter() - began < 5
+
+
+def plain_paths(word, table, longest, unknown, least):
+    """Score of the best path, position by position."""
+    best = [0.0] + [None] * len(word)
+    for end in range(1, len(word) + 1):
+        options = [best[start] + (table[word[start:end]][1] if word[start:end] in table else least) for start in range(max(0, end - longest), end) if word[start:end] in table or end - start == 1]
+        best[end] = max(options)
+    return best[-1]
+
+
+def test_lattice_of_long_words_and_texts(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(p, i, -float(np.log(i + 1)), kind) for p, i, _, kind in pieces.piece_rows(pieces.default_model())]
+    table = {p: (i, s) for p, i, s, kind in rows if kind == "piece"}
+    longest, least = max(map(len, table)), min(s for _, s in table.values()) - 10
+    long = "".join(rng.choices("etaoinshr", k=30_000))
+    docs = spark.createDataFrame([(1, f"the quick brown {long} fox"), (2, None), (3, ""), (4, "the \u0001🙂 the"), (4, "the end")], "doc_id long, text string")
+    got = {r.word: r for r in pieces.word_paths(docs, pieces.unigram_table(spark)).collect()}
+    assert {w: r.n for w, r in got.items()} == {"▁the": 4, "▁quick": 1, "▁brown": 1, "▁" + long: 1, "▁fox": 1, "▁\u0001🙂": 1, "▁end": 1}
+    texts = {i: p for p, (i, _) in table.items()}
+    for word, r in got.items():
+        scores = [table[texts[i]][1] if i in texts else least for i in r.ids]
+        assert abs(sum(scores) - plain_paths(word, table, longest, 0, least)) < 1e-6
+        assert sum(len(texts.get(i, "?")) for i in r.ids) == len(word) and all(p in ("?", word[at : at + len(p)]) for p, at in zip([texts.get(i, "?") for i in r.ids], np.cumsum([0] + [len(texts.get(i, "?")) for i in r.ids]).tolist(), strict=False))
+    assert pieces.word_paths(docs.limit(0), pieces.unigram_table(spark)).count() == 0
+
+
 def test_lattice_is_the_best_path(spark):
     table = [("a", 1, -2.0), ("b", 2, -2.5), ("ab", 3, -3.0), ("ba", 4, -3.4), ("aba", 5, -6.0), ("▁", 6, -1.0), ("▁ab", 7, -3.9), ("bb", 8, -6.0)]
     rows = [(p, i, s, "piece") for p, i, s in table]
