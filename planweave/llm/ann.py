@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by cosine: a hash-prefix forest.
 
-Each of TREES trees gives every vector a string of BITS random-hyperplane bits. A
-tree's strings, sorted, are cut into shards by their first bits; a shard that holds
-more than SHARD rows is dealt out over parts, so hot prefixes never meet in one task.
+Each of TREES trees gives every vector a string of SYMBOLS symbols, each the axis (and
+its sign) of a random rotation that the vector lies nearest to. Rows are dealt out by
+hash to shards of about one size; a shard holds its own rows' strings, tree by tree in
+sorted order, and every query goes to all shards, in blocks of BLOCK queries. So a
+vector travels once a search, whatever the number of trees, and no shard is hot.
 
 A search goes down and up again:
 
-* down: in every tree, a query looks at the entries around its place in the sorted
-  strings, which are those with the longest common prefixes;
-* up: all trees go up together to the depth at which a vector as near as the least of
-  the results so far would share the query's prefix in some tree with probability
-  CERTAIN (its string bits agree with probability 1 - angle/pi each), and every entry
-  under that prefix is a candidate. A query with too few results goes up to the root.
+* down: in every tree a query looks at the entries around its place in the sorted
+  strings, which are those with the longest common prefixes, and scores them;
+* up: all trees go up together to the depth, and to the number of trees that have to
+  agree on a candidate, at which a vector as near as the least of the results so far is
+  found with probability CERTAIN; every entry that so many trees have under the query's
+  prefix of that depth is scored. At the last symbol of the prefix the query's PROBES
+  nearest axes count. Of the depths and numbers that are certain enough, that is taken
+  for which the fewest unrelated vectors are scored; a query for which there is none,
+  or that has too few results, goes up to the root, which is the exact way: all rows.
 
-So well-separated queries stay deep and vague ones widen, and there's no cap on
-candidates. Equal vectors are one entry with its smallest ids (more can't be among
-the results), queries with equal vectors are searched once.
+So well-separated queries stay deep and vague ones widen, and nothing caps candidates.
+`certain=1.0` makes every query exact. Equal vectors are one entry with its smallest
+ids (more can't be among the results), queries with equal vectors are searched once.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows
 without vec_id take no part; vectors of another length are in a forest of their own;
@@ -24,109 +29,222 @@ repeated rows count once. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.session import stored
 
-TREES = 16
-BITS = 60
-SHARD = 2048
+TREES, SYMBOLS = 48, 4
+#: Axes of a rotation at most; longer vectors are projected on so many.
+AXES = 64
+PROBES = 3
+#: Rows of a shard at most, and at least while there are fewer shards than cores; queries of a block.
+SHARD, LEAST_SHARD, BLOCK = 1 << 16, 2048, 1 << 14
 #: Entries on either side that a query looks at on its way down.
 AROUND = 12
-CERTAIN = 0.95
+CERTAIN = 0.9
 SEED = 20240229
+#: Share of a score's cost that one entry under a prefix costs.
+LOOKED_AT = 0.05
+
+
+@functools.lru_cache(2)
+def rotations(size: int) -> np.ndarray:
+    """For each tree the rotations of its symbols, side by side: (TREES, size, SYMBOLS * axes)."""
+    rng = np.random.default_rng([SEED, size])
+    axes = min(size, AXES)
+    out = np.empty((TREES, size, SYMBOLS * axes), np.float32)
+    for tree in range(TREES):
+        for at in range(SYMBOLS):
+            random = rng.standard_normal((size, axes))
+            out[tree, :, at * axes : (at + 1) * axes] = np.linalg.qr(random)[0] if size == axes else random
+    return out
+
+
+def symbols(vectors: np.ndarray, tree: int, probes: int = 1) -> np.ndarray:
+    """The `probes` nearest axes of each vector at each symbol of a tree, nearest first: (n, SYMBOLS, probes)."""
+    size = vectors.shape[1]
+    axes = min(size, AXES)
+    probes = min(probes, 2 * axes)
+    out = np.empty((len(vectors), SYMBOLS, probes), np.int64)
+    for begin in range(0, len(vectors), 8192):
+        part = slice(begin, begin + 8192)
+        along = (vectors[part] @ rotations(size)[tree]).reshape(-1, SYMBOLS, axes)
+        if probes == 1:
+            nearest = np.abs(along).argmax(axis=2)[..., None]
+            out[part] = 2 * nearest + (np.take_along_axis(along, nearest, 2) < 0)
+        else:
+            signed = np.stack([along, -along], axis=3).reshape(*along.shape[:2], 2 * axes)
+            out[part] = np.argsort(-signed, axis=2, kind="stable")[..., :probes]
+    return out
+
+
+def chances(size: int, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cosines, and for each the chance that two vectors so near share a symbol, and that one has the other's among its `probes`."""
+    axes = min(size, AXES)
+    rng = np.random.default_rng([SEED, size, probes])
+    a, other = rng.standard_normal((2, 4000, axes))
+    ranks = lambda v: np.concatenate([v, -v], axis=1)
+    mine = np.argsort(-ranks(a), axis=1)[:, : min(probes, 2 * axes)]
+    cosines, same, among = np.linspace(0, 1, 51), [], []
+    for c in cosines:
+        theirs = ranks(c * a + math.sqrt(1 - c * c) * other).argmax(axis=1)
+        same.append((theirs == mine[:, 0]).mean())
+        among.append((theirs[:, None] == mine).any(axis=1).mean())
+    return cosines, np.array(same), np.array(among)
+
+
+def at_least(n: int, p: float) -> np.ndarray:
+    """The chance that 1, 2, ... n of n trials of chance p succeed."""
+    p = min(max(p, 0.0), 1.0)
+    each = [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+    return np.clip(1 - np.cumsum(each)[:-1], 0, 1)
+
+
+@functools.lru_cache(64)
+def ascents(size: int, certain: float) -> tuple[np.ndarray, np.ndarray]:
+    """By a score's place among the cosines of `chances`: the depth to go up to (0: the root) and the trees that must agree there."""
+    axes = min(size, AXES)
+    cosines, same, among = chances(size)
+    depth, agree = np.zeros(len(cosines), int), np.ones(len(cosines), int)
+    for i in range(len(cosines)):
+        least = 1.0
+        for x in range(1, SYMBOLS + 1):
+            found = at_least(TREES, same[i] ** (x - 1) * among[i])
+            by_chance = min(1.0, (1 / (2 * axes)) ** (x - 1) * PROBES / (2 * axes))
+            cost = at_least(TREES, by_chance) + LOOKED_AT * TREES * by_chance
+            cost = np.where(found >= certain, cost, np.inf)
+            if certain < 1 and cost.min() < least:
+                least, depth[i], agree[i] = cost.min(), x, int(cost.argmin()) + 1
+    return depth, agree
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Of length 1, whatever their magnitude."""
+    vectors = vectors.astype(np.float64)
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+class Forest:
+    """The trees of one shard: places of its rows in the order of their strings."""
+
+    def __init__(self, vectors: np.ndarray, reps: np.ndarray):
+        self.exact, self.reps = unit(vectors), reps
+        self.vectors = self.exact.astype(np.float32)
+        self.base = 2 * min(vectors.shape[1], AXES)
+        self.orders, self.strings = [], []
+        for tree in range(TREES):
+            string = self.string(symbols(self.vectors, tree)[..., 0], SYMBOLS)
+            order = np.argsort(string, kind="stable")
+            self.orders.append(order.astype(np.int32))
+            self.strings.append(string[order])
+
+    def string(self, found: np.ndarray, depth: int) -> np.ndarray:
+        """The first symbols as one number, with as many zeros after them as make a whole string."""
+        out = np.zeros(found.shape[0], np.int64)
+        for at in range(SYMBOLS):
+            out = out * self.base + (found[:, at] if at < depth else 0)
+        return out
+
+    def best(self, query: np.ndarray, places: np.ndarray, keep: int) -> list[tuple[int, float]]:
+        """Of the rows at `places` the `keep` nearest, ties to smaller ids: places and cosines, in double precision where it matters."""
+        rough = self.vectors[places] @ query.astype(np.float32)
+        if len(places) > keep:
+            places = places[rough >= np.partition(rough, -keep)[-keep] - 1e-5]
+        scores = self.exact[places] @ query
+        first = np.lexsort((self.reps[places], -scores))[:keep]
+        return list(zip(places[first].tolist(), scores[first].tolist(), strict=True))
+
+    def down(self, queries: np.ndarray) -> list[np.ndarray]:
+        """Places around each query's in every tree."""
+        near, n = np.arange(-AROUND, AROUND), len(self.reps)
+        found = []
+        for tree in range(TREES):
+            at = np.searchsorted(self.strings[tree], self.string(symbols(queries, tree)[..., 0], SYMBOLS))
+            found.append(self.orders[tree][np.clip(at[:, None] + near, 0, n - 1)])
+        return [np.unique(row) for row in np.concatenate(found, axis=1)]
+
+    def up(self, queries: np.ndarray, depth: np.ndarray, agree: np.ndarray):
+        """Places under each query's prefix of its depth in as many trees as must agree; all at depth 0."""
+        n = len(self.reps)
+        parts: list[list[np.ndarray]] = [[] for _ in queries]
+        for tree in range(TREES):
+            found, order, strings = symbols(queries, tree, PROBES), self.orders[tree], self.strings[tree]
+            for x in np.unique(depth[depth > 0]).tolist():
+                rows, under = np.flatnonzero(depth == x), self.base ** (SYMBOLS - x)
+                for probe in range(found.shape[2]):
+                    mine = found[rows, :, 0].copy()
+                    mine[:, x - 1] = found[rows, x - 1, probe]
+                    start = self.string(mine, x)
+                    low, high = np.searchsorted(strings, start), np.searchsorted(strings, start + under)
+                    for k in np.flatnonzero(low < high).tolist():
+                        parts[rows[k]].append(order[low[k] : high[k]])
+        for i, part in enumerate(parts):
+            if depth[i] == 0:
+                yield np.arange(n)
+            else:
+                yield np.flatnonzero(np.bincount(np.concatenate(part), minlength=n) >= agree[i]) if part else np.arange(0)
+
+
+def rising(size: int, scores: np.ndarray, certain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Depth and agreement for queries whose least result so far has these scores; to the root where there is none."""
+    depth, agree = ascents(size, certain)
+    at = np.clip(np.floor(np.nan_to_num(scores, nan=-1.0) * (len(depth) - 1)), -1, len(depth) - 1).astype(int)
+    return np.where(at < 0, 0, depth[at]), agree[at]
 
 
-def planes(size: int) -> np.ndarray:
-    return np.random.default_rng([SEED, size]).standard_normal((size, TREES * BITS), dtype=np.float32)
-
-
-def strings(vectors: np.ndarray) -> np.ndarray:
-    """One BITS-bit number for each vector and tree."""
-    bits = (vectors.astype(np.float32) @ planes(vectors.shape[1]) > 0).reshape(len(vectors), TREES, BITS)
-    return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+def entries(rows: DataFrame, keep: int) -> DataFrame:
+    """embedding, rep (its least id), ids (its `keep` least): one row for each distinct vector."""
+    least = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    one = rows.withColumn("nth", least).filter(F.col("nth") <= keep).groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    return one.select("embedding", F.col("ids")[0].alias("rep"), "ids")
 
 
-def valid(rows: DataFrame) -> DataFrame:
-    x = F.col("embedding").cast("array<double>")
+def valid(rows: DataFrame, kind: str = "array<double>") -> DataFrame:
+    x = F.col("embedding").cast(kind)
     fine = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
     return rows.select("vec_id", x.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def entries(rows: DataFrame, keep: int) -> DataFrame:
-    """embedding, rep (its least id), ids (its `keep` least), strings: one row for each distinct vector."""
-    least = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    one = rows.withColumn("nth", least).filter(F.col("nth") <= keep).groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-
-    def hashed(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sizes, out = frame["embedding"].map(len), np.empty(len(frame), object)
-            for size in sizes.unique():
-                at = np.flatnonzero(sizes == size)
-                for part in np.array_split(at, -(-len(at) // 4096)):
-                    for i, found in zip(part, strings(np.stack(frame["embedding"].iloc[part])), strict=True):
-                        out[i] = found
-            yield frame.assign(strings=out)
-
-    return one.select("embedding", F.col("ids")[0].alias("rep"), "ids").mapInPandas(hashed, "embedding array<double>, rep long, ids array<long>, strings array<long>")
+FOUND = "query long, rep long, ids array<long>, score double"
 
 
-def _best(scores: np.ndarray, reps: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the `keep` highest scores, ties to smaller ids."""
-    if len(scores) > keep:
-        some = np.flatnonzero(scores >= np.partition(scores, -keep)[-keep])
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((reps[some], -scores[some]))][:keep]
+def _stacked(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = column.combine_chunks()
+    flat = flat.flatten() if isinstance(flat, pa.ListArray | pa.LargeListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-FOUND = "query long, rep long, ids array<long>, score double"
+def _searched(shards: DataFrame, queries: DataFrame, keep: int, certain: float | None) -> DataFrame:
+    """The best of every shard for its queries, down or (with `certain`) up; queries: rep, embedding, and on the way up score."""
+    keys = ["size", "part", "block"]
 
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            forest = Forest(_stacked(left["embedding"], left.num_rows), left["rep"].to_numpy())
+            wanted, asked = unit(_stacked(right["embedding"], right.num_rows)), right["rep"].to_pylist()
+            for begin in range(0, len(asked), 256):
+                some = wanted[begin : begin + 256]
+                if certain is None:
+                    found = forest.down(some.astype(np.float32))
+                else:
+                    scores = right["score"].slice(begin, 256).to_numpy().astype(float)
+                    found = forest.up(some.astype(np.float32), *rising(some.shape[1], scores, certain))
+                for query, who, places in zip(some, asked[begin : begin + 256], found, strict=True):
+                    rows += [(who, place, score) for place, score in forest.best(query, places, keep)]
+        who, places, scores = zip(*rows, strict=True) if rows else ((), (), ())
+        at = pa.array(places, pa.int64())
+        ids = left["ids"].combine_chunks().take(at) if rows else pa.array([], pa.list_(pa.int64()))
+        return pa.table({"query": pa.array(who, pa.int64()), "rep": left["rep"].combine_chunks().take(at) if rows else pa.array([], pa.int64()), "ids": ids, "score": pa.array(scores, pa.float64())})
 
-def _found(left: pd.DataFrame, right: pd.DataFrame, keep: int, depth: str | None) -> pd.DataFrame:
-    """The best of one part of a shard for its queries: around their places, or under their prefixes of `depth` bits."""
-    left = left.sort_values(["string", "rep"])
-    codes, reps, ids = left["string"].to_numpy(), left["rep"].to_numpy(), left["ids"].to_numpy()
-    vectors, wanted = np.stack(left["embedding"]), np.stack(right["embedding"])
-    vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    wanted = wanted / np.linalg.norm(wanted, axis=1, keepdims=True)
-    mine, queries = right["string"].to_numpy(), right["rep"].to_numpy()
-    if depth is None:
-        at = np.searchsorted(codes, mine)
-        low, high = np.maximum(0, at - AROUND), np.minimum(len(codes), at + AROUND)
-    else:
-        under = np.int64(1) << (BITS - right[depth].to_numpy(np.int64))
-        start = mine // under * under
-        low, high = np.searchsorted(codes, start), np.searchsorted(codes, start + under)
-    rows = []
-    for begin in range(0, len(queries), 256):
-        part = slice(begin, begin + 256)
-        wide = (high[part] - low[part]).sum() > len(codes) * (high[part] > low[part]).sum() / 4
-        scores = wanted[part] @ vectors.T if wide else None
-        for k in range(begin, min(begin + 256, len(queries))):
-            a, b = low[k], high[k]
-            if a < b:
-                found = scores[k - begin, a:b] if wide else vectors[a:b] @ wanted[k]
-                rows += [(queries[k], reps[a + i], ids[a + i], found[i]) for i in _best(found, reps[a:b], keep)]
-    return pd.DataFrame(rows, columns=["query", "rep", "ids", "score"])
-
-
-def _searched(shards: DataFrame, queries: DataFrame, keep: int, depth: str | None) -> DataFrame:
-    keys = ["size", "tree", "shard", "part"]
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "rep": [], "ids": [], "score": []})
-        return _found(left, right, keep, depth)
-
-    found = shards.groupBy(keys).cogroup(queries.groupBy(keys)).applyInPandas(search, FOUND)
-    return _merged(found, keep)
+    return _merged(shards.groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(search, FOUND), keep)
 
 
 def _merged(found: DataFrame, keep: int) -> DataFrame:
@@ -135,33 +253,26 @@ def _merged(found: DataFrame, keep: int) -> DataFrame:
     return once.withColumn("nth", best).filter(F.col("nth") <= keep).select("query", "rep", "ids", "score", "nth")
 
 
-def search(rows: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+def search(rows: DataFrame, asked: DataFrame, k: int = 5, certain: float = CERTAIN) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of `asked` (vec_id, embedding) its `k` nearest other rows."""
     keep = k + 1  # the query itself may be among them
-    rows, asked = valid(rows), valid(asked)
+    floats = all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in (rows, asked))
+    kind = "array<float>" if floats else "array<double>"
+    rows, asked = valid(rows, kind), valid(asked, kind)
     forest = stored(entries(rows, keep), "forest")
-    bits = min(20, max(0, math.ceil(math.log2(max(1, forest.count()) / SHARD))))
-    shard = lambda s: F.shiftrightunsigned(s, BITS - bits)
-    opened = lambda df: df.select("rep", "embedding", "ids", F.size("embedding").alias("size"), F.posexplode("strings").alias("tree", "string"))
-    all_of = opened(forest).withColumn("shard", shard("string"))
-    parts = all_of.groupBy("size", "tree", "shard").agg(F.ceil(F.count(F.lit(1)) / (4 * SHARD)).cast("int").alias("parts"))
-    parts = stored(parts, "parts")
-    shards = all_of.join(parts, ["size", "tree", "shard"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    shards = shards.select("size", "tree", "shard", "part", "rep", "ids", "embedding", "string")
-
-    queries = stored(forest.join(asked.select("embedding").distinct(), "embedding", "left_semi"), "queries")
-    per_part = lambda df: df.join(parts, ["size", "tree", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    down = stored(_searched(shards, per_part(opened(queries).withColumn("shard", shard("string"))).select("size", "tree", "shard", "part", "rep", "embedding", "string"), keep, None), "down")
-
-    # the depth at which TREES chances of agreeing in every bit of a prefix make CERTAIN
-    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "score"))) / math.pi
-    chance = F.log(F.lit(1 - (1 - CERTAIN) ** (1 / TREES)))
-    deep = F.when(angle < 1e-9, BITS).when(angle > 1 - 1e-9, 0).otherwise(F.least(F.lit(BITS), F.floor(chance / F.log(1 - angle))))
-    depths = down.filter(F.col("nth") == keep).select(F.col("query").alias("rep"), deep.cast("int").alias("depth"))
-    up = opened(queries).join(depths, "rep", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    first = F.expr(f"shiftleft(shiftrightunsigned(shiftrightunsigned(string, {BITS - bits}), greatest(0, {bits} - depth)), greatest(0, {bits} - depth))")
-    up = up.withColumn("shard", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, greatest(0, {bits} - depth))") - 1))) if bits else up.withColumn("shard", shard("string"))
-    up = _searched(shards, per_part(up).select("size", "tree", "shard", "part", "rep", "embedding", "string", "depth"), keep, "depth")
+    queries = stored(forest.join(asked.select("embedding").distinct(), "embedding", "left_semi").select("rep", "embedding"), "queries")
+    n, many = forest.count(), queries.count()
+    parts = max(-(-n // SHARD), min(-(-n // LEAST_SHARD), 2 * rows.sparkSession.sparkContext.defaultParallelism), 1)
+    blocks = max(1, -(-many // BLOCK))
+
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
+    size = F.size("embedding").alias("size")
+    shards = forest.select("rep", "ids", "embedding", size, dealt(parts).alias("part"), all_of(blocks).alias("block"))
+    sent = lambda df: df.withColumns({"size": F.size("embedding"), "block": dealt(blocks), "part": all_of(parts)})
+    down = stored(_searched(shards, sent(queries), keep, None), "down")
+    least = down.filter(F.col("nth") == keep).select(F.col("query").alias("rep"), "score")
+    up = _searched(shards, sent(queries.join(least, "rep", "left")), keep, certain)
     best = _merged(up.drop("nth").unionByName(down.drop("nth")), keep)
 
     ids = best.withColumn("vec_id", F.explode("ids"))
