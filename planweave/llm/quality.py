@@ -7,8 +7,9 @@ its share. A grade of at least k has probability logistic(score - threshold k),
 grades sharing the weights and the thresholds being in order. Selection goes by the
 expected grade or by a tail probability.
 
-The model is fitted in numpy on at most SAMPLE rated documents of each grade, taken
-by a hash of doc_id at a rate from the counts of the ratings that have a document,
+The model is fitted in numpy on at most SAMPLE rated documents of each grade, and at
+most toxicity.SAMPLE_BYTES of text, taken by a hash of doc_id at a rate from the counts
+of the ratings that have a document (one row an id, none over toxicity.LONGEST bytes),
 and each counts for as many as its grade's rate left out, so the thresholds are those
 of all rated documents and KEEP means the same at any size. Ratings are whole numbers of
 any range; with a single grade every document gets it. Null, empty and blank texts

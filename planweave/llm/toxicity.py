@@ -6,10 +6,11 @@ product of the complements. Only documents are labelled: training ascends the
 likelihood of the document labels through the noisy-or, so it learns which sentences
 make a document toxic, and scoring names those sentences with their places.
 
-The model is fitted in numpy on at most SAMPLE labelled documents of either class,
-taken by a hash of doc_id at a rate from the counts of the labels that have a
-document. Each counts for as many as its class's rate left out, so the classes weigh
-what they do in all labelled documents and a cut means the same at any size. Null, empty and blank
+The model is fitted in numpy on at most SAMPLE labelled documents of either class and
+at most SAMPLE_BYTES of text, taken by a hash of doc_id at a rate from the counts of the
+labels that have a document; texts over LONGEST bytes are not fitted on, and of rows
+that share a doc_id one is. Each counts for as many as its class's rate left out, so the
+classes weigh what they do in all labelled documents and a cut means the same at any size. Null, empty and blank
 texts have no sentences and score 0; labels that are null are not learnt from;
 repeated rows are scored each; an empty table gives no rows. Without labels of both
 classes every score is 0.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import split_of, text_slices, whole_text
 
-#: Most documents of a class that the model is fitted on.
-SAMPLE = 2000
+#: Most documents of a class that the model is fitted on, most bytes of their texts in all, and the longest such text.
+SAMPLE, SAMPLE_BYTES, LONGEST = 2000, 32 << 20, 1 << 20
 #: Hashed features, fewest documents a feature must be in, fitting rounds, step and shrinkage.
 BUCKETS = 1 << 18
 LEAST_DOCS, ROUNDS, STEP, SHRINK = 5, 60, 1.5, 4e-4
@@ -72,11 +73,39 @@ def sampled(labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
     return labels.filter(kept).withColumn("weight", weight)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[list[str], list[int], list[float]]:
-    """Texts, labels and weights of the bounded sample of the labels that have a document; a hundredth over the bound is the most that the hash lets through."""
-    some = sampled(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), label, most)
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "text").toArrow()
-    return rows["text"].to_pylist(), rows[label].to_pylist(), rows["weight"].to_pylist()
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, bytes_most: int = SAMPLE_BYTES) -> tuple[list[str], list[int], list[float]]:
+    """Texts, labels and weights of the bounded sample of the labels that have a document.
+
+    A hundredth over `most` is all that the hash lets through. Where the texts have more
+    than `bytes_most` bytes, each class gives those that come first by their draw, up to
+    its part of the bytes, and the rest of its weight goes to them.
+    """
+    fitted = docs.select("doc_id", whole_text().alias("text")).filter(F.octet_length("text") <= LONGEST)
+    some = F.broadcast(sampled(labels.join(fitted.select("doc_id"), "doc_id", "left_semi"), label, most))
+    draw = F.xxhash64("doc_id", F.lit(label)).alias("draw")
+    # one row an id: its shortest text (the least of those), found before anything is shuffled or sent
+    sizes = fitted.select("doc_id", F.octet_length("text").alias("n")).join(some, "doc_id").groupBy("doc_id", label, "weight").agg(F.min("n").alias("n"))
+    drawn = sizes.select("doc_id", label, "weight", "n", draw).toArrow().to_pylist()
+    kept: dict = {}
+    for value in {r[label] for r in drawn}:
+        rows = sorted((r for r in drawn if r[label] == value), key=lambda r: (r["draw"], r["doc_id"]))
+        whole, held, taken = sum(r["weight"] for r in rows), 0, []
+        for r in rows:
+            held += r["n"]
+            if held * len({x[label] for x in drawn}) > bytes_most and taken:
+                break
+            taken.append(r)
+        part = sum(r["weight"] for r in taken)
+        kept |= {r["doc_id"]: r["weight"] * whole / part for r in taken}
+    if not kept:
+        return [], [], []
+    spark = docs.sparkSession
+    kinds = f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, counts double"
+    wanted = F.broadcast(spark.createDataFrame(list(kept.items()), kinds))
+    least = F.min(F.struct(F.octet_length("text").alias("n"), "text")).alias("t")
+    rows = fitted.join(wanted, "doc_id").join(some.select("doc_id", label), "doc_id").groupBy("doc_id", label, "counts").agg(least)
+    rows = rows.select(F.col("t.text").alias("text"), label, "counts", draw).orderBy("draw", "text").toArrow()
+    return rows["text"].to_pylist(), rows[label].to_pylist(), rows["counts"].to_pylist()
 
 
 def train(texts: list[str], labels: list[int], counts_for: list[float] | None = None) -> np.ndarray:

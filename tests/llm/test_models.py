@@ -133,3 +133,86 @@ def test_sampling_keeps_the_shares(spark):
     whole = toxicity.train([t for _, t, _ in rows], [c for *_, c in rows])
     part = toxicity.train(*toxicity.labelled_texts(texts, labels, "quality", 300))
     assert abs(score(part) - score(whole)) < 0.05
+
+
+def test_fit_is_bounded_in_rows_and_bytes(spark):
+    """A labelled id that occurs very often gives one row, long texts at most their budget, and the weights keep the classes' totals."""
+    rows = [(1, f"copy {i}") for i in range(5000)] + [(i, "word " * 400) for i in range(2, 400)] + [(400, "x" * (toxicity.LONGEST + 1))]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1, 401)], "doc_id long, toxic int")
+    texts, found, weights = toxicity.labelled_texts(docs(spark, rows), labels, "toxic")
+    assert len(texts) == 399 and texts.count("copy 0") == 1 and max(map(len, texts)) == 2000 and set(weights) == {1.0}
+    texts, found, weights = toxicity.labelled_texts(docs(spark, rows), labels, "toxic", bytes_most=100_000)
+    assert sum(map(len, texts)) <= 100_000 and 20 <= found.count(1) <= 25 and 20 <= found.count(0) <= 26
+    totals = np.bincount(found, weights)
+    assert abs(totals[0] - 300) < 1e-6 and abs(totals[1] - 99) < 1e-6
+    texts, found, _ = toxicity.labelled_texts(docs(spark, rows), labels, "toxic", bytes_most=1)
+    assert len(texts) == 2 and set(found) == {0, 1}
+
+
+def test_noisy_or_brute_force(spark):
+    """Scores and spans by a plain version of the noisy-or, over a model trained by the plain gradient too."""
+    import math
+    import re
+    import zlib
+
+    rows, labels = corpus(90)
+    toxic = [t for _, t, _ in labels]
+    weights = toxicity.train([t for _, t in rows], toxic)
+
+    def plain_features(word):
+        return [zlib.crc32(x.encode()) % toxicity.BUCKETS for x in ["w" + word] + ["p" + word[:n] for n in (4, 5) if len(word) > n]]
+
+    def plain(text):
+        clean, spans = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+", text):
+            words = set(re.findall(r"[^\W\d_]+", m[0].lower()))
+            p = 1 / (1 + math.exp(-(weights[-1] + sum(weights[f] for w in words for f in plain_features(w)))))
+            clean *= 1 - p
+            if p >= 0.5:
+                spans.append((m.start(), m.end(), p))
+        return 1 - clean, spans
+
+    got = {r.doc_id: r for r in toxicity.scored(docs(spark, rows), weights).collect()}
+    for i, text in rows:
+        score, spans = plain(text)
+        assert abs(got[i].score - score) < 1e-9 and [(s.start, s.end) for s in got[i].offending] == [s[:2] for s in spans]
+        assert all(abs(s.score - p) < 1e-9 for s, (*_, p) in zip(got[i].offending, spans, strict=True))
+    loss = lambda w: -np.mean([math.log(max(1e-12, s if t else 1 - s)) for s, t in ((toxicity.Scorer(w).document(x)[0], t) for (_, x), t in zip(rows, toxic, strict=True))])
+    start = np.zeros_like(weights)
+    start[-1] = toxicity.BIAS
+    assert loss(weights) < 0.5 * loss(start)
+
+
+def test_cumulative_links_brute_force(spark):
+    """Grades' chances by a plain version of features, links and expectation."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    rng, texts, ratings = random.Random(11), [], []
+    for _ in range(400):
+        share = rng.random()
+        texts.append(" ".join(rng.choice(["Good", "fine!!", "x2"]) if rng.random() < share else rng.choice(["BAD", "99,5", "the the"]) for _ in range(rng.randrange(1, 40))))
+        ratings.append([0, 2, 5][min(2, int(share * 3))])
+    model = quality.train(texts, ratings)
+
+    def shape(word):
+        word = re.sub(r"([^\w\s])\1+", r"\1\1", word)
+        word = re.sub(r"[^\W\d_a-zà-öø-ÿß]{2,}", "A", word)
+        word = re.sub(r"[^\W\d_A-ZÀ-ÖØ-Þ]{2,}", "a", word)
+        return re.sub(r"\d+", "0", word)[:12]
+
+    def plain(text):
+        words = text.split()
+        names = [f"w{w.lower()}" for w in words] + [f"s{shape(w)}" for w in words] + [f"n{shape(a)} {shape(b)}" for a, b in zip(words, words[1:], strict=False)] + ["again" for a, b in zip(words, words[1:], strict=False) if a == b]
+        counts = Counter(zlib.crc32(n.encode()) % quality.BUCKETS for n in names)
+        score = sum(model.weights[f] * math.sqrt(n / max(1, len(words))) for f, n in counts.items())
+        above = [1.0] + [1 / (1 + math.exp(t - score)) for t in model.thresholds] + [0.0]
+        return above[1:-1], sum(g * (a - b) for g, a, b in zip(model.grades, above, above[1:], strict=False))
+
+    rows = list(enumerate([*texts, "", "unseen Words 17"]))
+    got = {r.doc_id: r for r in quality.scored(docs(spark, rows), model).collect()}
+    for i, text in rows:
+        tails, expected = plain(text)
+        assert np.allclose(got[i].tails, tails, atol=1e-9) and abs(got[i].expected_grade - expected) < 1e-9
