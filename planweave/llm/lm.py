@@ -8,14 +8,16 @@ outputs of their own; all other words share BUCKETS outputs by their last three
 and within a bucket a word has its smoothed share of the bucket's training tokens. So
 a token's probability is normalised: batched matrix products give all outputs' scores.
 
-Training passes over every training document, and every token of it, the end too, is
-a target once a pass: windows of CONTEXT + 1 tokens tile the texts from each of the
+Training takes every training document, and every token of it, the end too, is a
+target PASSES times: windows of CONTEXT + 1 tokens tile the texts from each of the
 CONTEXT + 1 phases. Each task descends the NCE loss over its own windows (noise: the
-outputs' frequencies) and the tasks' parameters are averaged by their numbers of
-windows, PASSES times. WORDS is fixed, whatever the size of the corpus.
+outputs' frequencies), CHUNK tokens at a time and in shuffled order, and the tasks'
+parameters are averaged by their numbers of windows. So the model depends on how the
+input is split among tasks, as the parts' order in any stochastic descent does. WORDS
+is fixed, whatever the size of the corpus.
 
-Word counts are of all training tokens. At most HOT of the commonest words go to every
-task; the others' occurrences are joined with the counts.
+Word counts are of all training tokens. At most HOT of the commonest words of up to
+HOT_BYTES go to every task; the others' occurrences are joined with the counts.
 
 A null text counts as empty (one token, the end). Repeated rows are scored each; null
 ids count as held out by the crc32 of the empty text; an empty table gives no rows.
@@ -39,15 +41,17 @@ from .common import split_of, text_slices, whole_text
 END = b"\n"  # no word has white space in it
 WORDS, BUCKETS = 255, 64
 OUTPUTS = WORDS + 1 + BUCKETS
-CONTEXT, SIZE, PASSES = 4, 16, 1
-NOISE, BATCH, STEP = 64, 4096, 0.15
+CONTEXT, SIZE, PASSES = 4, 16, 2
+NOISE, BATCH, STEP = 64, 1024, 0.2
 #: Noise words that each window counts for in the loss.
 NOISE_EACH = 16
-HOT = 200_000
+HOT, HOT_BYTES = 200_000, 64
 SMOOTH = 0.1
 SEED = 7
 #: Bytes of text that are worked on at once.
 SLICE = 2 << 20
+#: Tokens whose windows a task holds to pass over them.
+CHUNK = 2_000_000
 CACHE = 400_000
 
 
@@ -135,7 +139,7 @@ def vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
         if held > hot:
             break
         lowest = r["level"]
-    common = counts.filter(level >= (lowest if lowest is not None else 1 << 30)).toArrow()
+    common = counts.filter((level >= (lowest if lowest is not None else 1 << 30)) & (F.octet_length("word") <= HOT_BYTES)).toArrow()
     known = sorted(zip(common["word"].to_pylist(), common["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     own = [END] + [w for w, _ in known if w != END][:WORDS]
     outputs = {w: i for i, w in enumerate(own)}
@@ -182,40 +186,58 @@ class Trainer:
     def fit(self, windows: np.ndarray) -> None:
         """windows: rows of CONTEXT outputs before, farthest first, and the target."""
         context, places, vectors, biases = unpacked(self.flat)
-        before, target = windows[:, :-1], windows[:, -1]
+        n, columns = len(windows), windows.T.astype(np.int64)
+        before, target = (columns[:-1] + PLACED).ravel(), columns[-1]
         noise = self.rng.choice(OUTPUTS, NOISE, p=self.frequency)
-        rows = context[before]
-        predicted = (rows * places).sum(axis=1)
-        rise = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        true = rise((predicted * vectors[target]).sum(axis=1) + biases[target] - self.log_noise[target]) - 1
-        false = rise(predicted @ vectors[noise].T + biases[noise] - self.log_noise[noise]) * (NOISE_EACH / NOISE)
-        by_predicted = true[:, None] * vectors[target] + false @ vectors[noise]
-        gradient = np.zeros_like(self.flat)
+        # a context's vector as scaled by its place, one row for each pair of them
+        scaled = (context * places[:, None, :]).reshape(-1, SIZE)
+        predicted = scaled.take(before, axis=0).reshape(CONTEXT, n, SIZE).sum(axis=0)
+        towards, away = vectors.take(target, axis=0), vectors[noise]
+        rise = lambda x: 0.5 * np.tanh(0.5 * x) + 0.5
+        true = rise((predicted * towards).sum(axis=1) + (biases - self.log_noise)[target]) - 1
+        false = rise(predicted @ away.T + (biases - self.log_noise)[noise]) * np.float32(NOISE_EACH / NOISE)
+        by_predicted = true[:, None] * towards + false @ away
+        gradient = np.empty_like(self.flat)
         by_context, by_places, by_vectors, by_biases = unpacked(gradient)
-        by_places += (rows * by_predicted[:, None, :]).sum(axis=0)
-        spread = np.arange(SIZE)
-        added = lambda at, values, rows: np.bincount((at[..., None] * SIZE + spread).ravel(), values.ravel(), rows * SIZE).reshape(rows, SIZE)
-        by_context += added(before, by_predicted[:, None, :] * places, OUTPUTS + 1)
-        by_vectors += added(target, true[:, None] * predicted, OUTPUTS)
+        summed = added(before, np.tile(by_predicted.T.astype(np.float64), CONTEXT), CONTEXT * (OUTPUTS + 1)).reshape(CONTEXT, OUTPUTS + 1, SIZE)
+        by_places[:] = (summed * context).sum(axis=1)
+        by_context[:] = (summed * places[:, None, :]).sum(axis=0)
+        by_vectors[:] = added(target, (true[:, None] * predicted).T.astype(np.float64), OUTPUTS)
         np.add.at(by_vectors, noise, false.T @ predicted)
-        by_biases += np.bincount(target, true, OUTPUTS).astype(np.float32)
+        by_biases[:] = np.bincount(target, true, OUTPUTS)
         np.add.at(by_biases, noise, false.sum(axis=0))
-        gradient /= len(windows)
+        gradient /= n
         self.second += gradient**2
         self.flat -= STEP * gradient / np.sqrt(self.second)
-        self.windows += len(windows)
+        self.windows += n
+
+    def passed(self, windows: np.ndarray) -> None:
+        """Descend over the windows PASSES times, each time in another order."""
+        for _ in range(PASSES):
+            order = self.rng.permutation(len(windows))
+            for at in range(0, len(order), BATCH):
+                self.fit(windows[order[at : at + BATCH]])
+
+
+#: Where the context outputs of each place begin among all pairs of them.
+PLACED = np.arange(CONTEXT)[:, None] * (OUTPUTS + 1)
+
+
+def added(at: np.ndarray, columns: np.ndarray, rows: int) -> np.ndarray:
+    """The sums, by `at`, of each of the columns."""
+    return np.stack([np.bincount(at, column, rows) for column in columns], axis=1)
 
 
 def tiled(outputs: np.ndarray, phase: int) -> np.ndarray:
     """Windows that tile a text: every token is in one, as target or as context, but for those before the first target and after the last."""
-    padded = np.concatenate([np.full(CONTEXT, OUTPUTS), outputs])
+    padded = np.concatenate([np.full(CONTEXT, OUTPUTS, outputs.dtype), outputs])
     return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1)[phase % (CONTEXT + 1) :: CONTEXT + 1]
 
 
 def windows_of(outputs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Windows with every token of the texts as target once: texts of `sizes` tokens lie one after the other in `outputs`."""
     # so many places of no word after a text that its tokens are in no window of the next
-    apart = np.full(len(outputs) + CONTEXT * len(sizes), OUTPUTS)
+    apart = np.full(len(outputs) + CONTEXT * len(sizes), OUTPUTS, outputs.dtype)
     apart[np.arange(len(outputs)) + CONTEXT * np.repeat(np.arange(len(sizes)), sizes)] = outputs
     windows = np.concatenate([tiled(apart, phase) for phase in range(CONTEXT + 1)])
     return windows[windows[:, -1] < OUTPUTS]
@@ -223,33 +245,36 @@ def windows_of(outputs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
     flat = initial(words.frequency)
-    spark = docs.sparkSession
+    said = docs.sparkSession.sparkContext.broadcast((flat, words.frequency, words.outputs))
+
+    def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        flat, frequency, outputs = said.value
+        trainer, held, sizes = Trainer(flat, frequency, TaskContext.get().partitionId()), [], []
+
+        def train() -> None:
+            if held:
+                trainer.passed(windows_of(np.concatenate(held), np.concatenate(sizes)).astype(np.int16))
+                held.clear()
+                sizes.clear()
+
+        for batch in text_slices(batches, SLICE):
+            texts = [tokens(t) for t in batch.column(0).to_pylist()]
+            held.append(outputs_of([w for t in texts for w in t], outputs).astype(np.int16))
+            sizes.append(np.array([len(t) for t in texts]))
+            if sum(map(len, held)) >= CHUNK:
+                train()
+        train()
+        if trainer.windows:
+            yield pa.RecordBatch.from_pydict({"n": [trainer.windows], "flat": [trainer.flat.tolist()]}, pa.schema([("n", pa.int64()), ("flat", pa.list_(pa.float32()))]))
+
     texts = docs.select(whole_text().cast("binary").alias("text"))
-    for turn in range(PASSES):
-        said = spark.sparkContext.broadcast((flat, words.frequency, words.outputs))
-
-        def fit(batches: Iterable[pa.RecordBatch], said=said, turn=turn) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            flat, frequency, outputs = said.value
-            trainer, left = Trainer(flat, frequency, turn << 32 | TaskContext.get().partitionId()), np.empty((0, CONTEXT + 1), np.int64)
-            for batch in text_slices(batches, SLICE):
-                texts = [tokens(t) for t in batch.column(0).to_pylist()]
-                found = outputs_of([w for t in texts for w in t], outputs)
-                left = np.concatenate([left, windows_of(found, np.array([len(t) for t in texts]))])
-                for at in range(0, len(left) // BATCH * BATCH, BATCH):
-                    trainer.fit(left[at : at + BATCH])
-                left = left[len(left) // BATCH * BATCH :]
-            if len(left):
-                trainer.fit(left)
-            if trainer.windows:
-                yield pa.RecordBatch.from_pydict({"n": [trainer.windows], "flat": [trainer.flat.tolist()]}, pa.schema([("n", pa.int64()), ("flat", pa.list_(pa.float32()))]))
-
-        each = texts.mapInArrow(fit, "n long, flat array<float>").select("n", F.posexplode("flat").alias("at", "value"))
-        mean = each.groupBy("at").agg((F.sum(F.col("value").cast("double") * F.col("n")) / F.sum("n")).alias("value")).toArrow()
-        if mean.num_rows:
-            flat = flat.copy()
-            flat[mean["at"].to_numpy()] = mean["value"].to_numpy().astype(np.float32)
+    each = texts.mapInArrow(fit, "n long, flat array<float>").select("n", F.posexplode("flat").alias("at", "value"))
+    mean = each.groupBy("at").agg((F.sum(F.col("value").cast("double") * F.col("n")) / F.sum("n")).alias("value")).toArrow()
+    if mean.num_rows:
+        flat = flat.copy()
+        flat[mean["at"].to_numpy()] = mean["value"].to_numpy().astype(np.float32)
     return flat
 
 

@@ -101,3 +101,51 @@ def test_gradient_descends():
         trainer.fit(windows)
     last = lm.log_probabilities(trainer.flat, np.array([1, 2, 3, 4, 14]), np.arange(5) == 0)[-1]
     assert last > np.log10(0.5)
+
+
+def test_held_out_gain_on_the_given_documents(spark):
+    """Over the base, per held-out token, in log10; and each token is a target in every pass."""
+    from planweave.llm import queries
+
+    got = queries.queries()["op7_language_model"](spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert (got.s - got.b) / got.n > 0.08
+    assert lm.PASSES >= 2
+
+
+def test_long_words_are_not_sent_to_all(spark):
+    docs = spark.createDataFrame([(i, "x" * 5000 + " ab ab") for i in range(50)], "doc_id long, text string")
+    words = lm.vocabulary(lm.word_counts(docs))
+    assert set(words.hot) == {b"ab", lm.END} and words.total == 200 and words.distinct == 3
+    got = lm.report(docs, parts=10).collect()
+    assert all(r.n_tokens == 4 and r.n_known == 4 and r.score < 0 for r in got)
+
+
+def test_gradient_is_that_of_the_loss():
+    """By differences of the loss, with the noise words that the step drew."""
+    rng = np.random.default_rng(5)
+    frequency = rng.random(lm.OUTPUTS)
+    frequency /= frequency.sum()
+    flat = (lm.initial(frequency) + rng.normal(0, 0.3, len(lm.initial(frequency)))).astype(np.float32)
+    windows = rng.integers(0, lm.OUTPUTS, (7, lm.CONTEXT + 1))
+    noise = np.random.default_rng([lm.SEED, 1]).choice(lm.OUTPUTS, lm.NOISE, p=frequency)
+
+    def loss(flat):
+        context, places, vectors, biases = lm.unpacked(flat.astype(float))
+        total = 0.0
+        for *before, target in windows.tolist():
+            predicted = sum(context[w] * places[i] for i, w in enumerate(before))
+            delta = lambda w, predicted=predicted: predicted @ vectors[w] + biases[w] - math.log(lm.NOISE_EACH * frequency[w])
+            total += math.log1p(math.exp(-delta(target))) + sum(math.log1p(math.exp(delta(w))) for w in noise) * lm.NOISE_EACH / lm.NOISE
+        return total / len(windows)
+
+    trainer = lm.Trainer(flat, frequency, 1)
+    trainer.second[:] = 1e12  # steps so small that the gradient can be read off
+    before = trainer.flat.astype(float)
+    trainer.flat = before.copy()
+    trainer.fit(windows)
+    gradient = (before - trainer.flat) * 1e6 / lm.STEP
+    shaken = np.concatenate([np.flatnonzero(np.abs(gradient) > 1e-3)[::17], [0, 5000]])
+    for i in shaken:
+        up, low = before.copy(), before.copy()
+        up[i], low[i] = up[i] + 1e-4, low[i] - 1e-4
+        assert abs((loss(up) - loss(low)) / 2e-4 - gradient[i]) < 2e-3, i
