@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ END = b"\n"  # no word has white space in it
 WORDS, BUCKETS = 255, 64
 OUTPUTS = WORDS + 1 + BUCKETS
 CONTEXT, SIZE, PASSES = 4, 16, 2
-NOISE, BATCH, STEP = 64, 1024, 0.2
+NOISE, BATCH, STEP = 64, 2048, 0.3
 #: Noise words that each window counts for in the loss.
 NOISE_EACH = 16
 HOT, HOT_BYTES = 200_000, 64
@@ -129,6 +130,23 @@ def outputs_of(words: list[bytes], own: dict[bytes, int]) -> np.ndarray:
     return found
 
 
+class Codes(dict):
+    """Words' outputs, kept."""
+
+    def __init__(self, own: dict[bytes, int]):
+        super().__init__(own)
+        self.own = own
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE:
+            self.clear()
+            self.update(self.own)
+            if word in self.own:
+                return self.own[word]
+        self[word] = found = WORDS + 1 + bucket_of(word)
+        return found
+
+
 def vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
     # as many of the commonest words as `hot` at most: down to a count that the counts' histogram gives
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -178,7 +196,8 @@ class Trainer:
     """Descends the NCE loss over windows, a batch at a time, with steps scaled by past gradients."""
 
     def __init__(self, flat: np.ndarray, frequency: np.ndarray, seed: int):
-        self.flat, self.frequency, self.rng = flat.copy(), frequency, np.random.default_rng([SEED, seed])
+        self.flat, self.rng = flat.copy(), np.random.default_rng([SEED, seed])
+        self.upto = np.cumsum(frequency) / frequency.sum()
         self.second = np.full(len(flat), 1e-3, np.float32)
         self.log_noise = np.log(NOISE_EACH * frequency).astype(np.float32)
         self.windows = 0
@@ -186,26 +205,37 @@ class Trainer:
     def fit(self, windows: np.ndarray) -> None:
         """windows: rows of CONTEXT outputs before, farthest first, and the target."""
         context, places, vectors, biases = unpacked(self.flat)
-        n, columns = len(windows), windows.T.astype(np.int64)
-        before, target = (columns[:-1] + PLACED).ravel(), columns[-1]
-        noise = self.rng.choice(OUTPUTS, NOISE, p=self.frequency)
+        n, at = len(windows), windows.T.astype(np.int64)
+        target = at[-1].copy()
+        at += PLACED
+        noise = np.minimum(self.upto.searchsorted(self.rng.random(NOISE), "right"), OUTPUTS - 1)
         # a context's vector as scaled by its place, one row for each pair of them
         scaled = (context * places[:, None, :]).reshape(-1, SIZE)
-        predicted = scaled.take(before, axis=0).reshape(CONTEXT, n, SIZE).sum(axis=0)
-        towards, away = vectors.take(target, axis=0), vectors[noise]
-        rise = lambda x: 0.5 * np.tanh(0.5 * x) + 0.5
-        true = rise((predicted * towards).sum(axis=1) + (biases - self.log_noise)[target]) - 1
-        false = rise(predicted @ away.T + (biases - self.log_noise)[noise]) * np.float32(NOISE_EACH / NOISE)
-        by_predicted = true[:, None] * towards + false @ away
+        predicted = scaled.take(at[:-1].ravel(), axis=0).reshape(CONTEXT, n, SIZE).sum(axis=0)
+        towards, away, over = vectors.take(target, axis=0), vectors.take(noise, axis=0), biases - self.log_noise
+        true = np.einsum("nd,nd->n", predicted, towards) + over.take(target)
+        true = 0.5 * np.tanh(0.5 * true) - 0.5
+        # the same of the noise, in place: half of (1 + tanh of the half)
+        false = predicted @ (0.5 * away.T)
+        false += 0.5 * over.take(noise)
+        np.tanh(false, out=false)
+        false += 1
+        false *= 0.5 * NOISE_EACH / NOISE
+        by_predicted = false @ away
+        by_predicted += true[:, None] * towards
+        # all sums of rows at once: of the context's, place by place, and of the targets'
+        rows = np.empty((SIZE, CONTEXT + 1, n))
+        rows[:, :-1] = by_predicted.T[:, None]
+        rows[:, -1] = (true[:, None] * predicted).T
+        summed = added(at.ravel(), rows.reshape(SIZE, -1), (CONTEXT + 1) * (OUTPUTS + 1)).reshape(CONTEXT + 1, OUTPUTS + 1, SIZE)
+        drawn = np.zeros((OUTPUTS, NOISE), np.float32)
+        drawn[noise, np.arange(NOISE)] = 1
         gradient = np.empty_like(self.flat)
         by_context, by_places, by_vectors, by_biases = unpacked(gradient)
-        summed = added(before, np.tile(by_predicted.T.astype(np.float64), CONTEXT), CONTEXT * (OUTPUTS + 1)).reshape(CONTEXT, OUTPUTS + 1, SIZE)
-        by_places[:] = (summed * context).sum(axis=1)
-        by_context[:] = (summed * places[:, None, :]).sum(axis=0)
-        by_vectors[:] = added(target, (true[:, None] * predicted).T.astype(np.float64), OUTPUTS)
-        np.add.at(by_vectors, noise, false.T @ predicted)
-        by_biases[:] = np.bincount(target, true, OUTPUTS)
-        np.add.at(by_biases, noise, false.sum(axis=0))
+        np.einsum("pvd,vd->pd", summed[:-1], context, out=by_places)
+        np.einsum("pvd,pd->vd", summed[:-1], places, out=by_context)
+        np.add(summed[-1, :OUTPUTS], drawn @ (false.T @ predicted), out=by_vectors)
+        by_biases[:] = np.bincount(target, true, OUTPUTS) + drawn @ false.sum(axis=0)
         gradient /= n
         self.second += gradient**2
         self.flat -= STEP * gradient / np.sqrt(self.second)
@@ -219,13 +249,16 @@ class Trainer:
                 self.fit(windows[order[at : at + BATCH]])
 
 
-#: Where the context outputs of each place begin among all pairs of them.
-PLACED = np.arange(CONTEXT)[:, None] * (OUTPUTS + 1)
+#: Where the outputs of each place begin among all pairs of them, the targets' last.
+PLACED = np.arange(CONTEXT + 1)[:, None] * (OUTPUTS + 1)
 
 
 def added(at: np.ndarray, columns: np.ndarray, rows: int) -> np.ndarray:
     """The sums, by `at`, of each of the columns."""
-    return np.stack([np.bincount(at, column, rows) for column in columns], axis=1)
+    out = np.empty((rows, len(columns)), np.float32)
+    for i, column in enumerate(columns):
+        out[:, i] = np.bincount(at, column, rows)
+    return out
 
 
 def tiled(outputs: np.ndarray, phase: int) -> np.ndarray:
@@ -252,6 +285,7 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
 
         flat, frequency, outputs = said.value
         trainer, held, sizes = Trainer(flat, frequency, TaskContext.get().partitionId()), [], []
+        code = Codes(outputs).__getitem__
 
         def train() -> None:
             if held:
@@ -261,8 +295,8 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
 
         for batch in text_slices(batches, SLICE):
             texts = [tokens(t) for t in batch.column(0).to_pylist()]
-            held.append(outputs_of([w for t in texts for w in t], outputs).astype(np.int16))
             sizes.append(np.array([len(t) for t in texts]))
+            held.append(np.fromiter(map(code, chain.from_iterable(texts)), np.int16, sizes[-1].sum()))
             if sum(map(len, held)) >= CHUNK:
                 train()
         train()
@@ -278,7 +312,7 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
     return flat
 
 
-def log_probabilities(flat: np.ndarray, outputs: np.ndarray, begins: np.ndarray, chunk: int = 2048) -> np.ndarray:
+def log_probabilities(flat: np.ndarray, outputs: np.ndarray, begins: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """log10 of each output given those before it in its text; `begins` marks the texts' first tokens."""
     context, places, vectors, biases = unpacked(flat)
     scaled = context[None, :, :] * places[:, None, :]
