@@ -9,10 +9,10 @@ and within a bucket a word has its smoothed share of the bucket's training token
 a token's probability is normalised: batched matrix products give all outputs' scores.
 
 Training takes every training document, and every token of it, the end too, is a
-target PASSES times: windows of CONTEXT + 1 tokens tile the texts from each of the
-CONTEXT + 1 phases. Each task descends the NCE loss over its own windows (noise: the
+target PASSES times: texts are cut into runs of RUN targets, each with the CONTEXT
+outputs before it. Each task descends the NCE loss over its own runs (noise: the
 outputs' frequencies), CHUNK tokens at a time and in shuffled order, and the tasks'
-parameters are averaged by their numbers of windows. So the model depends on how the
+parameters are averaged by their numbers of targets. So the model depends on how the
 input is split among tasks, as the parts' order in any stochastic descent does. WORDS
 is fixed, whatever the size of the corpus.
 
@@ -43,8 +43,10 @@ END = b"\n"  # no word has white space in it
 WORDS, BUCKETS = 255, 64
 OUTPUTS = WORDS + 1 + BUCKETS
 CONTEXT, SIZE, PASSES = 4, 16, 2
-NOISE, BATCH, STEP = 64, 2048, 0.3
-#: Noise words that each window counts for in the loss.
+#: Targets of a run, runs of a batch, and batches of a pass at least, however few runs there are.
+RUN, BATCH, LEAST_STEPS = 32, 64, 16
+NOISE, STEP = 64, 0.3
+#: Noise words that each target counts for in the loss.
 NOISE_EACH = 16
 HOT, HOT_BYTES = 200_000, 64
 SMOOTH = 0.1
@@ -181,9 +183,12 @@ def vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
 SHAPES = ((OUTPUTS + 1, SIZE), (CONTEXT, SIZE), (OUTPUTS, SIZE), (OUTPUTS,))
 
 
+#: Where each of them ends.
+ENDS = np.cumsum([int(np.prod(s)) for s in SHAPES]).tolist()
+
+
 def unpacked(flat: np.ndarray) -> list[np.ndarray]:
-    ends = np.cumsum([int(np.prod(s)) for s in SHAPES])
-    return [flat[a:b].reshape(s) for a, b, s in zip([0, *ends[:-1]], ends, SHAPES, strict=True)]
+    return [flat[a:b].reshape(s) for a, b, s in zip([0, *ENDS[:-1]], ENDS, SHAPES, strict=True)]
 
 
 def initial(frequency: np.ndarray) -> np.ndarray:
@@ -193,64 +198,79 @@ def initial(frequency: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Descends the NCE loss over windows, a batch at a time, with steps scaled by past gradients."""
+    """Descends the NCE loss over runs, a batch at a time, with steps scaled by past gradients."""
 
     def __init__(self, flat: np.ndarray, frequency: np.ndarray, seed: int):
         self.flat, self.rng = flat.copy(), np.random.default_rng([SEED, seed])
         self.upto = np.cumsum(frequency) / frequency.sum()
         self.second = np.full(len(flat), 1e-3, np.float32)
         self.log_noise = np.log(NOISE_EACH * frequency).astype(np.float32)
-        self.windows = 0
+        self.targets = 0
 
-    def fit(self, windows: np.ndarray) -> None:
-        """windows: rows of CONTEXT outputs before, farthest first, and the target."""
+    def fit(self, runs: np.ndarray) -> None:
+        """runs: rows of CONTEXT outputs before, farthest first, and the targets; a target of no output is left out."""
         context, places, vectors, biases = unpacked(self.flat)
-        n, at = len(windows), windows.T.astype(np.int64)
-        target = at[-1].copy()
-        at += PLACED
+        at = runs.astype(np.int64)
+        size = at.shape[1] - CONTEXT
+        live = (at[:, CONTEXT:] < OUTPUTS).ravel()
+        target = np.minimum(at[:, CONTEXT:], OUTPUTS - 1).ravel()
         noise = np.minimum(self.upto.searchsorted(self.rng.random(NOISE), "right"), OUTPUTS - 1)
-        # a context's vector as scaled by its place, one row for each pair of them
-        scaled = (context * places[:, None, :]).reshape(-1, SIZE)
-        predicted = scaled.take(at[:-1].ravel(), axis=0).reshape(CONTEXT, n, SIZE).sum(axis=0)
-        towards, away, over = vectors.take(target, axis=0), vectors.take(noise, axis=0), biases - self.log_noise
-        true = np.einsum("nd,nd->n", predicted, towards) + over.take(target)
-        true = 0.5 * np.tanh(0.5 * true) - 0.5
+        # a token's vector is looked up once, whatever the number of targets that it is before; runs lie flat, so that whole runs are multiplied
+        rows = context.take(at, axis=0).reshape(len(at), -1)
+        before = [slice(p * SIZE, (p + size) * SIZE) for p in range(CONTEXT)]
+        scales = np.tile(places, size)
+        predicted = rows[:, before[0]] * scales[0]
+        for p in range(1, CONTEXT):
+            predicted += rows[:, before[p]] * scales[p]
+        # with a one beside each, so that biases go with the vectors
+        whole = np.ones((len(target), SIZE + 1), np.float32)
+        whole[:, :SIZE] = predicted.reshape(-1, SIZE)
+        over = np.column_stack([vectors, biases - self.log_noise])
+        towards, away = over.take(target, axis=0), over.take(noise, axis=0)
+        true = np.einsum("nd,nd->n", whole, towards)
+        true = ((0.5 * np.tanh(0.5 * true) - 0.5) * live)[:, None]
         # the same of the noise, in place: half of (1 + tanh of the half)
-        false = predicted @ (0.5 * away.T)
-        false += 0.5 * over.take(noise)
+        false = whole @ (0.5 * away.T)
         np.tanh(false, out=false)
         false += 1
         false *= 0.5 * NOISE_EACH / NOISE
-        by_predicted = false @ away
-        by_predicted += true[:, None] * towards
-        # all sums of rows at once: of the context's, place by place, and of the targets'
-        rows = np.empty((SIZE, CONTEXT + 1, n))
-        rows[:, :-1] = by_predicted.T[:, None]
-        rows[:, -1] = (true[:, None] * predicted).T
-        summed = added(at.ravel(), rows.reshape(SIZE, -1), (CONTEXT + 1) * (OUTPUTS + 1)).reshape(CONTEXT + 1, OUTPUTS + 1, SIZE)
+        if not live.all():
+            false[~live] = 0
+        by_predicted = false @ away[:, :SIZE]
+        by_predicted += true * towards[:, :SIZE]
+        by_run = by_predicted.reshape(len(at), -1)
+        by_token = np.zeros_like(rows)
+        for p in range(CONTEXT):
+            by_token[:, before[p]] += by_run * scales[p]
+        # both sums of rows at once: by the tokens before, and by the targets
+        n = at.size
+        columns = np.empty((SIZE, n + len(target)))
+        columns[:, :n] = by_token.reshape(-1, SIZE).T
+        columns[:, n:] = (true * whole[:, :SIZE]).T
+        summed = added(np.concatenate([at.ravel(), target + OUTPUTS + 1]), columns, 2 * OUTPUTS + 1)
         drawn = np.zeros((OUTPUTS, NOISE), np.float32)
         drawn[noise, np.arange(NOISE)] = 1
         gradient = np.empty_like(self.flat)
         by_context, by_places, by_vectors, by_biases = unpacked(gradient)
-        np.einsum("pvd,vd->pd", summed[:-1], context, out=by_places)
-        np.einsum("pvd,pd->vd", summed[:-1], places, out=by_context)
-        np.add(summed[-1, :OUTPUTS], drawn @ (false.T @ predicted), out=by_vectors)
-        by_biases[:] = np.bincount(target, true, OUTPUTS) + drawn @ false.sum(axis=0)
-        gradient /= n
+        by_context[:] = summed[: OUTPUTS + 1]
+        for p in range(CONTEXT):
+            by_places[p] = (rows[:, before[p]] * by_run).sum(axis=0).reshape(size, SIZE).sum(axis=0)
+        by_noise = drawn @ (whole.T @ false).T
+        np.add(summed[OUTPUTS + 1 :], by_noise[:, :SIZE], out=by_vectors)
+        by_biases[:] = np.bincount(target, true[:, 0], OUTPUTS) + by_noise[:, SIZE]
+        found = int(live.sum())
+        gradient /= max(1, found)
         self.second += gradient**2
         self.flat -= STEP * gradient / np.sqrt(self.second)
-        self.windows += n
+        self.targets += found
 
-    def passed(self, windows: np.ndarray) -> None:
-        """Descend over the windows PASSES times, each time in another order."""
+    def passed(self, runs: np.ndarray) -> None:
+        """Descend over the runs PASSES times, each time in another order, in LEAST_STEPS steps at least."""
+        batch = max(1, min(BATCH, len(runs) // LEAST_STEPS))
         for _ in range(PASSES):
-            order = self.rng.permutation(len(windows))
-            for at in range(0, len(order), BATCH):
-                self.fit(windows[order[at : at + BATCH]])
-
-
-#: Where the outputs of each place begin among all pairs of them, the targets' last.
-PLACED = np.arange(CONTEXT + 1)[:, None] * (OUTPUTS + 1)
+            order = self.rng.permutation(len(runs))
+            for at in range(0, len(order), batch):
+                self.fit(runs[order[at : at + batch]])
 
 
 def added(at: np.ndarray, columns: np.ndarray, rows: int) -> np.ndarray:
@@ -261,19 +281,15 @@ def added(at: np.ndarray, columns: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def tiled(outputs: np.ndarray, phase: int) -> np.ndarray:
-    """Windows that tile a text: every token is in one, as target or as context, but for those before the first target and after the last."""
-    padded = np.concatenate([np.full(CONTEXT, OUTPUTS, outputs.dtype), outputs])
-    return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1)[phase % (CONTEXT + 1) :: CONTEXT + 1]
-
-
-def windows_of(outputs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Windows with every token of the texts as target once: texts of `sizes` tokens lie one after the other in `outputs`."""
-    # so many places of no word after a text that its tokens are in no window of the next
-    apart = np.full(len(outputs) + CONTEXT * len(sizes), OUTPUTS, outputs.dtype)
-    apart[np.arange(len(outputs)) + CONTEXT * np.repeat(np.arange(len(sizes)), sizes)] = outputs
-    windows = np.concatenate([tiled(apart, phase) for phase in range(CONTEXT + 1)])
-    return windows[windows[:, -1] < OUTPUTS]
+def windows_of(outputs: np.ndarray, sizes: np.ndarray, run: int = 1) -> np.ndarray:
+    """Rows of CONTEXT outputs and the `run` that follow, with every token of the texts once among the latter: texts of `sizes` tokens lie one after the other in `outputs`."""
+    # so many places of no word before a text that no token of another is before its own
+    lies = np.arange(len(outputs)) + CONTEXT * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    long = len(outputs) + CONTEXT * (len(sizes) + 1)
+    apart = np.full(CONTEXT + -(-(long - CONTEXT) // run) * run, OUTPUTS, outputs.dtype)
+    apart[lies] = outputs
+    windows = np.lib.stride_tricks.sliding_window_view(apart, CONTEXT + run)[::run]
+    return windows[(windows[:, CONTEXT:] < OUTPUTS).any(axis=1)]
 
 
 def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
@@ -289,7 +305,7 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
 
         def train() -> None:
             if held:
-                trainer.passed(windows_of(np.concatenate(held), np.concatenate(sizes)).astype(np.int16))
+                trainer.passed(windows_of(np.concatenate(held), np.concatenate(sizes), RUN))
                 held.clear()
                 sizes.clear()
 
@@ -300,8 +316,8 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
             if sum(map(len, held)) >= CHUNK:
                 train()
         train()
-        if trainer.windows:
-            yield pa.RecordBatch.from_pydict({"n": [trainer.windows], "flat": [trainer.flat.tolist()]}, pa.schema([("n", pa.int64()), ("flat", pa.list_(pa.float32()))]))
+        if trainer.targets:
+            yield pa.RecordBatch.from_pydict({"n": [trainer.targets], "flat": [trainer.flat.tolist()]}, pa.schema([("n", pa.int64()), ("flat", pa.list_(pa.float32()))]))
 
     texts = docs.select(whole_text().cast("binary").alias("text"))
     each = texts.mapInArrow(fit, "n long, flat array<float>").select("n", F.posexplode("flat").alias("at", "value"))
@@ -315,32 +331,42 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
 def log_probabilities(flat: np.ndarray, outputs: np.ndarray, begins: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """log10 of each output given those before it in its text; `begins` marks the texts' first tokens."""
     context, places, vectors, biases = unpacked(flat)
-    scaled = context[None, :, :] * places[:, None, :]
     n, out = len(outputs), np.empty(len(outputs))
     place = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    # a context's vector as scaled by its place, one row for each pair of them, those of no word at the ends
+    scaled = (context * places[:, None, :]).reshape(-1, SIZE)
     before = np.full((CONTEXT, n), OUTPUTS)
     for back in range(1, CONTEXT + 1):
         there = place >= back
         before[CONTEXT - back, there] = outputs[np.flatnonzero(there) - back]
-    held = np.empty((min(n, chunk), OUTPUTS), np.float32)
-    ones, columns = np.ones(OUTPUTS, np.float32), np.ascontiguousarray(vectors.T)
+    before += np.arange(CONTEXT)[:, None] * (OUTPUTS + 1)
+    # with a one beside each sum, so that biases go with the vectors
+    predicted = np.ones((min(n, chunk), SIZE + 1), np.float32)
+    columns = np.ascontiguousarray(np.column_stack([vectors, biases]).T)
+    held, ones, rows = np.empty((min(n, chunk), OUTPUTS), np.float32), np.ones(OUTPUTS, np.float32), np.arange(min(n, chunk))
     for at in range(0, n, chunk):
         part = slice(at, min(at + chunk, n))
-        predicted = scaled[0][before[0, part]]
-        for i in range(1, CONTEXT):
-            predicted += scaled[i][before[i, part]]
-        scores = np.matmul(predicted, columns, out=held[: len(predicted)])
-        scores += biases
-        chosen = scores[np.arange(len(scores)), outputs[part]].astype(float)
+        size = part.stop - at
+        sums = predicted[:size]
+        sums[:, :SIZE] = scaled.take(before[:, part].ravel(), axis=0).reshape(CONTEXT, size, SIZE).sum(axis=0)
+        scores = np.matmul(sums, columns, out=held[:size])
+        chosen = scores[rows[:size], outputs[part]].astype(float)
         total = np.exp(scores, out=scores) @ ones
         if not np.isfinite(total).all():  # scores so high that their exponentials need the highest taken off first
-            scores = predicted @ columns + biases
+            scores = sums @ columns
             top = scores.max(axis=1)
             chosen, total = chosen - top, np.exp(scores - top[:, None]).sum(axis=1)
         out[part] = (chosen - np.log(total)) / np.log(10)
     return out
 
 
+class Places(dict):
+    """Words' places among the commonest, -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 ROWS = "key long, doc_id {kind}, n_tokens long, n_known long, base double, score double, word binary, n long, bucket int"
 
 
@@ -354,7 +380,7 @@ def scored(docs: DataFrame, counts: DataFrame, words: Vocabulary, flat: np.ndarr
         from pyspark import TaskContext
 
         flat, words, hot = said.value
-        place, key = {w: i for i, w in enumerate(hot)}.get, TaskContext.get().partitionId() << 40
+        place, key = Places({w: i for i, w in enumerate(hot)}).__getitem__, TaskContext.get().partitionId() << 40
         count = np.array([words.hot[w] for w in hot], float)
         output = outputs_of(hot, words.outputs)
         base = words.base(count)
@@ -362,9 +388,9 @@ def scored(docs: DataFrame, counts: DataFrame, words: Vocabulary, flat: np.ndarr
         names = [x.split()[0] for x in ROWS.format(kind=kind).split(", ")]
         for batch in text_slices(batches, SLICE):
             texts = [tokens(t) for t in batch.column(1).to_pylist()]
-            said_words, sizes = [w for t in texts for w in t], np.array([len(t) for t in texts])
+            said_words, sizes = list(chain.from_iterable(texts)), np.array([len(t) for t in texts])
             first, n_docs = np.cumsum(sizes) - sizes, len(texts)
-            at = np.array([place(w, -1) for w in said_words], np.int64)
+            at = np.fromiter(map(place, said_words), np.int64, len(said_words))
             have, rare = at >= 0, np.flatnonzero(at < 0)
             rare_words = [said_words[i] for i in rare]
             buckets = buckets_of(rare_words)

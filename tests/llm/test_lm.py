@@ -64,11 +64,31 @@ def test_probabilities_sum_to_one():
     assert abs(apart[2] - lm.log_probabilities(flat, np.array([9]), np.array([True]))[0]) < 1e-6
 
 
-def test_windows_tile():
-    for phase in range(5):
-        windows = lm.tiled(np.arange(23), phase)
-        tokens = [x for w in windows for x in w if x < lm.OUTPUTS]
-        assert len(tokens) == len(set(tokens)) and len(tokens) >= 23 - lm.CONTEXT
+def test_runs_hold_every_token_once_as_target():
+    """Runs of any length have the targets and the contexts of single windows; what is no token is no target."""
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 50, 40)
+    outputs = rng.integers(0, lm.OUTPUTS, sizes.sum())
+    single = sorted(map(tuple, lm.windows_of(outputs, sizes).tolist()))
+    for run in (2, 7, lm.RUN):
+        rows = lm.windows_of(outputs, sizes, run)
+        cut = [tuple(r[i : i + lm.CONTEXT + 1]) for r in rows.tolist() for i in range(run) if r[i + lm.CONTEXT] < lm.OUTPUTS]
+        assert sorted(cut) == single and len(cut) == sizes.sum()
+
+
+def test_runs_give_the_gradient_of_their_windows():
+    rng = np.random.default_rng(4)
+    frequency = np.full(lm.OUTPUTS, 1 / lm.OUTPUTS)
+    start = lm.initial(frequency) + rng.normal(0, 0.3, len(lm.initial(frequency))).astype(np.float32)
+    sizes = rng.integers(1, 60, 30)
+    outputs = rng.integers(0, lm.OUTPUTS, sizes.sum())
+    ends = []
+    for run in (1, 5, lm.RUN):
+        trainer = lm.Trainer(start, frequency, 1)
+        trainer.fit(lm.windows_of(outputs, sizes, run))
+        assert trainer.targets == sizes.sum()
+        ends.append(trainer.flat)
+    assert np.allclose(ends[0], ends[1], atol=1e-4) and np.allclose(ends[0], ends[2], atol=1e-4)
 
 
 def test_every_token_is_a_target():
