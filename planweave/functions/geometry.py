@@ -1,4 +1,8 @@
-"""Planar geometry on arrays of points: a ring is array<struct<x,y>>, a polygon an array of rings (the first outside, the others holes)."""
+"""Planar geometry on arrays of points: a ring is array<struct<x,y>>, a polygon an array of rings.
+
+A ring inside an odd number of the others is a hole, whichever way it turns; the others
+are outside, so a polygon may have any number of parts, and islands in its lakes.
+"""
 
 from __future__ import annotations
 
@@ -32,25 +36,50 @@ def ring_area(ring: Column) -> Column:
     return F.aggregate(segments(ring), F.lit(0.0), lambda t, s: t + _cross(s)) / 2
 
 
-def area(polygon: Column) -> Column:
-    """Shoelace area: the outer ring's less the holes'."""
-    sizes = F.transform(polygon, lambda r: F.abs(ring_area(r)))
-    return 2 * F.coalesce(F.get(sizes, 0), F.lit(0.0)) - F.aggregate(sizes, F.lit(0.0), lambda t, a: t + a)
+def _signs(polygon: Column) -> Column:
+    """1 for outer rings, -1 for holes: by how many other rings hold a corner, or the middle of a side, of a ring."""
 
+    def places(ring: Column) -> Column:
+        middles = F.transform(segments(ring), lambda s: F.struct(((s["a"]["x"] + s["b"]["x"]) / 2).alias("x"), ((s["a"]["y"] + s["b"]["y"]) / 2).alias("y")))
+        return F.concat(ring, middles)
 
-def perimeter(polygon: Column) -> Column:
-    return F.aggregate(F.flatten(F.transform(polygon, segments)), F.lit(0.0), lambda t, s: t + _length(s))
+    def around(ring: Column) -> Column:
+        return F.size(F.filter(polygon, lambda other: (other != ring) & F.exists(places(ring), lambda p: within(p["x"], p["y"], F.array(other)))))
 
+    signs = F.transform(polygon, lambda ring: F.when(around(ring) % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0)))
+    return F.when(F.size(polygon) <= 1, F.transform(polygon, lambda _: F.lit(1.0))).otherwise(signs)
 
-def centroid(polygon: Column) -> Column:
-    """Area-weighted centre of the outer ring."""
+
+def _moments(ring: Column) -> Column:
+    """Area and its moments about the axes, without a sign."""
     sums = F.aggregate(
-        segments(F.get(polygon, 0)),
+        segments(ring),
         F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
         lambda t, s: F.struct((t["a"] + _cross(s)).alias("a"), (t["x"] + (s["a"]["x"] + s["b"]["x"]) * _cross(s)).alias("x"), (t["y"] + (s["a"]["y"] + s["b"]["y"]) * _cross(s)).alias("y")),
-        lambda t: F.struct(F.try_divide(t["x"], 3 * t["a"]).alias("x"), F.try_divide(t["y"], 3 * t["a"]).alias("y")),
+        lambda t: F.struct((t["a"] / 2).alias("a"), (t["x"] / 6).alias("x"), (t["y"] / 6).alias("y")),
     )
-    return sums
+    turned = lambda m: F.struct(*((m[c] * F.when(m["a"] < 0, -1.0).otherwise(1.0)).alias(c) for c in ("a", "x", "y")))
+    return F.transform(F.array(sums), turned)[0]
+
+
+def _total(polygon: Column, of: str) -> Column:
+    return F.aggregate(F.zip_with(F.transform(polygon, _moments), _signs(polygon), lambda m, s: m[of] * s), F.lit(0.0), lambda t, x: t + x)
+
+
+def area(polygon: Column) -> Column:
+    """Shoelace area: all outer rings' less the holes'."""
+    sizes = F.zip_with(polygon, _signs(polygon), lambda r, s: F.abs(ring_area(r)) * s)
+    return F.aggregate(sizes, F.lit(0.0), lambda t, a: t + a)
+
+
+def perimeter(polygon: Column) -> Column:
+    return F.aggregate(F.flatten(F.transform(polygon, segments)), F.lit(0.0), lambda t, s: t + _length(s))
+
+
+def centroid(polygon: Column) -> Column:
+    """Centre of the area of all parts, holes left out; null without an area."""
+    whole = _total(polygon, "a")
+    return F.struct(F.try_divide(_total(polygon, "x"), whole).alias("x"), F.try_divide(_total(polygon, "y"), whole).alias("y"))
 
 
 def within(x: Column, y: Column, polygon: Column) -> Column:
@@ -69,6 +98,16 @@ def within(x: Column, y: Column, polygon: Column) -> Column:
     return ~F.exists(rings, on) & (F.size(F.filter(rings, crosses)) % 2 == 1)
 
 
+def well_known_text(polygon: Column) -> Column:
+    """MULTIPOLYGON text, rings closed; a hole goes with the outer ring before it, as map files have them. Null stays null."""
+    point = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
+    closed = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(closed(r), point), ", "), F.lit(")"))
+    parts = F.zip_with(polygon, _signs(polygon), lambda r, s: F.concat(F.when(s > 0, ")|(").otherwise(", "), ring(r)))
+    joined = F.array_join(parts, "")
+    return F.when(F.size(polygon) > 0, F.concat(F.lit("MULTIPOLYGON ("), F.replace(F.substring(joined, F.lit(3), F.length(joined)), F.lit("|"), F.lit(", ")), F.lit("))")))
+
+
 def bounds(polygon: Column) -> Column:
     points = F.flatten(polygon)
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

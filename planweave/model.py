@@ -4,6 +4,7 @@ Fixed values: thresholds, weights and the seats of the 118th Congress.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PP_MIN, POP_DEV_MAX = 0.05, 0.005
 PENINSULA_RATIO = 0.05
@@ -78,5 +79,13 @@ def state_rows() -> list[tuple[str, str, str, int, str]]:
     return found
 
 
+def seats_checked(states: DataFrame, seats: int = 435) -> DataFrame:
+    """`states` (k), or an error where the seats don't add up."""
+    found = states.agg(F.sum("k")).first()[0]
+    if found != seats:
+        raise ValueError(f"the states have {found} seats, not {seats}")
+    return states
+
+
 def states(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(state_rows(), "fips string, abbr string, name string, k int, crs string")

@@ -58,10 +58,15 @@ def enacted_districts(rows: DataFrame, code: str = "cd") -> DataFrame:
     return rows.filter((F.col(code) != "ZZ") & number.isNotNull()).withColumn("district", number - 1)
 
 
-def seat_deviation(blind: DataFrame, enacted: DataFrame) -> DataFrame:
-    """state, blind and enacted D seats and their difference, over the states in both."""
-    both = blind.select("state", F.col("d_seats").alias("blind_d")).join(enacted.select("state", F.col("d_seats").alias("enacted_d")), "state")
-    return both.withColumn("deviation", F.col("blind_d") - F.col("enacted_d"))
+def seat_deviation(proposed: DataFrame, enacted: DataFrame) -> DataFrame:
+    """state, proposed and enacted D seats and their difference, over the states in both."""
+    both = proposed.select("state", F.col("d_seats").alias("proposed_d")).join(enacted.select("state", F.col("d_seats").alias("enacted_d")), "state")
+    return both.withColumn("deviation", F.col("proposed_d") - F.col("enacted_d"))
+
+
+def counts_or_zero(places: DataFrame, counts: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """All places with their counts, 0 where there are none."""
+    return places.join(counts.select(key, *columns), key, "left").na.fill(0, columns)
 
 
 def competitive_counts(districts: DataFrame, limits: tuple[int, ...]) -> DataFrame:

@@ -146,7 +146,7 @@ def graph_of(units: pd.DataFrame, edges: pd.DataFrame, beta: float) -> Graph:
     return Graph(nodes, units["pop"].to_numpy(), ends, edges.sort_values(["u", "v"])["weight"].to_numpy(float), beta)
 
 
-RECORDED = "state string, chain int, step int, accepted boolean, plan array<tinyint>, after string"
+RECORDED = "state string, chain int, step int, accepted boolean, plan array<smallint>, after string"
 
 
 def _advance(graph: Graph, k: int, steps: int, seed: int, chain: int, before: dict | None, tolerance: float, burn_in: int) -> Iterator[tuple[int, bool, np.ndarray, str | None]]:
@@ -164,7 +164,7 @@ def _advance(graph: Graph, k: int, steps: int, seed: int, chain: int, before: di
     for i in range(done, done + steps):
         accepted = graph.step(plan, ideal, rng, tolerance)
         last = json.dumps({"done": i + 1, "plan": plan.tolist(), "rng": rng.bit_generator.state}) if i == done + steps - 1 else None
-        yield i, accepted, plan.astype(np.int8), last
+        yield i, accepted, plan.astype(np.int16), last
 
 
 def run_chains(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: int, seed: int = model.SEED, tolerance: float = model.POP_TOL, burn_in: int = model.BURN_IN, beta: float | None = None, before: DataFrame | None = None) -> DataFrame:
@@ -173,20 +173,64 @@ def run_chains(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: i
     A rejected step records the plan again. units: state, node_id, pop; edges: state,
     u, v, weight. `before` has state, chain and after of the chains to resume.
     """
-    beta = (model.BETA_FEW if k <= 2 else model.BETA_MANY) if beta is None else beta
+    beta = beta_of(k, beta)
     starts = units.select("state").distinct().select("state", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
     starts = starts.join(before.select("state", "chain", "after"), ["state", "chain"], "left") if before is not None else starts.withColumn("after", F.lit(None).cast("string"))
-    nodes = starts.join(units, "state").select("state", "chain", "after", F.lit(0).alias("kind"), F.col("node_id").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("pop").cast("double").alias("x"))
-    links = starts.join(edges, "state").select("state", "chain", "after", F.lit(1).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("weight").cast("double").alias("x"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        of = rows[rows["kind"] == 0].rename(columns={"a": "node_id", "x": "pop"})
-        graph = graph_of(of, rows[rows["kind"] == 1].rename(columns={"a": "u", "b": "v", "x": "weight"}), beta)
-        state = rows["after"].iloc[0]
-        found = [(key[0], key[1], i, ok, plan, last) for i, ok, plan, last in _advance(graph, k, steps, seed, int(key[1]), json.loads(state) if state else None, tolerance, burn_in)]
+    def run(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        after = state["after"].iloc[0] if len(state) else None
+        found = [(key[0], key[1], i, ok, plan, last) for i, ok, plan, last in _advance(graph_in(rows, beta), k, steps, seed, int(key[1]), json.loads(after) if after else None, tolerance, burn_in)]
         return pd.DataFrame(found, columns=["state", "chain", "step", "accepted", "plan", "after"])
 
-    return nodes.union(links).groupBy("state", "chain").applyInPandas(run, RECORDED)
+    # what resumes a chain goes beside its graph, once
+    beside = starts.select("state", "chain", "after").toDF("of_state", "of_chain", "after")
+    return graph_rows(units, edges, starts).groupBy("state", "chain").cogroup(beside.groupBy("of_state", "of_chain")).applyInPandas(run, RECORDED)
+
+
+def beta_of(k: int, beta: float | None) -> float:
+    return (model.BETA_FEW if k <= 2 else model.BETA_MANY) if beta is None else beta
+
+
+def graph_rows(units: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Units and edges as rows of one kind, once for every chain."""
+    each = starts.select("state", "chain")
+    nodes = each.join(units, "state").select("state", "chain", F.lit(0).alias("kind"), F.col("node_id").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("pop").cast("double").alias("x"))
+    links = each.join(edges, "state").select("state", "chain", F.lit(1).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("weight").cast("double").alias("x"))
+    return nodes.union(links)
+
+
+def graph_in(rows: pd.DataFrame, beta: float) -> Graph:
+    return graph_of(rows[rows["kind"] == 0].rename(columns={"a": "node_id", "x": "pop"}), rows[rows["kind"] == 1].rename(columns={"a": "u", "b": "v", "x": "weight"}), beta)
+
+
+def spanning_trees(units: DataFrame, edges: DataFrame, trees: int, seed: int = model.SEED, beta: float = model.BETA_FEW) -> DataFrame:
+    """state, chain, node_id, parent: random spanning trees of every state's graph, each rooted at its lowest node (parent null)."""
+    starts = units.select("state").distinct().select("state", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("chain"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        graph = graph_in(rows, beta)
+        parent, order = graph.spanning_tree(np.ones(len(graph.nodes), bool), np.random.default_rng([seed, int(key[1])]))
+        if len(order) < len(graph.nodes):
+            raise ValueError(f"the graph of {key[0]} isn't connected")
+        above = pd.array([None if p < 0 else int(graph.nodes[p]) for p in parent], "Int64")
+        return pd.DataFrame({"state": key[0], "chain": key[1], "node_id": graph.nodes, "parent": above})
+
+    return graph_rows(units, edges, starts).groupBy("state", "chain").applyInPandas(run, "state string, chain int, node_id long, parent long")
+
+
+def repaired(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int, seed: int = model.SEED, tolerance: float = model.POP_TOL, beta: float | None = None, most: int = 20_000) -> DataFrame:
+    """state, node_id, district, deviation: plans (state, node_id, district) recut until all districts are within the tolerance, or `most` cuts are made; deviation is the largest left."""
+    starts = units.select("state").distinct().withColumn("chain", F.lit(0))
+    power = beta_of(k, beta)
+
+    def run(key: tuple, rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        graph = graph_in(rows, power)
+        now = plan.sort_values("node_id")["district"].to_numpy(np.int64)
+        left = graph.repair(now, k, np.random.default_rng(seed), tolerance, most)
+        return pd.DataFrame({"state": key[0], "node_id": graph.nodes, "district": now, "deviation": left})
+
+    own = plans.select("state", "node_id", "district").toDF("of_state", "node_id", "district")
+    return graph_rows(units, edges, starts).groupBy("state").cogroup(own.groupBy("of_state")).applyInPandas(run, "state string, node_id long, district long, deviation double")
 
 
 def run_long(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: int, chunk: int = model.CHUNK, **how) -> DataFrame:

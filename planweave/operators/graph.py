@@ -69,8 +69,29 @@ def polygon_segments(polygons: DataFrame, key: str, digits: int = 3) -> DataFram
     return rows.select(key, low.alias("p"), high.alias("q")).withColumn("len_m", F.hypot(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")))
 
 
+def split_segments(segments: DataFrame, key: str, size: float, tolerance: float = 1e-3) -> DataFrame:
+    """Segments (`key`, p, q) cut at all corners that lie on them, of whichever polygon: borders whose two sides have other corners become equal rows.
+
+    Segments and corners meet by an equi-join on grid cells of `size`, so no pair of distant ones is looked at.
+    """
+    corners = segments.select(F.explode(F.array("p", "q")).alias("v")).distinct().select("v", F.floor(F.col("v.x") / size).alias("cx"), F.floor(F.col("v.y") / size).alias("cy"))
+    cells = lambda c: F.explode(F.sequence(F.floor((F.least(f"p.{c}", f"q.{c}") - tolerance) / size), F.floor((F.greatest(f"p.{c}", f"q.{c}") + tolerance) / size)))
+    tiled = segments.select(key, "p", "q").distinct().withColumn("cx", cells("x")).withColumn("cy", cells("y"))
+    dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
+    along = ((F.col("v.x") - F.col("p.x")) * dx + (F.col("v.y") - F.col("p.y")) * dy) / (dx * dx + dy * dy)
+    off = F.abs((F.col("v.x") - F.col("p.x")) * dy - (F.col("v.y") - F.col("p.y")) * dx) / F.hypot(dx, dy)
+    on = (F.col("v") != F.col("p")) & (F.col("v") != F.col("q")) & (off <= tolerance)
+    met = tiled.join(corners, ["cx", "cy"]).withColumn("along", along).filter(on & (F.col("along") > 0) & (F.col("along") < 1))
+    cuts = met.groupBy(key, "p", "q").agg(F.array_sort(F.collect_set(F.struct("along", "v"))).alias("cuts"))
+    ends = F.concat(F.array("p"), F.coalesce(F.transform("cuts", lambda c: c["v"]), F.array().cast("array<struct<x:double,y:double>>")), F.array("q"))
+    whole = segments.join(cuts, [key, "p", "q"], "left").withColumn("ends", ends)
+    parts = whole.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("ends") - 2), lambda i: F.struct(F.get("ends", i).alias("a"), F.get("ends", i + 1).alias("b")))).alias("s"))
+    low, high = F.least("s.a", "s.b"), F.greatest("s.a", "s.b")
+    return parts.select(key, low.alias("p"), high.alias("q")).withColumn("len_m", F.hypot(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")))
+
+
 def adjacency(segments: DataFrame, key: str, ends: list[str], least: float = model.MIN_BORDER_M) -> DataFrame:
-    """u, v, border_len_m of the owners of common segments (columns `ends` and len_m), by an equi-join."""
+    """u, v, border_len_m of the owners of common segments (columns `ends` and len_m), by an equi-join; where corners aren't shared, of `split_segments`."""
     a = segments.select(F.col(key).alias("u"), *ends, "len_m")
     b = segments.select(F.col(key).alias("v"), *ends)
     return a.join(b, ends).filter("u < v").groupBy("u", "v").agg(F.sum("len_m").alias("border_len_m")).filter(F.col("border_len_m") >= least)
@@ -82,17 +103,33 @@ def dissolved_boundary(segments: DataFrame, owners: DataFrame, key: str, group:
     return once.groupBy(*group).agg(F.sum("len_m").alias("perimeter_m"))
 
 
-def subtree_sums(tree: DataFrame, depth: int) -> DataFrame:
-    """node, subtree_pop from (node, parent, pop): each node's population travels up its ancestors by pointer doubling.
+def subtree_sums(tree: DataFrame) -> DataFrame:
+    """node, subtree_pop from (node, parent, pop); a node without parent is a root, and there may be many.
 
-    `depth` bounds the tree's height; the joins needed are its logarithm.
+    The walk around the tree, down each branch and up again, is a list of two steps a
+    node; sums from every step to the end come by doubling what is looked ahead, so the
+    rounds are the logarithm of the nodes whatever the height, and each is of as many rows.
     """
-    up = tree.select("node", F.col("parent").alias("up"))
-    paths = tree.select("node", F.col("node").alias("ancestor"), "pop")
-    hops = 1
-    while hops <= depth:
-        further = paths.join(up.select(F.col("node").alias("ancestor"), "up"), "ancestor").filter("up is not null").select("node", F.col("up").alias("ancestor"), "pop")
-        paths = paths.union(further)
-        up = up.alias("a").join(up.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up")
-        hops *= 2
-    return paths.groupBy(F.col("ancestor").alias("node")).agg(F.sum("pop").alias("subtree_pop"))
+    down, up = F.col("node") * 2, F.col("node") * 2 + 1
+    family = Window.partitionBy("parent").orderBy("node")
+    below = tree.filter("parent is not null")
+    first = below.groupBy(F.col("parent").alias("node")).agg((F.min("node") * 2).alias("first"))
+    step = below.withColumn("sibling", F.lead("node").over(family)).join(first, "node", "left")
+    above = tree.select(F.col("node").alias("parent"), F.col("parent").isNull().alias("of_root"))
+    step = step.join(above, "parent")
+    after_up = F.coalesce(F.col("sibling") * 2, F.when(~F.col("of_root"), F.col("parent") * 2 + 1))
+    now = step.select(down.alias("at"), F.coalesce("first", up).alias("next"), F.col("pop").alias("total"))
+    now = stored(now.union(step.select(up, after_up, F.lit(0).cast(tree.schema["pop"].dataType))), "walk")
+    while not now.filter("next is not null").isEmpty():
+        ahead = now.select(F.col("at").alias("next"), F.col("next").alias("beyond"), F.col("total").alias("more"))
+        further = now.join(ahead, "next", "left").select("at", F.col("beyond").alias("next"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
+        after = stored(further.select("at", "next", F.col("total").cast(now.schema["total"].dataType).alias("total")), "walk")
+        discard(now)
+        now = after
+    ends = now.select(F.shiftright("at", 1).alias("node"), F.when(F.col("at") % 2 == 0, F.col("total")).otherwise(-F.col("total")).alias("total"))
+    inner = ends.groupBy("node").agg(F.sum("total").alias("subtree_pop"))
+    # of a root, its own and its children's
+    roots = tree.filter("parent is null").select("node", "pop")
+    tops = below.select("node", "parent").join(inner, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("subtree_pop").alias("held"))
+    outer = roots.join(tops, "node", "left").select("node", (F.col("pop") + F.coalesce("held", F.lit(0))).alias("subtree_pop"))
+    return inner.unionByName(outer)

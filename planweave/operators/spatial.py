@@ -29,6 +29,12 @@ def first_match(joined: DataFrame, key: str, order: str) -> DataFrame:
     return joined.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last()))).filter("_n = 1").drop("_n")
 
 
+def centres_within(areas: DataFrame, regions: DataFrame, key: str, region: str, size: float) -> DataFrame:
+    """`key` of every area (geom) and the first `region` (geom) that its centre is strictly inside of; null outside all."""
+    centre = areas.select(key, geometry.centroid(F.col("geom")).alias("c")).select(key, F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    return first_match(points_in_polygons(centre, regions, region, size, "left"), key, region).select(key, region)
+
+
 def near_lines(segments: DataFrame, lines: DataFrame, keys: list[str], radius: float, size: float) -> DataFrame:
     """`keys` of the segments (x0, y0, x1, y1) that come within `radius` of any line segment.
 

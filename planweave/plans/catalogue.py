@@ -232,6 +232,36 @@ def dissolve_perimeter(s):
     return graph.dissolved_boundary(s.segments, s.plans, "node_id", ["step", "district"], ["o", "a", "b"])
 
 
+BRICK = {"brick": "select c_custkey id, 100.0::double * (c_custkey % 40) + 50 * ((c_custkey // 40) % 2) x, 100.0::double * (c_custkey // 40) y, c_custkey // 40 r from customer"}
+
+
+def bricks(s: Surrogate) -> DataFrame:
+    """Squares of 100 m in rows that are set off by half: the sides of neighbours above each other share no corner."""
+    i = F.col("c_custkey")
+    row = F.expr("c_custkey div 40")
+    x, y = 100.0 * (i % 40) + 50 * (row % 2), (100.0 * row).cast("double")
+    ring = F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (100, 0), (100, 100), (0, 100))))
+    return s.table("customer").select(i.alias("id"), F.array(ring).alias("geom"))
+
+
+@query("""select a.id u, b.id v, 100.0::double border_len_m from brick a join brick b on b.r = a.r and b.x = a.x + 100 union all
+ select a.id, b.id, least(a.x, b.x) + 100 - greatest(a.x, b.x) from brick a join brick b on b.r = a.r + 1 where least(a.x, b.x) + 100 - greatest(a.x, b.x) >= 50""", BRICK)
+def adjacency_of_bricks(s):
+    """Neighbours whose borders have a corner on one side only."""
+    return graph.adjacency(graph.split_segments(graph.polygon_segments(bricks(s), "id"), "id", 200.0), "id", ["p", "q"])
+
+
+@query("""select r // 3 g, 2.0::double * (sum(wide) + sum(high)) - 2 * sum(inside) perimeter_m from (
+  select r, id, 100.0::double wide, 100.0::double high,
+   coalesce((select sum(100.0::double) from brick b where b.r = a.r and b.x = a.x + 100), 0)
+   + coalesce((select sum(greatest(0, least(a.x, b.x) + 100 - greatest(a.x, b.x))) from brick b where b.r = a.r + 1 and b.r // 3 = a.r // 3), 0) inside from brick a) group by 1""", BRICK)
+def dissolve_bricks(s):
+    """Perimeters of every three rows of bricks together."""
+    owners = s.table("customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 40 div 3").alias("g"))
+    cut = graph.split_segments(graph.polygon_segments(bricks(s), "id"), "id", 200.0)
+    return graph.dissolved_boundary(cut, owners, "id", ["g"], ["p", "q"])
+
+
 @query("""select node, cast(sum(pop) as bigint) subtree_pop from (
   select node_id node, pop from units union all select (node_id - 1) // 3, pop from units where node_id > 0 union all
   select ((node_id - 1) // 3 - 1) // 3, pop from units where node_id > 3 union all select (((node_id - 1) // 3 - 1) // 3 - 1) // 3, pop from units where node_id > 12 union all
@@ -242,7 +272,7 @@ def dissolve_perimeter(s):
   select (((((((((node_id - 1) // 3 - 1) // 3 - 1) // 3 - 1) // 3 - 1) // 3 - 1) // 3 - 1) // 3 - 1) // 3 - 1) // 3, pop from units where node_id > 9840) group by node""")
 def tree_cut(s):
     tree = s.units.select(F.col("node_id").alias("node"), F.when(F.col("node_id") > 0, F.expr("(node_id - 1) div 3")).alias("parent"), "pop")
-    return graph.subtree_sums(tree, 16)
+    return graph.subtree_sums(tree)
 
 
 # ---- spatial
@@ -285,6 +315,46 @@ def polygon_measures(s):
     return boxes(s).select("region_id", F.round(geometry.area(g), 3).alias("area_m2"), F.round(geometry.perimeter(g), 3).alias("perimeter_m"), F.round(c["x"], 3).alias("cx"), F.round(c["y"], 3).alias("cy"), F.round(scalar.polsby_popper(geometry.area(g), geometry.perimeter(g)), 6).alias("pp"))
 
 
+@query("""select region_id, round(a, 3) area_m2, round(p, 3) perimeter_m, round((w*h*(x0+x1)/2 - hole*10000*(x0+1050) + part*250000*(x1+10250))/a, 3) cx, round((w*h*(y0+y1)/2 - hole*10000*(y0+2050) + part*250000*(y0+250))/a, 3) cy
+ from (select *, x1-x0 w, y1-y0 h, (x1-x0)*(y1-y0) - hole*10000 + part*250000 a, 2*((x1-x0)+(y1-y0)) + hole*400 + part*2000 p from (select *, case when region_id % 2 = 0 then 1 else 0 end hole, case when region_id % 3 = 0 then 1 else 0 end part from box))""", BLOCK)
+def multipart_measures(s):
+    """Polygons of which some have a hole, some an island, some both."""
+    box = geometry.bounds(F.col("geom"))
+    ring = lambda x, y, side: F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (side, 0), (side, side), (0, side))))
+    rows = boxes(s).withColumn("b", box)
+    hole = F.when(F.col("region_id") % 2 == 0, F.array(ring(F.col("b.x0") + 1000, F.col("b.y0") + 2000, 100.0))).otherwise(F.array().cast(geometry.POLYGON))
+    part = F.when(F.col("region_id") % 3 == 0, F.array(ring(F.col("b.x1") + 10000, F.col("b.y0") + 0, 500.0))).otherwise(F.array().cast(geometry.POLYGON))
+    g = F.col("geom")
+    c = geometry.centroid(g)
+    rows = rows.select("region_id", F.concat(part, "geom", hole).alias("geom"))
+    return rows.select("region_id", F.round(geometry.area(g), 3).alias("area_m2"), F.round(geometry.perimeter(g), 3).alias("perimeter_m"), F.round(c["x"], 3).alias("cx"), F.round(c["y"], 3).alias("cy"))
+
+
+PLACED = BLOCK | {
+    "spot": "select id, x + 50 x, y + 50 y from brick",
+    "held": "select id, region_id from (select spot.id, box.region_id, row_number() over (partition by spot.id order by box.region_id) n from spot left join box on spot.x > box.x0 and spot.x < box.x1 and spot.y > box.y0 and spot.y < box.y1) where n = 1",
+}
+
+
+def spots(s: Surrogate) -> DataFrame:
+    """Bricks with the region that their centre is in, the first where regions overlap, null outside all."""
+    return spatial.centres_within(bricks(s), boxes(s), "id", "region_id", 2000.0)
+
+
+@query("select region_id, round(coalesce(sum(d)/nullif(sum(d+r), 0), 0.5), 4) share, count(*) n from held left join votes on votes.node_id = held.id where region_id is not null group by 1", BRICK | PLACED)
+def votes_by_place(s):
+    """Two-party shares of the precincts whose centres are in a region."""
+    rows = spots(s).filter("region_id is not null").join(s.votes.withColumnRenamed("node_id", "id"), "id", "left")
+    return rows.groupBy("region_id").agg(F.round(scalar.ratio(F.sum("d"), F.sum(F.col("d") + F.col("r")), 0.5), 4).alias("share"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select held.id, region_id, coalesce(n, 0) n from held left join (select o_custkey id, count(*) n from orders group by 1) c on c.id = held.id", BRICK | PLACED)
+def tracts_by_place(s):
+    """Every tract with its region and its counts, 0 where it has none."""
+    counts = s.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return audit.counts_or_zero(spots(s), counts, "id", ["n"])
+
+
 @query("""select distinct u, v from (select u, v, case when b.gx = a.gx + 1 then b.gx * 1000.0 else a.gx * 1000.0 end x0, case when b.gx = a.gx + 1 then b.gx * 1000.0 else a.gx * 1000.0 + 1000 end x1,
    case when b.gx = a.gx + 1 then a.gy * 1000.0 else b.gy * 1000.0 end y0, case when b.gx = a.gx + 1 then a.gy * 1000.0 + 1000 else b.gy * 1000.0 end y1
    from edge e join g a on a.node_id = e.u join g b on b.node_id = e.v) e, (select 3040.0 + 7000 * i x0, 500.0 + 900 * i y0, 3040.0 + 7000 * i x1, 20500.0 y1 from (select unnest(generate_series(0, 4)) i)) l
@@ -356,7 +426,7 @@ def enacted_filter(s):
     return audit.enacted_districts(s.table("customer").select(i.alias("id"), cd.alias("cd"))).select("id", "district")
 
 
-@query("""select b.state, b.n blind_d, e.n enacted_d, b.n - e.n deviation from (select state, count(*) filter (lean = 'D') n from lab group by state) b
+@query("""select b.state, b.n proposed_d, e.n enacted_d, b.n - e.n deviation from (select state, count(*) filter (lean = 'D') n from lab group by state) b
  join (select state, count(*) filter (share >= 0.5) n from (select v.state, p.district, coalesce(sum(d)/nullif(sum(d+r), 0), 0.5) share from votes v join plan p using (node_id) where p.step = 7 and v.state <> 's3' group by all) group by state) e using (state)""", EST)
 def seat_deviation(s):
     seats = lambda d: d.groupBy("state").agg(F.count_if(F.col("share") >= 0.5).alias("d_seats"))
@@ -380,15 +450,16 @@ def highlight_marks(s):
 
 GROUPS = ["hispanic", "nh_white", "nh_black", "nh_aian", "nh_asian", "nh_nhpi", "nh_other"]
 RACE = {
-    "race": "select l_orderkey % 1500 node_id, " + ", ".join(f"sum(case when l_linenumber = {i + 1} then l_quantity else 0 end) {g}" for i, g in enumerate(GROUPS)) + " from lineitem group by 1",
-    "rsum": "select step, district, " + ", ".join(f"cast(sum({g}) as double) {g}" for g in GROUPS) + " from race join plan using (node_id) where step < 10 group by all",
+    "race": "select 1 + l_orderkey % (select count(*) from customer) node_id, " + ", ".join(f"sum(case when l_linenumber = {i + 1} then l_quantity else 0 end) {g}" for i, g in enumerate(GROUPS)) + " from lineitem group by 1",
+    "rsum": "select step, district, " + ", ".join(f"cast(sum({g}) as double) {g}" for g in GROUPS) + " from race join plan using (node_id) group by all",
     "div": "select step, district, round(case when t > 0 then 1 - (" + " + ".join(f"({g}/t)*({g}/t)" for g in GROUPS) + ") else 0 end, 6) diversity from (select *, " + "+".join(GROUPS) + " t from rsum)",
 }
 
 
 def diversity_table(s: Surrogate) -> DataFrame:
-    counts = s.table("lineitem").groupBy((F.col("l_orderkey") % 1500).alias("node_id")).agg(*(F.sum(F.when(F.col("l_linenumber") == i + 1, F.col("l_quantity")).otherwise(0.0)).alias(g) for i, g in enumerate(GROUPS)))
-    return audit.diversity(counts.join(s.plans.filter("step < 10"), "node_id"), ["step", "district"], GROUPS)
+    units = F.broadcast(s.table("customer").agg(F.count(F.lit(1)).alias("units")))
+    counts = s.table("lineitem").crossJoin(units).groupBy((1 + F.col("l_orderkey") % F.col("units")).alias("node_id")).agg(*(F.sum(F.when(F.col("l_linenumber") == i + 1, F.col("l_quantity")).otherwise(0.0)).alias(g) for i, g in enumerate(GROUPS)))
+    return audit.diversity(counts.join(s.plans, "node_id"), ["step", "district"], GROUPS)
 
 
 @query("select * from div", RACE)
@@ -540,10 +611,12 @@ def manifest_status(s):
     return audit.manifest_status(s.table("customer").select(F.col("c_nationkey").alias("fips"), ok.alias("ok")))
 
 
-@query("select step, node_id, district from plan where node_id < 100")
+@query("select step, node_id, district from plan")
 def wide_to_long_plans(s):
-    wide = s.plans.filter("node_id < 100").groupBy("step").pivot("node_id", list(range(100))).agg(F.first("district").cast("tinyint"))
-    return tables.wide_to_long(wide.withColumnsRenamed({str(i): f"n{i}" for i in range(100)}))
+    """Wide rows of 100 columns, so many to a step as the nodes need."""
+    cells = s.plans.select("step", F.expr("node_id div 100").alias("block"), (F.col("node_id") % 100).alias("slot"), "district")
+    wide = cells.groupBy("step", "block").pivot("slot", list(range(100))).agg(F.first("district").cast("smallint"))
+    return tables.wide_to_long(wide.withColumnsRenamed({str(i): f"n{i}" for i in range(100)}), block="block", width=100)
 
 
 @query("select state, cast(district as int) district, share, lean, margin, label from lab", EST)
@@ -552,26 +625,26 @@ def lean_json_flatten(s):
     return tables.flatten_lean(d.select(F.to_json(F.create_map("state", F.struct("districts"))).alias("value")))
 
 
-SETS = {"blind": "select concat('s', cast(n_nationkey as varchar)) state from nation where n_nationkey % 2 = 0", "enacted": "select concat('s', cast(n_nationkey as varchar)) state from nation where n_nationkey % 3 = 0"}
+SETS = {"proposed": "select concat('s', cast(n_nationkey as varchar)) state from nation where n_nationkey % 2 = 0", "enacted": "select concat('s', cast(n_nationkey as varchar)) state from nation where n_nationkey % 3 = 0"}
 
 
 def sets(s: Surrogate) -> list[DataFrame]:
     return [s.table("nation").filter(F.col("n_nationkey") % m == 0).select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("state")) for m in (2, 3)]
 
 
-@query("select state from blind union select state from enacted", SETS)
+@query("select state from proposed union select state from enacted", SETS)
 def set_union_states(s):
     a, b = sets(s)
     return a.union(b).distinct()
 
 
-@query("select state from blind intersect select state from enacted", SETS)
+@query("select state from proposed intersect select state from enacted", SETS)
 def set_intersect_states(s):
     a, b = sets(s)
     return a.intersect(b)
 
 
-@query("select state from blind except select state from enacted", SETS)
+@query("select state from proposed except select state from enacted", SETS)
 def set_except_states(s):
     a, b = sets(s)
     return a.exceptAll(b)
@@ -586,29 +659,30 @@ def code_cleaning(s):
 # ---- chains, files and streams: tested by their properties
 
 
-def small_state(s: Surrogate) -> tuple[DataFrame, DataFrame]:
-    """Two states over the first 120 units, weighted: the feature is the chain, whose length is a parameter."""
-    two = s.spark.createDataFrame([("A",), ("B",)], "state string")
-    units = s.units.filter("node_id < 120").select("node_id", (1000 + F.col("gx") * 3).alias("pop"))
-    edges = weighted_edges(s).filter("u < 120 and v < 120").select("u", "v", "weight")
-    return two.crossJoin(units), two.crossJoin(edges)
+def halves(s: Surrogate) -> tuple[DataFrame, DataFrame]:
+    """All units in two connected states, by column, and the weighted edges inside each."""
+    state = lambda gx: F.when(gx < 20, "A").otherwise("B")
+    units = s.units.select(state(F.col("gx")).alias("state"), "node_id", (1000 + F.col("gx") * 3).alias("pop"), "gx")
+    of = lambda end: units.select(F.col("node_id").alias(end), F.col("state").alias(f"{end}_state"))
+    edges = weighted_edges(s).join(of("u"), "u").join(of("v"), "v").filter("u_state = v_state")
+    return units, edges.select(F.col("u_state").alias("state"), "u", "v", "weight")
 
 
 @query()
 def recom_chain(s):
-    units, edges = small_state(s)
+    units, edges = halves(s)
     return chains.run_chains(units, edges, 4, 2, 30, beta=0.5, tolerance=0.05, burn_in=5).drop("after")
 
 
 @query()
 def initial_partition(s):
-    units, edges = small_state(s)
+    units, edges = halves(s)
     return chains.long_plans(chains.run_chains(units, edges, 4, 3, 1, beta=0.5, tolerance=0.05, burn_in=0), units.select("state", "node_id"))
 
 
 @query()
 def resume_equivalence(s):
-    units, edges = small_state(s)
+    units, edges = halves(s)
     whole = chains.run_chains(units, edges, 4, 1, 20, beta=0.5, tolerance=0.05, burn_in=0).drop("after")
     parts = chains.run_long(units, edges, 4, 1, 20, 8, beta=0.5, tolerance=0.05, burn_in=0)
     both = whole.withColumn("side", F.lit(1)).unionByName(parts.withColumn("side", F.lit(-1)))
@@ -616,6 +690,21 @@ def resume_equivalence(s):
     return same.groupBy("state", "chain").agg(F.count_distinct("step").alias("steps"), F.count_if(F.col("net") != 0).alias("differing"))
 
 
+@query()
+def wilson_tree(s):
+    units, edges = halves(s)
+    return chains.spanning_trees(units, edges, 2, beta=0.5)
+
+
+@query()
+def repair(s):
+    """Plans of four bands of 4, 5, 5 and 6 columns, until they balance."""
+    units, edges = halves(s)
+    column = F.col("gx") % 20
+    plans = units.select("state", "node_id", ((column >= 4).cast("bigint") + (column >= 9).cast("bigint") + (column >= 14).cast("bigint")).alias("district"))
+    return chains.repaired(units, edges, plans, 4, tolerance=0.05, beta=0.5)
+
+
 @query()
 def chunk_consolidate(s):
     folder = f"{shared_folder(s.spark)}/planweave-chunks-{uuid.uuid4().hex}"
@@ -626,7 +715,7 @@ def chunk_consolidate(s):
 
 @query()
 def archive_checksums(s):
-    return tables.checksums(s.spark, f"{s.dir}/nation.parquet")
+    return tables.checksums(s.spark, s.dir)
 
 
 @query()

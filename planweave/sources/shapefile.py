@@ -9,6 +9,7 @@ option `skip`.
 
 from __future__ import annotations
 
+import logging
 import struct
 from collections.abc import Iterator
 
@@ -103,6 +104,7 @@ class ShapefileReader(DataSourceReader):
             with store.open_input_file(base + ".dbf") as f:
                 table = f.read_at(width * (high - low), header + width * low)
             with store.open_input_file(base + ".shp") as f:
+                rows = []
                 for i in range(high - low):
                     offset, length = 2 * places[2 * i], 2 * places[2 * i + 1]
                     kind, rings = shape(f.read_at(length, offset + 8))
@@ -110,10 +112,12 @@ class ShapefileReader(DataSourceReader):
                     for name, size in fields:
                         text = table[at : at + size].decode("latin-1").strip()
                         row[name], at = text or None, at + size
-                    yield tuple(row.get(c) for c in self.columns)
-        except (OSError, struct.error, ValueError):
+                    rows.append(tuple(row.get(c) for c in self.columns))
+            yield from rows
+        except (OSError, struct.error, ValueError) as e:
             if self.options.get("skip") != "true":
                 raise
+            logging.getLogger(__name__).warning("%s.shp, records %d to %d: %s", base, low, high, e)
 
 
 class Shapefile(DataSource):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planweave.functions import scalar
-from planweave.session import stored
+from planweave.functions import geometry, scalar
+from planweave.session import qualified, stored
 
 
 def resolve_column(df: DataFrame, candidates: list[str]) -> str | None:
@@ -66,12 +70,17 @@ def read_pl(spark: SparkSession, geography: str, segment: str) -> DataFrame:
     return pl_tracts(pl_geography(text(geography)), pl_counts(text(segment)))
 
 
-def wide_to_long(wide: DataFrame, prefix: str = "n") -> DataFrame:
-    """step, node_id, district from one column per node: an array of the columns, exploded by position."""
+def wide_to_long(wide: DataFrame, prefix: str = "n", block: str | None = None, width: int = 0) -> DataFrame:
+    """step, node_id, district from one column per node: an array of the columns, exploded by position.
+
+    With `block`, a step has several rows, each of `width` nodes from `block` * `width` on; columns without a node are null there and go.
+    """
     named = [c for c in wide.columns if re.fullmatch(rf"{prefix}\d+", c)]
     ids = F.array(*(F.lit(int(c[len(prefix) :])).cast("bigint") for c in named))
-    rows = wide.select("step", F.posexplode(F.array(*named)).alias("at", "district"))
-    return rows.select("step", F.get(ids, F.col("at")).alias("node_id"), F.col("district").cast("bigint").alias("district"))
+    first = (F.col(block) * width).cast("bigint") if block else F.lit(0).cast("bigint")
+    rows = wide.select("step", first.alias("first"), F.posexplode(F.array(*named)).alias("at", "district"))
+    rows = rows.filter("district is not null") if block else rows
+    return rows.select("step", (F.col("first") + F.get(ids, F.col("at"))).alias("node_id"), F.col("district").cast("bigint").alias("district"))
 
 
 LEAN = "map<string, struct<districts: map<string, struct<harris_pct: double, lean: string, margin: int, label: string>>, D: int, R: int>>"
@@ -84,9 +93,34 @@ def flatten_lean(documents: DataFrame, column: str = "value") -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, bytes, sha256 of the files under `path`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """name (below `path`), bytes, sha256 of the files under `path`, each read as a stream, so a file may be of any size. Empty files, which Spark's scans leave out, have no row."""
+    root = qualified(spark, path).rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length")
+
+    def digested(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            found = []
+            for name in frame["path"]:
+                store, where = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                digest = hashlib.sha256()
+                with store.open_input_stream(where, compression=None) as stream:
+                    while piece := stream.read(1 << 20):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield frame.assign(sha256=found)
+
+    tail = F.regexp_replace("path", r"^[a-z0-9]+:/+", "")
+    base = re.sub(r"^[a-z0-9]+:/+", "", root)
+    below = F.when(F.startswith(tail, F.lit(base + "/")), F.substring(tail, F.lit(len(base) + 2), F.length(tail))).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.repartition(F.col("path")).mapInPandas(digested, "path string, length long, sha256 string").select(below.alias("name"), F.col("length").alias("bytes"), "sha256")
+
+
+def archive_summary(files: DataFrame) -> DataFrame:
+    """section (the first folder, empty for files at the top), files, bytes of each and, section null, of all."""
+    section = F.when(F.contains("name", F.lit("/")), F.substring_index("name", "/", 1)).otherwise("")
+    return files.select(section.alias("section"), "bytes").rollup("section").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def write_chunk(plans: DataFrame, path: str, chunk: int) -> None:
@@ -101,5 +135,39 @@ def consolidate(spark: SparkSession, path: str, into: str) -> DataFrame:
 
 
 def resume_at(spark: SparkSession, path: str) -> int:
-    """The step after the last that was written."""
-    return (spark.read.parquet(path).agg(F.max("step")).first()[0] or -1) + 1
+    """The step after the last that was written; 0 if none was."""
+    last = spark.read.parquet(path).agg(F.max("step")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def first_readable(spark: SparkSession, sources: list[tuple[str, str]], **options) -> DataFrame:
+    """The first of the (format, path) sources that can be read: a better source may be missing."""
+    problem = None
+    for kind, path in sources:
+        try:
+            return spark.read.format(kind).options(**options).load(path)
+        except (AnalysisException, ValueError, OSError, PythonException) as e:
+            problem = e
+    raise ValueError(f"none of {', '.join(p for _, p in sources)} can be read") from problem
+
+
+def county_codes(counties: DataFrame, state: str) -> DataFrame:
+    """geoid of a state's counties: as it is, or else state and county code together."""
+    geoid = F.coalesce(F.nullif(F.trim("geoid"), F.lit("")), F.concat("statefp", "countyfp"))
+    return counties.filter(F.col("statefp") == state).select(geoid.alias("geoid")).filter("geoid is not null").distinct()
+
+
+def write_geometry(rows: DataFrame, path: str, geom: str = "geom") -> None:
+    """Parquet with the polygons as well-known text, which other tools read."""
+    rows.withColumn(geom, geometry.well_known_text(F.col(geom))).write.mode("overwrite").parquet(path)
+
+
+def picked(rows: DataFrame, wanted: list[int], key: str = "step") -> DataFrame:
+    """The rows of the wanted keys with `place`, the position of their key in the list: ordered by it they come as asked for."""
+    spots = rows.sparkSession.createDataFrame(list(enumerate(wanted)), f"place int, {key} {rows.schema[key].dataType.simpleString()}")
+    return rows.join(F.broadcast(spots), key)
+
+
+def stamped(rows: DataFrame, name: str = "written_at") -> DataFrame:
+    """The time of the query, in ISO form and UTC."""
+    return rows.withColumn(name, F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))

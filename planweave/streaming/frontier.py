@@ -22,5 +22,11 @@ def maintain(stream: DataFrame, objectives: dict[str, str], path: str, checkpoin
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    return spark.read.parquet(f"{path}/{query.lastProgress['batchId']}")
+def latest(spark: SparkSession, path: str, query: StreamingQuery | None = None) -> DataFrame:
+    """The frontier after the last batch that was written; a run without new data writes none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName()) for f in store.listStatus(where) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    if not done:
+        raise ValueError(f"no frontier under {path}")
+    return spark.read.parquet(f"{path}/{max(done)}")

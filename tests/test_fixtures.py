@@ -202,3 +202,87 @@ def test_shared_folder_is_a_whole_uri(spark):
     assert session.qualified(spark, "/a/b") == session.qualified(spark, "file:///a/b") == "file:///a/b"
     assert session.qualified(spark, session.shared_folder(spark)) == session.shared_folder(spark)
     assert session.shared_folder(spark).startswith("file:///")
+
+
+def test_multipart_polygons(spark):
+    """Two parts, a hole, an island in a lake, a hole that touches its ring's corner; rings may turn either way."""
+    turned = [square(20.0, 0.0, 10.0)[0][::-1]]
+    shapes = polygons(spark, [(1, square(0.0, 0.0, 10.0) + turned), (2, square(0.0, 0.0, 10.0) + square(2.0, 2.0, 6.0) + square(4.0, 4.0, 2.0)), (3, square(0.0, 0.0, 10.0) + square(0.0, 0.0, 5.0)), (4, [])])
+    g = F.col("geom")
+    rows = {r.id: r for r in shapes.select("id", geometry.area(g).alias("a"), geometry.centroid(g).alias("c"), geometry.perimeter(g).alias("p"), geometry.well_known_text(g).alias("t")).collect()}
+    assert rows[1].a == 200 and (rows[1].c.x, rows[1].c.y) == (15.0, 5.0) and rows[1].p == 80
+    assert rows[2].a == 100 - 36 + 4 and abs(rows[2].c.x - 5) < 1e-9
+    assert rows[3].a == 75 and abs(rows[3].c.x - (500 - 25 * 2.5) / 75) < 1e-9
+    assert rows[4].a == 0 and rows[4].c.x is None and rows[4].t is None
+    assert rows[1].t.startswith("MULTIPOLYGON (((0.0 0.0, 10.0 0.0, 10.0 10.0, 0.0 10.0, 0.0 0.0)), ((20.0 10.0") and rows[1].t.count("((") == 2
+    assert rows[3].t.count("(") == 4
+
+
+def test_borders_with_corners_on_one_side(spark):
+    """A wide polygon over two narrow ones, and one on a slanted side."""
+    shapes = polygons(spark, [(1, square(0.0, 0.0)), (2, square(100.0, 0.0)), (3, [[(0.0, 100.0), (200.0, 100.0), (200.0, 200.0), (0.0, 200.0)]]), (4, [[(200.0, 0.0), (400.0, 200.0), (300.0, 100.0)][:2] + [(400.0, 0.0)]]), (5, [[(250.0, 50.0), (350.0, 150.0), (250.0, 150.0)]])])
+    cut = graph.split_segments(graph.polygon_segments(shapes, "id"), "id", 70.0)
+    got = {(r.u, r.v): round(r.border_len_m, 6) for r in graph.adjacency(cut, "id", ["p", "q"]).collect()}
+    assert got == {(1, 2): 100.0, (1, 3): 100.0, (2, 3): 100.0, (4, 5): round(100 * 2**0.5, 6)}
+    owners = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "id long, g long")
+    assert graph.dissolved_boundary(cut, owners, "id", ["g"], ["p", "q"]).first().perimeter_m == 800
+
+
+def test_subtrees_of_tall_trees_and_forests(spark):
+    path = [(i, i - 1 if i else None, i) for i in range(300)]
+    other = [(1000, None, 5), (1001, 1000, 1), (1002, 1000, 2), (1003, 1001, 4), (2000, None, 9)]
+    got = {r.node: r.subtree_pop for r in graph.subtree_sums(spark.createDataFrame(path + other, "node long, parent long, pop long")).collect()}
+    assert all(got[i] == sum(range(i, 300)) for i in range(300))
+    assert {k: v for k, v in got.items() if k >= 1000} == {1000: 12, 1001: 5, 1002: 2, 1003: 4, 2000: 9}
+
+
+def test_resume_after_the_first_step(spark, tmp_path):
+    spark.createDataFrame([(0, 0, 1)], "step long, node_id long, district long").write.parquet(str(tmp_path / "one"))
+    assert tables.resume_at(spark, str(tmp_path / "one")) == 1
+    spark.createDataFrame([], "step long, node_id long, district long").write.parquet(str(tmp_path / "none"))
+    assert tables.resume_at(spark, str(tmp_path / "none")) == 0
+
+
+def test_sources_of_last_resort(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "there"))
+    assert tables.first_readable(spark, [("parquet", str(tmp_path / "missing")), ("parquet", str(tmp_path / "there"))]).count() == 3
+    with pytest.raises(ValueError):
+        tables.first_readable(spark, [("parquet", str(tmp_path / "missing"))])
+    counties = spark.createDataFrame([("24", "001", "24001"), ("24", "003", None), ("24", "005", " "), ("25", "001", "25001")], "statefp string, countyfp string, geoid string")
+    assert sorted(r.geoid for r in tables.county_codes(counties, "24").collect()) == ["24001", "24003", "24005"]
+    tables.write_geometry(polygons(spark, [(1, square(0.0, 0.0))]), str(tmp_path / "geo"))
+    assert spark.read.parquet(str(tmp_path / "geo")).first().geom.startswith("MULTIPOLYGON (((")
+    rows = spark.createDataFrame([(5, "a"), (7, "b"), (9, "c")], "step long, x string")
+    assert [r.x for r in tables.picked(rows, [9, 5]).orderBy("place").collect()] == ["c", "a"]
+    assert len(tables.stamped(rows).first().written_at) == 20
+    with pytest.raises(ValueError):
+        model.seats_checked(model.states(spark).filter("abbr <> 'CA'"))
+    assert model.seats_checked(model.states(spark)).agg(F.sum("k")).first()[0] == 435
+
+
+def test_checksums_of_a_folder(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.bin").write_bytes(b"x" * 3_000_000)
+    (tmp_path / "in" / "sub" / "b.bin").write_bytes(b"yes")
+    (tmp_path / "in" / "sub" / "empty.bin").write_bytes(b"")
+    got = {r.name: (r.bytes, r.sha256) for r in tables.checksums(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.bin": (3_000_000, hashlib.sha256(b"x" * 3_000_000).hexdigest()), "sub/b.bin": (3, hashlib.sha256(b"yes").hexdigest())}
+    found = tables.archive_summary(tables.checksums(spark, str(tmp_path / "in"))).collect()
+    assert {(r.section, r.files, r.bytes) for r in found} == {("", 1, 3_000_000), ("sub", 1, 3), (None, 2, 3_000_003)}
+
+
+def test_broken_shapefile_is_skipped_whole(spark, tmp_path):
+    from planweave.sources.shapefile import Shapefile
+
+    spark.dataSource.register(Shapefile)
+    (tmp_path / "x").mkdir()
+    write_shapefile(tmp_path / "x" / "a", [square(0.0, 0.0)])
+    write_shapefile(tmp_path / "x" / "b", [square(0.0, 0.0), square(100.0, 0.0)])
+    whole = (tmp_path / "x" / "b.shp").read_bytes()
+    (tmp_path / "x" / "b.shp").write_bytes(whole[:-30])
+    load = lambda skip: spark.read.format("shapefile").option("parts", "1").option("skip", skip).load(str(tmp_path / "x"))
+    assert load("true").count() == 1
+    with pytest.raises(Exception, match="(?s)."):
+        load("false").count()
