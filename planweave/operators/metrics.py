@@ -8,33 +8,63 @@ from pyspark.sql import functions as F
 from planweave.functions import scalar
 
 
-def cut_marks(edges: DataFrame, plans: DataFrame) -> DataFrame:
-    """step, u, v, border_len_m, du, dv: every edge of every plan with the districts of its ends."""
-    at_u = plans.select("step", F.col("node_id").alias("u"), F.col("district").alias("du"))
-    at_v = plans.select("step", F.col("node_id").alias("v"), F.col("district").alias("dv"))
-    return edges.select("u", "v", "border_len_m").join(at_u, "u").join(at_v, ["step", "v"])
+#: Steps whose districts of a node travel in one row.
+STEPS = 1024
 
 
-def district_table(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int) -> DataFrame:
-    """step, district, pop, area_m2, perimeter_m for districts 0..k-1, empty ones too.
+def cut_marks(edges: DataFrame, plans: DataFrame) -> DataFrame:
+    """step, u, v, border_len_m, du, dv: every edge of every plan with the districts of its ends.
 
-    The perimeter is that of the units less twice the borders inside, so nothing is dissolved.
+    A node's districts are gathered once, STEPS steps a row, and it is those rows that
+    edges are joined with: edges times plans are only there after the last shuffle.
+    """
+    block = F.expr(f"step div {STEPS}")
+    held = plans.groupBy("node_id", block.alias("_block")).agg(F.array_sort(F.collect_list(F.struct("step", "district"))).alias("_of"))
+    at = lambda end: held.select(F.col("node_id").alias(end), "_block", F.col("_of").alias(f"_{end}"))
+    both = edges.select("u", "v", "border_len_m").join(at("u"), "u").join(at("v"), ["v", "_block"])
+    row = lambda a, b: F.struct(a["step"].alias("step"), a["district"].alias("du"), b["district"].alias("dv"))
+    same = F.transform("_u", lambda x: x["step"]) == F.transform("_v", lambda x: x["step"])
+    # plans that leave out nodes: only the steps of both ends
+    met = F.flatten(F.transform("_u", lambda a: F.transform(F.filter("_v", lambda b: b["step"] == a["step"]), lambda b: row(a, b))))
+    pairs = F.when(same, F.zip_with("_u", "_v", row)).otherwise(met)
+    return both.select("u", "v", "border_len_m", F.explode(pairs).alias("x")).select("x.step", "u", "v", "border_len_m", "x.du", "x.dv")
+
+
+def district_sums(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int) -> DataFrame:
+    """step, district, pop, area_m2, perimeter_m, and what of the step's cut borders begins there: cuts, cut_m, least_m; `counted` for districts 0..k-1, empty ones too.
+
+    The perimeter is that of the units less twice the borders inside, so nothing is
+    dissolved, and one pass over the edges gives inner and cut borders.
     """
     sums = plans.join(units.select("node_id", "pop", "area_m2", "perimeter_m"), "node_id").groupBy("step", "district").agg(F.sum("pop").alias("pop"), F.sum("area_m2").alias("area_m2"), F.sum("perimeter_m").alias("outer"))
-    inside = cut_marks(edges, plans).filter("du = dv").groupBy("step", F.col("du").alias("district")).agg(F.sum(F.col("border_len_m") * 2).alias("inner"))
-    domain = plans.select("step").distinct().select("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("district"))
-    out = domain.join(sums, ["step", "district"], "left").join(inside, ["step", "district"], "left").na.fill(0)
-    return out.select("step", "district", "pop", "area_m2", (F.col("outer") - F.col("inner")).alias("perimeter_m"))
+    cut, border = F.col("du") != F.col("dv"), F.col("border_len_m")
+    borders = cut_marks(edges, plans).groupBy("step", F.col("du").alias("district")).agg(
+        F.sum(F.when(~cut, border * 2)).alias("inner"), F.count_if(cut).alias("cuts"), F.sum(F.when(cut, border)).alias("cut_m"), F.min(F.when(cut, border)).alias("least_m"),
+    )
+    domain = plans.select("step").distinct().select("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("district"), F.lit(True).alias("counted"))
+    out = domain.join(sums, ["step", "district"], "left").join(borders, ["step", "district"], "full")
+    out = out.na.fill(0, ["pop", "area_m2", "outer", "inner", "cuts", "cut_m"])
+    return out.select("step", "district", "pop", "area_m2", (F.col("outer") - F.col("inner")).alias("perimeter_m"), "cuts", "cut_m", "least_m", "counted")
+
+
+def district_table(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int) -> DataFrame:
+    """step, district, pop, area_m2, perimeter_m for districts 0..k-1, empty ones too."""
+    return district_sums(units, edges, plans, k).filter("counted").select("step", "district", "pop", "area_m2", "perimeter_m")
 
 
 def plan_metrics(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int, digits: int = 6, least: bool = False) -> DataFrame:
     """One row a step: compactness, population deviation, cut edges and their border; with `least`, the shortest cut border too."""
     ideal = F.broadcast(units.agg((F.sum("pop") / F.lit(float(k))).alias("ideal")))
-    scored = district_table(units, edges, plans, k).crossJoin(ideal)
-    pp, dev = scalar.polsby_popper(F.col("area_m2"), F.col("perimeter_m")), F.abs(F.col("pop") - F.col("ideal")) / F.col("ideal")
+    scored = district_sums(units, edges, plans, k).crossJoin(ideal)
+    counted = lambda c: F.when(F.col("counted"), c)
+    pp, dev = counted(scalar.polsby_popper(F.col("area_m2"), F.col("perimeter_m"))), counted(F.abs(F.col("pop") - F.col("ideal")) / F.col("ideal"))
     named = {"pp_min": F.min(pp), "pp_mean": F.avg(pp), "pp_max": F.max(pp), "pop_dev_max": F.max(dev), "pop_dev_mean": F.avg(dev)}
-    by_step = scored.groupBy("step").agg(*(F.round(c, digits).alias(n) for n, c in named.items()))
-    return by_step.join(cut_borders(edges, plans), "step").select("step", *named, "cut_edges", "cut_border_m", *(["min_cut_border_m"] if least else []))
+    return scored.groupBy("step").agg(
+        *(F.round(c, digits).alias(n) for n, c in named.items()),
+        F.sum("cuts").alias("cut_edges"),
+        F.sum("cut_m").alias("cut_border_m"),
+        *([F.coalesce(F.min("least_m"), F.lit(0.0)).alias("min_cut_border_m")] if least else []),
+    )
 
 
 def cut_borders(edges: DataFrame, plans: DataFrame) -> DataFrame:

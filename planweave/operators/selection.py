@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave import model
-from planweave.session import stored
+from planweave.session import discard, stored
 
 
 def hard_filter(metrics: DataFrame, pp_min: float = model.PP_MIN, pop_dev_max: float = model.POP_DEV_MAX) -> DataFrame:
@@ -37,27 +37,46 @@ def seeded_sample(rows: DataFrame, n: int, key: str = "step", seed: int = model.
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).limit(n)
 
 
+#: Rows that are compared with the frontier at a time, and tasks whose frontiers meet in one.
+ROWS, FAN_IN = 128, 8
+#: Rows of a frontier that are sent to all tasks at once.
+SENT = 50_000
+
+
+def _dominated(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Marks of the rows that some row of `by` is nowhere worse than and somewhere better (all columns are to be small)."""
+    worse = np.ones((len(rows), len(by)), bool)
+    better = np.zeros((len(rows), len(by)), bool)
+    for column, other in zip(rows.T, by.T, strict=True):
+        worse &= other <= column[:, None]
+        better |= other < column[:, None]
+    return (worse & better).any(axis=1)
+
+
 def _skyline(values: np.ndarray) -> np.ndarray:
     """Places of the rows that no row dominates (all columns are to be small). Equal rows stay together."""
+    # sorted, a row can only be dominated by one before it
     order = np.lexsort(values.T[::-1])
-    kept: list[int] = []
-    front = np.empty((0, values.shape[1]))
-    for i in order:
-        v = values[i]
-        if len(front) and ((front <= v).all(axis=1) & (front < v).any(axis=1)).any():
-            continue
-        kept.append(i)
-        front = np.vstack([front, v])
-    return np.array(kept, int)
+    kept = np.empty(0, int)
+    for at in range(0, len(order), ROWS):
+        some = order[at : at + ROWS]
+        some = some[~_dominated(values[some], values[kept])]
+        kept = np.append(kept, some[~_dominated(values[some], values[some])])
+    return kept
 
 
 def pareto(rows: DataFrame, objectives: dict[str, str]) -> DataFrame:
     """Rows that no other is at least as good as in every objective ("max" or "min") and better in one.
 
-    Each task keeps the frontier of its own rows; only those meet in the exact
-    anti-join, so its inequality join is of small sides. Equal rows all stay.
+    Objectives that `rows` has no column for are left out; there must be one. Each task
+    keeps the frontier of its own rows, and FAN_IN of those meet in a task as long as
+    that shrinks them; what is left is compared exactly, SENT rows sent at a time. Equal
+    rows all stay.
     """
+    objectives = {n: how for n, how in objectives.items() if n in rows.columns}
     names = list(objectives)
+    if not names:
+        raise ValueError("none of the objectives is a column")
     signs = np.array([-1.0 if objectives[n] == "max" else 1.0 for n in names])
 
     def local(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,10 +87,31 @@ def pareto(rows: DataFrame, objectives: dict[str, str]) -> DataFrame:
         if best is not None:
             yield best
 
-    some = stored(rows.mapInPandas(local, rows.schema), "frontier")  # both sides of the join read it, so the metrics are computed once
-    a, b = some.alias("a"), some.select(*names).distinct().alias("b")
+    some = stored(rows.mapInPandas(local, rows.schema).withColumn("_task", F.spark_partition_id()), "frontier")
+    size, tasks = some.agg(F.count(F.lit(1)), F.countDistinct("_task")).first()
+    while tasks > 1:
+        together = -(-tasks // FAN_IN)
+        if together == 1 and size > SENT:
+            break
+        met = stored(some.drop("_task").repartition(together).mapInPandas(local, rows.schema).withColumn("_task", F.spark_partition_id()), "frontier")
+        left = met.count()
+        discard(some)
+        some, before, size, tasks = met, size, left, together
+        if tasks > 1 and size > 0.9 * before and size > SENT:
+            break
+    some = some.drop("_task")
+    if tasks <= 1:
+        return some
+    blocks = -(-size // SENT)
+    for i in range(blocks):
+        some = _not_dominated(some, some.select(*names).distinct().filter(F.pmod(F.xxhash64(*names), F.lit(blocks)) == i), objectives)
+    return some
+
+
+def _not_dominated(rows: DataFrame, others: DataFrame, objectives: dict[str, str]) -> DataFrame:
+    a, b = rows.alias("a"), F.broadcast(others).alias("b")
     as_good = better = None
-    for n in names:
+    for n in objectives:
         less = F.col(f"b.{n}") >= F.col(f"a.{n}") if objectives[n] == "max" else F.col(f"b.{n}") <= F.col(f"a.{n}")
         strict = F.col(f"b.{n}") != F.col(f"a.{n}")
         as_good = less if as_good is None else as_good & less

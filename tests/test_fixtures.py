@@ -286,3 +286,43 @@ def test_broken_shapefile_is_skipped_whole(spark, tmp_path):
     assert load("true").count() == 1
     with pytest.raises(Exception, match="(?s)."):
         load("false").count()
+
+
+def plain_frontier(rows, signs):
+    better = lambda a, b: all(x * s <= y * s for x, y, s in zip(a, b, signs, strict=True)) and a != b
+    return [r for r in rows if not any(better(o[1:], r[1:]) for o in rows)]
+
+
+def test_frontier_of_many(spark, monkeypatch):
+    """Against brute force, through the tree and through the exact comparison; 5000 rows that nothing dominates in seconds."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(30), rng.randrange(30), rng.randrange(4)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "step long, a long, b long, c long")
+    expected = sorted(r[0] for r in plain_frontier(rows, (-1, 1, 1)))
+    goals = {"a": "max", "b": "min", "c": "min", "absent": "max"}
+    for parts in (1, 5, 40):
+        assert sorted(r.step for r in selection.pareto(df.repartition(parts), goals).collect()) == expected
+    with monkeypatch.context() as m:
+        m.setattr(selection, "SENT", 10)
+        assert sorted(r.step for r in selection.pareto(df.repartition(6), goals).collect()) == expected
+    with pytest.raises(ValueError):
+        selection.pareto(df, {"absent": "max"})
+    best = spark.range(5000).selectExpr("id as step", "id as a", "id as b", "0 as c").repartition(4)
+    began = time.perf_counter()
+    assert selection.pareto(best, goals).count() == 5000
+    assert time.perf_counter() - began < 30
+
+
+def test_plans_that_leave_out_nodes(spark):
+    edges = spark.createDataFrame([(0, 1, 5.0), (1, 2, 7.0)], "u long, v long, border_len_m double")
+    plans = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (0, 2, 1), (1, 0, 0), (1, 1, 0), (2000, 1, 3), (2000, 2, 4)], "step long, node_id long, district long")
+    got = sorted((r.step, r.u, r.v, r.du, r.dv) for r in metrics.cut_marks(edges, plans).collect())
+    assert got == [(0, 0, 1, 0, 1), (0, 1, 2, 1, 1), (1, 0, 1, 0, 0), (2000, 1, 2, 3, 4)]
+    units = spark.createDataFrame([(i, 10, 4.0, 8.0) for i in range(3)], "node_id long, pop long, area_m2 double, perimeter_m double")
+    rows = {r.step: r for r in metrics.plan_metrics(units, edges, plans, 2, least=True).collect()}
+    assert (rows[0].cut_edges, rows[0].cut_border_m, rows[0].min_cut_border_m) == (1, 5.0, 5.0)
+    # districts beyond the k that count have their cuts counted, but are no districts
+    assert (rows[2000].cut_edges, rows[2000].cut_border_m, rows[2000].pp_max) == (1, 7.0, 0.0) and rows[1].min_cut_border_m == 0.0
