@@ -148,6 +148,13 @@ def skyline_pair(rows: DataFrame, part: str) -> DataFrame:
     return rows.join(best, [part, "score", "cost"], "left_semi")
 
 
+def _thinned(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each batch's frontiers of (score up, cost down) by stretch: of many rows few are left."""
+    for frame in frames:
+        frame = frame.sort_values(["stretch", "score", "cost"], ascending=[True, False, True])
+        yield frame[frame["cost"] <= frame.groupby("stretch")["cost"].cummin()]
+
+
 def frontier_growth(metrics: DataFrame, key: str, points: int = 60) -> DataFrame:
     """checkpoint, frontier: the size of the frontier of all rows up to each of at most `points` geometrically spaced keys.
 
@@ -158,7 +165,8 @@ def frontier_growth(metrics: DataFrame, key: str, points: int = 60) -> DataFrame
     at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor(F.pow("last", i / float(points - 1)) + 1e-9))
     steps = last.select(F.array_sort(F.array_distinct(at)).alias("steps"))
     own = metrics.crossJoin(F.broadcast(steps)).withColumn("stretch", F.array_min(F.filter("steps", lambda c: c >= F.col(key)))).filter("stretch is not null")
-    local = skyline_pair(own.drop("steps"), "stretch")
+    own = own.drop("steps").filter("score is not null and cost is not null")
+    local = skyline_pair(own.mapInPandas(_thinned, own.schema), "stretch")
     later = local.crossJoin(F.broadcast(steps)).withColumn("checkpoint", F.explode(F.filter("steps", lambda c: c >= F.col("stretch")))).drop("steps")
     sizes = skyline_pair(later, "checkpoint").groupBy("checkpoint").agg(F.count(F.lit(1)).alias("n"))
     return steps.select(F.explode("steps").alias("checkpoint")).join(sizes, "checkpoint", "left").select("checkpoint", F.coalesce("n", F.lit(0)).alias("frontier"))

@@ -61,15 +61,22 @@ def shipped(spark: SparkSession) -> SparkSession:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """`df` written once to the shared folder and read back: lineage is cut and a lost executor costs nothing."""
+    """`df` written once to the shared folder and read back: lineage is cut and a lost executor costs nothing. Deleted when the session's JVM ends, or by `discard`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/planweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder that is there deleted when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that `stored` wrote, once nothing reads it any more."""
     path = getattr(df, "stored_at", None)
