@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from planweave.llm import packing, quality, secrets, simhash, toxicity
 from planweave.llm.common import table, whole_text
-from planweave.session import shared_folder
+from planweave.session import shared_folder, until_exit
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Python that runs beside whole rows: the scores travel with them, so no join is needed.
@@ -83,5 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        until_exit(spark, path)
         docs = spark.read.parquet(path)
     return docs
