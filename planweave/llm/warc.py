@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.session import shared_folder, stored
+from planweave.session import shared_folder, stored, until_exit
 
 from .common import text_slices
 
@@ -299,5 +299,6 @@ def report(pages: DataFrame, least: int = 0) -> DataFrame:
     """Archive, index, and read every page back."""
     folder = f"{shared_folder(pages.sparkSession)}/planweave-warc-{uuid.uuid4().hex}"
     captures = archive(pages.select("page_id", "url", "html"), folder, least)
+    until_exit(pages.sparkSession, folder)
     top = index(captures, folder)
     return read_back(captures, folder, top).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
