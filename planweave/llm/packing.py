@@ -17,6 +17,8 @@ as they occur, null ids too; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,8 +34,15 @@ LENGTH = 2048
 CLOSING = 0
 #: Pieces of a group, and bytes that a token has at least on average (only the number of groups depends on it).
 GROUP, TOKEN_BYTES = 4096, 2
-#: Words whose ids a worker keeps, and the longest such word in bytes.
+#: Words whose ids a worker keeps (or as many as a slice of texts has), and the longest such word in bytes.
 CACHE, CACHED_BYTES = 400_000, 64
+#: Words that are encoded together.
+TOGETHER = 1000
+# The parts that the tokenizer takes a word for, of words without other than ASCII and Latin letters
+# (but for the two that lower to several characters, or to another's case).
+LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u0180-\u024f"
+PLAIN = re.compile(f"[\x00-\x7f{LATIN}]+")
+PARTS = re.compile(f"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{LATIN}]+|[0-9]|[^\\s{LATIN}0-9]+")
 
 
 def default_tokenizer() -> str:
@@ -52,33 +61,80 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space, word by word: equal words are encoded once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Each word's ids; the words go in as one text and the tokens' offsets tell whose they are."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids, begins = np.array(found.ids, "<u4"), np.array([a for a, _ in found.offsets], np.int64)
-        ends = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))
-        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        found = json.loads(self.tokenizer.to_str())
+        kinds = lambda of, parts: [x["type"] for x in (found.get(of) or {}).get(parts, [])]
+        suffix, vocabulary = found["model"].get("end_of_word_suffix"), found["model"]["vocab"]
+        #: Marks of the ids that end a part of a word; none if the vocabulary doesn't tell.
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        if suffix:
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        #: For lower-case ASCII letters, which the full one's first steps leave as they are.
+        self.bare = None
+        if suffix and kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]:
+            self.bare = Tokenizer.from_str(self.tokenizer.to_str())
+            self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+
+    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word and its ids. The parts of words of ASCII and Latin letters can be counted, so their ids are told apart by the parts' ends; of others tokens' offsets are needed."""
+        letters = [w for w in words if w.isalpha()] if self.bare else []
+        if letters:
+            yield from self.told_apart(self.bare, letters, [w.decode() for w in map(bytes.lower, letters)], range(1, len(letters) + 1))
+        simple, texts, parts, others = [], [], [], []
+        for w in [w for w in words if not w.isalpha()] if letters else words:
+            if b"<|" not in w and PLAIN.fullmatch(text := w.decode("utf-8", "replace")):
+                simple.append(w)
+                texts.append(text)
+                parts.append(len(PARTS.findall(text)))
+            else:
+                others.append(w)
+        yield from self.told_apart(self.tokenizer, simple, texts, np.cumsum(parts))
+        yield from self.by_offsets(others)
+
+    def told_apart(self, tokenizer, words: list[bytes], texts: list[str], upto) -> Iterator[tuple[bytes, bytes]]:
+        """`upto`: how many parts the words have up to each."""
+        if not words:
+            return
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        after, last = np.flatnonzero(self.ends[ids]) + 1, np.asarray(upto) - 1
+        if len(after) == last[-1] + 1:
+            yield from zip(words, self.cut(ids, after[last]), strict=True)
+        else:  # a tokenizer of other parts than these
+            yield from self.by_offsets(words)
+
+    @staticmethod
+    def cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        whole, at = ids.tobytes(), (4 * ends).tolist()
+        return [whole[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
+    def by_offsets(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The words go in as one text and the tokens' offsets tell whose they are."""
+        if words:
+            texts = [w.decode("utf-8", "replace") for w in words]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids, begins = np.array(found.ids, "<u4"), np.array([a for a, _ in found.offsets], np.int64)
+            yield from zip(words, self.cut(ids, np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))), strict=True)
 
     def ids(self, text: bytes) -> bytes:
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids. ASCII white space parts words in any text, so each can be encoded alone."""
-        words, known = text.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > CACHE:
+        known, words = self.known, [t.split() for t in texts]
+        missing = set().union(*words).difference(known)
+        if len(known) + len(missing) > CACHE:
             known.clear()
-        missing = [w for w in set(words) if w not in known]
-        long = {}
-        for i in range(0, len(missing), 500):
-            for word, ids in zip(missing[i : i + 500], self.encode(missing[i : i + 500]), strict=True):
-                (known if len(word) <= CACHED_BYTES else long)[word] = ids
-        return b"".join([known[w] if w in known else long[w] for w in words])
+            missing = set().union(*words)
+        new = list(missing)
+        for i in range(0, len(new), TOGETHER):
+            known.update(self.encode(new[i : i + TOGETHER]))
+        out = [b"".join(map(known.__getitem__, of)) for of in words]
+        for w in missing:
+            if len(w) > CACHED_BYTES:
+                del known[w]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -92,8 +148,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
         place = TaskContext.get().partitionId() << 40
         for batch in text_slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.ids(text) + closing
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids_of(batch.column(1).to_pylist()), strict=True):
+                ids += closing
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     piece = ids[at : at + 4 * length]
                     rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))

@@ -36,6 +36,17 @@ def test_pieces_equal_the_tokenizer(spark):
     check_gapless(got)
 
 
+def test_words_alone_equal_whole_texts():
+    """Against the tokenizer on whole texts: contractions, signs, digits, controls, other scripts, its special tokens' names."""
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    rng = random.Random(7)
+    bits = ["don't", "we'LL", "x's's", "'", "''s", "a'b", "12ab3", "...", "<|endoftext|>", "a<|startoftext|>b", "<|", "\x1c", "\x00a", "é", "İstanbul", "ﬁn", "e\u0301", "中文", "🙂", "a\u200db", "ſ", "K", "A" * 70, "_a_", "tab", "\x7f"]
+    texts = [" ".join("".join(rng.choices(bits, k=rng.randrange(1, 4))) for _ in range(rng.randrange(0, 40))) for _ in range(300)]
+    for text in texts:
+        assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.ends.any()
+
+
 def check_gapless(rows):
     by = {}
     for r in rows:
