@@ -77,45 +77,44 @@ class WordTokenizer:
             self.bare = Tokenizer.from_str(self.tokenizer.to_str())
             self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
 
-    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each word and its ids. The parts of words of ASCII and Latin letters can be counted, so their ids are told apart by the parts' ends; of others tokens' offsets are needed."""
+    def learn(self, words: list[bytes]) -> None:
+        """Keep each word's ids. The parts of words of ASCII and Latin letters can be counted, so their ids are told apart by the parts' ends; of others tokens' offsets are needed."""
         letters = [w for w in words if w.isalpha()] if self.bare else []
         if letters:
-            yield from self.told_apart(self.bare, letters, [w.decode() for w in map(bytes.lower, letters)], range(1, len(letters) + 1))
-        simple, texts, parts, others = [], [], [], []
-        for w in [w for w in words if not w.isalpha()] if letters else words:
-            if b"<|" not in w and PLAIN.fullmatch(text := w.decode("utf-8", "replace")):
+            self.told_apart(self.bare, letters, b" ".join(letters).lower().decode(), np.arange(len(letters)))
+            words = [w for w in words if not w.isalpha()]
+        simple, texts, others = [], [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text) and "<|" not in text:
                 simple.append(w)
                 texts.append(text)
-                parts.append(len(PARTS.findall(text)))
             else:
                 others.append(w)
-        yield from self.told_apart(self.tokenizer, simple, texts, np.cumsum(parts))
-        yield from self.by_offsets(others)
-
-    def told_apart(self, tokenizer, words: list[bytes], texts: list[str], upto) -> Iterator[tuple[bytes, bytes]]:
-        """`upto`: how many parts the words have up to each."""
-        if not words:
-            return
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        after, last = np.flatnonzero(self.ends[ids]) + 1, np.asarray(upto) - 1
+        if simple:
+            self.told_apart(self.tokenizer, simple, " ".join(texts), np.cumsum([len(found) for found in map(PARTS.findall, texts)]) - 1)
+        if others:
+            self.by_offsets(others)
+
+    def told_apart(self, tokenizer, words: list[bytes], text: str, last: np.ndarray) -> None:
+        """`last`: the place of each word's last part among all parts."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        after = np.flatnonzero(self.ends[ids]) + 1
         if len(after) == last[-1] + 1:
-            yield from zip(words, self.cut(ids, after[last]), strict=True)
+            self.keep(words, ids, after[last])
         else:  # a tokenizer of other parts than these
-            yield from self.by_offsets(words)
+            self.by_offsets(words)
 
-    @staticmethod
-    def cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        whole, at = ids.tobytes(), (4 * ends).tolist()
-        return [whole[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
-
-    def by_offsets(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def by_offsets(self, words: list[bytes]) -> None:
         """The words go in as one text and the tokens' offsets tell whose they are."""
-        if words:
-            texts = [w.decode("utf-8", "replace") for w in words]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids, begins = np.array(found.ids, "<u4"), np.array([a for a, _ in found.offsets], np.int64)
-            yield from zip(words, self.cut(ids, np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))), strict=True)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids, begins = np.array(found.ids, "<u4"), np.array([a for a, _ in found.offsets], np.int64)
+        self.keep(words, ids, np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts])))
+
+    def keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        whole, at = ids.tobytes(), (4 * ends).tolist()
+        self.known.update(zip(words, [whole[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
 
     def ids(self, text: bytes) -> bytes:
         return self.ids_of([text])[0]
@@ -129,7 +128,7 @@ class WordTokenizer:
             missing = set().union(*words)
         new = list(missing)
         for i in range(0, len(new), TOGETHER):
-            known.update(self.encode(new[i : i + TOGETHER]))
+            self.learn(new[i : i + TOGETHER])
         out = [b"".join(map(known.__getitem__, of)) for of in words]
         for w in missing:
             if len(w) > CACHED_BYTES:
