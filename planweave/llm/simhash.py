@@ -153,15 +153,19 @@ def report(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with one of each component: that of the least doc_id (of repeated ones the least text); rows without doc_id are kept only where their whole component has none, one row."""
     found = near_duplicates(docs)
-    named = found.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text")
-    out = docs.filter("doc_id is not null").join(named, "doc_id", "left_anti")
-    out = out.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").drop("_nth")
-    bare = docs.filter("doc_id is null")
+    named = found.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct()
+    # rows travel whole in one column, so theirs may have any names
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    once = Window.partitionBy("row.doc_id").orderBy("row.text")
+    out = rows.filter("row.doc_id is not null").join(named, F.col("row.doc_id") == F.col("other"), "left_anti")
+    out = out.withColumn("nth", F.row_number().over(once)).filter("nth = 1").select("row.*")
+    bare = rows.filter("row.doc_id is null")
     if bare.isEmpty():
         return out
-    lone = found.filter("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    prints = fingerprints(bare.select(F.xxhash64("text").alias("doc_id"), "text")).distinct().toDF("_key", "_fp").join(lone, "_fp")
-    keyed = bare.withColumn("_key", F.xxhash64("text")).join(prints, "_key")
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_root").orderBy("_fp", "text"))).filter("_nth = 1")
-    return out.unionByName(keyed.select(*docs.columns))
+    lone = found.filter("component_id is null").select("fp", "root").distinct()
+    keys = bare.select(F.xxhash64("row.text").alias("doc_id"), F.col("row.text").alias("text"))
+    prints = fingerprints(keys).distinct().withColumnRenamed("doc_id", "key").join(lone, "fp")
+    keyed = bare.withColumn("key", F.xxhash64("row.text")).join(prints, "key")
+    # only one row of a component leaves each task, so components of very many meet in few
+    first = Window.partitionBy("root").orderBy("fp", "row.text")
+    return out.unionByName(keyed.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*"))

@@ -181,3 +181,12 @@ def test_first_of_each(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "null one"), (3, "A B C D"), (9, "other words entirely here")]
     assert kept.columns == rows.columns
     assert simhash.first_of_each(rows.limit(0)).count() == 0
+
+
+def test_first_of_each_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d", "n", 7), (2, "a b c d", "n2", 8), (3, "quite another text here", "m", 9), (3, "a different one", "m", 10), (None, "a b c d", "x", 11), (None, "lonely words of no id", "y", 12), (None, "lonely words of no id", "z", 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _nth string, key int").withColumnRenamed("key", "_key")
+    got = sorted(map(tuple, simhash.first_of_each(df).collect()), key=str)
+    assert [r[:2] for r in got if r[0]] == [(1, "a b c d"), (3, "a different one")] and [r for r in got if r[0] == 1] == [(1, "a b c d", "n", 7)]
+    assert [r[1] for r in got if r[0] is None] == ["lonely words of no id"] and len(got) == 3
+    assert simhash.first_of_each(df).columns == df.columns
