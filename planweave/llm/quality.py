@@ -38,7 +38,7 @@ from .toxicity import labelled_texts
 SAMPLE = 2000
 BUCKETS = 1 << 18
 ROUNDS, STEP, SHRINK, LEAST_DOCS = 150, 0.3, 1e-4, 5
-CACHE = 300_000
+CACHE = 150_000
 RUNS = (re.compile(r"[^\W\d_a-zà-öø-ÿß]{2,}"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]{2,}"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1+"))
 
 
