@@ -81,7 +81,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int = S
     its part of the bytes, and the rest of its weight goes to them.
     """
     fitted = docs.select("doc_id", whole_text().alias("text")).filter(F.octet_length("text") <= LONGEST)
-    some = F.broadcast(sampled(labels.join(fitted.select("doc_id"), "doc_id", "left_semi"), label, most))
+    some = F.broadcast(sampled(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), label, most))
     draw = F.xxhash64("doc_id", F.lit(label)).alias("draw")
     # one row an id: its shortest text (the least of those), found before anything is shuffled or sent
     sizes = fitted.select("doc_id", F.octet_length("text").alias("n")).join(some, "doc_id").groupBy("doc_id", label, "weight").agg(F.min("n").alias("n"))
@@ -96,14 +96,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int = S
                 break
             taken.append(r)
         part = sum(r["weight"] for r in taken)
-        kept |= {r["doc_id"]: r["weight"] * whole / part for r in taken}
+        kept |= {r["doc_id"]: (r["weight"] * whole / part, value) for r in taken}
     if not kept:
         return [], [], []
-    spark = docs.sparkSession
-    kinds = f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, counts double"
-    wanted = F.broadcast(spark.createDataFrame(list(kept.items()), kinds))
+    # what is wanted is known by now, so texts are read once more and labels not at all
+    kinds = f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, counts double, {label} {labels.schema[label].dataType.simpleString()}"
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i, *x) for i, x in kept.items()], kinds))
     least = F.min(F.struct(F.octet_length("text").alias("n"), "text")).alias("t")
-    rows = fitted.join(wanted, "doc_id").join(some.select("doc_id", label), "doc_id").groupBy("doc_id", label, "counts").agg(least)
+    rows = fitted.join(wanted, "doc_id").groupBy("doc_id", label, "counts").agg(least)
     rows = rows.select(F.col("t.text").alias("text"), label, "counts", draw).orderBy("draw", "text").toArrow()
     return rows["text"].to_pylist(), rows[label].to_pylist(), rows["counts"].to_pylist()
 
