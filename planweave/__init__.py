@@ -1 +1 @@
-"""planweave: district-plan analytics as ordinary Spark jobs."""
+"""planweave: zone-plan analytics as ordinary Spark jobs."""

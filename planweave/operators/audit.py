@@ -21,9 +21,9 @@ def uniform_swing(votes: DataFrame, targets: DataFrame, state: str = "state") ->
 
 
 def weighted_share(rows: DataFrame, keys: list[str], share: str = "estimate", weight: str = "total") -> DataFrame:
-    """`keys` and the weighted mean share, 0.5 without votes; rows of no district don't count."""
+    """`keys` and the weighted mean share, not rounded, 0.5 without votes; rows of no zone don't count."""
     kept = rows.filter(" and ".join(f"{k} is not null" for k in keys))
-    return kept.groupBy(*keys).agg(F.round(scalar.ratio(F.sum(F.col(share) * F.col(weight)), F.sum(weight), 0.5), 4).alias("share"))
+    return kept.groupBy(*keys).agg(scalar.ratio(F.sum(F.col(share) * F.col(weight)), F.sum(weight), 0.5).alias("share"))
 
 
 def two_party_share(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,9 +31,10 @@ def two_party_share(rows: DataFrame, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys).agg(F.round(scalar.ratio(F.sum("d"), F.sum("d") + F.sum("r"), 0.5), 4).alias("share"))
 
 
-def labelled(shares: DataFrame) -> DataFrame:
+def labelled(shares: DataFrame, digits: int = 4) -> DataFrame:
+    """Lean, margin and label are the whole share's; only then is it rounded, to be kept."""
     s = F.col("share")
-    return shares.withColumns({"lean": scalar.lean(s), "margin": scalar.margin(s), "label": scalar.lean_label(s)})
+    return shares.withColumns({"lean": scalar.lean(s), "margin": scalar.margin(s), "label": scalar.lean_label(s)}).withColumn("share", F.round("share", digits))
 
 
 def seat_totals(districts: DataFrame) -> DataFrame:
@@ -53,9 +54,9 @@ def at_large(districts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def enacted_districts(rows: DataFrame, code: str = "cd") -> DataFrame:
-    """Rows of real districts: placeholder and non-numeric codes go; `district` counts from 0."""
+    """Rows of real districts: placeholder and non-numeric codes go; `zone` counts from 0."""
     number = F.col(code).try_cast("int")
-    return rows.filter((F.col(code) != "ZZ") & number.isNotNull()).withColumn("district", number - 1)
+    return rows.filter((F.col(code) != "ZZ") & number.isNotNull()).withColumn("zone", number - 1)
 
 
 def seat_deviation(proposed: DataFrame, enacted: DataFrame) -> DataFrame:

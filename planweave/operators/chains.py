@@ -123,7 +123,7 @@ class Graph:
         return bool(len(cut)) and self.recombine(plan, cut[rng.integers(len(cut))], ideal, tolerance, rng)
 
     def repair(self, plan: np.ndarray, k: int, rng: np.random.Generator, tolerance: float = model.POP_TOL, most: int = 20_000) -> float:
-        """Recut the worst district with a random neighbour until all are within the tolerance; returns the largest deviation left."""
+        """Recut the worst zone with a random neighbour until all are within the tolerance; returns the largest deviation left."""
         ideal, sums = self.pop.sum() / k, lambda: np.bincount(plan, self.pop, k)
         for _ in range(most):
             off = np.abs(sums() - ideal) / ideal
@@ -219,18 +219,18 @@ def spanning_trees(units: DataFrame, edges: DataFrame, trees: int, seed: int = m
 
 
 def repaired(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int, seed: int = model.SEED, tolerance: float = model.POP_TOL, beta: float | None = None, most: int = 20_000) -> DataFrame:
-    """state, node_id, district, deviation: plans (state, node_id, district) recut until all districts are within the tolerance, or `most` cuts are made; deviation is the largest left."""
+    """state, node_id, zone, deviation: plans (state, node_id, zone) recut until all districts are within the tolerance, or `most` cuts are made; deviation is the largest left."""
     starts = units.select("state").distinct().withColumn("chain", F.lit(0))
     power = beta_of(k, beta)
 
     def run(key: tuple, rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         graph = graph_in(rows, power)
-        now = plan.sort_values("node_id")["district"].to_numpy(np.int64)
+        now = plan.sort_values("node_id")["zone"].to_numpy(np.int64)
         left = graph.repair(now, k, np.random.default_rng(seed), tolerance, most)
-        return pd.DataFrame({"state": key[0], "node_id": graph.nodes, "district": now, "deviation": left})
+        return pd.DataFrame({"state": key[0], "node_id": graph.nodes, "zone": now, "deviation": left})
 
-    own = plans.select("state", "node_id", "district").toDF("of_state", "node_id", "district")
-    return graph_rows(units, edges, starts).groupBy("state").cogroup(own.groupBy("of_state")).applyInPandas(run, "state string, node_id long, district long, deviation double")
+    own = plans.select("state", "node_id", "zone").toDF("of_state", "node_id", "zone")
+    return graph_rows(units, edges, starts).groupBy("state").cogroup(own.groupBy("of_state")).applyInPandas(run, "state string, node_id long, zone long, deviation double")
 
 
 def run_long(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: int, chunk: int = model.CHUNK, **how) -> DataFrame:
@@ -247,7 +247,7 @@ def run_long(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: int
 
 
 def long_plans(recorded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Recorded plans as rows: chain, step, node_id, district."""
+    """Recorded plans as rows: chain, step, node_id, zone."""
     order = nodes.groupBy("state").agg(F.array_sort(F.collect_list("node_id")).alias("ids"))
-    rows = recorded.join(order, "state").select("state", "chain", "step", F.posexplode("plan").alias("at", "district"), "ids")
-    return rows.select("state", "chain", "step", F.get("ids", F.col("at")).alias("node_id"), F.col("district").cast("bigint").alias("district"))
+    rows = recorded.join(order, "state").select("state", "chain", "step", F.posexplode("plan").alias("at", "zone"), "ids")
+    return rows.select("state", "chain", "step", F.get("ids", F.col("at")).alias("node_id"), F.col("zone").cast("bigint").alias("zone"))

@@ -1,4 +1,4 @@
-"""Scores of plans: every plan of an ensemble at once, as grouped aggregates over (step, district)."""
+"""Scores of plans: every plan of an ensemble at once, as grouped aggregates over (step, zone)."""
 
 from __future__ import annotations
 
@@ -19,10 +19,10 @@ def cut_marks(edges: DataFrame, plans: DataFrame) -> DataFrame:
     edges are joined with: edges times plans are only there after the last shuffle.
     """
     block = F.expr(f"step div {STEPS}")
-    held = plans.groupBy("node_id", block.alias("_block")).agg(F.array_sort(F.collect_list(F.struct("step", "district"))).alias("_of"))
+    held = plans.groupBy("node_id", block.alias("_block")).agg(F.array_sort(F.collect_list(F.struct("step", "zone"))).alias("_of"))
     at = lambda end: held.select(F.col("node_id").alias(end), "_block", F.col("_of").alias(f"_{end}"))
     both = edges.select("u", "v", "border_len_m").join(at("u"), "u").join(at("v"), ["v", "_block"])
-    row = lambda a, b: F.struct(a["step"].alias("step"), a["district"].alias("du"), b["district"].alias("dv"))
+    row = lambda a, b: F.struct(a["step"].alias("step"), a["zone"].alias("du"), b["zone"].alias("dv"))
     same = F.transform("_u", lambda x: x["step"]) == F.transform("_v", lambda x: x["step"])
     # plans that leave out nodes: only the steps of both ends
     met = F.flatten(F.transform("_u", lambda a: F.transform(F.filter("_v", lambda b: b["step"] == a["step"]), lambda b: row(a, b))))
@@ -30,32 +30,32 @@ def cut_marks(edges: DataFrame, plans: DataFrame) -> DataFrame:
     return both.select("u", "v", "border_len_m", F.explode(pairs).alias("x")).select("x.step", "u", "v", "border_len_m", "x.du", "x.dv")
 
 
-def district_sums(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int) -> DataFrame:
-    """step, district, pop, area_m2, perimeter_m, and what of the step's cut borders begins there: cuts, cut_m, least_m; `counted` for districts 0..k-1, empty ones too.
+def zone_sums(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int) -> DataFrame:
+    """step, zone, pop, area_m2, perimeter_m, and what of the step's cut borders begins there: cuts, cut_m, least_m; `counted` for districts 0..k-1, empty ones too.
 
     The perimeter is that of the units less twice the borders inside, so nothing is
     dissolved, and one pass over the edges gives inner and cut borders.
     """
-    sums = plans.join(units.select("node_id", "pop", "area_m2", "perimeter_m"), "node_id").groupBy("step", "district").agg(F.sum("pop").alias("pop"), F.sum("area_m2").alias("area_m2"), F.sum("perimeter_m").alias("outer"))
+    sums = plans.join(units.select("node_id", "pop", "area_m2", "perimeter_m"), "node_id").groupBy("step", "zone").agg(F.sum("pop").alias("pop"), F.sum("area_m2").alias("area_m2"), F.sum("perimeter_m").alias("outer"))
     cut, border = F.col("du") != F.col("dv"), F.col("border_len_m")
-    borders = cut_marks(edges, plans).groupBy("step", F.col("du").alias("district")).agg(
+    borders = cut_marks(edges, plans).groupBy("step", F.col("du").alias("zone")).agg(
         F.sum(F.when(~cut, border * 2)).alias("inner"), F.count_if(cut).alias("cuts"), F.sum(F.when(cut, border)).alias("cut_m"), F.min(F.when(cut, border)).alias("least_m"),
     )
-    domain = plans.select("step").distinct().select("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("district"), F.lit(True).alias("counted"))
-    out = domain.join(sums, ["step", "district"], "left").join(borders, ["step", "district"], "full")
+    domain = plans.select("step").distinct().select("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("zone"), F.lit(True).alias("counted"))
+    out = domain.join(sums, ["step", "zone"], "left").join(borders, ["step", "zone"], "full")
     out = out.na.fill(0, ["pop", "area_m2", "outer", "inner", "cuts", "cut_m"])
-    return out.select("step", "district", "pop", "area_m2", (F.col("outer") - F.col("inner")).alias("perimeter_m"), "cuts", "cut_m", "least_m", "counted")
+    return out.select("step", "zone", "pop", "area_m2", (F.col("outer") - F.col("inner")).alias("perimeter_m"), "cuts", "cut_m", "least_m", "counted")
 
 
-def district_table(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int) -> DataFrame:
-    """step, district, pop, area_m2, perimeter_m for districts 0..k-1, empty ones too."""
-    return district_sums(units, edges, plans, k).filter("counted").select("step", "district", "pop", "area_m2", "perimeter_m")
+def zone_table(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int) -> DataFrame:
+    """step, zone, pop, area_m2, perimeter_m for districts 0..k-1, empty ones too."""
+    return zone_sums(units, edges, plans, k).filter("counted").select("step", "zone", "pop", "area_m2", "perimeter_m")
 
 
 def plan_metrics(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int, digits: int = 6, least: bool = False) -> DataFrame:
     """One row a step: compactness, population deviation, cut edges and their border; with `least`, the shortest cut border too."""
     ideal = F.broadcast(units.agg((F.sum("pop") / F.lit(float(k))).alias("ideal")))
-    scored = district_sums(units, edges, plans, k).crossJoin(ideal)
+    scored = zone_sums(units, edges, plans, k).crossJoin(ideal)
     counted = lambda c: F.when(F.col("counted"), c)
     pp, dev = counted(scalar.polsby_popper(F.col("area_m2"), F.col("perimeter_m"))), counted(F.abs(F.col("pop") - F.col("ideal")) / F.col("ideal"))
     named = {"pp_min": F.min(pp), "pp_mean": F.avg(pp), "pp_max": F.max(pp), "pop_dev_max": F.max(dev), "pop_dev_mean": F.avg(dev)}
@@ -85,31 +85,31 @@ def peninsula_ratio(borders: DataFrame) -> DataFrame:
 def county_splits(units: DataFrame, plans: DataFrame) -> DataFrame:
     """step, county_splits (districts a county has more than one of), max_county_districts; units of no county don't count."""
     held = units.filter(F.col("county").isNotNull()).select("node_id", "county")
-    pairs = plans.join(held, "node_id").groupBy("step", "county").agg(F.countDistinct("district").alias("n"))
+    pairs = plans.join(held, "node_id").groupBy("step", "county").agg(F.countDistinct("zone").alias("n"))
     return pairs.groupBy("step").agg(F.sum(F.col("n") - 1).alias("county_splits"), F.max("n").alias("max_county_districts"))
 
 
 def county_splits_pairs(units: DataFrame, plans: DataFrame) -> DataFrame:
     """The variant by distinct pairs: units of no county count as a county in the first term only."""
-    pairs = plans.join(units.select("node_id", "county"), "node_id").select("step", "county", "district").distinct()
+    pairs = plans.join(units.select("node_id", "county"), "node_id").select("step", "county", "zone").distinct()
     return pairs.groupBy("step").agg((F.count(F.lit(1)) - F.countDistinct("county")).alias("county_splits"))
 
 
-def district_population(units: DataFrame, plans: DataFrame) -> DataFrame:
-    return plans.join(units.select("node_id", "pop"), "node_id").groupBy("step", "district").agg(F.sum("pop").alias("population"), F.count(F.lit(1)).alias("n_units"))
+def zone_population(units: DataFrame, plans: DataFrame) -> DataFrame:
+    return plans.join(units.select("node_id", "pop"), "node_id").groupBy("step", "zone").agg(F.sum("pop").alias("population"), F.count(F.lit(1)).alias("n_units"))
 
 
 def population_deviation(units: DataFrame, plans: DataFrame, k: int) -> DataFrame:
-    """step, its largest deviation and the (lowest) district that has it."""
+    """step, its largest deviation and the (lowest) zone that has it."""
     ideal = F.broadcast(units.agg((F.sum("pop") / F.lit(float(k))).alias("ideal")))
-    dev = district_population(units, plans).crossJoin(ideal).select("step", "district", (F.abs(F.col("population") - F.col("ideal")) / F.col("ideal")).alias("dev"))
-    worst = F.row_number().over(Window.partitionBy("step").orderBy(F.desc("dev"), "district"))
-    return dev.withColumn("n", worst).filter("n = 1").select("step", F.round("dev", 6).alias("pop_dev_max"), F.col("district").alias("worst_district"))
+    dev = zone_population(units, plans).crossJoin(ideal).select("step", "zone", (F.abs(F.col("population") - F.col("ideal")) / F.col("ideal")).alias("dev"))
+    worst = F.row_number().over(Window.partitionBy("step").orderBy(F.desc("dev"), "zone"))
+    return dev.withColumn("n", worst).filter("n = 1").select("step", F.round("dev", 6).alias("pop_dev_max"), F.col("zone").alias("worst_zone"))
 
 
 def districts_of_subset(units: DataFrame, plans: DataFrame, county: int) -> DataFrame:
     """step, how many districts the units of a county are in."""
-    return plans.join(units.filter(F.col("county") == county).select("node_id"), "node_id", "left_semi").groupBy("step").agg(F.countDistinct("district").alias("districts"))
+    return plans.join(units.filter(F.col("county") == county).select("node_id"), "node_id", "left_semi").groupBy("step").agg(F.countDistinct("zone").alias("districts"))
 
 
 def ordered_chunks(rows: DataFrame, key: str, width: int) -> DataFrame:

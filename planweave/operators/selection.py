@@ -119,7 +119,7 @@ def _not_dominated(rows: DataFrame, others: DataFrame, objectives: dict[str, str
     return a.join(b, as_good & better, "left_anti")
 
 
-FIVE = {"pp_mean": "max", "pop_dev_max": "min", "county_splits": "min", "max_county_districts": "min", "cut_border_m": "min"}
+FIVE = {"pp_mean": "max", "county_splits": "min", "cut_edges": "min", "max_county_districts": "min", "cut_border_m": "min"}
 THREE = {"pp_mean": "max", "county_splits": "min", "cut_edges": "min"}
 
 

@@ -35,24 +35,24 @@ def query(sql: str | None = None, more: dict[str, str] | None = None):
 # ---- metrics of plans
 
 DIST = """
- select d.step, d.district, coalesce(s.pop, 0) pop, coalesce(s.area, 0) area, coalesce(s.outer_m, 0) - coalesce(i.inner_m, 0) perim
- from (select step, district from step cross join (select unnest(generate_series(0, 3)) district)) d
- left join (select p.step, p.district, sum(u.pop) pop, sum(u.area_m2) area, sum(u.perimeter_m) outer_m from plan p join units u using (node_id) group by all) s using (step, district)
- left join (select pu.step, pu.district, sum(2*e.border_len_m) inner_m from edge e join plan pu on pu.node_id = e.u join plan pv on pv.node_id = e.v and pv.step = pu.step where pu.district = pv.district group by all) i using (step, district)"""
+ select d.step, d.zone, coalesce(s.pop, 0) pop, coalesce(s.area, 0) area, coalesce(s.outer_m, 0) - coalesce(i.inner_m, 0) perim
+ from (select step, zone from step cross join (select unnest(generate_series(0, 3)) zone)) d
+ left join (select p.step, p.zone, sum(u.pop) pop, sum(u.area_m2) area, sum(u.perimeter_m) outer_m from plan p join units u using (node_id) group by all) s using (step, zone)
+ left join (select pu.step, pu.zone, sum(2*e.border_len_m) inner_m from edge e join plan pu on pu.node_id = e.u join plan pv on pv.node_id = e.v and pv.step = pu.step where pu.zone = pv.zone group by all) i using (step, zone)"""
 SCORED = """
  select step, case when perim > 0 then least(greatest(4*pi()*area/(perim*perim), 0), 1) else 0 end pp,
         abs(pop - ideal)/ideal dev from dist cross join (select sum(pop)/4.0::double ideal from units)"""
 CUTS = """
- select pu.step, count(*) filter (pu.district <> pv.district) cut_edges,
-        coalesce(sum(e.border_len_m) filter (pu.district <> pv.district), 0) cut_border_m,
-        coalesce(min(e.border_len_m) filter (pu.district <> pv.district), 0) min_cut_border_m
+ select pu.step, count(*) filter (pu.zone <> pv.zone) cut_edges,
+        coalesce(sum(e.border_len_m) filter (pu.zone <> pv.zone), 0) cut_border_m,
+        coalesce(min(e.border_len_m) filter (pu.zone <> pv.zone), 0) min_cut_border_m
  from edge e join plan pu on pu.node_id = e.u join plan pv on pv.node_id = e.v and pv.step = pu.step group by all"""
 METRICS = """
  select step, round(min(pp), 6) pp_min, round(avg(pp), 6) pp_mean, round(max(pp), 6) pp_max, round(max(dev), 6) pop_dev_max, round(avg(dev), 6) pop_dev_mean, cut_edges, cut_border_m
  from scored join cuts using (step) group by step, cut_edges, cut_border_m"""
 SPLITS = """
  select step, cast(sum(n - 1) as bigint) county_splits, max(n) max_county_districts
- from (select p.step, u.county, count(distinct p.district) n from plan p join units u using (node_id) where u.county is not null group by all) group by step"""
+ from (select p.step, u.county, count(distinct p.zone) n from plan p join units u using (node_id) where u.county is not null group by all) group by step"""
 ALL = """
  select m.*, s.county_splits, s.max_county_districts, c.min_cut_border_m from metric m join splits s using (step) join cuts c using (step)"""
 MORE = {"dist": DIST, "scored": SCORED, "cuts": CUTS, "metric": METRICS, "splits": SPLITS, "allm": ALL}
@@ -67,9 +67,9 @@ def plan_metrics(s):
     return metrics.plan_metrics(s.units, s.edges, s.plans, K)
 
 
-@query("select step, district, cast(pop as bigint) pop, cast(area as double) area_m2, cast(perim as double) perimeter_m from dist", MORE)
-def district_table(s):
-    return metrics.district_table(s.units, s.edges, s.plans, K)
+@query("select step, zone, cast(pop as bigint) pop, cast(area as double) area_m2, cast(perim as double) perimeter_m from dist", MORE)
+def zone_table(s):
+    return metrics.zone_table(s.units, s.edges, s.plans, K)
 
 
 @query("select * from splits", MORE)
@@ -78,7 +78,7 @@ def plan_county_splits(s):
 
 
 @query("""select step, count(*) - count(distinct county) county_splits
- from (select distinct p.step, u.county, p.district from plan p join units u using (node_id)) group by step""")
+ from (select distinct p.step, u.county, p.zone from plan p join units u using (node_id)) group by step""")
 def plan_county_splits_pairs(s):
     return metrics.county_splits_pairs(s.units, s.plans)
 
@@ -93,15 +93,15 @@ def peninsula_ratio(s):
     return metrics.peninsula_ratio(metrics.cut_borders(s.edges, s.plans)).select("step", F.round("peninsula_ratio", 6).alias("peninsula_ratio"))
 
 
-@query("select p.step, p.district, cast(sum(u.pop) as bigint) population, count(*) n_units from plan p join units u using (node_id) group by all")
-def district_population(s):
-    return metrics.district_population(s.units, s.plans)
+@query("select p.step, p.zone, cast(sum(u.pop) as bigint) population, count(*) n_units from plan p join units u using (node_id) group by all")
+def zone_population(s):
+    return metrics.zone_population(s.units, s.plans)
 
 
-@query("""select step, round(dev, 6) pop_dev_max, district worst_district from (
- select *, row_number() over (partition by step order by dev desc, district) n from (
-  select p.step, p.district, abs(sum(u.pop) - ideal)/ideal dev from plan p join units u using (node_id) cross join (select sum(pop)/4.0::double ideal from units) group by p.step, p.district, ideal)) where n = 1""")
-def district_pop_deviation(s):
+@query("""select step, round(dev, 6) pop_dev_max, zone worst_zone from (
+ select *, row_number() over (partition by step order by dev desc, zone) n from (
+  select p.step, p.zone, abs(sum(u.pop) - ideal)/ideal dev from plan p join units u using (node_id) cross join (select sum(pop)/4.0::double ideal from units) group by p.step, p.zone, ideal)) where n = 1""")
+def zone_pop_deviation(s):
     return metrics.population_deviation(s.units, s.plans, K)
 
 
@@ -113,8 +113,8 @@ def hard_filter(s):
     return selection.hard_filter(metrics.plan_metrics(s.units, s.edges, s.plans, K), 0.02, 0.2)
 
 
-@query("""select step, n districts from (select p.step, count(distinct p.district) n from plan p join units u using (node_id) where u.county = 20 group by 1)
- where n <= (select case when min(n) <= 1 then 1 when min(n) <= 2 then 2 when min(n) <= 3 then 3 end from (select p.step, count(distinct p.district) n from plan p join units u using (node_id) where u.county = 20 group by 1))""")
+@query("""select step, n districts from (select p.step, count(distinct p.zone) n from plan p join units u using (node_id) where u.county = 20 group by 1)
+ where n <= (select case when min(n) <= 1 then 1 when min(n) <= 2 then 2 when min(n) <= 3 then 3 end from (select p.step, count(distinct p.zone) n from plan p join units u using (node_id) where u.county = 20 group by 1))""")
 def constrained_subset_filter(s):
     return selection.relaxed(metrics.districts_of_subset(s.units, s.plans, 20), F.col("districts"), (1, 2, 3))
 
@@ -124,8 +124,8 @@ def seeded_sample(s):
     return selection.seeded_sample(s.plans.select("step").distinct(), 20)
 
 
-FIVE = """not exists (select 1 from allm b where b.pp_mean >= a.pp_mean and b.pop_dev_max <= a.pop_dev_max and b.county_splits <= a.county_splits and b.max_county_districts <= a.max_county_districts and b.cut_border_m <= a.cut_border_m
- and (b.pp_mean > a.pp_mean or b.pop_dev_max < a.pop_dev_max or b.county_splits < a.county_splits or b.max_county_districts < a.max_county_districts or b.cut_border_m < a.cut_border_m))"""
+FIVE = """not exists (select 1 from allm b where b.pp_mean >= a.pp_mean and b.cut_edges <= a.cut_edges and b.county_splits <= a.county_splits and b.max_county_districts <= a.max_county_districts and b.cut_border_m <= a.cut_border_m
+ and (b.pp_mean > a.pp_mean or b.cut_edges < a.cut_edges or b.county_splits < a.county_splits or b.max_county_districts < a.max_county_districts or b.cut_border_m < a.cut_border_m))"""
 
 
 @query(f"select * from allm a where {FIVE}", MORE)
@@ -226,10 +226,10 @@ def adjacency_from_segments(s):
     return graph.adjacency(s.segments, "node_id", ["o", "a", "b"])
 
 
-@query("""select step, district, sum(len_m) perimeter_m from (
-  select p.step, p.district, s.o, s.a, s.b, min(s.len_m) len_m from seg s join plan p using (node_id) group by p.step, p.district, s.o, s.a, s.b having count(*) % 2 = 1) group by all""")
+@query("""select step, zone, sum(len_m) perimeter_m from (
+  select p.step, p.zone, s.o, s.a, s.b, min(s.len_m) len_m from seg s join plan p using (node_id) group by p.step, p.zone, s.o, s.a, s.b having count(*) % 2 = 1) group by all""")
 def dissolve_perimeter(s):
-    return graph.dissolved_boundary(s.segments, s.plans, "node_id", ["step", "district"], ["o", "a", "b"])
+    return graph.dissolved_boundary(s.segments, s.plans, "node_id", ["step", "zone"], ["o", "a", "b"])
 
 
 BRICK = {"brick": "select c_custkey id, 100.0::double * (c_custkey % 40) + 50 * ((c_custkey // 40) % 2) x, 100.0::double * (c_custkey // 40) y, c_custkey // 40 r from customer"}
@@ -373,8 +373,8 @@ def road_penalty_semi(s):
 EST = {
     "tot": "select v.*, d + r total, case when d + r > 0 then d/(d+r) else 0.5 end share, target - coalesce(sum(d) over (partition by state) / nullif(sum(d+r) over (partition by state), 0), 0.5) swing from votes v join targets using (state)",
     "est": "select *, least(greatest(share + swing, 0), 1) estimate from tot",
-    "shares": "select e.state, p.district, round(coalesce(sum(estimate*total)/nullif(sum(total), 0), 0.5), 4) share from est e join plan p using (node_id) where p.step = 3 group by all",
-    "lab": "select state, district, share, case when share >= 0.5 then 'D' else 'R' end lean, cast(round_even(abs(share - 0.5)*200, 0) as int) margin, concat(case when share >= 0.5 then 'D+' else 'R+' end, cast(cast(round_even(abs(share - 0.5)*200, 0) as int) as varchar)) label from shares",
+    "shares": "select e.state, p.zone, coalesce(sum(estimate*total)/nullif(sum(total), 0), 0.5) share from est e join plan p using (node_id) where p.step = 3 group by all",
+    "lab": "select state, zone, round(share, 4) share, case when share >= 0.5 then 'D' else 'R' end lean, cast(round_even(abs(share - 0.5)*200, 0) as int) margin, concat(case when share >= 0.5 then 'D+' else 'R+' end, cast(cast(round_even(abs(share - 0.5)*200, 0) as int) as varchar)) label from shares",
 }
 
 
@@ -383,8 +383,8 @@ def estimates(s: Surrogate) -> DataFrame:
 
 
 def lean_table(s: Surrogate) -> DataFrame:
-    rows = estimates(s).join(s.plans.filter("step = 3").select("node_id", "district"), "node_id")
-    return audit.labelled(audit.weighted_share(rows, ["state", "district"]))
+    rows = estimates(s).join(s.plans.filter("step = 3").select("node_id", "zone"), "node_id")
+    return audit.labelled(audit.weighted_share(rows, ["state", "zone"]))
 
 
 @query("select node_id, state, total, round(share, 6) share, round(swing, 6) swing, round(estimate, 6) estimate from est", EST)
@@ -392,9 +392,9 @@ def uniform_swing(s):
     return estimates(s).select("node_id", "state", "total", *(F.round(c, 6).alias(c) for c in ("share", "swing", "estimate")))
 
 
-@query("select district, round(coalesce(sum(d)/nullif(sum(d+r), 0), 0.5), 4) share from votes join plan using (node_id) where step = 3 group by district")
-def district_lean(s):
-    return audit.two_party_share(s.votes.join(s.plans.filter("step = 3"), "node_id"), ["district"])
+@query("select zone, round(coalesce(sum(d)/nullif(sum(d+r), 0), 0.5), 4) share from votes join plan using (node_id) where step = 3 group by zone")
+def zone_lean(s):
+    return audit.two_party_share(s.votes.join(s.plans.filter("step = 3"), "node_id"), ["zone"])
 
 
 @query("select * from lab", EST)
@@ -412,25 +412,25 @@ def margin_bands(s):
     return audit.margin_bands(lean_table(s))
 
 
-@query("""select state, district, share, lean, margin, label from lab union all select concat('x', n_name), 0, 0.5 + cast(n_nationkey as double)/100, 'D', cast(round_even(abs(0.5 + cast(n_nationkey as double)/100 - 0.5)*200, 0) as int),
+@query("""select state, zone, share, lean, margin, label from lab union all select concat('x', n_name), 0, 0.5 + cast(n_nationkey as double)/100, 'D', cast(round_even(abs(0.5 + cast(n_nationkey as double)/100 - 0.5)*200, 0) as int),
  concat('D+', cast(cast(round_even(abs(0.5 + cast(n_nationkey as double)/100 - 0.5)*200, 0) as int) as varchar)) from nation where n_regionkey = 0""", EST)
 def at_large_union(s):
-    rows = s.table("nation").filter("n_regionkey = 0").select(F.concat(F.lit("x"), "n_name").alias("state"), F.lit(0).cast("bigint").alias("district"), (F.lit(0.5) + F.col("n_nationkey").cast("double") / 100).alias("share"))
+    rows = s.table("nation").filter("n_regionkey = 0").select(F.concat(F.lit("x"), "n_name").alias("state"), F.lit(0).cast("bigint").alias("zone"), (F.lit(0.5) + F.col("n_nationkey").cast("double") / 100).alias("share"))
     return audit.at_large(lean_table(s), rows)
 
 
-@query("select c_custkey id, try_cast(cd as int) - 1 district from (select c_custkey, case when c_custkey % 7 = 0 then 'ZZ' when c_custkey % 11 = 0 then null when c_custkey % 13 = 0 then 'x1' else lpad(cast(1 + c_custkey % 9 as varchar), 2, '0') end cd from customer) where cd <> 'ZZ' and try_cast(cd as int) is not null")
+@query("select c_custkey id, try_cast(cd as int) - 1 zone from (select c_custkey, case when c_custkey % 7 = 0 then 'ZZ' when c_custkey % 11 = 0 then null when c_custkey % 13 = 0 then 'x1' else lpad(cast(1 + c_custkey % 9 as varchar), 2, '0') end cd from customer) where cd <> 'ZZ' and try_cast(cd as int) is not null")
 def enacted_filter(s):
     i = F.col("c_custkey")
     cd = F.when(i % 7 == 0, "ZZ").when(i % 11 == 0, None).when(i % 13 == 0, "x1").otherwise(F.lpad((1 + i % 9).cast("string"), 2, "0"))
-    return audit.enacted_districts(s.table("customer").select(i.alias("id"), cd.alias("cd"))).select("id", "district")
+    return audit.enacted_districts(s.table("customer").select(i.alias("id"), cd.alias("cd"))).select("id", "zone")
 
 
 @query("""select b.state, b.n proposed_d, e.n enacted_d, b.n - e.n deviation from (select state, count(*) filter (lean = 'D') n from lab group by state) b
- join (select state, count(*) filter (share >= 0.5) n from (select v.state, p.district, coalesce(sum(d)/nullif(sum(d+r), 0), 0.5) share from votes v join plan p using (node_id) where p.step = 7 and v.state <> 's3' group by all) group by state) e using (state)""", EST)
+ join (select state, count(*) filter (share >= 0.5) n from (select v.state, p.zone, coalesce(sum(d)/nullif(sum(d+r), 0), 0.5) share from votes v join plan p using (node_id) where p.step = 7 and v.state <> 's3' group by all) group by state) e using (state)""", EST)
 def seat_deviation(s):
     seats = lambda d: d.groupBy("state").agg(F.count_if(F.col("share") >= 0.5).alias("d_seats"))
-    enacted = s.votes.filter("state <> 's3'").join(s.plans.filter("step = 7"), "node_id").groupBy("state", "district").agg(scalar.ratio(F.sum("d"), F.sum("d") + F.sum("r"), 0.5).alias("share"))
+    enacted = s.votes.filter("state <> 's3'").join(s.plans.filter("step = 7"), "node_id").groupBy("state", "zone").agg(scalar.ratio(F.sum("d"), F.sum("d") + F.sum("r"), 0.5).alias("share"))
     return audit.seat_deviation(seats(lean_table(s)), seats(enacted))
 
 
@@ -439,11 +439,11 @@ def competitive_counts(s):
     return audit.competitive_counts(lean_table(s), (2, 5, 8, 10))
 
 
-@query("select l.state, l.district, h.state is not null highlighted from lab l left join (select state, min(district) district from lab group by state) h using (state, district)", EST)
+@query("select l.state, l.zone, h.state is not null highlighted from lab l left join (select state, min(zone) zone from lab group by state) h using (state, zone)", EST)
 def highlight_marks(s):
     rows = lean_table(s)
-    chosen = rows.groupBy("state").agg(F.min("district").alias("district")).withColumn("mark", F.lit(True))
-    return rows.join(chosen, ["state", "district"], "left").select("state", "district", F.col("mark").isNotNull().alias("highlighted"))
+    chosen = rows.groupBy("state").agg(F.min("zone").alias("zone")).withColumn("mark", F.lit(True))
+    return rows.join(chosen, ["state", "zone"], "left").select("state", "zone", F.col("mark").isNotNull().alias("highlighted"))
 
 
 # ---- diversity
@@ -451,19 +451,19 @@ def highlight_marks(s):
 GROUPS = ["hispanic", "nh_white", "nh_black", "nh_aian", "nh_asian", "nh_nhpi", "nh_other"]
 RACE = {
     "race": "select 1 + l_orderkey % (select count(*) from customer) node_id, " + ", ".join(f"sum(case when l_linenumber = {i + 1} then l_quantity else 0 end) {g}" for i, g in enumerate(GROUPS)) + " from lineitem group by 1",
-    "rsum": "select step, district, " + ", ".join(f"cast(sum({g}) as double) {g}" for g in GROUPS) + " from race join plan using (node_id) group by all",
-    "div": "select step, district, round(case when t > 0 then 1 - (" + " + ".join(f"({g}/t)*({g}/t)" for g in GROUPS) + ") else 0 end, 6) diversity from (select *, " + "+".join(GROUPS) + " t from rsum)",
+    "rsum": "select step, zone, " + ", ".join(f"cast(sum({g}) as double) {g}" for g in GROUPS) + " from race join plan using (node_id) group by all",
+    "div": "select step, zone, round(case when t > 0 then 1 - (" + " + ".join(f"({g}/t)*({g}/t)" for g in GROUPS) + ") else 0 end, 6) diversity from (select *, " + "+".join(GROUPS) + " t from rsum)",
 }
 
 
 def diversity_table(s: Surrogate) -> DataFrame:
     units = F.broadcast(s.table("customer").agg(F.count(F.lit(1)).alias("units")))
     counts = s.table("lineitem").crossJoin(units).groupBy((1 + F.col("l_orderkey") % F.col("units")).alias("node_id")).agg(*(F.sum(F.when(F.col("l_linenumber") == i + 1, F.col("l_quantity")).otherwise(0.0)).alias(g) for i, g in enumerate(GROUPS)))
-    return audit.diversity(counts.join(s.plans, "node_id"), ["step", "district"], GROUPS)
+    return audit.diversity(counts.join(s.plans, "node_id"), ["step", "zone"], GROUPS)
 
 
 @query("select * from div", RACE)
-def herfindahl_by_district(s):
+def herfindahl_by_zone(s):
     return diversity_table(s)
 
 
@@ -611,17 +611,17 @@ def manifest_status(s):
     return audit.manifest_status(s.table("customer").select(F.col("c_nationkey").alias("fips"), ok.alias("ok")))
 
 
-@query("select step, node_id, district from plan")
+@query("select step, node_id, zone from plan")
 def wide_to_long_plans(s):
     """Wide rows of 100 columns, so many to a step as the nodes need."""
-    cells = s.plans.select("step", F.expr("node_id div 100").alias("block"), (F.col("node_id") % 100).alias("slot"), "district")
-    wide = cells.groupBy("step", "block").pivot("slot", list(range(100))).agg(F.first("district").cast("smallint"))
+    cells = s.plans.select("step", F.expr("node_id div 100").alias("block"), (F.col("node_id") % 100).alias("slot"), "zone")
+    wide = cells.groupBy("step", "block").pivot("slot", list(range(100))).agg(F.first("zone").cast("smallint"))
     return tables.wide_to_long(wide.withColumnsRenamed({str(i): f"n{i}" for i in range(100)}), block="block", width=100)
 
 
-@query("select state, cast(district as int) district, share, lean, margin, label from lab", EST)
+@query("select state, cast(zone as int) zone, share, lean, margin, label from lab", EST)
 def lean_json_flatten(s):
-    d = lean_table(s).groupBy("state").agg(F.map_from_entries(F.collect_list(F.struct(F.col("district").cast("string"), F.struct(F.col("share").alias("harris_pct"), "lean", "margin", "label")))).alias("districts"))
+    d = lean_table(s).groupBy("state").agg(F.map_from_entries(F.collect_list(F.struct(F.col("zone").cast("string"), F.struct(F.col("share").alias("harris_pct"), "lean", "margin", "label")))).alias("districts"))
     return tables.flatten_lean(d.select(F.to_json(F.create_map("state", F.struct("districts"))).alias("value")))
 
 
@@ -701,7 +701,7 @@ def repair(s):
     """Plans of four bands of 4, 5, 5 and 6 columns, until they balance."""
     units, edges = halves(s)
     column = F.col("gx") % 20
-    plans = units.select("state", "node_id", ((column >= 4).cast("bigint") + (column >= 9).cast("bigint") + (column >= 14).cast("bigint")).alias("district"))
+    plans = units.select("state", "node_id", ((column >= 4).cast("bigint") + (column >= 9).cast("bigint") + (column >= 14).cast("bigint")).alias("zone"))
     return chains.repaired(units, edges, plans, 4, tolerance=0.05, beta=0.5)
 
 

@@ -29,7 +29,7 @@ EDGE = """
 STEP = "select distinct cast(o_orderkey % 50 as bigint) step from orders"
 PLAN = """
   select p.step, u.node_id,
-         cast(least(floor((u.gx + (p.step*(1 + cast(floor(u.gy/8.0) as bigint))) % (1 + p.step % 7))/10.0), 3) as bigint) as district
+         cast(least(floor((u.gx + (p.step*(1 + cast(floor(u.gy/8.0) as bigint))) % (1 + p.step % 7))/10.0), 3) as bigint) as zone
   from unit u cross join step p"""
 SEG = """
   select node_id, 'V' o, gx a, gy b, h len_m from g union all select node_id, 'V', gx+1, gy, h from g

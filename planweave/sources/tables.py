@@ -71,25 +71,25 @@ def read_pl(spark: SparkSession, geography: str, segment: str) -> DataFrame:
 
 
 def wide_to_long(wide: DataFrame, prefix: str = "n", block: str | None = None, width: int = 0) -> DataFrame:
-    """step, node_id, district from one column per node: an array of the columns, exploded by position.
+    """step, node_id, zone from one column per node: an array of the columns, exploded by position.
 
     With `block`, a step has several rows, each of `width` nodes from `block` * `width` on; columns without a node are null there and go.
     """
     named = [c for c in wide.columns if re.fullmatch(rf"{prefix}\d+", c)]
     ids = F.array(*(F.lit(int(c[len(prefix) :])).cast("bigint") for c in named))
     first = (F.col(block) * width).cast("bigint") if block else F.lit(0).cast("bigint")
-    rows = wide.select("step", first.alias("first"), F.posexplode(F.array(*named)).alias("at", "district"))
-    rows = rows.filter("district is not null") if block else rows
-    return rows.select("step", (F.col("first") + F.get(ids, F.col("at"))).alias("node_id"), F.col("district").cast("bigint").alias("district"))
+    rows = wide.select("step", first.alias("first"), F.posexplode(F.array(*named)).alias("at", "zone"))
+    rows = rows.filter("zone is not null") if block else rows
+    return rows.select("step", (F.col("first") + F.get(ids, F.col("at"))).alias("node_id"), F.col("zone").cast("bigint").alias("zone"))
 
 
 LEAN = "map<string, struct<districts: map<string, struct<harris_pct: double, lean: string, margin: int, label: string>>, D: int, R: int>>"
 
 
 def flatten_lean(documents: DataFrame, column: str = "value") -> DataFrame:
-    """state, district, share, lean, margin, label from nested JSON; entries without districts (totals, bands) go."""
+    """state, zone, share, lean, margin, label from nested JSON; entries without districts (totals, bands) go."""
     states = documents.select(F.explode(F.from_json(column, LEAN)).alias("state", "x")).filter("x.districts is not null")
-    return states.select("state", F.explode("x.districts").alias("district", "d")).select("state", F.col("district").cast("int").alias("district"), F.col("d.harris_pct").alias("share"), "d.lean", "d.margin", "d.label")
+    return states.select("state", F.explode("x.districts").alias("zone", "d")).select("state", F.col("zone").cast("int").alias("zone"), F.col("d.harris_pct").alias("share"), "d.lean", "d.margin", "d.label")
 
 
 def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -29,14 +29,14 @@ def test_grid_of_three(spark):
     shapes = polygons(spark, [(3 * y + x, square(100.0 * x, 100.0 * y)) for y in range(3) for x in range(3)])
     edges = graph.adjacency(graph.polygon_segments(shapes, "id"), "id", ["p", "q"])
     assert edges.count() == 12 and {r.border_len_m for r in edges.collect()} == {100.0}
-    plans = spark.createDataFrame([(0, i, 0 if i % 3 == 0 else 1) for i in range(9)], "step long, node_id long, district long")
+    plans = spark.createDataFrame([(0, i, 0 if i % 3 == 0 else 1) for i in range(9)], "step long, node_id long, zone long")
     got = metrics.plan_metrics(units, edges, plans, 2).first()
     pp = [4 * math.pi * 30000 / 800**2, 4 * math.pi * 60000 / 1000**2]
     assert got.cut_edges == 3 and got.cut_border_m == 300
     assert abs(got.pp_min - min(pp)) < 1e-6 and abs(got.pp_mean - sum(pp) / 2) < 1e-6
-    assert metrics.plan_metrics(units, edges, plans, 3).first().pp_min == 0  # an empty district
-    edge = graph.dissolved_boundary(graph.polygon_segments(shapes, "id"), plans.withColumnRenamed("node_id", "id"), "id", ["step", "district"], ["p", "q"])
-    assert {(r.district, r.perimeter_m) for r in edge.collect()} == {(0, 800.0), (1, 1000.0)}
+    assert metrics.plan_metrics(units, edges, plans, 3).first().pp_min == 0  # an empty zone
+    edge = graph.dissolved_boundary(graph.polygon_segments(shapes, "id"), plans.withColumnRenamed("node_id", "id"), "id", ["step", "zone"], ["p", "q"])
+    assert {(r.zone, r.perimeter_m) for r in edge.collect()} == {(0, 800.0), (1, 1000.0)}
 
 
 def test_border_floor(spark):
@@ -63,6 +63,22 @@ def test_pareto_keeps_duplicates(spark):
     assert sorted(r.step for r in selection.pareto(rows, {"a": "max", "b": "min"}).collect()) == [1, 2, 4]
 
 
+def test_cut_edges_are_an_objective_and_deviation_is_none(spark):
+    base = {"pp_mean": 0.3, "county_splits": 4, "max_county_districts": 2, "cut_border_m": 900.0}
+    rows = spark.createDataFrame([(1, 10, 0.004, *base.values()), (2, 9, 0.005, *base.values())], "step long, cut_edges long, pop_dev_max double, " + ", ".join(f"{n} double" if isinstance(v, float) else f"{n} long" for n, v in base.items()))
+    assert [r.step for r in selection.pareto(rows, selection.FIVE).collect()] == [2]
+    old = rows.drop("cut_edges")  # an objective that old tables lack is left out
+    assert sorted(r.step for r in selection.pareto(old, selection.FIVE).collect()) == [1, 2]
+
+
+def test_labels_are_of_the_share_before_it_is_rounded(spark):
+    rows = spark.createDataFrame([("a", 0, 0.49996, 1.0), ("a", 1, 0.5124996, 3.0), ("a", 2, None, 0.0)], "state string, zone long, estimate double, total double")
+    got = {r.zone: (r.share, r.lean, r.margin, r.label) for r in audit.labelled(audit.weighted_share(rows, ["state", "zone"])).collect()}
+    assert got == {0: (0.5, "R", 0, "R+0"), 1: (0.5125, "D", 2, "D+2"), 2: (0.5, "D", 0, "D+0")}
+    ties = spark.createDataFrame([("b", 0, 0.51250004, 1.0)], rows.schema)  # 2.500008, which rounds to 3; 0.5125 would go to 2
+    assert audit.labelled(audit.weighted_share(ties, ["state", "zone"])).first().margin == 3
+
+
 def test_filters(spark):
     rows = spark.createDataFrame([(1, 0.05, 0.005), (2, 0.049, 0.0), (3, 0.9, 0.0051)], "step long, pp_min double, pop_dev_max double")
     assert [r.step for r in selection.hard_filter(rows).collect()] == [1]
@@ -89,8 +105,8 @@ def test_weights(spark):
 def test_labels(spark):
     for share, label in ((0.871, "D+74"), (0.435, "R+13"), (0.5, "D+0")):
         assert one(spark, scalar.lean_label(F.lit(share))) == label
-    rows = spark.createDataFrame([("a", 1, None, None)], "state string, district int, d double, r double")
-    assert audit.two_party_share(rows, ["district"]).first().share == 0.5
+    rows = spark.createDataFrame([("a", 1, None, None)], "state string, zone int, d double, r double")
+    assert audit.two_party_share(rows, ["zone"]).first().share == 0.5
     assert one(spark, scalar.herfindahl(F.array(*(F.lit(float(v)) for v in (50, 50, 0, 0, 0, 0, 0))))) == 0.5
     assert one(spark, scalar.herfindahl(F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
     assert one(spark, scalar.colour_channel(F.lit(0.5), 0)) == 0xF5 and one(spark, scalar.colour_channel(F.lit(1.0), 2)) == 0x87
@@ -131,7 +147,7 @@ def test_census_lines(spark, tmp_path):
 
 def test_placeholders(spark):
     rows = spark.createDataFrame([("01",), ("ZZ",), (None,), ("x",)], "cd string")
-    assert [r.district for r in audit.enacted_districts(rows).collect()] == [0]
+    assert [r.zone for r in audit.enacted_districts(rows).collect()] == [0]
 
 
 def test_states(spark):
@@ -173,7 +189,7 @@ def test_shapefile(spark, tmp_path):
 
 
 def test_chunks_resume(spark, tmp_path):
-    plans = spark.createDataFrame([(i, 0, 1) for i in range(6)], "step long, node_id long, district long")
+    plans = spark.createDataFrame([(i, 0, 1) for i in range(6)], "step long, node_id long, zone long")
     for chunk in (0, 1, 1):
         tables.write_chunk(plans.filter(f"step div 3 = {chunk}"), str(tmp_path / "chunks"), chunk)
     assert tables.resume_at(spark, str(tmp_path / "chunks")) == 6
@@ -237,9 +253,9 @@ def test_subtrees_of_tall_trees_and_forests(spark):
 
 
 def test_resume_after_the_first_step(spark, tmp_path):
-    spark.createDataFrame([(0, 0, 1)], "step long, node_id long, district long").write.parquet(str(tmp_path / "one"))
+    spark.createDataFrame([(0, 0, 1)], "step long, node_id long, zone long").write.parquet(str(tmp_path / "one"))
     assert tables.resume_at(spark, str(tmp_path / "one")) == 1
-    spark.createDataFrame([], "step long, node_id long, district long").write.parquet(str(tmp_path / "none"))
+    spark.createDataFrame([], "step long, node_id long, zone long").write.parquet(str(tmp_path / "none"))
     assert tables.resume_at(spark, str(tmp_path / "none")) == 0
 
 
@@ -318,7 +334,7 @@ def test_frontier_of_many(spark, monkeypatch):
 
 def test_plans_that_leave_out_nodes(spark):
     edges = spark.createDataFrame([(0, 1, 5.0), (1, 2, 7.0)], "u long, v long, border_len_m double")
-    plans = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (0, 2, 1), (1, 0, 0), (1, 1, 0), (2000, 1, 3), (2000, 2, 4)], "step long, node_id long, district long")
+    plans = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (0, 2, 1), (1, 0, 0), (1, 1, 0), (2000, 1, 3), (2000, 2, 4)], "step long, node_id long, zone long")
     got = sorted((r.step, r.u, r.v, r.du, r.dv) for r in metrics.cut_marks(edges, plans).collect())
     assert got == [(0, 0, 1, 0, 1), (0, 1, 2, 1, 1), (1, 0, 1, 0, 0), (2000, 1, 2, 3, 4)]
     units = spark.createDataFrame([(i, 10, 4.0, 8.0) for i in range(3)], "node_id long, pop long, area_m2 double, perimeter_m double")
