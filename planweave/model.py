@@ -70,6 +70,22 @@ STATES = """
 56 WY Wyoming 1 5070
 """
 
+# Two-party share of the Democratic candidate in the presidential election of 2024, by state; then those of the states with one seat
+SHARES_2024 = """
+AL 0.326 AR 0.323 AZ 0.471 CA 0.606 CO 0.564 CT 0.574 FL 0.434 GA 0.489 HI 0.710 IA 0.419 ID 0.284 IL 0.544 IN 0.367 KS 0.352 KY 0.312
+LA 0.341 MA 0.637 MD 0.666 ME 0.540 MI 0.493 MN 0.533 MO 0.397 MS 0.367 MT 0.392 NC 0.483 NE 0.366 NH 0.518 NJ 0.544 NM 0.554 NV 0.482
+NY 0.565 OH 0.439 OK 0.322 OR 0.594 PA 0.491 RI 0.597 SC 0.411 TN 0.331 TX 0.432 UT 0.392 VA 0.548 WA 0.601 WI 0.494 WV 0.248
+"""
+AT_LARGE_2024 = "AK 0.436 DE 0.583 ND 0.321 SD 0.361 VT 0.676 WY 0.233"
+
+# The Census Bureau's regions
+REGIONS = {
+    "Northeast": "CT ME MA NH NJ NY PA RI VT",
+    "Midwest": "IL IN IA KS MI MN MO NE OH ND SD WI",
+    "South": "AL AR DE FL GA KY LA MD MS NC OK SC TN TX VA WV",
+    "West": "AK AZ CA CO HI ID MT NV NM OR UT WA WY",
+}
+
 
 def state_rows() -> list[tuple[str, str, str, int, str]]:
     rows = [line.split() for line in STATES.strip().splitlines()]
@@ -89,3 +105,13 @@ def seats_checked(states: DataFrame, seats: int = 435) -> DataFrame:
 
 def states(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(state_rows(), "fips string, abbr string, name string, k int, crs string")
+
+
+def shares(spark: SparkSession, at_large: bool = False) -> DataFrame:
+    """abbr, target: the states' shares of 2024, those with several seats or those with one."""
+    words = (AT_LARGE_2024 if at_large else SHARES_2024).split()
+    return spark.createDataFrame([(a, float(x)) for a, x in zip(words[::2], words[1::2], strict=True)], "abbr string, target double")
+
+
+def regions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(a, r) for r, held in REGIONS.items() for a in held.split()], "abbr string, region string")

@@ -16,7 +16,7 @@ def uniform_swing(votes: DataFrame, targets: DataFrame, state: str = "state") ->
     whole = Window.partitionBy(state)
     d, r = F.coalesce("d", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
     rows = votes.withColumn("total", d + r).withColumn("share", scalar.ratio(d, d + r, 0.5))
-    rows = rows.withColumn("swing", F.col("target") - scalar.ratio(F.sum(d).over(whole), F.sum("total").over(whole), 0.5)) if "target" in votes.columns else rows.join(F.broadcast(targets), state).withColumn("swing", F.col("target") - scalar.ratio(F.sum(d).over(whole), F.sum("total").over(whole), 0.5))
+    rows = rows.withColumn("swing", F.col("target") - scalar.ratio(F.sum(d).over(whole), F.sum("total").over(whole), 0.5)) if "target" in votes.columns else rows.join(targets, state).withColumn("swing", F.col("target") - scalar.ratio(F.sum(d).over(whole), F.sum("total").over(whole), 0.5))
     return rows.withColumn("estimate", scalar.clip01(F.col("share") + F.col("swing")))
 
 
@@ -70,6 +70,11 @@ def counts_or_zero(places: DataFrame, counts: DataFrame, key: str, columns: list
     return places.join(counts.select(key, *columns), key, "left").na.fill(0, columns)
 
 
+def looked_up(rows: DataFrame, known: DataFrame, key: str, value: str, otherwise: float) -> DataFrame:
+    """`rows` with a value by key, or another where there is none."""
+    return rows.join(known.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(otherwise)))
+
+
 def competitive_counts(districts: DataFrame, limits: tuple[int, ...]) -> DataFrame:
     return districts.agg(*(F.count_if(F.col("margin") <= t).alias(f"within_{t}") for t in limits))
 
@@ -113,7 +118,7 @@ def padded_bounds(rows: DataFrame, x: Column, y: Column, share: float = 0.02) ->
 
 def work_list(states: DataFrame, templates: DataFrame, manifest: DataFrame) -> DataFrame:
     """The datasets still to be fetched: every template of every state that needs it, less those that are there."""
-    asked = states.crossJoin(F.broadcast(templates)).filter("k > 1 or not multi_only")
+    asked = states.crossJoin(templates).filter("k > 1 or not multi_only")
     url = F.format_string("%s/%s/%s_%s.zip", "base", "dataset", F.lower(F.replace("name", F.lit(" "), F.lit("_"))), "fips")
     return asked.select("fips", "dataset", url.alias("url")).join(manifest.filter("status = 'OK'").select("fips", "dataset"), ["fips", "dataset"], "left_anti")
 

@@ -24,8 +24,10 @@ def cut_marks(edges: DataFrame, plans: DataFrame) -> DataFrame:
     both = edges.select("u", "v", "border_len_m").join(at("u"), "u").join(at("v"), ["v", "_block"])
     row = lambda a, b: F.struct(a["step"].alias("step"), a["zone"].alias("du"), b["zone"].alias("dv"))
     same = F.transform("_u", lambda x: x["step"]) == F.transform("_v", lambda x: x["step"])
-    # plans that leave out nodes: only the steps of both ends
-    met = F.flatten(F.transform("_u", lambda a: F.transform(F.filter("_v", lambda b: b["step"] == a["step"]), lambda b: row(a, b))))
+    # plans that leave out nodes: of both ends' steps in one order, those that come twice
+    tagged = lambda c, side: F.transform(c, lambda x: F.struct(x["step"].alias("step"), F.lit(side).alias("side"), x["zone"].alias("zone")))
+    twice = lambda all_: F.filter(F.zip_with(all_, F.slice(all_, 2, F.size(all_)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: F.coalesce(x["a"]["step"] == x["b"]["step"], F.lit(False)))
+    met = F.transform(F.array(F.array_sort(F.concat(tagged("_u", 0), tagged("_v", 1)))), lambda all_: F.transform(twice(all_), lambda x: row(x["a"], x["b"])))[0]
     pairs = F.when(same, F.zip_with("_u", "_v", row)).otherwise(met)
     return both.select("u", "v", "border_len_m", F.explode(pairs).alias("x")).select("x.step", "u", "v", "border_len_m", "x.du", "x.dv")
 

@@ -99,8 +99,9 @@ def pareto(rows: DataFrame, objectives: dict[str, str]) -> DataFrame:
         some, before, size, tasks = met, size, left, together
         if tasks > 1 and size > 0.9 * before and size > SENT:
             break
-    some = some.drop("_task")
+    where, some = some.stored_at, some.drop("_task")
     if tasks <= 1:
+        some.stored_at = where
         return some
     blocks = -(-size // SENT)
     for i in range(blocks):

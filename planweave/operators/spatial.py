@@ -1,27 +1,210 @@
-"""Spatial joins by grid cells: an equi-join on the cell with the exact predicate as the rest of the condition."""
+"""Spatial joins by cells: equi-joins on a cell with the exact predicate beside.
+
+Polygons are covered by cells of a quadtree that are small where the border is crowded and
+large elsewhere. A cell that no side touches is wholly inside and needs no test; any other
+holds the sides that touch it and whether one place in it is inside, and a point of that cell is
+as far inside as the sides between it and that place say. So no row carries a polygon.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry
+from planweave.session import stored
+
+#: Sides that a cell may hold before it is parted, and how often a first cell is parted at most.
+SIDES, DEPTH = 24, 14
+#: Partings before the cells are dealt out anew.
+SPREAD = 4
+# Where in a cell its place is, as shares of its side: off every grid that data lie on.
+ACROSS, UP = 0.38196601125010515, 0.6180339887498949
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, size: float, how: str = "inner") -> DataFrame:
-    """points (x, y, ...) with `key` of every polygon (geom) that they are strictly inside of.
+def _crossed(sides: Column, x0: Column, y0: Column, x: Column, y: Column) -> Column:
+    """`_turns` of a row's sides."""
+
+    def upright(s: Column) -> Column:
+        at = s["a"]["y"] + (x0 - s["a"]["x"]) * (s["b"]["y"] - s["a"]["y"]) / F.nullif(s["b"]["x"] - s["a"]["x"], F.lit(0.0))
+        return ((s["a"]["x"] > x0) != (s["b"]["x"] > x0)) & F.coalesce((at > y0) != (at > y), F.lit(False))
+
+    def level(s: Column) -> Column:
+        at = s["a"]["x"] + (y - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"]) / F.nullif(s["b"]["y"] - s["a"]["y"], F.lit(0.0))
+        return ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & F.coalesce((at > x0) != (at > x), F.lit(False))
+
+    return (F.size(F.filter(sides, upright)) + F.size(F.filter(sides, level))) % 2 == 1
+
+
+def _touching(sides: np.ndarray, x0: float, y0: float, size: float) -> np.ndarray:
+    """Marks of the sides (rows of ax, ay, bx, by) that come into a closed cell."""
+    ax, ay, bx, by = sides.T
+    boxed = (np.minimum(ax, bx) <= x0 + size) & (np.maximum(ax, bx) >= x0) & (np.minimum(ay, by) <= y0 + size) & (np.maximum(ay, by) >= y0)
+    dx, dy = bx - ax, by - ay
+    corners = np.array([dx * (y - ay) - dy * (x - ax) for x, y in ((x0, y0), (x0 + size, y0), (x0 + size, y0 + size), (x0, y0 + size))])
+    slack = 1e-9 * size * (np.abs(dx) + np.abs(dy))
+    return boxed & (corners.min(axis=0) <= slack) & (corners.max(axis=0) >= -slack)
+
+
+def _turns(sides: np.ndarray, x0: float, y0: float, x: float, y: float) -> bool:
+    """Whether the way from (x0, y0), first up or down and then across, to (x, y) meets an odd number of sides."""
+    ax, ay, bx, by = sides.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = ((ax > x0) != (bx > x0)) & (((at := ay + (x0 - ax) * (by - ay) / (bx - ax)) > y0) != (at > y))
+        over = ((ay > y) != (by > y)) & (((at := ax + (y - ay) * (bx - ax) / (by - ay)) > x0) != (at > x))
+    return bool((int(up.sum()) + int(over.sum())) % 2)
+
+
+def _place(level: int, cx: int, cy: int) -> tuple[float, float]:
+    size = 2.0**level
+    return (cx + ACROSS) * size, (cy + UP) * size
+
+
+Cell = tuple[int, int, int, bool, np.ndarray]
 
-    A point has one cell, so no pair comes up twice.
+
+def _roots(sides: np.ndarray) -> Iterator[Cell]:
+    """The cells, as wide as a polygon, that it lies in."""
+    xs, ys = sides[:, ::2], sides[:, 1::2]
+    x0, y0, x1, y1 = xs.min(), ys.min(), xs.max(), ys.max()
+    level = math.ceil(math.log2(max(x1 - x0, y1 - y0, 1e-9)))
+    size = 2.0**level
+    for cx in range(math.floor(x0 / size), math.floor(x1 / size) + 1):
+        for cy in range(math.floor(y0 / size), math.floor(y1 / size) + 1):
+            x, y = _place(level, cx, cy)
+            inside = _turns(sides, x, y0 - size, x, y)  # from below the polygon, where nothing is inside
+            held = sides[_touching(sides, cx * size, cy * size, size)]
+            if inside or len(held):
+                yield level, cx, cy, inside, held
+
+
+def _quarters(cell: Cell) -> Iterator[Cell]:
+    level, cx, cy, inside, sides = cell
+    here, size = _place(level, cx, cy), 2.0 ** (level - 1)
+    for x, y in ((2 * cx, 2 * cy), (2 * cx + 1, 2 * cy), (2 * cx, 2 * cy + 1), (2 * cx + 1, 2 * cy + 1)):
+        within = inside != _turns(sides, *here, *_place(level - 1, x, y))
+        held = sides[_touching(sides, x * size, y * size, size)]
+        if within or len(held):
+            yield level - 1, x, y, within, held
+
+
+def _sides_of(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sides of rings of points, the last joined to the first."""
+    after = np.roll(points, -1, axis=0)
+    for a, b in zip(ends, ends[1:], strict=False):
+        if b > a:
+            after[b - 1] = points[a]
+    sides = np.hstack([points, after])
+    return sides[(sides[:, :2] != sides[:, 2:]).any(axis=1)]
+
+
+_SIDE = "struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>"
+
+
+def _as_arrow(batch: pa.RecordBatch, keys: int, found: list[tuple[int, Cell, int]]) -> pa.RecordBatch:
+    """Rows of (row of the batch, cell, partings left) with that row's keys."""
+    rows, cells, left = zip(*found, strict=True) if found else ((), (), ())
+    taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:keys]]
+    flat = np.concatenate([c[4] for c in cells]) if cells else np.empty((0, 4))
+    point = lambda i: pa.StructArray.from_arrays([pa.array(flat[:, i]), pa.array(flat[:, i + 1])], ["x", "y"])
+    sides = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(c[4]) for c in cells)]).astype(np.int32)), pa.StructArray.from_arrays([point(0), point(2)], ["a", "b"]))
+    numbers = [pa.array([c[0] for c in cells], pa.int32()), pa.array([c[1] for c in cells], pa.int64()), pa.array([c[2] for c in cells], pa.int64()), pa.array([c[3] for c in cells], pa.bool_())]
+    return pa.RecordBatch.from_arrays([*taken, *numbers, sides, pa.array(left, pa.int32())], [*batch.schema.names[:keys], "level", "cx", "cy", "inside", "sides", "left"])
+
+
+def cover(polygons: DataFrame, keys: list[str], most: int = SIDES, depth: int = DEPTH) -> DataFrame:
+    """`keys`, level, cx, cy, inside, sides: the cells, 2^level wide, of every polygon (geom), none over another.
+
+    At first there are the four cells or fewer, as wide as the polygon, that it lies in; then
+    those with more than `most` sides are parted in four, `depth` times at most, SPREAD times
+    before they are dealt out anew, so a large polygon is soon many tasks'. Every parting goes by
+    the cell's own sides. Cells without sides are only kept if they are inside.
+    """
+    n = len(keys)
+
+    def parted(batch: pa.RecordBatch, row: int, cells: Iterable[Cell], left: int) -> Iterator[tuple[int, Cell, int]]:
+        todo = [(c, left, SPREAD) for c in cells]
+        while todo:
+            cell, left, now = todo.pop()
+            if len(cell[4]) <= most or not left or not now:
+                yield row, cell, left if len(cell[4]) > most else 0
+            else:
+                todo += [(c, left - 1, now - 1) for c in _quarters(cell)]
+
+    def begin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                rings = batch.column(n).slice(row, 1).flatten()
+                points = rings.flatten()
+                xy = np.column_stack([points.field("x").to_numpy(zero_copy_only=False), points.field("y").to_numpy(zero_copy_only=False)])
+                ends = np.cumsum([0, *rings.value_lengths().to_pylist()])
+                sides = _sides_of(xy, ends)
+                if len(sides):
+                    yield _as_arrow(batch, n, list(parted(batch, row, _roots(sides), depth)))
+
+    def go_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = {c: batch.column(c).to_pylist() for c in ("level", "cx", "cy", "inside", "left")}
+            for row in range(batch.num_rows):
+                held = batch.column("sides").slice(row, 1).flatten()
+                sides = np.column_stack([held.field(e).field(c).to_numpy(zero_copy_only=False) for e in "ab" for c in "xy"])
+                cell = tuple(plain[c][row] for c in ("level", "cx", "cy", "inside")) + (sides,)
+                yield _as_arrow(batch, n, list(parted(batch, row, [cell], plain["left"][row])))
+
+    schema = ", ".join([*(f"`{k}` {polygons.schema[k].dataType.simpleString()}" for k in keys), f"level int, cx long, cy long, inside boolean, sides array<{_SIDE}>, left int"])
+    cells = stored(polygons.filter("geom is not null").select(*keys, "geom").mapInArrow(begin, schema), "cover")
+    done = cells.filter("left = 0")
+    while not (more := cells.filter("left > 0")).isEmpty():
+        cells = stored(more.repartition(*keys, "level", "cx", "cy").mapInArrow(go_on, schema), "cover")
+        done = done.unionByName(cells.filter("left = 0"))
+    return done.drop("left")
+
+
+def in_cell(x: Column, y: Column) -> Column:
+    """Whether a point of a cell of `cover` is strictly inside the polygon: one on a side is out."""
+    size = F.pow(F.lit(2.0), F.col("level"))
+
+    def on(s: Column) -> Column:
+        turn = (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (x - s["a"]["x"])
+        along = lambda c, v: (v >= F.least(s["a"][c], s["b"][c])) & (v <= F.greatest(s["a"][c], s["b"][c]))
+        return (turn == 0) & along("x", x) & along("y", y)
+
+    sides = F.col("sides")
+    odd = F.col("inside") != _crossed(sides, (F.col("cx") + ACROSS) * size, (F.col("cy") + UP) * size, x, y)
+    return F.when(F.size(sides) == 0, F.col("inside")).otherwise(~F.exists(sides, on) & odd)
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, how: str = "inner", on: tuple[str, ...] = (), most: int = SIDES) -> DataFrame:
+    """points (x, y, ...) with `key` of every polygon (geom) that they are strictly inside of; with `on`, only of those that have these columns in common.
+
+    A point is looked for once a level that there are cells of, by equi-joins, and a polygon's
+    cells aren't over each other, so no pair comes up twice. With `how` "left" points inside nothing stay, with a null.
     """
-    box = geometry.bounds(F.col("geom"))
-    tiles = polygons.select(F.col(key), "geom", box.alias("_box")).withColumn("_cx", F.explode(_cells(F.col("_box.x0"), F.col("_box.x1"), size))).withColumn("_cy", F.explode(_cells(F.col("_box.y0"), F.col("_box.y1"), size)))
-    placed = points.withColumn("_px", F.floor(F.col("x") / size)).withColumn("_py", F.floor(F.col("y") / size))
-    inside = (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py")) & geometry.within(F.col("x"), F.col("y"), F.col("geom"))
-    return placed.join(tiles, inside, how).drop("geom", "_box", "_cx", "_cy", "_px", "_py")
+    if how not in ("inner", "left"):
+        raise ValueError(how)
+    cells = cover(polygons, [key, *on], most)
+    levels = [r.level for r in cells.select("level").distinct().collect()]  # no more than there are exponents
+    named = {c: f"_p_{c}" for c in on}
+    if how == "left":
+        points = stored(points.withColumn("_row", F.monotonically_increasing_id()), "points")
+    spots = points.withColumnsRenamed(named).withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_cell", F.pow(F.lit(2.0), F.col("_level")))
+    spots = spots.withColumn("_cx", F.floor(F.col("x") / F.col("_cell"))).withColumn("_cy", F.floor(F.col("y") / F.col("_cell")))
+    same = (F.col("level") == F.col("_level")) & (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy"))
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(named[c]))
+    met = spots.join(cells, same & in_cell(F.col("x"), F.col("y")))
+    if how == "left":
+        return points.join(met.select("_row", key), "_row", "left").drop("_row")
+    return met.drop("level", "cx", "cy", "inside", "sides", "_level", "_cell", "_cx", "_cy", *named.values())
 
 
 def first_match(joined: DataFrame, key: str, order: str) -> DataFrame:
@@ -29,10 +212,10 @@ def first_match(joined: DataFrame, key: str, order: str) -> DataFrame:
     return joined.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last()))).filter("_n = 1").drop("_n")
 
 
-def centres_within(areas: DataFrame, regions: DataFrame, key: str, region: str, size: float) -> DataFrame:
+def centres_within(areas: DataFrame, regions: DataFrame, key: str, region: str) -> DataFrame:
     """`key` of every area (geom) and the first `region` (geom) that its centre is strictly inside of; null outside all."""
     centre = areas.select(key, geometry.centroid(F.col("geom")).alias("c")).select(key, F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-    return first_match(points_in_polygons(centre, regions, region, size, "left"), key, region).select(key, region)
+    return first_match(points_in_polygons(centre, regions, region, "left"), key, region).select(key, region)
 
 
 def near_lines(segments: DataFrame, lines: DataFrame, keys: list[str], radius: float, size: float) -> DataFrame:

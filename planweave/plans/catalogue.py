@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +9,12 @@ from pyspark.sql import functions as F
 
 from planweave import model
 from planweave.functions import geometry, scalar
-from planweave.operators import audit, chains, graph, metrics, selection, spatial
+from planweave.operators import audit, chains, graph, metrics, outline, selection, spatial
 from planweave.plans.surrogate import K, Surrogate, prelude
-from planweave.session import shared_folder
+from planweave.session import scratch, stored
 from planweave.sources import reports, tables
 from planweave.streaming import frontier as streaming
+from planweave.streaming import keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -275,6 +275,77 @@ def tree_cut(s):
     return graph.subtree_sums(tree)
 
 
+# ---- outlines
+
+
+def squares(s: Surrogate) -> DataFrame:
+    """Every unit as a square of 1000 m on the grid."""
+    x, y = F.col("gx") * 1000.0, F.col("gy") * 1000.0
+    ring = F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (1000, 0), (1000, 1000), (0, 1000))))
+    return s.grid.select("node_id", F.array(ring).alias("geom"))
+
+
+# a zone has one run of cells a row at most, so a part begins wherever a row's run isn't over that of the row before
+RUNS = {
+    "cell": "select p.step, p.zone, u.gx, u.gy from plan p join unit u using (node_id)",
+    "run": "select step, zone, gy, min(gx) lo, max(gx) hi, count(*) n from cell group by all",
+    "part": "select a.step, a.zone, cast(sum(a.n) as bigint) n, count(*) filter (not coalesce(b.lo <= a.hi and b.hi >= a.lo, false)) parts from run a left join run b on b.step = a.step and b.zone = a.zone and b.gy = a.gy - 1 group by all",
+    "rim": "select step, zone, count(*) n from (select p.step, p.zone, s.o, s.a, s.b from seg s join plan p using (node_id) group by all having count(*) % 2 = 1) group by all",
+}
+
+
+@query("""select step, zone, parts, 0::bigint holes, rim.n n_points, 1e6::double * part.n area_m2, 1e3::double * rim.n perimeter_m from part join rim using (step, zone)""", RUNS)
+def dissolved_polygons(s):
+    """Every zone of every plan put together to polygons."""
+    found = outline.dissolved(squares(s), s.plans, "node_id", ["step", "zone"])
+    return outline.measures(found, ["step", "zone"])
+
+
+@query("""select band, 1::bigint parts, cast(sum(hole) as bigint) holes, any_value(r.n) n_points, 1e6::double * count(*) filter (pop > 0) area_m2, 1e3::double * any_value(r.n) perimeter_m from (
+  select u.gy // 8 band, u.pop, case when u.pop = 0 and (select count(*) from unit v where v.pop > 0 and v.gy // 8 = u.gy // 8 and abs(v.gx - u.gx) + abs(v.gy - u.gy) = 1) = 4 then 1 else 0 end hole from unit u) c
+ join (select band, count(*) n from (select u.gy // 8 band, s.o, s.a, s.b from seg s join unit u using (node_id) where u.pop > 0 group by all having count(*) % 2 = 1) group by band) r using (band) group by band""")
+def dissolved_bands(s):
+    """Every eight rows of units put together, those that nobody lives in left out: holes, where they aren't at the rim."""
+    owners = s.units.filter("pop > 0").select("node_id", F.expr("gy div 8").alias("band"))
+    return outline.measures(outline.dissolved(squares(s), owners, "node_id", ["band"]), ["band"])
+
+
+@query("select step, node_id, zone from plan")
+def units_in_zones(s):
+    """The zone that a unit's centre is in, among the polygons of the zones of each plan: as the plan has it."""
+    found = outline.whole(outline.dissolved(squares(s), s.plans, "node_id", ["step", "zone"]), ["step", "zone"])
+    steps = F.broadcast(s.plans.select("step").distinct())  # at most 50
+    centres = s.grid.select("node_id", (F.col("gx") * 1000.0 + 500).alias("x"), (F.col("gy") * 1000.0 + 500).alias("y")).crossJoin(steps)
+    return spatial.points_in_polygons(centres, found, "zone", on=("step",)).select("step", "node_id", "zone")
+
+
+# a corner stays where the border turns or a third area begins; where a zone meets itself across a corner, twice
+THIRD = {
+    "z": "select u.gx, u.gy, p.zone from plan p join unit u using (node_id) where p.step = 3",
+    "corner": "select distinct gx + dx x, gy + dy y from z cross join (values (0, 0), (1, 0), (0, 1), (1, 1)) t(dx, dy)",
+    "around": "select x, y, a.zone sw, b.zone se, c.zone nw, d.zone ne from corner left join z a on a.gx = x - 1 and a.gy = y - 1 left join z b on b.gx = x and b.gy = y - 1 left join z c on c.gx = x - 1 and c.gy = y left join z d on d.gx = x and d.gy = y",
+    "met": """select zone, case when n in (1, 3) then 1 when n = 4 then 0 when zone is not distinct from sw and zone is not distinct from ne or zone is not distinct from se and zone is not distinct from nw then 2 when straight then 0 else 1 end points from (
+   select *, (sw is not distinct from zone)::int + (se is not distinct from zone)::int + (nw is not distinct from zone)::int + (ne is not distinct from zone)::int n,
+     sw is not distinct from se and nw is not distinct from ne or sw is not distinct from nw and se is not distinct from ne straight
+   from around cross join (select distinct zone from z)) where n > 0""",
+}
+
+
+@query("select zone, cast(sum(points) as bigint) n_points, any_value(area) area_m2 from met join (select zone, 1e6::double * count(*) area from z group by zone) using (zone) group by zone", THIRD)
+def simplified_zones(s):
+    """Outlines of one plan's zones without the corners that lie on straight borders; neighbours stay neighbours."""
+    sides = outline.dissolved(squares(s), s.plans.filter("step = 3"), "node_id", ["zone"])
+    found = outline.measures(outline.simplified(sides, "zone", 1.0), ["zone"])
+    return found.select("zone", "n_points", "area_m2")
+
+
+@query("""select distinct least(a.zone, b.zone) u, greatest(a.zone, b.zone) v from z a join z b on abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1 and a.zone < b.zone""", THIRD)
+def simplified_neighbours(s):
+    """Which zones share a border after their outlines were simplified roughly."""
+    sides = outline.dissolved(squares(s), s.plans.filter("step = 3"), "node_id", ["zone"])
+    return outline.neighbours(outline.directed_sides(outline.simplified(sides, "zone", 2500.0), ["zone"]), "zone")
+
+
 # ---- spatial
 
 BLOCK = {
@@ -300,12 +371,12 @@ INSIDE = "pt.x > box.x0 and pt.x < box.x1 and pt.y > box.y0 and pt.y < box.y1"
 
 @query(f"select region_id, cast(sum(p) as bigint) pop, count(*) n from box join pt on {INSIDE} group by region_id", BLOCK)
 def point_in_polygon_counts(s):
-    return spatial.points_in_polygons(blocks(s), boxes(s), "region_id", 2000.0).groupBy("region_id").agg(F.sum("p").alias("pop"), F.count(F.lit(1)).alias("n"))
+    return spatial.points_in_polygons(blocks(s), boxes(s), "region_id").groupBy("region_id").agg(F.sum("p").alias("pop"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"select id, region_id from (select id, region_id, row_number() over (partition by id order by region_id) n from pt left join box on {INSIDE}) where n = 1", BLOCK)
 def admin_first_match(s):
-    return spatial.first_match(spatial.points_in_polygons(blocks(s), boxes(s), "region_id", 2000.0, "left"), "id", "region_id").select("id", "region_id")
+    return spatial.first_match(spatial.points_in_polygons(blocks(s), boxes(s), "region_id", "left"), "id", "region_id").select("id", "region_id")
 
 
 @query("select region_id, round((x1-x0)*(y1-y0), 3) area_m2, round(2*((x1-x0)+(y1-y0)), 3) perimeter_m, round((x0+x1)/2, 3) cx, round((y0+y1)/2, 3) cy, round(4*pi()*(x1-x0)*(y1-y0)/pow(2*((x1-x0)+(y1-y0)), 2), 6) pp from box", BLOCK)
@@ -338,7 +409,7 @@ PLACED = BLOCK | {
 
 def spots(s: Surrogate) -> DataFrame:
     """Bricks with the region that their centre is in, the first where regions overlap, null outside all."""
-    return spatial.centres_within(bricks(s), boxes(s), "id", "region_id", 2000.0)
+    return spatial.centres_within(bricks(s), boxes(s), "id", "region_id")
 
 
 @query("select region_id, round(coalesce(sum(d)/nullif(sum(d+r), 0), 0.5), 4) share, count(*) n from held left join votes on votes.node_id = held.id where region_id is not null group by 1", BRICK | PLACED)
@@ -553,14 +624,26 @@ def pp_min_quantiles(s):
     return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("v"))).alias("x")).select("x.q", F.round("x.v", 6).alias("pp_min"))
 
 
-@query("select state, round(sum(area_m2) / (1200.0::double * 1200.0 * count(*)), 6) coverage from units group by state")
+@query("select county, round(sum(area_m2) / (1e6::double * count(*)), 6) coverage from units where county is not null group by county")
 def coverage_ratio(s):
-    return s.units.groupBy("state").agg(F.round(F.sum("area_m2") / (F.lit(1200.0 * 1200.0) * F.count(F.lit(1))), 6).alias("coverage"))
+    """How much of a county's polygon, put together from its units', the units' own areas are."""
+    held = s.units.filter("county is not null")
+    polygons = outline.measures(outline.dissolved(squares(s), held.select("node_id", "county"), "node_id", ["county"]), ["county"])
+    return held.groupBy("county").agg(F.sum("area_m2").alias("units_m2")).join(polygons, "county").select("county", F.round(F.col("units_m2") / F.col("area_m2"), 6).alias("coverage"))
+
+
+@query("""select state, n_units, pop, round(least(1, 4*pi()*1e6*n_units/pow(1e3*rim, 2)), 6) pp from (select state, count(*) n_units, cast(sum(pop) as bigint) pop from unit group by state)
+ join (select state, count(*) rim from (select u.state, s.o, s.a, s.b from seg s join unit u using (node_id) group by all having count(*) % 2 = 1) group by state) using (state)""")
+def state_compactness(s):
+    """Figures of the states beside the compactness of their polygons; states without either are left out."""
+    stats = s.units.groupBy("state").agg(F.count(F.lit(1)).alias("n_units"), F.sum("pop").alias("pop"))
+    shapes = outline.measures(outline.dissolved(squares(s), s.units.select("node_id", "state"), "node_id", ["state"]), ["state"])
+    return stats.join(shapes, "state").select("state", "n_units", "pop", F.round(scalar.polsby_popper(F.col("area_m2"), F.col("perimeter_m")), 6).alias("pp"))
 
 
 @query("select step, pp_mean, county_splits, cut_border_m from allm", MORE)
 def frontier_csv(s):
-    folder = f"{shared_folder(s.spark)}/planweave-csv-{uuid.uuid4().hex}"
+    folder = f"{scratch(s.spark, 'csv')}/rows"
     reports.write_frontier(all_metrics(s).select("step", "pp_mean", "county_splits", "cut_border_m"), folder)
     return reports.read_frontier(s.spark, folder, "step long, pp_mean double, county_splits long, cut_border_m double")
 
@@ -568,8 +651,8 @@ def frontier_csv(s):
 @query("""select (select count(*) from allm) total_plans, (select count(*) from good) passed_plans,
  (select step from grp order by pp_mean desc, step limit 1) compact, (select step from grp order by county_splits, pp_mean desc, step limit 1) splits, 0.35::double pop_dev_max""", BEST)
 def ensemble_report(s):
-    folder = f"{shared_folder(s.spark)}/planweave-report-{uuid.uuid4().hex}"
-    everything = all_metrics(s)
+    folder = scratch(s.spark, "report")
+    everything = stored(all_metrics(s), "metrics")
     good = selection.hard_filter(everything, 0.0, 0.35)
     reports.write_report(reports.ensemble_report(everything, good, selection.select_best(selection.pareto(good, selection.FIVE)), {"pop_dev_max": 0.35}), f"{folder}/xx")
     rows = reports.read_reports(s.spark, folder, "total_plans long, passed_plans long, chosen map<string,long>, thresholds map<string,double>")
@@ -680,7 +763,7 @@ def initial_partition(s):
     return chains.long_plans(chains.run_chains(units, edges, 4, 3, 1, beta=0.5, tolerance=0.05, burn_in=0), units.select("state", "node_id"))
 
 
-@query()
+@query("select unnest(['A', 'B']) state, 0 as chain, 20::bigint steps, 0::bigint differing")
 def resume_equivalence(s):
     units, edges = halves(s)
     whole = chains.run_chains(units, edges, 4, 1, 20, beta=0.5, tolerance=0.05, burn_in=0).drop("after")
@@ -705,12 +788,12 @@ def repair(s):
     return chains.repaired(units, edges, plans, 4, tolerance=0.05, beta=0.5)
 
 
-@query()
+@query("select step, count(*) n from plan group by step")
 def chunk_consolidate(s):
-    folder = f"{shared_folder(s.spark)}/planweave-chunks-{uuid.uuid4().hex}"
+    folder = f"{scratch(s.spark, 'chunks')}/plans"
     for chunk in range(3):
-        tables.write_chunk(s.plans.filter(f"step div 20 = {chunk}"), f"{folder}/chunks", chunk)
-    return tables.consolidate(s.spark, f"{folder}/chunks", f"{folder}/plans").groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+        tables.write_chunk(s.plans.filter(f"step div 20 = {chunk}"), folder, chunk)
+    return tables.consolidate(s.spark, folder).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -718,9 +801,26 @@ def archive_checksums(s):
     return tables.checksums(s.spark, s.dir)
 
 
-@query()
+@query("""select concat('region=', n_regionkey) section, count(distinct n_regionkey) files, cast(sum(strlen(n_name) + 1) as bigint) bytes from nation group by n_regionkey
+ union all select null, count(distinct n_regionkey), cast(sum(strlen(n_name) + 1) as bigint) from nation""")
+def archive_copy(s):
+    """Files and bytes by section of an archive, copied twice: the second time nothing is left to copy."""
+    folder = scratch(s.spark, "archive")
+    rows = s.table("nation").select(F.col("n_name").alias("value"), F.col("n_regionkey").alias("region"))
+    rows.repartition("region").write.partitionBy("region").text(f"{folder}/source")
+    tables.archived(s.spark, f"{folder}/source", f"{folder}/target")
+    again = tables.archived(s.spark, f"{folder}/source", f"{folder}/target")
+    return tables.archive_summary(again.filter("not copied"))
+
+
+# what is on a frontier costs no more than what scores as much, and less than all that scores more
+ON_FRONTIER = """cost = min(cost) over (PARTS order by score desc range unbounded preceding)
+ and (min(cost) over (PARTS order by score desc range between unbounded preceding and 0.005 preceding) is null or cost < min(cost) over (PARTS order by score desc range between unbounded preceding and 0.005 preceding))"""
+
+
+@query("select event_id, score, cost from ev qualify " + ON_FRONTIER.replace("PARTS", ""), EVENTS)
 def streaming_frontier(s):
-    folder = f"{shared_folder(s.spark)}/planweave-stream-{uuid.uuid4().hex}"
+    folder = scratch(s.spark, "stream")
     events(s).select("event_id", "score", "cost").repartition(4).write.parquet(f"{folder}/in")
     stream = s.spark.readStream.schema("event_id long, score double, cost long").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     done = streaming.maintain(stream, {"score": "max", "cost": "min"}, f"{folder}/front", f"{folder}/checkpoint")
@@ -728,6 +828,124 @@ def streaming_frontier(s):
     return streaming.latest(s.spark, f"{folder}/front", done)
 
 
+@query("select kind, event_id, score, cost from (select ev.*, cast(event_id % 5 as bigint) kind from ev) qualify " + ON_FRONTIER.replace("PARTS", "partition by kind"), EVENTS)
+def streaming_keyed_frontier(s):
+    """A frontier a key out of the state store, in two runs over one checkpoint."""
+    folder = scratch(s.spark, "keyed")
+    rows = events(s).select((F.col("event_id") % 5).alias("kind"), "event_id", "score", "cost")
+    for half in (0, 1):
+        rows.filter(f"event_id div 5 % 2 = {half}").repartition(3).write.mode("append").parquet(f"{folder}/in")
+        stream = s.spark.readStream.schema("kind long, event_id long, score double, cost long").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        found = keyed.keyed_frontier(stream, "kind", "event_id", {"score": "max", "cost": "min"})
+        keyed.write_versions(found, f"{folder}/front", f"{folder}/checkpoint").awaitTermination()
+    return keyed.newest(s.spark, f"{folder}/front", "kind")
+
+
+@query("select round(greatest(0.04, least(0.1, 0.95 * quantile_cont(value / 1100, 0.9))), 3) threshold, count(value) as rows from events")
+def adaptive_threshold(s):
+    """The filter's threshold by a quantile sketch that batches merge into."""
+    folder = scratch(s.spark, "threshold")
+    s.table("events").select((F.col("value") / 1100).alias("pp_min")).repartition(4).write.parquet(f"{folder}/in")
+    stream = s.spark.readStream.schema("pp_min double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    done = keyed.maintain_threshold(stream, "pp_min", f"{folder}/sketch", f"{folder}/checkpoint")
+    done.awaitTermination()
+    return streaming.latest(s.spark, f"{folder}/sketch", done).select(F.round("threshold", 3).alias("threshold"), "rows")
+
+
+# ---- rows picked, ordered, stamped, coloured, told apart
+
+
+@query("select p.step, p.node_id, p.zone, w.place from plan p join (values (0, 7), (1, 3), (2, 30)) w(place, step) using (step)")
+def picked_rows(s):
+    """The plans of three steps, with the place that each has in the list."""
+    return tables.picked(s.plans, [7, 3, 30]).select("step", "node_id", "zone", "place")
+
+
+@query("select n_nationkey, n_name from nation")
+def first_source(s):
+    """The third of three sources, of which the others aren't there."""
+    sources = [("parquet", f"{s.dir}/no-such.parquet"), ("parquet", f"{s.dir}/none"), ("parquet", f"{s.dir}/nation.parquet")]
+    return tables.first_readable(s.spark, sources).select("n_nationkey", "n_name")
+
+
+@query("""select distinct case when c_custkey % 3 = 0 then concat('24', lpad(cast(c_custkey % 500 as varchar), 3, '0')) else concat('g', cast(c_custkey % 700 as varchar)) end geoid from customer where c_nationkey % 2 = 0""")
+def county_codes(s):
+    i = F.col("c_custkey")
+    blank = F.when(i % 6 == 0, F.lit("  "))
+    rows = s.table("customer").select(F.when(F.col("c_nationkey") % 2 == 0, "24").otherwise("25").alias("statefp"), F.lpad((i % 500).cast("string"), 3, "0").alias("countyfp"), F.when(i % 3 == 0, blank).otherwise(F.concat(F.lit("g"), (i % 700).cast("string"))).alias("geoid"))
+    return tables.county_codes(rows, "24")
+
+
+@query("select n_nationkey, cast(17 + case when n_nationkey < 10 then 1 else 0 end as int) k from nation")
+def seats_in_all(s):
+    rows = s.table("nation").select("n_nationkey", (17 + (F.col("n_nationkey") < 10).cast("int")).alias("k"))
+    return model.seats_checked(rows)
+
+
+@query("select n_nationkey, true utc from nation")
+def stamped(s):
+    """Whether the time of the query is as it should be written."""
+    return tables.stamped(s.table("nation").select("n_nationkey")).select("n_nationkey", F.col("written_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("utc"))
+
+
+def _channel_sql(channel: int) -> str:
+    stops = [(at, int(code[2 * channel : 2 * channel + 2], 16)) for at, code in scalar.STOPS]
+    return "case " + " ".join(f"when share <= {b} then {y} - ({b} - share) * {(y - x)}::double / {round(b - a, 4)}" for (a, x), (b, y) in zip(stops, stops[1:], strict=False)) + " end"
+
+
+@query("select node_id, " + ", ".join(f"cast(round({_channel_sql(i)}, 4) as double) {n}" for i, n in enumerate("rgb")) + " from (select node_id, case when d + r > 0 then d / (d + r) else 0.5 end share from votes)")
+def share_colours(s):
+    share = scalar.ratio(F.col("d"), F.col("d") + F.col("r"), 0.5)
+    return s.votes.select("node_id", *(F.round(scalar.colour_channel(share, i), 4).alias(n) for i, n in enumerate("rgb")))
+
+
+@query("""select p_partkey as key, concat('see ', case when p_partkey % 30 < 25 then concat('<figure><img src="data:image/png;base64,', to_base64(encode(n_name)), '"/><figcaption>', p_brand, '</figcaption></figure>') else concat('![', p_brand, '](f', p_partkey % 30, '.png)') end, ' end') as text
+ from part left join nation on n_nationkey = p_partkey % 30""")
+def inlined_figures(s):
+    """Pages with a figure each; names of no file stay as they are."""
+    pages = s.table("part").select(F.col("p_partkey").alias("key"), F.concat(F.lit("see !["), "p_brand", F.lit("](f"), (F.col("p_partkey") % 30).cast("string"), F.lit(".png) end")).alias("text"))
+    figures = s.table("nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string"), F.lit(".png")).alias("name"), F.col("n_name").cast("binary").alias("content"))
+    return reports.inlined_figures(pages, "text", figures)
+
+
+@query("select node_id, case when node_id % 3 = 0 then 0.5 else share end share from (select node_id, case when d + r > 0 then d / (d + r) else 0.5 end share from votes)")
+def share_or_half(s):
+    """Shares looked up by unit; those that aren't there are even."""
+    known = s.votes.filter("node_id % 3 <> 0").select("node_id", scalar.ratio(F.col("d"), F.col("d") + F.col("r"), 0.5).alias("share"))
+    return audit.looked_up(s.units.select("node_id"), known, "node_id", "share", 0.5)
+
+
+@query(f"select n_nationkey, k, row_number() over (order by k, n_nationkey) - 1 place from ({KS}) where k > 1")
+def states_by_seats(s):
+    """States of several seats in their order."""
+    return tables.with_row_ids(seats(s).filter("k > 1").select("n_nationkey", "k"), ["k", "n_nationkey"], "place")
+
+
+@query("""select zone, population, row_number() over (order by zone) - 1 place from (select p.zone, cast(sum(u.pop) as bigint) population from plan p join units u using (node_id) where p.step = 3 group by 1)""")
+def zones_in_order(s):
+    rows = metrics.zone_population(s.units, s.plans.filter("step = 3")).select("zone", "population")
+    return tables.with_row_ids(rows, "zone", "place")
+
+
+PLACES = {"place": "select c_custkey, -78.0 + (c_custkey % 61) / 10.0::double lon, 36.0 + (c_custkey % 83) / 10.0::double lat, 0.006694380022900787::double e2, 6378137.0::double a from customer"}
+
+
+@query("""select c_custkey, round(lon, 8) lon, round(lat, 8) lat, round(0.9996*v*(w + (1 - t + c)*pow(w, 3)/6 + (5 - 18*t + t*t + 72*c - 58*ep)*pow(w, 5)/120) + 500000, 3) east,
+ round(0.9996*(arc + v*tan(p)*(w*w/2 + (5 - t + 9*c + 4*c*c)*pow(w, 4)/24 + (61 - 58*t + t*t + 600*c - 330*ep)*pow(w, 6)/720)), 3) north from (
+ select *, a*((1 - e2/4 - 3*pow(e2, 2)/64 - 5*pow(e2, 3)/256)*p - (3*e2/8 + 3*pow(e2, 2)/32 + 45*pow(e2, 3)/1024)*sin(2*p) + (15*pow(e2, 2)/256 + 45*pow(e2, 3)/1024)*sin(4*p) - (35*pow(e2, 3)/3072)*sin(6*p)) arc
+ from (select *, radians(lat) p, e2/(1 - e2) ep, a/sqrt(1 - e2*pow(sin(radians(lat)), 2)) v, pow(tan(radians(lat)), 2) t, e2/(1 - e2)*pow(cos(radians(lat)), 2) c, radians(lon + 75)*cos(radians(lat)) w from place))""", PLACES)
+def reprojected(s):
+    """Places in one projection taken to another, and back to degrees."""
+    i = F.col("c_custkey")
+    lon, lat = F.lit(-78.0) + (i % 61) / F.lit(10.0), F.lit(36.0) + (i % 83) / F.lit(10.0)
+    x, y = geometry.projected(lon, lat, "EPSG:5070")
+    rows = s.table("customer").select("c_custkey", x.alias("x"), y.alias("y"))
+    east, north = geometry.reprojected(F.col("x"), F.col("y"), "EPSG:5070", "EPSG:32618")
+    rows = rows.select("c_custkey", east.alias("east"), north.alias("north"))
+    lon, lat = geometry.unprojected(F.col("east"), F.col("north"), "EPSG:32618")
+    return rows.select("c_custkey", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"), F.round("east", 3).alias("east"), F.round("north", 3).alias("north"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

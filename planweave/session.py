@@ -77,10 +77,23 @@ def until_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/planweave-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    until_exit(spark, path)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that `stored` wrote, once nothing reads it any more."""
     path = getattr(df, "stored_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        removed(df.sparkSession, path)

@@ -11,20 +11,24 @@ from __future__ import annotations
 
 import logging
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 from pyspark.sql.types import StructType
 
-GEOMETRY = "shape int, geom array<array<struct<x:double,y:double>>>"
+from planweave.session import qualified
+from planweave.sources.pruning import BOX, BOX_COLUMNS, Wanted
+
+GEOMETRY = f"shape int, geom array<array<struct<x:double,y:double>>>, {BOX_COLUMNS}"
+#: Bytes of a record's type, box and counts, and records between which less than GAP bytes lie are read at once, up to CHUNK bytes.
+HEAD, GAP, CHUNK = 44, 4096, 8 << 20
 
 
 def _store(path: str):
     from pyarrow import fs
 
-    if "://" not in path:
-        path = "file://" + path
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
 def _files(path: str, pattern: str = "") -> tuple[object, list[str]]:
@@ -71,6 +75,17 @@ def shape(content: bytes) -> tuple[int, list[list[tuple[float, float]]] | None]:
     return kind, [points[a:b] for a, b in zip(starts, [*starts[1:], n], strict=True)]
 
 
+def box_of(head: bytes) -> tuple[float, float, float, float] | None:
+    """A record's box, by its first bytes."""
+    (kind,) = struct.unpack("<i", head[:4])
+    if kind % 10 == 0:
+        return None
+    if kind % 10 == 1:
+        x, y = struct.unpack("<2d", head[4:20])
+        return x, y, x, y
+    return struct.unpack("<4d", head[4:36])
+
+
 class Part(InputPartition):
     def __init__(self, base: str, low: int, high: int):
         super().__init__((base, low, high))
@@ -78,7 +93,7 @@ class Part(InputPartition):
 
 class ShapefileReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
-        self.options, self.columns = options, schema.names
+        self.options, self.columns, self.wanted = options, schema.names, Wanted()
 
     def partitions(self) -> list[Part]:
         store, files = _files(self.options["path"], self.options.get("pattern", ""))
@@ -97,27 +112,56 @@ class ShapefileReader(DataSourceReader):
     def read(self, partition: Part) -> Iterator[tuple]:
         base, low, high = partition.value
         store, _ = _store(self.options["path"])
-        try:
-            with store.open_input_file(base + ".shx") as f:
-                places = struct.unpack(f">{2 * (high - low)}i", f.read_at(8 * (high - low), 100 + 8 * low))
-            _, header, width, fields = _attributes(store, base)
-            with store.open_input_file(base + ".dbf") as f:
-                table = f.read_at(width * (high - low), header + width * low)
-            with store.open_input_file(base + ".shp") as f:
-                rows = []
-                for i in range(high - low):
-                    offset, length = 2 * places[2 * i], 2 * places[2 * i + 1]
-                    kind, rings = shape(f.read_at(length, offset + 8))
-                    row, at = {"shape": kind, "geom": rings}, i * width + 1
-                    for name, size in fields:
-                        text = table[at : at + size].decode("latin-1").strip()
-                        row[name], at = text or None, at + size
-                    rows.append(tuple(row.get(c) for c in self.columns))
+        rows = self._rows(store, base, low, high)
+        if self.options.get("skip") != "true":
             yield from rows
+            return
+        try:
+            found = list(rows)  # a part that breaks off is left out whole
         except (OSError, struct.error, ValueError) as e:
-            if self.options.get("skip") != "true":
-                raise
             logging.getLogger(__name__).warning("%s.shp, records %d to %d: %s", base, low, high, e)
+            return
+        yield from found
+
+    def _rows(self, store, base: str, low: int, high: int) -> Iterator[tuple]:
+        with store.open_input_file(base + ".shx") as f:
+            places = struct.unpack(f">{2 * (high - low)}i", f.read_at(8 * (high - low), 100 + 8 * low))
+        _, header, width, fields = _attributes(store, base)
+        spans, at = {}, 1
+        for name, size in fields:
+            spans[name], at = (at, at + size), at + size
+        with store.open_input_file(base + ".dbf") as f:
+            table = f.read_at(width * (high - low), header + width * low)
+        text = lambda i, name: table[i * width + spans[name][0] : i * width + spans[name][1]].decode("latin-1").strip() or None
+        tried = [n for n in spans if n in self.wanted.names()]
+        kept = [i for i in range(high - low) if self.wanted.row({n: text(i, n) for n in tried})]
+        with store.open_input_file(base + ".shp") as f:
+            if self.wanted.box:
+                kept = [i for i in kept if self.wanted.inside(box_of(f.read_at(min(HEAD, 2 * places[2 * i + 1]), 2 * places[2 * i] + 8)))]
+            shapes = self._contents(f, [(2 * places[2 * i] + 8, 2 * places[2 * i + 1]) for i in kept])
+            decoded = [n for n in spans if n in self.columns]
+            for i, content in zip(kept, shapes, strict=True):
+                row = {n: text(i, n) for n in decoded}
+                row["shape"], row["geom"] = shape(content)
+                row.update(zip(BOX, box_of(content) or (None,) * 4, strict=True))
+                yield tuple(row.get(c) for c in self.columns)
+
+    @staticmethod
+    def _contents(f, places: list[tuple[int, int]]) -> Iterator[bytes]:
+        """The records at (offset, length), those that lie close together read at once."""
+        at = 0
+        while at < len(places):
+            start, end, last = places[at][0], sum(places[at]), at + 1
+            while last < len(places) and 0 <= places[last][0] - end <= GAP and sum(places[last]) - start <= CHUNK:
+                end, last = sum(places[last]), last + 1
+            held = f.read_at(end - start, start)
+            yield from (held[a - start : a - start + n] for a, n in places[at:last])
+            at = last
+
+
+class PushingReader(ShapefileReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        return self.wanted.take(filters, set(self.columns) - {"shape", "geom", *BOX})
 
 
 class Shapefile(DataSource):
@@ -129,8 +173,17 @@ class Shapefile(DataSource):
         store, files = _files(self.options["path"], self.options.get("pattern", ""))
         if not files:
             raise ValueError(f"no .shp under {self.options['path']}")
-        fields = _attributes(store, files[0][:-4])[3]
-        return ", ".join([*(f"`{n}` string" for n, _ in fields), GEOMETRY])
+        names = [n for n, _ in _attributes(store, files[0][:-4])[3]]
+        asked = self.options.get("fields")
+        if asked is not None:
+            names = [n for n in names if n in asked.split(",")]
+        return ", ".join([*(f"`{n}` string" for n in names), GEOMETRY])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ShapefileReader(dict(self.options), schema)
+        return (PushingReader if self.options.get("push") == "true" else ShapefileReader)(dict(self.options), schema)
+
+
+def read_shapefile(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """`path` may be on Spark's default file system: the source's tasks get it whole."""
+    spark.dataSource.register(Shapefile)
+    return spark.read.format("shapefile").options(**options).load(qualified(spark, path))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from planweave.operators import selection
+from planweave.session import discard, removed
 
 
 def maintain(stream: DataFrame, objectives: dict[str, str], path: str, checkpoint: str) -> StreamingQuery:
@@ -17,7 +18,11 @@ def maintain(stream: DataFrame, objectives: dict[str, str], path: str, checkpoin
     def fold(rows: DataFrame, batch: int) -> None:
         if batch:
             rows = rows.unionByName(rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{batch - 1}"))
-        selection.pareto(rows, objectives).write.mode("overwrite").parquet(f"{path}/{batch}")
+        found = selection.pareto(rows, objectives)
+        found.write.mode("overwrite").parquet(f"{path}/{batch}")
+        discard(found)
+        if batch > 1:  # a batch that runs again reads no further back
+            removed(rows.sparkSession, f"{path}/{batch - 2}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -116,9 +116,9 @@ def test_labels(spark):
 def test_points_on_edges_and_in_holes(spark):
     shapes = polygons(spark, [(1, square(0.0, 0.0, 10.0) + square(4.0, 4.0, 2.0)), (2, square(5.0, 0.0, 10.0))])
     points = spark.createDataFrame([(1, 5.0, 5.0), (2, 0.0, 3.0), (3, 7.0, 3.0), (4, 1.0, 1.0), (5, 99.0, 99.0), (6, 4.0, 5.0)], "p long, x double, y double")
-    got = spatial.points_in_polygons(points, shapes, "id", 3.0)
+    got = spatial.points_in_polygons(points, shapes, "id")
     assert sorted((r.p, r.id) for r in got.collect()) == [(3, 1), (3, 2), (4, 1)]
-    first = spatial.first_match(spatial.points_in_polygons(points, shapes, "id", 3.0, "left"), "p", "id")
+    first = spatial.first_match(spatial.points_in_polygons(points, shapes, "id", "left"), "p", "id")
     assert {r.p: r.id for r in first.collect()} == {1: None, 2: None, 3: 1, 4: 1, 5: None, 6: None}
     assert shapes.select(geometry.area(F.col("geom")).alias("a")).collect()[0].a == 96.0
 
@@ -190,10 +190,58 @@ def test_shapefile(spark, tmp_path):
 
 def test_chunks_resume(spark, tmp_path):
     plans = spark.createDataFrame([(i, 0, 1) for i in range(6)], "step long, node_id long, zone long")
+    path = str(tmp_path / "chunks")
+    assert tables.resume_at(spark, path) == 0
     for chunk in (0, 1, 1):
-        tables.write_chunk(plans.filter(f"step div 3 = {chunk}"), str(tmp_path / "chunks"), chunk)
-    assert tables.resume_at(spark, str(tmp_path / "chunks")) == 6
-    assert [r.step for r in tables.consolidate(spark, str(tmp_path / "chunks"), str(tmp_path / "plans")).collect()] == list(range(6))
+        tables.write_chunk(plans.filter(f"step div 3 = {chunk}"), path, chunk)
+    assert tables.resume_at(spark, path) == 6 and tables.read_chunks(spark, path).count() == 6
+    assert [r.step for r in tables.consolidate(spark, path).collect()] == list(range(6))
+    assert tables.resume_at(spark, path) == 6
+
+
+def test_readers_see_one_whole_version(spark, tmp_path, monkeypatch):
+    plans = spark.createDataFrame([(i, 0, i % 4) for i in range(40)], "step long, node_id long, zone long")
+    path = str(tmp_path / "chunks")
+    for chunk in range(4):
+        tables.write_chunk(plans.filter(f"step div 10 = {chunk}"), path, chunk)
+    before = tables.read_chunks(spark, path)  # planned before, run after the switch
+
+    def broken(*_):
+        raise RuntimeError("stop")
+
+    with monkeypatch.context() as m:  # a compaction that fails when all is written: nothing changes
+        m.setattr(tables, "_switch", broken)
+        with pytest.raises(RuntimeError):
+            tables.consolidate(spark, path)
+    assert tables.read_chunks(spark, path).inputFiles() == before.inputFiles()
+    tables.consolidate(spark, path)
+    assert before.count() == 40 and tables.read_chunks(spark, path).count() == 40
+    tables.write_chunk(spark.createDataFrame([(40, 0, 1)], plans.schema), path, 4)
+    with pytest.raises(ValueError):
+        tables.write_chunk(plans, path, 2)
+    tables.consolidate(spark, path, keep=0)
+    folders = {p.name for p in (tmp_path / "chunks" / "data").iterdir() if not p.name.startswith(".")}
+    assert len(folders) == 1 or len([f for f in folders if f.startswith("all-")]) <= 2
+    assert tables.read_chunks(spark, path).count() == 41 and tables.resume_at(spark, path) == 41
+    with pytest.raises(RuntimeError):  # two writers of one version: the second is told
+        tables._switch(spark, path, tables._versions(spark, path)[-1], [])
+
+
+def test_archive_copies_once_and_mends(spark, tmp_path):
+    source, target = tmp_path / "source", tmp_path / "target"
+    for name, content in (("a/x.bin", b"1" * 3_000_000), ("a/y.bin", b"2"), ("b/z.bin", b"3" * 10), ("top.txt", b"4")):
+        (source / name).parent.mkdir(parents=True, exist_ok=True)
+        (source / name).write_bytes(content)
+    first = {r.name: r for r in tables.archived(spark, str(source), str(target)).collect()}
+    assert len(first) == 4 and all(r.copied for r in first.values()) and (target / "a/x.bin").read_bytes() == b"1" * 3_000_000
+    assert not any(r.copied for r in tables.archived(spark, str(source), str(target)).collect())
+    (target / "a/x.bin").write_bytes(b"1" * 100)  # torn
+    again = tables.archived(spark, str(source), str(target))
+    assert {r.name for r in again.collect() if r.copied} == {"a/x.bin"}
+    assert tables.checksums(spark, str(target)).select("name", "sha256").exceptAll(tables.checksums(spark, str(source)).select("name", "sha256")).count() == 0
+    assert {(r.section, r.files, r.bytes) for r in tables.archive_summary(again).collect()} == {("a", 2, 3_000_001), ("b", 1, 10), ("", 1, 1), (None, 4, 3_000_012)}
+    tables.write_manifest(again, str(tmp_path / "manifest"))
+    assert [r.name for r in spark.read.json(str(tmp_path / "manifest")).orderBy("section", "name").collect()] == ["top.txt", "a/x.bin", "a/y.bin", "b/z.bin"]
 
 
 def test_simplified(spark):
@@ -253,9 +301,9 @@ def test_subtrees_of_tall_trees_and_forests(spark):
 
 
 def test_resume_after_the_first_step(spark, tmp_path):
-    spark.createDataFrame([(0, 0, 1)], "step long, node_id long, zone long").write.parquet(str(tmp_path / "one"))
+    tables.write_chunk(spark.createDataFrame([(0, 0, 1)], "step long, node_id long, zone long"), str(tmp_path / "one"), 0)
     assert tables.resume_at(spark, str(tmp_path / "one")) == 1
-    spark.createDataFrame([], "step long, node_id long, zone long").write.parquet(str(tmp_path / "none"))
+    tables.write_chunk(spark.createDataFrame([], "step long, node_id long, zone long"), str(tmp_path / "none"), 0)
     assert tables.resume_at(spark, str(tmp_path / "none")) == 0
 
 
