@@ -35,8 +35,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOP = 10
 #: Bits of a row's place in its stretch; a term's lists meet in buckets of so many stretches.
 STRETCH, TOGETHER = 10, 64
-#: Rows of items' terms that are sent to all tasks; more of them are shuffled.
-SENT = 500_000
+#: Rows of items' terms that are sent to all tasks; more of them are shuffled. Items that ask for a term in one row, about.
+SENT, ASKING = 500_000, 4096
 
 _TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -120,12 +120,16 @@ def search(lists: DataFrame, asked: DataFrame, k: int = TOP) -> DataFrame:
     weighted = stored(asked.join(spread, "term").crossJoin(F.broadcast(totals)).select("item_id", "term", (F.col("times") * weight).alias("weight")), "weights")
     impact = F.expr("transform(arrays_zip(tf, n), x -> cast((1000000000L * x.tf) div (1000L * x.tf + 8 * (25 + (75L * x.n * docs) div words)) as int))")
     scored = some.crossJoin(F.broadcast(totals)).select("term", "stretch", "at", impact.alias("impact"))
-    few = weighted.count() <= SENT
-    met = scored.join(F.broadcast(weighted) if few else weighted, "term").select("item_id", "stretch", "weight", "at", "impact")
-    each = met.repartition("item_id", "stretch").select("item_id", "stretch", "weight", F.explode(F.arrays_zip("at", "impact")).alias("x"))
-    sums = each.groupBy("item_id", "stretch", F.col("x.at").alias("at")).agg(F.sum(F.col("weight") * F.col("x.impact")).alias("score")).filter("score > 0")
-    local = F.rank().over(Window.partitionBy("item_id", "stretch").orderBy(F.desc("score")))
-    best = sums.withColumn("place", local).filter(F.col("place") <= k).drop("place")
+    count = weighted.count()
+    # who asks for a term, in lists of bounded length: a posting list travels once for all of them
+    share = F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-count // ASKING)))).alias("share")
+    asks = weighted.groupBy("term", share).agg(F.collect_list(F.struct("item_id", "weight")).alias("asks"))
+    met = scored.join(F.broadcast(asks) if count <= SENT else asks, "term").select("stretch", "share", "asks", "at", "impact")
+    each = met.repartition("stretch", "share").select("stretch", "share", F.explode("asks").alias("ask"), "at", "impact")
+    each = each.select("stretch", "share", "ask.item_id", "ask.weight", F.explode(F.arrays_zip("at", "impact")).alias("x"))
+    sums = each.groupBy("item_id", "stretch", "share", F.col("x.at").alias("at")).agg(F.sum(F.col("weight") * F.col("x.impact")).alias("score")).filter("score > 0")
+    local = F.rank().over(Window.partitionBy("item_id", "stretch", "share").orderBy(F.desc("score")))
+    best = sums.withColumn("place", local).filter(F.col("place") <= k).drop("place", "share")
     names = documents.select("stretch", F.explode(F.arrays_zip("at", "doc_id")).alias("x")).select("stretch", "x.at", "x.doc_id")
     ordered = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "stretch", "at"))
     return best.join(names, ["stretch", "at"]).withColumn("rank", ordered).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
