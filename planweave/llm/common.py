@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -26,14 +28,31 @@ def split_of(doc_id: str | Column, parts: int) -> Column:
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `most` bytes of their last column, so that long texts don't pile up."""
+    """The same rows in slices of about `most` bytes of their texts, whichever columns these are in, so that long ones don't pile up."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)] or [batch.column(batch.num_columns - 1)]
+        sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) if not pa.types.is_list(c.type) else pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) * 4 for c in texts)
         start = held = 0
-        for i, size in enumerate(sizes):
+        for i, size in enumerate(sizes.tolist()):
             if held and held + size > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
-            held += int(size)
+            held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def read_along(docs: DataFrame, whole: bool) -> tuple[DataFrame, list[str]]:
+    """What a scoring of texts sends to its tasks, the text last and once, and the columns that come back with the scores: all, or the id alone."""
+    names = [c for c in docs.columns if c != "text"] if whole else ["doc_id"]
+    return docs.select(*names, "text"), [*names, "text"] if whole else names
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str]:
+    """The last column, null as empty."""
+    return ["" if t is None else t for t in batch.column(batch.num_columns - 1).to_pylist()]
+
+
+def with_fields(df: DataFrame, more: str) -> StructType:
+    """The schema of `df` and what `more` adds to it."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

@@ -73,29 +73,30 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def block_of(docs: DataFrame, place: Column, tie: Column, block: int) -> Column:
-    """How many of the bounds, evenly spaced quantiles of (place, tie), are at or before a row: its block.
+def block_of(docs: DataFrame, place: Column, tie: Column, turn: Column, block: int) -> Column:
+    """How many of the bounds, evenly spaced quantiles of (place, tie, turn), are at or before a row: its block.
 
-    The bounds come from the keys alone: all distinct ones, or about SAMPLED for each of
-    MOST_BLOCKS blocks by a hash, so sparse or clustered keys make blocks of one size.
+    The bounds come from the keys alone: all of them, or about SAMPLED for each of
+    MOST_BLOCKS blocks by a hash, so sparse or clustered keys make blocks of one size. `turn` is
+    spread evenly over rows that are equal in the others, so these are parted too.
     """
     n = docs.count()
     blocks = max(1, min(MOST_BLOCKS, n // block))
     if blocks == 1:
         return F.lit(0)
     thin = -(-n // (SAMPLED * MOST_BLOCKS))
-    keys = docs.select(place.alias("place"), tie.alias("tie"))
-    keys = (keys.filter(F.pmod(F.xxhash64("place", "tie"), F.lit(thin)) == 0) if thin > 1 else keys).distinct().toArrow()
-    places, ties = keys["place"].to_numpy(), keys["tie"].to_numpy()
-    order = np.lexsort((ties, places))
+    keys = docs.select(place.alias("place"), tie.alias("tie"), turn.alias("turn"))
+    keys = (keys.filter(F.pmod(F.xxhash64("place", "tie", "turn"), F.lit(thin)) == 0) if thin > 1 else keys).toArrow()
+    places, ties, turns = (keys[c].to_numpy() for c in ("place", "tie", "turn"))
+    order = np.lexsort((turns, ties, places))
     at = order[np.unique(np.arange(1, blocks) * len(order) // blocks)] if len(order) else order
     written = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
-    bound_place, bound_tie, count = written(places[at].tolist()), written(ties[at].tolist()), len(at)
+    bound_place, bound_tie, bound_turn, count = written(places[at].tolist()), written(ties[at].tolist()), written(turns[at].tolist()), len(at)
     steps = [1 << i for i in reversed(range(count.bit_length()))]
 
     def further(found: Column, step: Column) -> Column:
-        p, t = F.get(bound_place, found + step - 1), F.get(bound_tie, found + step - 1)
-        before = (p < place) | ((p == place) & (t <= tie))
+        p, t, u = (F.get(bound, found + step - 1) for bound in (bound_place, bound_tie, bound_turn))
+        before = (p < place) | ((p == place) & ((t < tie) | ((t == tie) & (u <= turn))))
         return F.when((found + step <= count) & F.coalesce(before, F.lit(False)), found + step).otherwise(found)
 
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
@@ -111,10 +112,13 @@ def with_next(docs: DataFrame, key: str, value: str, derived: dict[str, Column],
     place = F.coalesce(F.bitwise_not(F.col(key).cast("bigint")), F.lit((1 << 63) - 1))
     tie = F.when(F.col(key).isNull(), hashed).otherwise(-1 - hashed)
     row = F.struct(F.col(value), *(c.alias(name) for name, c in derived.items()))
-    dealt = docs.select(key, value, place.alias("_place"), tie.alias("_tie"), block_of(docs, place, tie, block).alias("_block"))
-    near = Window.partitionBy("_block").orderBy("_place", "_tie", F.col("own").getField(value))
-    out = dealt.select(key, "_block", "_place", "_tie", row.alias("own")).withColumn("_next", F.lead("own").over(near))
-    first = F.row_number().over(Window.partitionBy("_block").orderBy("_place", "_tie", value))
+    # rows that are equal in both are equal: any turn will do, as long as it parts many of them
+    turned = docs.select(key, value, place.alias("_place"), tie.alias("_tie"), F.xxhash64(F.monotonically_increasing_id()).alias("_turn"))
+    keys = ("_place", "_tie", "_turn")
+    dealt = turned.withColumn("_block", block_of(turned, *map(F.col, keys), block))
+    near = Window.partitionBy("_block").orderBy(*keys)
+    out = dealt.select(key, "_block", *keys, row.alias("own")).withColumn("_next", F.lead("own").over(near))
+    first = F.row_number().over(near)
     heads = dealt.withColumn("_first", first).filter(F.col("_first") == 1).select(F.col("_block").alias("_follows"), row.alias("_head"))
 
     # no more than MOST_BLOCKS rows

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_of, text_slices, whole_text
+from .common import read_along, split_of, text_slices, texts_of, with_fields
 from .toxicity import labelled_texts
 
 #: Most documents of a grade that the model is fitted on.
@@ -138,21 +138,21 @@ def train(texts: list[str], ratings: list[int], counts_for: list[float] | None =
     return Model(weights, grades, spread(free))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, expected_grade and tails (P of each grade above the lowest, or more)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def scored(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
+    """doc_id, expected_grade and tails (P of each grade above the lowest, or more); with `whole`, beside all columns of `docs`."""
     at = np.flatnonzero(model.weights)
     said = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), model.weights[at], model.grades, model.thresholds))
+    rows, names = read_along(docs, whole)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values, grades, thresholds = said.value
         mine, known = Model(np.zeros(0), grades, thresholds), Features()
         weight = dict(zip(at.tolist(), values.tolist(), strict=True)).get
         for batch in text_slices(batches):
-            scores = np.array([sum(weight(f, 0.0) * x for f, x in known.of(t).items()) for t in batch.column(1).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine.expected(scores)), pa.array(list(mine.tails(scores)), pa.list_(pa.float64()))], ["doc_id", "expected_grade", "tails"])
+            scores = np.array([sum(weight(f, 0.0) * x for f, x in known.of(t).items()) for t in texts_of(batch)], float)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(mine.expected(scores)), pa.array(list(mine.tails(scores)), pa.list_(pa.float64()))], [*names, "expected_grade", "tails"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, expected_grade double, tails array<double>")
+    return rows.mapInArrow(run, with_fields(rows.select(*names), "expected_grade double, tails array<double>"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rating: str = "quality", held: int = 1, parts: int = 3) -> Model:

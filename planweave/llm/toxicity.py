@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_of, text_slices, whole_text
+from .common import read_along, split_of, text_slices, texts_of, whole_text, with_fields
 
 #: Most documents of a class that the model is fitted on, most bytes of their texts in all, and the longest such text.
 SAMPLE, SAMPLE_BYTES, LONGEST = 2000, 32 << 20, 1 << 20
@@ -184,24 +184,24 @@ class Scorer:
 SPANS = "array<struct<start:int,end:int,score:double>>"
 
 
-def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, score, offending (start, end and score of the sentences that are likelier toxic than not)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def scored(docs: DataFrame, weights: np.ndarray, whole: bool = False) -> DataFrame:
+    """doc_id, score, offending (start, end and score of the sentences that are likelier toxic than not); with `whole`, beside all columns of `docs`."""
     sparse = np.flatnonzero(weights[:-1])
     said = docs.sparkSession.sparkContext.broadcast((sparse.astype(np.int32), weights[sparse], float(weights[-1])))
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    rows, names = read_along(docs, whole)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values, bias = said.value
-        whole = np.zeros(BUCKETS + 1)
-        whole[at], whole[-1] = values, bias
-        scorer = Scorer(whole)
+        whole_weights = np.zeros(BUCKETS + 1)
+        whole_weights[at], whole_weights[-1] = values, bias
+        scorer = Scorer(whole_weights)
         for batch in text_slices(batches):
-            found = [scorer.document(t) for t in batch.column(1).to_pylist()]
+            found = [scorer.document(t) for t in texts_of(batch)]
             worst = [[dict(zip(("start", "end", "score"), s, strict=True)) for s in spans_of] for _, spans_of in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(worst, spans)], ["doc_id", "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([s for s, _ in found], pa.float64()), pa.array(worst, spans)], [*names, "score", "offending"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, score double, offending {SPANS}")
+    return rows.mapInArrow(run, with_fields(rows.select(*names), f"score double, offending {SPANS}"))
 
 
 def report(docs: DataFrame, labels: DataFrame, held: int = 1, parts: int = 3) -> DataFrame:

@@ -4,6 +4,9 @@ import hashlib
 import math
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from planweave.llm import fingerprints, secrets
 
 DOCS = "doc_id bigint, text string, n_chars string, hashes int"
@@ -82,7 +85,7 @@ def test_blocks_of_sparse_keys(spark):
     hashed = F.shiftrightunsigned(F.xxhash64("text"), 1)
     place = F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))
     tie = F.when(F.col("doc_id").isNull(), hashed).otherwise(-1 - hashed)
-    sizes = [r["count"] for r in rows.groupBy(fingerprints.block_of(rows, place, tie, 100).alias("b")).count().collect()]
+    sizes = [r["count"] for r in rows.groupBy(fingerprints.block_of(rows, place, tie, F.lit(0).cast("long"), 100).alias("b")).count().collect()]
     assert len(sizes) == 80 and max(sizes) <= 102
     follows = {r.doc_id: r.next.text for r in fingerprints.with_next(rows.filter("doc_id is not null"), "doc_id", "text", {}, block=50).collect()}
     order = sorted((i, n) for n, i in enumerate(ids) if i is not None)
@@ -90,6 +93,23 @@ def test_blocks_of_sparse_keys(spark):
     assert fingerprints.with_next(rows, "doc_id", "text", {}, block=50).select("next.text").distinct().count() == len(ids)
 
 
+@pytest.mark.parametrize("repeated", [(7, "the same text"), (None, None)])
+def test_equal_rows_are_no_hot_block(spark, repeated):
+    """Twenty thousand equal rows are dealt out like others, and each is followed by one of its kind but for the last."""
+    rows = docs(spark, [(i * 3, f"text {i}") for i in range(500)] + [repeated] * 20_000).repartition(6)
+    held = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    place, tie = F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), F.when(F.col("doc_id").isNull(), hashed).otherwise(-1 - hashed)
+    keys = held.select(place.alias("p"), tie.alias("t"), F.xxhash64(F.monotonically_increasing_id()).alias("u"))
+    sizes = [r["count"] for r in keys.withColumn("b", fingerprints.block_of(keys, F.col("p"), F.col("t"), F.col("u"), fingerprints.BLOCK)).groupBy("b").count().collect()]
+    assert sum(sizes) == 20_500 and max(sizes) <= 2 * fingerprints.BLOCK
+    got = fingerprints.with_next(held, "doc_id", "text", {}).select("doc_id", "own.text", F.col("next.text").alias("after")).collect()
+    assert len(got) == 20_500
+    same = [r.after == r.text for r in got if r.text == (repeated[1] or "")]
+    assert len(same) == 20_000 and same.count(False) == 1
+    assert sum(r.after == (repeated[1] or "") for r in got) == 20_000
+
+
 def test_fingerprints_ties_nulls_empty(spark):
     rows = docs(spark, [(None, "b c d"), (1, "a"), (1, "a"), (1, "z"), (None, None)])
     assert fingerprints.report(rows).count() == 5
