@@ -14,27 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.llm import packing, quality, secrets, simhash, toxicity
-from planweave.llm.common import table, whole_text
-from planweave.session import shared_folder, until_exit
+from planweave.llm.common import table
+from planweave.session import discard, shared_folder, until_exit
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Python that runs beside whole rows: the scores travel with them, so no join is needed.
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of the best grade is at least quality.KEEP."""
     model = quality.fitted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    scores = quality.scored(_keyed(docs), model)
-    return _restored(scores.filter(quality.best_tail() >= quality.KEEP), docs)
+    return quality.scored(docs.select(*COLUMNS), model, whole=True).filter(quality.best_tail() >= quality.KEEP).select(*COLUMNS)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity under toxicity.THRESHOLD."""
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(toxicity.split_of("doc_id", 3) != 1)
     weights = toxicity.train(*toxicity.labelled_texts(docs, labels, "toxic"))
-    scores = toxicity.scored(_keyed(docs), weights)
-    return _restored(scores.filter(F.col("score") < toxicity.THRESHOLD), docs)
+    return toxicity.scored(docs.select(*COLUMNS), weights, whole=True).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,15 +53,6 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.report(docs.select("doc_id", "text"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Whole rows ride along as the id of the text that is scored."""
-    return docs.select(F.struct(*COLUMNS).alias("doc_id"), whole_text().alias("text"))
-
-
-def _restored(scores: DataFrame, docs: DataFrame) -> DataFrame:
-    return scores.select(*(F.col("doc_id").getField(c).cast(docs.schema[c].dataType).alias(c) for c in COLUMNS))
-
-
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_classifier),
     ("toxicity", toxicity_filter),
@@ -77,12 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again; a stage's table goes once the next one is written, the last when the session ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     folder = f"{shared_folder(spark)}/planweave-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         until_exit(spark, path)
+        discard(docs)
         docs = spark.read.parquet(path)
+        docs.stored_at = path
     return docs
