@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planweave import model
 from planweave.functions import geometry, scalar
+from planweave.operators import metrics
 from planweave.session import discard, stored
 
 
@@ -103,6 +104,19 @@ def dissolved_boundary(segments: DataFrame, owners: DataFrame, key: str, group:
     return once.groupBy(*group).agg(F.sum("len_m").alias("perimeter_m"))
 
 
+def plan_perimeters(segments: DataFrame, plans: DataFrame, key: str, ends: list[str]) -> DataFrame:
+    """step, zone, perimeter_m of plans (step, node_id, zone): `dissolved_boundary` of all plans at once.
+
+    A node's districts travel packed, so a segment meets its owners' once a block of steps, and
+    is only there a plan at a time where it is some zone's boundary.
+    """
+    held = metrics.packed(plans).withColumnRenamed("node_id", key)
+    met = segments.join(held, key).groupBy(*ends, "_block").agg(F.first("len_m").alias("len_m"), F.collect_list("_of").alias("lists"))
+    # what one of two has and the other has not; of more, what an odd number has
+    odd = F.reduce("lists", F.slice(F.get("lists", F.lit(0)), 1, 0), lambda a, b: F.concat(F.array_except(a, b), F.array_except(b, a)))
+    return met.select("len_m", F.explode(odd).alias("x")).groupBy("x.step", "x.zone").agg(F.sum("len_m").alias("perimeter_m"))
+
+
 def subtree_sums(tree: DataFrame) -> DataFrame:
     """node, subtree_pop from (node, parent, pop); a node without parent is a root, and there may be many.
 

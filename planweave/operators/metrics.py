@@ -12,14 +12,18 @@ from planweave.functions import scalar
 STEPS = 1024
 
 
+def packed(plans: DataFrame) -> DataFrame:
+    """node_id, _block, _of: a node's districts (step, zone), STEPS steps a row."""
+    return plans.groupBy("node_id", F.expr(f"step div {STEPS}").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("step", "zone"))).alias("_of"))
+
+
 def cut_marks(edges: DataFrame, plans: DataFrame) -> DataFrame:
     """step, u, v, border_len_m, du, dv: every edge of every plan with the districts of its ends.
 
     A node's districts are gathered once, STEPS steps a row, and it is those rows that
     edges are joined with: edges times plans are only there after the last shuffle.
     """
-    block = F.expr(f"step div {STEPS}")
-    held = plans.groupBy("node_id", block.alias("_block")).agg(F.array_sort(F.collect_list(F.struct("step", "zone"))).alias("_of"))
+    held = packed(plans)
     at = lambda end: held.select(F.col("node_id").alias(end), "_block", F.col("_of").alias(f"_{end}"))
     both = edges.select("u", "v", "border_len_m").join(at("u"), "u").join(at("v"), ["v", "_block"])
     row = lambda a, b: F.struct(a["step"].alias("step"), a["zone"].alias("du"), b["zone"].alias("dv"))

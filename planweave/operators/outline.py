@@ -11,7 +11,9 @@ Borders must have the same corners on both sides, which `graph.split_segments` s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry
-from planweave.operators import spatial
+from planweave.operators import metrics, spatial
 from planweave.session import discard, stored
 
+#: Sides of a group's boundary that one task walks around.
+LOCAL = 100_000
+
 
 def directed_sides(polygons: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
     """`keys`, p, q of all sides of the polygons (geom), corners rounded, inside on the left."""
@@ -62,8 +67,62 @@ def ranked(links: DataFrame) -> DataFrame:
 
 
 def stitched(sides: DataFrame, group: list[str]) -> DataFrame:
-    """`group`, ring, points: the rings of a group's boundary (p, q), none of which meets itself. Outer rings run counter-clockwise, holes clockwise."""
-    rows = stored(sides.select(*group, "p", "q").withColumn("_side", F.monotonically_increasing_id()), "sides")
+    """`group`, ring, points: the rings of a group's boundary (p, q), none of which meets itself. Outer rings run counter-clockwise, holes clockwise.
+
+    A group of at most LOCAL sides is walked around in one task; the sides of a larger one are
+    linked by joins and ranked.
+    """
+    held = stored(sides.select(*group, "p", "q"), "sides")
+    large = stored(held.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LOCAL).select(*(F.col(c).alias(f"_{c}") for c in group)), "large")
+    among = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group))
+    if large.isEmpty():
+        return _walked(held, group)
+    return _walked(held.join(large, among, "left_anti"), group).unionByName(_linked(held.join(large, among, "left_semi"), group))
+
+
+def _walked(sides: DataFrame, group: list[str]) -> DataFrame:
+    kinds = ", ".join(f"`{c}` {sides.schema[c].dataType.simpleString()}" for c in group)
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        p, q = table["p"].to_pylist(), table["q"].to_pylist()
+        rings = [loop for ring in walks([(v["x"], v["y"]) for v in p], [(v["x"], v["y"]) for v in q]) for loop in simple_loops([p[i] for i in ring])]
+        keys = {c: pa.chunked_array([table[c].combine_chunks().take(pa.array(np.zeros(len(rings), np.int64)))]) for c in group}
+        return pa.table(keys | {"ring": pa.array(range(len(rings)), pa.int64()), "points": pa.array(rings, pa.list_(point))})
+
+    return sides.groupBy(*group).applyInArrow(run, f"{kinds}, ring long, points {geometry.RING}")
+
+
+def walks(starts: list[tuple[float, float]], ends: list[tuple[float, float]]) -> list[list[int]]:
+    """The sides (by place) of a boundary in the order of its rings."""
+    goes: dict[tuple[float, float], list[int]] = {}
+    for i, v in enumerate(starts):
+        goes.setdefault(v, []).append(i)
+
+    def turn(a: tuple[float, float], b: tuple[float, float]) -> float:
+        return math.atan2(b[1] - a[1], b[0] - a[0])
+
+    def after(i: int) -> int:
+        ways = goes.get(ends[i], [i])  # polygons that overlap may leave an end, which closes the ring
+        if len(ways) == 1:
+            return ways[0]
+        back = turn(ends[i], starts[i])
+        return min(ways, key=lambda j: (back - turn(starts[j], ends[j])) % (2 * math.pi) or 2 * math.pi)
+
+    out, seen = [], [False] * len(starts)
+    for i in range(len(starts)):
+        ring = []
+        while not seen[i]:
+            seen[i] = True
+            ring.append(i)
+            i = after(i)
+        if ring:
+            out.append(ring)
+    return out
+
+
+def _linked(sides: DataFrame, group: list[str]) -> DataFrame:
+    rows = stored(sides.withColumn("_side", F.monotonically_increasing_id()), "sides")
     turn = lambda a, b: F.atan2(b["y"] - a["y"], b["x"] - a["x"])
     p, q = F.col("p"), F.col("q")
     ends = rows.select(*group, q.alias("_v"), F.struct(F.col("_side").alias("id"), turn(q, p).alias("turn")).alias("comes"), F.lit(None).cast("struct<id:bigint,turn:double>").alias("goes"))
@@ -126,6 +185,23 @@ def dissolved_sides(sides: DataFrame, owners: DataFrame, key: str, group: list[s
     return parts(stitched(boundary(sides.join(owners, key), group), group), group)
 
 
+def dissolved_plans(polygons: DataFrame, plans: DataFrame, key: str, digits: int = 3) -> DataFrame:
+    """step, zone, part, geom: every zone of every plan (step, node_id, zone), of polygons (key, geom) that don't overlap.
+
+    As `dissolved`, but a node's districts travel packed: a side is only there a plan at a
+    time where it is some zone's boundary.
+    """
+    held = metrics.packed(plans).withColumnRenamed("node_id", key)
+    rows = directed_sides(polygons, [key], digits).join(held, key)
+    forth = F.col("p") < F.col("q")
+    marked = F.transform("_of", lambda x: F.struct(x["step"].alias("step"), x["zone"].alias("zone"), forth.alias("forth")))
+    met = rows.groupBy(F.least("p", "q").alias("_low"), F.greatest("p", "q").alias("_high"), "_block").agg(F.collect_list(marked).alias("lists"))
+    turned = lambda a: F.transform(a, lambda x: F.struct(x["step"].alias("step"), x["zone"].alias("zone"), (~x["forth"]).alias("forth")))
+    left = F.reduce("lists", F.slice(F.get("lists", F.lit(0)), 1, 0), lambda a, b: F.concat(F.array_except(a, turned(b)), F.array_except(b, turned(a))))
+    sides = met.select("_low", "_high", F.explode(left).alias("x")).select("x.step", "x.zone", F.when(F.col("x.forth"), F.col("_low")).otherwise(F.col("_high")).alias("p"), F.when(F.col("x.forth"), F.col("_high")).otherwise(F.col("_low")).alias("q"))
+    return parts(stitched(sides, ["step", "zone"]), ["step", "zone"])
+
+
 def whole(found: DataFrame, group: list[str]) -> DataFrame:
     """`group`, geom: all parts of a group as one polygon."""
     return found.groupBy(*group).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "geom"))), lambda p: p["geom"])).alias("geom"))
@@ -139,6 +215,48 @@ def measures(found: DataFrame, group: list[str]) -> DataFrame:
     return each.groupBy(*group).agg(F.count(F.lit(1)).alias("parts"), F.sum("_h").alias("holes"), F.sum("_n").alias("n_points"), F.sum("_a").alias("area_m2"), F.sum("_m").alias("perimeter_m"))
 
 
+# ---- overlay
+
+
+def _strips(polygons: DataFrame, key: str, width: float, end: str) -> DataFrame:
+    """`key`, strip, and the pieces of its sides in each upright strip: x0 < x1, the heights there, and 1 where the polygon is below, -1 where it is above."""
+    rows = polygons.select(key, F.explode(F.flatten(F.transform(geometry.oriented(F.col("geom")), geometry.segments))).alias("_s")).filter("_s.a.x <> _s.b.x")
+    back = F.col("_s.b.x") < F.col("_s.a.x")
+    at = lambda c, first: F.when(back == F.lit(first), F.col(f"_s.b.{c}")).otherwise(F.col(f"_s.a.{c}"))
+    rows = rows.select(key, at("x", True).alias("_lx"), at("y", True).alias("_ly"), at("x", False).alias("_rx"), at("y", False).alias("_ry"), F.when(back, 1).otherwise(-1).alias(f"{end}_way"))
+    rows = rows.withColumn("strip", F.explode(F.sequence(F.floor(F.col("_lx") / width), F.floor(F.col("_rx") / width))))
+    low, high = F.greatest(F.col("_lx"), F.col("strip") * width), F.least(F.col("_rx"), (F.col("strip") + 1) * width)
+    height = lambda x: F.col("_ly") + (x - F.col("_lx")) * (F.col("_ry") - F.col("_ly")) / (F.col("_rx") - F.col("_lx"))
+    rows = rows.withColumn(f"{end}_x0", low).withColumn(f"{end}_x1", high).filter(F.col(f"{end}_x0") < F.col(f"{end}_x1"))
+    return rows.select(key, "strip", f"{end}_way", f"{end}_x0", f"{end}_x1", height(F.col(f"{end}_x0")).alias(f"{end}_y0"), height(F.col(f"{end}_x1")).alias(f"{end}_y1"))
+
+
+def overlay_areas(a: DataFrame, b: DataFrame, a_key: str, b_key: str, width: float) -> DataFrame:
+    """`a_key`, `b_key`, area_m2: how much of each polygon of `a` is in each of `b`; pairs that share nothing have no row.
+
+    A polygon is what lies below its upper sides less what lies below its lower ones, so what
+    two have in common is the sum, over their pairs of sides, of what lies below both: a
+    trapezoid, or two where they cross. Sides are cut at strips of `width`, and pairs of
+    polygons whose boxes meet are joined by strip, so a side only meets what is above or below it.
+    """
+    tiled = lambda df, key: df.filter("geom is not null and size(flatten(geom)) > 2").select(key, geometry.bounds(F.col("geom")).alias("_b")).select(key, "_b", F.explode(F.sequence(F.floor(F.col("_b.x0") / width), F.floor(F.col("_b.x1") / width))).alias("_cx")).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_b.y0") / width), F.floor(F.col("_b.y1") / width))))
+    ours, theirs = tiled(a, a_key).withColumnRenamed("_b", "_a"), tiled(b, b_key)
+    near = (F.col("_a.x0") < F.col("_b.x1")) & (F.col("_a.x1") > F.col("_b.x0")) & (F.col("_a.y0") < F.col("_b.y1")) & (F.col("_a.y1") > F.col("_b.y0"))
+    pairs = ours.join(theirs, ["_cx", "_cy"]).filter(near).select(a_key, b_key, F.least("_a.y0", "_b.y0").alias("_base")).distinct()
+    met = pairs.join(_strips(a, a_key, width, "a"), a_key).join(_strips(b, b_key, width, "b"), [b_key, "strip"])
+    low, high = F.greatest("a_x0", "b_x0"), F.least("a_x1", "b_x1")
+    met = met.withColumn("_low", low).withColumn("_high", high).filter("_low < _high")
+    height = lambda e, x: F.col(f"{e}_y0") + (x - F.col(f"{e}_x0")) * (F.col(f"{e}_y1") - F.col(f"{e}_y0")) / (F.col(f"{e}_x1") - F.col(f"{e}_x0")) - F.col("_base")
+    met = met.select(a_key, b_key, (F.col("a_way") * F.col("b_way")).alias("_way"), (F.col("_high") - F.col("_low")).alias("_wide"), *(height(e, F.col(x)).alias(f"_{e}{x}") for e in "ab" for x in ("_low", "_high")))
+    first, last = F.col("_a_low") - F.col("_b_low"), F.col("_a_high") - F.col("_b_high")
+    left, right = F.least("_a_low", "_b_low"), F.least("_a_high", "_b_high")
+    part = first / F.nullif(first - last, F.lit(0.0))
+    middle = F.col("_a_low") + part * (F.col("_a_high") - F.col("_a_low"))
+    below = F.when(first * last < 0, (left + middle) * part + (middle + right) * (1 - part)).otherwise(left + right) / 2 * F.col("_wide")
+    sums = met.groupBy(a_key, b_key).agg(F.sum(F.col("_way") * below).alias("area_m2"))
+    return sums.filter(F.col("area_m2") > 1e-6)
+
+
 # ---- simplification by arcs
 
 

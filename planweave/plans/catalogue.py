@@ -229,7 +229,7 @@ def adjacency_from_segments(s):
 @query("""select step, zone, sum(len_m) perimeter_m from (
   select p.step, p.zone, s.o, s.a, s.b, min(s.len_m) len_m from seg s join plan p using (node_id) group by p.step, p.zone, s.o, s.a, s.b having count(*) % 2 = 1) group by all""")
 def dissolve_perimeter(s):
-    return graph.dissolved_boundary(s.segments, s.plans, "node_id", ["step", "zone"], ["o", "a", "b"])
+    return graph.plan_perimeters(s.segments, s.plans, "node_id", ["o", "a", "b"])
 
 
 BRICK = {"brick": "select c_custkey id, 100.0::double * (c_custkey % 40) + 50 * ((c_custkey // 40) % 2) x, 100.0::double * (c_custkey // 40) y, c_custkey // 40 r from customer"}
@@ -297,7 +297,7 @@ RUNS = {
 @query("""select step, zone, parts, 0::bigint holes, rim.n n_points, 1e6::double * part.n area_m2, 1e3::double * rim.n perimeter_m from part join rim using (step, zone)""", RUNS)
 def dissolved_polygons(s):
     """Every zone of every plan put together to polygons."""
-    found = outline.dissolved(squares(s), s.plans, "node_id", ["step", "zone"])
+    found = outline.dissolved_plans(squares(s), s.plans, "node_id")
     return outline.measures(found, ["step", "zone"])
 
 
@@ -313,7 +313,7 @@ def dissolved_bands(s):
 @query("select step, node_id, zone from plan")
 def units_in_zones(s):
     """The zone that a unit's centre is in, among the polygons of the zones of each plan: as the plan has it."""
-    found = outline.whole(outline.dissolved(squares(s), s.plans, "node_id", ["step", "zone"]), ["step", "zone"])
+    found = outline.whole(outline.dissolved_plans(squares(s), s.plans, "node_id"), ["step", "zone"])
     steps = F.broadcast(s.plans.select("step").distinct())  # at most 50
     centres = s.grid.select("node_id", (F.col("gx") * 1000.0 + 500).alias("x"), (F.col("gy") * 1000.0 + 500).alias("y")).crossJoin(steps)
     return spatial.points_in_polygons(centres, found, "zone", on=("step",)).select("step", "node_id", "zone")
@@ -334,16 +334,16 @@ THIRD = {
 @query("select zone, cast(sum(points) as bigint) n_points, any_value(area) area_m2 from met join (select zone, 1e6::double * count(*) area from z group by zone) using (zone) group by zone", THIRD)
 def simplified_zones(s):
     """Outlines of one plan's zones without the corners that lie on straight borders; neighbours stay neighbours."""
-    sides = outline.dissolved(squares(s), s.plans.filter("step = 3"), "node_id", ["zone"])
-    found = outline.measures(outline.simplified(sides, "zone", 1.0), ["zone"])
+    shapes = outline.dissolved_plans(squares(s), s.plans.filter("step = 3"), "node_id")
+    found = outline.measures(outline.simplified(shapes, "zone", 1.0), ["zone"])
     return found.select("zone", "n_points", "area_m2")
 
 
 @query("""select distinct least(a.zone, b.zone) u, greatest(a.zone, b.zone) v from z a join z b on abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1 and a.zone < b.zone""", THIRD)
 def simplified_neighbours(s):
     """Which zones share a border after their outlines were simplified roughly."""
-    sides = outline.dissolved(squares(s), s.plans.filter("step = 3"), "node_id", ["zone"])
-    return outline.neighbours(outline.directed_sides(outline.simplified(sides, "zone", 2500.0), ["zone"]), "zone")
+    shapes = outline.dissolved_plans(squares(s), s.plans.filter("step = 3"), "node_id")
+    return outline.neighbours(outline.directed_sides(outline.simplified(shapes, "zone", 2500.0), ["zone"]), "zone")
 
 
 # ---- spatial
@@ -401,6 +401,14 @@ def multipart_measures(s):
     return rows.select("region_id", F.round(geometry.area(g), 3).alias("area_m2"), F.round(geometry.perimeter(g), 3).alias("perimeter_m"), F.round(c["x"], 3).alias("cx"), F.round(c["y"], 3).alias("cy"))
 
 
+@query("""select id, region_id, round(w * h, 3) area_m2 from (select brick.id, box.region_id, least(brick.x + 100, box.x1) - greatest(brick.x, box.x0) w, least(brick.y + 100, box.y1) - greatest(brick.y, box.y0) h
+  from brick join box on brick.x + 100 > box.x0 and brick.x < box.x1 and brick.y + 100 > box.y0 and brick.y < box.y1)""", BRICK | BLOCK)
+def overlay_areas(s):
+    """How much of each brick is in each region."""
+    found = outline.overlay_areas(bricks(s), boxes(s), "id", "region_id", 500.0)
+    return found.select("id", "region_id", F.round("area_m2", 3).alias("area_m2"))
+
+
 PLACED = BLOCK | {
     "spot": "select id, x + 50 x, y + 50 y from brick",
     "held": "select id, region_id from (select spot.id, box.region_id, row_number() over (partition by spot.id order by box.region_id) n from spot left join box on spot.x > box.x0 and spot.x < box.x1 and spot.y > box.y0 and spot.y < box.y1) where n = 1",

@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry
@@ -84,7 +85,9 @@ def test_one_large_polygon_and_many_points(spark):
     assert took < 90
 
 
-def test_dissolve_with_holes_islands_and_corners_that_touch(spark):
+@pytest.mark.parametrize("local", [outline.LOCAL, 0, 12])
+def test_dissolve_with_holes_islands_and_corners_that_touch(spark, monkeypatch, local):
+    monkeypatch.setattr(outline, "LOCAL", local)  # walked around in tasks, or linked and ranked, or some of each
     cells = {(x, y): 1 for x in range(7) for y in range(7)}
     for hole in ((1, 1), (2, 2), (4, 4), (5, 4)):  # two that touch at a corner, two that are one hole
         del cells[hole]
@@ -108,6 +111,49 @@ def ring_set_of(rings):
     return sorted(tuple(r[r.index(min(r)) :] + r[: r.index(min(r))]) for r in rings)
 
 
+def clipped(subject, clip):
+    """The part of a convex ring inside another convex ring, both counter-clockwise, by cutting at its sides."""
+    out = subject
+    for (ax, ay), (bx, by) in zip(clip, clip[1:] + clip[:1], strict=True):
+        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: B023, E731
+        kept = []
+        for p, q in zip(out, out[1:] + out[:1], strict=True):
+            if side(p) >= 0:
+                kept.append(p)
+            if side(p) * side(q) < 0:
+                t = side(p) / (side(p) - side(q))
+                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        out = kept
+        if not out:
+            return 0.0
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(out, out[1:] + out[:1], strict=True)) / 2
+
+
+def test_overlay_of_convex_shapes_against_cutting(spark):
+    rng = random.Random(6)
+
+    def convex(i):
+        x, y, r, n = rng.uniform(0, 300), rng.uniform(0, 300), rng.uniform(10, 80), rng.randint(3, 12)
+        return sorted(rng.uniform(0, 2 * math.pi) for _ in range(n)), x, y, r
+
+    rings = [[(x + r * math.cos(t), y + r * math.sin(t)) for t in turns] for turns, x, y, r in map(convex, range(60))]
+    ours, theirs = rings[:30], rings[30:]
+    told = {(i, j): area for i, a in enumerate(ours) for j, b in enumerate(theirs) if (area := clipped(a, b)) > 1e-6}
+    for width in (25.0, 1000.0):
+        got = outline.overlay_areas(frame(spark, [(i, [r[::-1] if i % 2 else r]) for i, r in enumerate(ours)], "a"), frame(spark, [(i, [r]) for i, r in enumerate(theirs)], "b"), "a", "b", width)
+        found = {(r.a, r.b): r.area_m2 for r in got.collect()}
+        assert found.keys() == told.keys() and all(abs(found[k] - told[k]) < 1e-6 for k in told)
+
+
+def test_overlay_with_holes_and_parts(spark):
+    a = frame(spark, [(1, [box(0.0, 0.0, 100.0), box(20.0, 20.0, 20.0), box(200.0, 0.0, 10.0)]), (2, None), (3, [])], "a")
+    b = frame(spark, [(7, [box(10.0, 10.0, 50.0)]), (8, [box(150.0, -50.0, 100.0)]), (9, [box(22.0, 22.0, 5.0)])], "b")
+    got = {(r.a, r.b): round(r.area_m2, 6) for r in outline.overlay_areas(a, b, "a", "b", 30.0).collect()}
+    assert got == {(1, 7): 2500.0 - 400.0, (1, 8): 100.0}
+    same = outline.overlay_areas(a, a.withColumnRenamed("a", "b"), "a", "b", 7.0).collect()
+    assert [(r.a, r.b, round(r.area_m2, 6)) for r in same] == [(1, 1, 10000.0 - 400 + 100)]
+
+
 def test_ranking_of_chains_and_rings(spark):
     random.seed(9)
     links, told = [], {}
