@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import text_slices, whole_text
 
-#: Words whose path a worker keeps, the longest such word in bytes, and arcs that are kept.
-CACHE, CACHED_BYTES, ARCS = 300_000, 64, 2_000_000
+#: Words whose path a worker keeps, the longest such word in bytes, arcs that are kept, and documents that are decoded together.
+CACHE, CACHED_BYTES, ARCS, TOGETHER = 300_000, 64, 2_000_000, 64
 # White space, and how the tokenizer takes a text apart.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -217,7 +217,8 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = tokenizer(name)
         for batch in batches:
-            for some in text_slices([batch]):
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
                 texts = [found.decode(i or ()) for i in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -28,10 +28,26 @@ def split_of(doc_id: str | Column, parts: int) -> Column:
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `most` bytes of their texts, whichever columns these are in, so that long ones don't pile up."""
+    """The same rows in slices of about `most` bytes of their last column, so that long texts don't pile up."""
     for batch in batches:
-        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)] or [batch.column(batch.num_columns - 1)]
-        sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) if not pa.types.is_list(c.type) else pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) * 4 for c in texts)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if held and held + size > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += int(size)
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def row_slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `most` bytes of all their texts, for rows that travel whole."""
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i, size in enumerate(sizes.tolist()):
             if held and held + size > most:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_along, split_of, text_slices, texts_of, with_fields
+from .common import read_along, split_of, row_slices, texts_of, with_fields
 from .toxicity import labelled_texts
 
 #: Most documents of a grade that the model is fitted on.
@@ -148,7 +148,7 @@ def scored(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
         at, values, grades, thresholds = said.value
         mine, known = Model(np.zeros(0), grades, thresholds), Features()
         weight = dict(zip(at.tolist(), values.tolist(), strict=True)).get
-        for batch in text_slices(batches):
+        for batch in row_slices(batches):
             scores = np.array([sum(weight(f, 0.0) * x for f, x in known.of(t).items()) for t in texts_of(batch)], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(mine.expected(scores)), pa.array(list(mine.tails(scores)), pa.list_(pa.float64()))], [*names, "expected_grade", "tails"])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_along, split_of, text_slices, texts_of, whole_text, with_fields
+from .common import read_along, split_of, row_slices, texts_of, whole_text, with_fields
 
 #: Most documents of a class that the model is fitted on, most bytes of their texts in all, and the longest such text.
 SAMPLE, SAMPLE_BYTES, LONGEST = 2000, 32 << 20, 1 << 20
@@ -196,7 +196,7 @@ def scored(docs: DataFrame, weights: np.ndarray, whole: bool = False) -> DataFra
         whole_weights = np.zeros(BUCKETS + 1)
         whole_weights[at], whole_weights[-1] = values, bias
         scorer = Scorer(whole_weights)
-        for batch in text_slices(batches):
+        for batch in row_slices(batches):
             found = [scorer.document(t) for t in texts_of(batch)]
             worst = [[dict(zip(("start", "end", "score"), s, strict=True)) for s in spans_of] for _, spans_of in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([s for s, _ in found], pa.float64()), pa.array(worst, spans)], [*names, "score", "offending"])
