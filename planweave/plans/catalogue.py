@@ -661,7 +661,7 @@ def frontier_csv(s):
 def ensemble_report(s):
     folder = scratch(s.spark, "report")
     everything = stored(all_metrics(s), "metrics")
-    good = selection.hard_filter(everything, 0.0, 0.35)
+    good = selection.required(selection.hard_filter(everything, 0.0, 0.35))
     reports.write_report(reports.ensemble_report(everything, good, selection.select_best(selection.pareto(good, selection.FIVE)), {"pop_dev_max": 0.35}), f"{folder}/xx")
     rows = reports.read_reports(s.spark, folder, "total_plans long, passed_plans long, chosen map<string,long>, thresholds map<string,double>")
     return rows.select("total_plans", "passed_plans", F.col("chosen")["compact"].alias("compact"), F.col("chosen")["splits"].alias("splits"), F.col("thresholds")["pop_dev_max"].alias("pop_dev_max"))

@@ -6,9 +6,10 @@ is read in as many partitions as option `parts` says, by ranges of row ids. Rows
 layer's columns, `geom` (rings of points, parts one after the other) and their box. Options `layer`,
 `fields`, `push` and `skip` are as for shapefiles.
 
-Writing: every task makes a file of its own, and the driver's commit puts the names of all
-into the folder's manifest, in one step. A task that fails or runs twice leaves a file that no
-manifest names; commit and abort remove those of their own job.
+Writing: every task makes a file of its own in the job's folder, which the driver has made; its
+commit moves those that the tasks' messages name beside the others, puts their names into the
+manifest, in one step, and removes the job's folder with what a task that failed or ran twice
+has left. After an abort that folder is gone, so a late task can't leave anything either.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import logging
 import sqlite3
 import struct
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -141,7 +143,7 @@ def _files(path: str) -> tuple[object, list[str]]:
     if named is not None:
         return store, [f"{where}/{f}" for f in named]
     found = store.get_file_info(fs.FileSelector(where, recursive=True))
-    return store, sorted(f.path for f in found if f.path.endswith(".gpkg"))
+    return store, sorted(f.path for f in found if f.path.endswith(".gpkg") and "/_job-" not in f.path)
 
 
 def _manifest(store, where: str) -> list[str] | None:
@@ -269,6 +271,8 @@ class GeoPackageWriter(DataSourceArrowWriter):
         self.fields = [(f.name, f.dataType.simpleString()) for f in schema.fields]
         if "geom" not in schema.names:
             raise ValueError("no column geom")
+        store, where = _store(self.path)
+        store.create_dir(f"{where}/_job-{self.job}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         con, rows = sqlite3.connect(":memory:"), 0
@@ -283,8 +287,7 @@ class GeoPackageWriter(DataSourceArrowWriter):
         con.commit()
         store, where = _store(self.path)
         name = f"part-{self.job}-{uuid.uuid4().hex[:12]}.gpkg"
-        store.create_dir(where)
-        with store.open_output_stream(f"{where}/{name}") as f:
+        with store.open_output_stream(f"{where}/_job-{self.job}/{name}") as f:
             f.write(con.serialize())
         con.close()
         return Written(name, rows)
@@ -307,28 +310,33 @@ class GeoPackageWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, where = _store(self.path)
-        store.create_dir(where)
         before = _manifest(store, where) or []
+        written = [m for m in messages if m is not None and m.rows]
+        for m in written:
+            store.move(f"{where}/_job-{self.job}/{m.name}", f"{where}/{m.name}")
         files = [{"name": n, "rows": None} for n in before] if not self.overwrite else []
-        files += [{"name": m.name, "rows": m.rows} for m in messages if m is not None and m.rows]
-        draft = f"{where}/{MANIFEST}.{self.job}"
+        files += [{"name": m.name, "rows": m.rows} for m in written]
+        draft = f"{where}/_job-{self.job}/{MANIFEST}"
         with store.open_output_stream(draft) as f:
             f.write(json.dumps({"layer": self.layer, "files": files}).encode())
         store.move(draft, f"{where}/{MANIFEST}")
-        named = {x["name"] for x in files}
-        self._remove(store, where, lambda n: n not in named and (f"-{self.job}-" in n or n in before))
+        if self.overwrite:
+            for name in before:
+                store.delete_file(f"{where}/{name}")
+        self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, where = _store(self.path)
-        self._remove(store, where, lambda n: f"-{self.job}-" in n)
-
-    @staticmethod
-    def _remove(store, where: str, which) -> None:
-        from pyarrow import fs
-
-        for found in store.get_file_info(fs.FileSelector(where, allow_not_found=True)):
-            if found.base_name.endswith(".gpkg") and which(found.base_name):
-                store.delete_file(found.path)
+        for attempt in range(5):  # a task that is still writing may add a file meanwhile
+            try:
+                store.delete_dir(f"{where}/_job-{self.job}")
+                return
+            except FileNotFoundError:
+                return
+            except OSError:
+                if attempt == 4:
+                    raise
+                time.sleep(0.2)
 
 
 class GeoPackage(DataSource):
