@@ -14,3 +14,8 @@ def plan_of(df):
 def test_exploded_segments_are_not_broadcast(spark):
     adjacent = catalogue.QUERIES["adjacency_of_bricks"](spark, SF)
     assert "Broadcast" not in plan_of(adjacent) and adjacent.count() > 0
+
+
+def test_segments_and_their_owners_are_not_broadcast(spark):
+    dissolved = catalogue.QUERIES["dissolve_bricks"](spark, SF)
+    assert "Broadcast" not in plan_of(dissolved) and dissolved.count() > 0
