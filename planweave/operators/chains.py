@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweave import model
+from planweave.operators import trees
 from planweave.session import stored
 
 
@@ -31,11 +32,19 @@ class Graph:
         self.start = np.searchsorted(both[order, 0], np.arange(len(nodes) + 1))
 
     def spanning_tree(self, inside: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Wilson's tree over the marked nodes: (parents, nodes in the order they joined); the root is the lowest.
+        """Wilson's tree over the marked nodes: (parents, nodes in an order, parents first); the root is the lowest.
 
-        Walks overwrite each node's last exit, which erases their loops.
+        Walks overwrite each node's last exit, which erases their loops. A long graph's tree is drawn
+        by layers, as walks there take the square of its length; either way trees are as likely.
+        Of nodes that aren't connected, only those that the root reaches are in the order.
         """
         members = np.flatnonzero(inside)
+        layers = trees.layers_of(self.start, self.to, inside, members[0])
+        if sum(map(len, layers)) < len(members):
+            return np.full(len(self.nodes), -1), np.concatenate(layers)
+        by_layers = trees.Layered(self.start, self.to, self.pull, inside, layers)
+        if by_layers.shorter():
+            return trees.rooted(by_layers.tree(rng), members[0], len(self.nodes))
         parent, joined = np.full(len(self.nodes), -1), np.zeros(len(self.nodes), bool)
         joined[members[0]] = True
         order, exits, options = [members[0]], {}, {}
@@ -47,8 +56,6 @@ class Graph:
                     near = self.to[part][inside[self.to[part]]]
                     options[at] = (near, np.cumsum(self.pull[part][inside[self.to[part]]]))
                 near, reach = options[at]
-                if not len(near):
-                    return parent, np.array(order)
                 exits[at] = near[min(len(near) - 1, np.searchsorted(reach, rng.random() * reach[-1], "right"))]
                 at = exits[at]
             path, at = [], begin
@@ -64,19 +71,28 @@ class Graph:
         parent, order = self.spanning_tree(inside, rng)
         if len(order) < inside.sum():
             return None
-        below = np.where(inside, self.pop, 0.0)
-        for node in order[:0:-1]:
-            below[parent[node]] += below[node]
+        below = self._below(inside, parent, order)
         rest = below[order[0]] - below[order]
         fine = lambda x: (x >= ideal * (1 - tolerance)) & (x <= ideal * (1 + tolerance))
         good = order[fine(below[order]) & fine(rest) & (order != order[0])]
         if not len(good):
             return None
-        half = np.zeros(len(inside), bool)
-        half[good[rng.integers(len(good))]] = True
-        for node in order[1:]:
-            half[node] |= half[parent[node]]
-        return half
+        return self._beneath(good[rng.integers(len(good))], parent, order)
+
+    def _below(self, inside: np.ndarray, parent: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """The population of every node's subtree."""
+        below, above = np.where(inside, self.pop, 0.0).tolist(), parent.tolist()
+        for node in order[:0:-1].tolist():
+            below[above[node]] += below[node]
+        return np.array(below)
+
+    def _beneath(self, top: int, parent: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Marks of a node's subtree."""
+        half, above = [False] * len(parent), parent.tolist()
+        half[top] = True
+        for node in order[1:].tolist():
+            half[node] = half[node] or half[above[node]]
+        return np.array(half)
 
     def split(self, inside: np.ndarray, parts: int, ideal: float, tolerance: float, rng: np.random.Generator, label: int, out: np.ndarray, tries: int) -> bool:
         """Label `parts` districts of the marked nodes, halving them by tree cuts whose sides suit whole numbers of districts."""
@@ -87,16 +103,11 @@ class Graph:
             parent, order = self.spanning_tree(inside, rng)
             if len(order) < inside.sum():
                 return False
-            below = np.where(inside, self.pop, 0.0)
-            for node in order[:0:-1]:
-                below[parent[node]] += below[node]
+            below = self._below(inside, parent, order)
             left = parts // 2
             good = order[(np.abs(below[order] - left * ideal) <= tolerance * ideal * left) & (np.abs(below[order[0]] - below[order] - (parts - left) * ideal) <= tolerance * ideal * (parts - left)) & (order != order[0])]
             if len(good):
-                half = np.zeros(len(inside), bool)
-                half[good[rng.integers(len(good))]] = True
-                for node in order[1:]:
-                    half[node] |= half[parent[node]]
+                half = self._beneath(good[rng.integers(len(good))], parent, order)
                 if self.split(half, left, ideal, tolerance, rng, label, out, tries) and self.split(inside & ~half, parts - left, ideal, tolerance, rng, label + left, out, tries):
                     return True
         return False

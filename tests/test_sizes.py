@@ -1,7 +1,14 @@
 """What has to hold for tables to grow: joins of exploded rows, long graphs, packed plans."""
 
+import itertools
+import math
 import os
+import time
+from collections import Counter
 
+import numpy as np
+
+from planweave.operators import chains, trees
 from planweave.plans import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -19,3 +26,42 @@ def test_exploded_segments_are_not_broadcast(spark):
 def test_segments_and_their_owners_are_not_broadcast(spark):
     dissolved = catalogue.QUERIES["dissolve_bricks"](spark, SF)
     assert "Broadcast" not in plan_of(dissolved) and dissolved.count() > 0
+
+
+def strip(width, length, seed=1, beta=1.0):
+    n = np.arange(width * length)
+    edges = np.concatenate([np.stack([n[n % width < width - 1], n[n % width < width - 1] + 1], 1), np.stack([n[:-width], n[width:]], 1)])
+    return chains.Graph(n, np.ones(len(n)), edges, np.random.default_rng(seed).integers(1, 30, len(edges)).astype(float), beta)
+
+
+def test_trees_by_layers_are_as_likely_as_their_weights():
+    g, n, draws = strip(2, 4), 8, 20_000
+    weight = {(min(i, j), max(i, j)): p for i in range(n) for j, p in zip(g.to[g.start[i] : g.start[i + 1]].tolist(), g.pull[g.start[i] : g.start[i + 1]], strict=True)}
+    likely = {}
+    for chosen in itertools.combinations(weight, n - 1):
+        label = list(range(n))
+        for a, b in chosen:
+            label = [label[b] if x == label[a] else x for x in label]
+        if len(set(label)) == 1 and len({tuple(e) for e in chosen}) == n - 1:
+            likely[frozenset(chosen)] = math.prod(weight[e] for e in chosen)
+    inside = np.ones(n, bool)
+    rows, rng = trees.Layered(g.start, g.to, g.pull, inside, trees.layers_of(g.start, g.to, inside, 0)), np.random.default_rng(5)
+    seen = Counter(frozenset((min(e), max(e)) for e in rows.tree(rng).tolist()) for _ in range(draws))
+    total = sum(likely.values())
+    assert len(likely) == 56 and set(seen) <= set(likely)
+    assert sum((seen[t] - draws * p / total) ** 2 / (draws * p / total) for t, p in likely.items()) < 100  # 55 degrees of freedom
+
+
+def test_a_long_graph_takes_no_square_of_its_length():
+    g, began = strip(2, 10_000), time.time()
+    parent, order = g.spanning_tree(np.ones(20_000, bool), np.random.default_rng(1))
+    assert time.time() - began < 60  # walks: about 3e8 steps
+    place = np.empty(20_000, int)
+    place[order] = np.arange(20_000)
+    near = [set(g.to[g.start[i] : g.start[i + 1]].tolist()) for i in range(20_000)]
+    assert order[0] == 0 and parent[0] == -1 and all(parent[i] in near[i] and place[parent[i]] < place[i] for i in range(1, 20_000))
+
+
+def test_pieces_that_are_not_connected_are_told():
+    g = chains.Graph(np.arange(4), np.ones(4), np.array([[0, 1], [2, 3]]), np.ones(2), 1.0)
+    assert g.spanning_tree(np.ones(4, bool), np.random.default_rng(1))[1].tolist() == [0, 1]
