@@ -192,7 +192,7 @@ def dissolved_plans(polygons: DataFrame, plans: DataFrame, key: str, digits: int
     time where it is some zone's boundary.
     """
     held = metrics.packed(plans).withColumnRenamed("node_id", key)
-    rows = directed_sides(polygons, [key], digits).join(held, key)
+    rows = directed_sides(polygons, [key], digits).join(held.hint("merge"), key)
     forth = F.col("p") < F.col("q")
     marked = F.transform("_of", lambda x: F.struct(x["step"].alias("step"), x["zone"].alias("zone"), forth.alias("forth")))
     met = rows.groupBy(F.least("p", "q").alias("_low"), F.greatest("p", "q").alias("_high"), "_block").agg(F.collect_list(marked).alias("lists"))

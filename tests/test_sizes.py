@@ -8,8 +8,8 @@ from collections import Counter
 
 import numpy as np
 
-from planweave.operators import chains, trees
-from planweave.plans import catalogue
+from planweave.operators import chains, metrics, trees
+from planweave.plans import catalogue, surrogate
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -65,3 +65,15 @@ def test_a_long_graph_takes_no_square_of_its_length():
 def test_pieces_that_are_not_connected_are_told():
     g = chains.Graph(np.arange(4), np.ones(4), np.array([[0, 1], [2, 3]]), np.ones(2), 1.0)
     assert g.spanning_tree(np.ones(4, bool), np.random.default_rng(1))[1].tolist() == [0, 1]
+
+
+def test_plans_are_made_by_many_tasks_and_packed_ones_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(surrogate, "UNITS", 40)
+    s = surrogate.Surrogate(spark, SF)
+    assert s.plans.rdd.getNumPartitions() == -(-s.grid.count() // 40) > 1
+    rows = sorted(map(tuple, s.plans.select("step", "node_id", "zone").collect()))
+    assert rows == sorted(map(tuple, metrics.unpacked(s.packed).collect()))
+    assert "_of" in metrics.packed(s.packed).columns and s.packed is s.packed
+    county = s.units.select("node_id", "county")
+    both = [sorted(map(str, metrics.with_units(p, county).select("step", "node_id", "zone", "county").collect())) for p in (s.plans, s.packed)]
+    assert both[0] == both[1]
