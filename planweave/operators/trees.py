@@ -20,20 +20,25 @@ MOST = 1 << 26
 
 def layers_of(start: np.ndarray, to: np.ndarray, inside: np.ndarray, root: int) -> list[np.ndarray]:
     """The marked nodes that `root` reaches over marked ones, by their distance to it."""
-    seen, now, out = ~inside, np.array([root]), []
+    seen, now, out, place = ~inside, np.array([root]), [], np.zeros(len(inside), np.int64)
     seen[root] = True
     while len(now):
         out.append(now)
-        many = start[now + 1] - start[now]
-        near = to[np.repeat(start[now] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-        now = np.unique(near[~seen[near]])
+        first = start[now]
+        many = start[now + 1] - first
+        until = many.cumsum()
+        near = to[(first - until + many).repeat(many) + np.arange(until[-1])]
+        near = near[~seen[near]]
+        at = np.arange(len(near))
+        place[near] = at
+        now = near[place[near] == at]  # each once
+        now.sort()
         seen[now] = True
     return out
 
 
-def walked(weights: np.ndarray, draws) -> list[int]:
-    """Wilson's tree of a small graph, given by the weights between all of its nodes: parents, the root 0."""
-    reach = np.cumsum(weights, axis=1).tolist()
+def walked(reach: list[list[float]], draws) -> list[int]:
+    """Wilson's tree of a small graph, given by the running sums of each node's weights to all: parents, the root 0."""
     n = len(reach)
     parent, exits, joined = [-1] * n, [0] * n, [False] * n
     joined[0] = True
@@ -41,7 +46,8 @@ def walked(weights: np.ndarray, draws) -> list[int]:
         at = begin
         while not joined[at]:
             to = reach[at]
-            exits[at] = at = min(bisect_right(to, next(draws) * to[-1]), n - 1)
+            onward = bisect_right(to, next(draws) * to[-1])
+            exits[at] = at = onward if onward < n else n - 1
         at = begin
         while not joined[at]:
             joined[at], parent[at] = True, exits[at]
@@ -81,29 +87,48 @@ class Layered:
         part = slice(at[i], at[i + 1])
         return np.bincount(flat[part], pull[part], rows * self.wide[i]).reshape(rows, self.wide[i])
 
+    def _ways_back(self, i: int) -> list[list[tuple[int, float]]]:
+        """Of every node of a layer, its edges to the layer before: (place there, weight), by place."""
+        flat, pull, at = self.before
+        part, w = slice(at[i], at[i + 1]), int(self.wide[i])
+        out: list[list[tuple[int, float]]] = [[] for _ in range(w)]
+        for f, p in sorted(zip(flat[part].tolist(), pull[part].tolist(), strict=True)):
+            out[f % w].append((f // w, p))
+        return out
+
+    def _beyond(self) -> list[np.ndarray]:
+        """For every layer but the first, last layer first, the weights between its nodes that stand for all later layers."""
+        out = [np.zeros((w, w)) for w in self.wide[-1:]]
+        for i in range(len(self.layers) - 1, 1, -1):
+            own, back = self._weights(self.within, i, self.wide[i]) + out[-1], self._weights(self.before, i, self.wide[i - 1])
+            pivot = -own
+            pivot.flat[:: len(own) + 1] += own.sum(axis=1) + back.sum(axis=0)
+            left = back @ np.linalg.solve(pivot, back.T)
+            left = np.maximum((left + left.T) / 2, 0)
+            left.flat[:: len(left) + 1] = 0
+            out.append(left)
+        return out
+
     def tree(self, rng: np.random.Generator) -> np.ndarray:
         """The edges (pairs of nodes) of a random spanning tree, as likely as the product of its weights."""
-        beyond = [np.zeros((w, w)) for w in self.wide[-1:]]
-        for i in range(len(self.layers) - 1, 0, -1):
-            own, back = self._weights(self.within, i, self.wide[i]) + beyond[-1], self._weights(self.before, i, self.wide[i - 1])
-            left = back @ np.linalg.solve(np.diag(own.sum(axis=1) + back.sum(axis=0)) - own, back.T)
-            left = np.maximum((left + left.T) / 2, 0)
-            np.fill_diagonal(left, 0)
-            beyond.append(left)
+        beyond = self._beyond()
 
         def numbers():
             while True:
                 yield from rng.random(1024).tolist()
 
-        draws, out, piece = numbers(), [], np.zeros(1, np.int64)
-        beyond.pop()
+        draws, starts, ends, piece, now, k = numbers(), [], [], [0], self.layers[0].tolist(), 1
         for i in range(1, len(self.layers)):
-            k, w = int(piece.max()) + 1, int(self.wide[i])
-            own, back, other = self._weights(self.within, i, w), self._weights(self.before, i, self.wide[i - 1]), beyond.pop()
+            last, now, w = now, self.layers[i].tolist(), int(self.wide[i])
+            own, back = self._weights(self.within, i, w), self._ways_back(i)
             small = np.zeros((k + w, k + w))
-            np.add.at(small[:k, k:], piece, back)
-            small[k:, :k] = small[:k, k:].T
-            small[k:, k:] = own + other
+            np.add(own, beyond.pop(), out=small[k:, k:])
+            merged: dict[tuple[int, int], float] = {}
+            for y, ways in enumerate(back, k):
+                for at, p in ways:
+                    merged[piece[at], y] = merged.get((piece[at], y), 0.0) + p
+            rows, columns = np.array(list(merged), np.int64).T
+            small[rows, columns] = small[columns, rows] = list(merged.values())
             label = list(range(k + w))  # of what final edges join, a forest of labels
 
             def top(x: int, label: list[int] = label) -> int:
@@ -111,22 +136,29 @@ class Layered:
                     label[x] = x = label[label[x]]
                 return x
 
-            last, now = self.layers[i - 1], self.layers[i]
-            for x, y in enumerate(walked(small, draws)):
+            for x, y in enumerate(walked(small.cumsum(axis=1).tolist(), draws)):
                 if y < 0:
                     continue
-                low, high = min(x, y), max(x, y)
+                low, high = (x, y) if x < y else (y, x)
                 if low < k:
-                    among = np.cumsum(np.where(piece == low, back[:, high - k], 0.0))
-                    end = last[min(int(np.searchsorted(among, next(draws) * among[-1], "right")), len(last) - 1)]
+                    left = next(draws) * merged[low, high]
+                    ways = [(at, p) for at, p in back[high - k] if piece[at] == low]
+                    for at, p in ways:
+                        left -= p
+                        if left < 0:
+                            break
+                    end = last[at]
                 elif next(draws) * small[low, high] < own[low - k, high - k]:
                     end = now[low - k]
                 else:
                     continue
-                out.append((end, now[high - k]))
+                starts.append(end)
+                ends.append(now[high - k])
                 label[top(x)] = top(y)
-            piece = np.unique([top(k + j) for j in range(w)], return_inverse=True)[1]
-        return np.array(out, np.int64).reshape(-1, 2)
+            tops = [top(k + j) for j in range(w)]
+            number = {t: n for n, t in enumerate(sorted(set(tops)))}
+            piece, k = [number[t] for t in tops], len(number)
+        return np.array([starts, ends], np.int64).T
 
 
 def rooted(edges: np.ndarray, root: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """What has to hold for tables to grow: joins of exploded rows, long graphs, packed plans."""
 
+import cProfile
 import itertools
 import math
 import os
@@ -62,6 +63,14 @@ def test_a_long_graph_takes_no_square_of_its_length():
     assert order[0] == 0 and parent[0] == -1 and all(parent[i] in near[i] and place[parent[i]] < place[i] for i in range(1, 20_000))
 
 
+def test_a_long_graphs_tree_takes_few_calls_a_node():
+    g, inside = strip(20, 500), np.ones(10_000, bool)
+    rows, profile = trees.Layered(g.start, g.to, g.pull, inside, trees.layers_of(g.start, g.to, inside, 0)), cProfile.Profile()
+    edges = profile.runcall(rows.tree, np.random.default_rng(1))
+    assert len(edges) == 9_999
+    assert sum(x.callcount for x in profile.getstats()) < 45 * 10_000
+
+
 def test_pieces_that_are_not_connected_are_told():
     g = chains.Graph(np.arange(4), np.ones(4), np.array([[0, 1], [2, 3]]), np.ones(2), 1.0)
     assert g.spanning_tree(np.ones(4, bool), np.random.default_rng(1))[1].tolist() == [0, 1]
