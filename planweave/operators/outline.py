@@ -166,10 +166,16 @@ def _loops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parts(rings: DataFrame, group: list[str]) -> DataFrame:
     """`group`, part, geom: every outer ring with the holes that lie in it and in no smaller one; geom has the outer ring first."""
-    signed = stored(rings.select(*group, "points", geometry.ring_area(F.col("points")).alias("_area")).withColumn("_id", F.monotonically_increasing_id()), "rings")
+    first = F.get("points", F.lit(0))
+    near = F.transform("points", lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))  # areas far from the origin would be rounded
+    signed = stored(rings.select(*group, "points", geometry.ring_area(near).alias("_area")).withColumn("_id", F.monotonically_increasing_id()), "rings")
     outer = signed.filter("_area > 0").select(*group, F.col("_id").alias("part"), "points", "_area")
     holes = signed.filter("_area < 0").select(*group, F.col("_id").alias("_hole"), F.col("points").alias("_ring"), geometry.inner_point(F.col("points")).alias("_at"))
-    found = spatial.points_in_polygons(holes.select(*group, "_hole", F.col("_at.x").alias("x"), F.col("_at.y").alias("y")), outer.select(*group, "part", F.array("points").alias("geom")), "part", on=tuple(group))
+    # a ring no larger than its group's least hole has none in it; most groups have no holes at all
+    least = signed.filter("_area < 0").groupBy(*(F.col(c).alias(f"_{c}") for c in group)).agg(F.min(-F.col("_area")).alias("_least"))
+    among = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group))
+    around = outer.join(least, among & (F.col("_area") > F.col("_least"))).select(*group, "part", F.array("points").alias("geom"))
+    found = spatial.points_in_polygons(holes.select(*group, "_hole", F.col("_at.x").alias("x"), F.col("_at.y").alias("y")), around, "part", on=tuple(group))
     first = Window.partitionBy("_hole").orderBy("_area", "part")
     owner = found.select("_hole", "part").join(outer.select("part", "_area"), "part").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("_hole", "part")
     held = holes.join(owner, "_hole").groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("_hole", "_ring"))), lambda h: h["_ring"]).alias("_holes"))

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 
-from planweave.operators import chains, metrics, trees
+from planweave.operators import chains, metrics, outline, spatial, trees
 from planweave.plans import catalogue, surrogate
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -86,3 +86,16 @@ def test_plans_are_made_by_many_tasks_and_packed_ones_are_the_same(spark, monkey
     county = s.units.select("node_id", "county")
     both = [sorted(map(str, metrics.with_units(p, county).select("step", "node_id", "zone", "county").collect())) for p in (s.plans, s.packed)]
     assert both[0] == both[1]
+
+
+def test_only_rings_that_may_hold_a_hole_are_looked_at(spark, monkeypatch):
+    def square(x, y, side, hole=False):
+        corners = [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+        return [{"x": 1e7 + a, "y": 5e6 + b} for a, b in (corners[::-1] if hole else corners)]
+
+    rows = [(1, square(0.0, 0.0, 3.0)), (1, square(1.0, 1.0, 1.0, hole=True)), (1, square(9.0, 0.0, 1.0)), (2, square(0.0, 0.0, 3.0)), (None, square(0.0, 0.0, 2.0)), (None, square(0.5, 0.5, 1.0, hole=True))]
+    looked_at, through = [], spatial.points_in_polygons
+    monkeypatch.setattr(spatial, "points_in_polygons", lambda points, polygons, *a, **k: looked_at.append(polygons.count()) or through(points, polygons, *a, **k))
+    parts = outline.parts(spark.createDataFrame(rows, "g int, points array<struct<x:double,y:double>>"), ["g"]).collect()
+    assert sorted((r.g or 0, len(r.geom), abs(r.geom[0][1].x - r.geom[0][0].x)) for r in parts) == [(0, 2, 2.0), (1, 1, 1.0), (1, 2, 3.0), (2, 1, 3.0)]
+    assert looked_at == [2]
