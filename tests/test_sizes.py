@@ -99,3 +99,10 @@ def test_only_rings_that_may_hold_a_hole_are_looked_at(spark, monkeypatch):
     parts = outline.parts(spark.createDataFrame(rows, "g int, points array<struct<x:double,y:double>>"), ["g"]).collect()
     assert sorted((r.g or 0, len(r.geom), abs(r.geom[0][1].x - r.geom[0][0].x)) for r in parts) == [(0, 2, 2.0), (1, 1, 1.0), (1, 2, 3.0), (2, 1, 3.0)]
     assert looked_at == [2]
+
+
+def test_wide_plans_are_put_together_packed(spark):
+    found = catalogue.QUERIES["wide_to_long_plans"](spark, SF)
+    assert "pivotfirst" not in plan_of(found)
+    rows = sorted(map(tuple, found.select("step", "node_id", "zone").collect()))
+    assert rows == sorted(map(tuple, surrogate.Surrogate(spark, SF).plans.select("step", "node_id", "zone").collect()))
