@@ -37,12 +37,12 @@ def layers_of(start: np.ndarray, to: np.ndarray, inside: np.ndarray, root: int)
     return out
 
 
-def walked(reach: list[list[float]], draws) -> list[int]:
-    """Wilson's tree of a small graph, given by the running sums of each node's weights to all: parents, the root 0."""
+def walked(reach: list[list[float]], draws, root: int = 0) -> list[int]:
+    """Wilson's tree of a small graph, given by the running sums of each node's weights to all: parents. Any root will do; walks to a heavy one are short."""
     n = len(reach)
     parent, exits, joined = [-1] * n, [0] * n, [False] * n
-    joined[0] = True
-    for begin in range(1, n):
+    joined[root] = True
+    for begin in range(n):
         at = begin
         while not joined[at]:
             to = reach[at]
@@ -87,14 +87,14 @@ class Layered:
         part = slice(at[i], at[i + 1])
         return np.bincount(flat[part], pull[part], rows * self.wide[i]).reshape(rows, self.wide[i])
 
-    def _ways_back(self, i: int) -> list[list[tuple[int, float]]]:
-        """Of every node of a layer, its edges to the layer before: (place there, weight), by place."""
+    def _ways_back(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[float], list[int]]:
+        """Edges to the layer before, by layer, node and place there: the places there, the nodes', the weights; the first and the last as lists, and where each node's edges begin."""
         flat, pull, at = self.before
-        part, w = slice(at[i], at[i + 1]), int(self.wide[i])
-        out: list[list[tuple[int, float]]] = [[] for _ in range(w)]
-        for f, p in sorted(zip(flat[part].tolist(), pull[part].tolist(), strict=True)):
-            out[f % w].append((f // w, p))
-        return out
+        width, count = self.wide.repeat(np.diff(at)), np.diff(at)
+        node = (np.cumsum(self.wide) - self.wide).repeat(count) + flat % width
+        order = np.lexsort((flat // width, node))
+        there, here, pull = (flat // width)[order], (flat % width)[order], pull[order]
+        return there, here, pull, there.tolist(), pull.tolist(), np.searchsorted(node[order], np.arange(self.wide.sum() + 1)).tolist()
 
     def _beyond(self) -> list[np.ndarray]:
         """For every layer but the first, last layer first, the weights between its nodes that stand for all later layers."""
@@ -118,17 +118,15 @@ class Layered:
                 yield from rng.random(1024).tolist()
 
         draws, starts, ends, piece, now, k = numbers(), [], [], [0], self.layers[0].tolist(), 1
+        there, here, pull, to, weight, first = self._ways_back()
+        begin = 1  # of the layer's nodes, among all by layer
         for i in range(1, len(self.layers)):
             last, now, w = now, self.layers[i].tolist(), int(self.wide[i])
-            own, back = self._weights(self.within, i, w), self._ways_back(i)
+            own, part = self._weights(self.within, i, w), slice(first[begin], first[begin + w])
             small = np.zeros((k + w, k + w))
             np.add(own, beyond.pop(), out=small[k:, k:])
-            merged: dict[tuple[int, int], float] = {}
-            for y, ways in enumerate(back, k):
-                for at, p in ways:
-                    merged[piece[at], y] = merged.get((piece[at], y), 0.0) + p
-            rows, columns = np.array(list(merged), np.int64).T
-            small[rows, columns] = small[columns, rows] = list(merged.values())
+            small[:k, k:] = np.bincount(np.array(piece)[there[part]] * w + here[part], pull[part], k * w).reshape(k, w)
+            small[k:, :k] = small[:k, k:].T
             label = list(range(k + w))  # of what final edges join, a forest of labels
 
             def top(x: int, label: list[int] = label) -> int:
@@ -136,18 +134,22 @@ class Layered:
                     label[x] = x = label[label[x]]
                 return x
 
-            for x, y in enumerate(walked(small.cumsum(axis=1).tolist(), draws)):
+            reach = small.cumsum(axis=1)
+            for x, y in enumerate(walked(reach.tolist(), draws, int(reach[:k, -1].argmax()))):
                 if y < 0:
                     continue
                 low, high = (x, y) if x < y else (y, x)
                 if low < k:
-                    left = next(draws) * merged[low, high]
-                    ways = [(at, p) for at, p in back[high - k] if piece[at] == low]
-                    for at, p in ways:
-                        left -= p
-                        if left < 0:
-                            break
-                    end = last[at]
+                    node = begin + high - k
+                    ways = [e for e in range(first[node], first[node + 1]) if piece[to[e]] == low]
+                    e = ways[0]
+                    if len(ways) > 1:
+                        left = next(draws) * sum([weight[e] for e in ways])
+                        for e in ways:
+                            left -= weight[e]
+                            if left < 0:
+                                break
+                    end = last[to[e]]
                 elif next(draws) * small[low, high] < own[low - k, high - k]:
                     end = now[low - k]
                 else:
@@ -157,7 +159,7 @@ class Layered:
                 label[top(x)] = top(y)
             tops = [top(k + j) for j in range(w)]
             number = {t: n for n, t in enumerate(sorted(set(tops)))}
-            piece, k = [number[t] for t in tops], len(number)
+            piece, k, begin = [number[t] for t in tops], len(number), begin + w
         return np.array([starts, ends], np.int64).T
 
 

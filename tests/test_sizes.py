@@ -4,6 +4,7 @@ import cProfile
 import itertools
 import math
 import os
+import threading
 import time
 from collections import Counter
 
@@ -71,6 +72,24 @@ def test_a_long_graphs_tree_takes_few_calls_a_node():
     assert sum(x.callcount for x in profile.getstats()) < 45 * 10_000
 
 
+def test_a_layers_walks_are_to_its_heaviest_piece(monkeypatch):
+    g, inside, roots, through = strip(20, 300), np.ones(6_000, bool), [], trees.walked
+    rows = trees.Layered(g.start, g.to, g.pull, inside, trees.layers_of(g.start, g.to, inside, 0))
+    monkeypatch.setattr(trees, "walked", lambda reach, draws, root=0: roots.append(reach[root][-1] >= reach[0][-1]) or through(reach, draws, root))
+    profile = cProfile.Profile()
+    edges = profile.runcall(rows.tree, np.random.default_rng(1))
+    assert len(edges) == 5_999 and all(roots)
+    assert sum(x.callcount for x in profile.getstats()) < 31 * 6_000
+
+
+def test_the_whole_run_goes_beside_the_one_in_parts(spark, monkeypatch):
+    began, through = [], chains.run_chains
+    monkeypatch.setattr(chains, "run_chains", lambda *a, **k: began.append(threading.get_ident()) or through(*a, **k))
+    found = catalogue.QUERIES["resume_equivalence"](spark, SF)
+    assert sorted(map(tuple, found.select("state", "steps", "differing").collect())) == [("A", 20, 0), ("B", 20, 0)]
+    assert len(began) == 4 and len(set(began)) == 2
+
+
 def test_pieces_that_are_not_connected_are_told():
     g = chains.Graph(np.arange(4), np.ones(4), np.array([[0, 1], [2, 3]]), np.ones(2), 1.0)
     assert g.spanning_tree(np.ones(4, bool), np.random.default_rng(1))[1].tolist() == [0, 1]
