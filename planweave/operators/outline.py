@@ -24,8 +24,8 @@ from planweave.functions import geometry
 from planweave.operators import metrics, spatial
 from planweave.session import discard, stored
 
-#: Sides of a group's boundary that one task walks around.
-LOCAL = 100_000
+#: Sides of a group's boundary that one task walks around, and sides that a task is given about.
+LOCAL, DEALT = 1_000_000, 50_000
 
 
 def directed_sides(polygons: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
@@ -73,49 +73,56 @@ def stitched(sides: DataFrame, group: list[str]) -> DataFrame:
     linked by joins and ranked.
     """
     held = stored(sides.select(*group, "p", "q"), "sides")
+    tasks = -(-held.count() // DEALT)  # sides are few bytes, so Spark would give all to a few tasks
     large = stored(held.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LOCAL).select(*(F.col(c).alias(f"_{c}") for c in group)), "large")
     among = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group))
     if large.isEmpty():
-        return _walked(held, group)
-    return _walked(held.join(large, among, "left_anti"), group).unionByName(_linked(held.join(large, among, "left_semi"), group))
+        return _walked(held, group, tasks)
+    return _walked(held.join(large, among, "left_anti"), group, tasks).unionByName(_linked(held.join(large, among, "left_semi"), group))
 
 
-def _walked(sides: DataFrame, group: list[str]) -> DataFrame:
+def _walked(sides: DataFrame, group: list[str], tasks: int) -> DataFrame:
     kinds = ", ".join(f"`{c}` {sides.schema[c].dataType.simpleString()}" for c in group)
-    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
-        p, q = table["p"].to_pylist(), table["q"].to_pylist()
-        rings = [loop for ring in walks([(v["x"], v["y"]) for v in p], [(v["x"], v["y"]) for v in q]) for loop in simple_loops([p[i] for i in ring])]
+        ends = [table[c].combine_chunks() for c in "pq"]
+        p, q = (np.column_stack([e.field(c).to_numpy(zero_copy_only=False) for c in "xy"]) for e in ends)
+        rings = []
+        for ring in walks(p, q):
+            corners = p[ring]
+            if len(np.unique(corners.view(np.complex128))) == len(ring):
+                rings.append(ring)
+            else:
+                rings += [[ring[i] for i in loop] for loop in loops_of(list(map(tuple, corners.tolist())))]
+        order, offsets = np.fromiter((i for ring in rings for i in ring), np.int64), np.cumsum([0, *map(len, rings)]).astype(np.int32)
         keys = {c: pa.chunked_array([table[c].combine_chunks().take(pa.array(np.zeros(len(rings), np.int64)))]) for c in group}
-        return pa.table(keys | {"ring": pa.array(range(len(rings)), pa.int64()), "points": pa.array(rings, pa.list_(point))})
+        points = pa.StructArray.from_arrays([pa.array(p[order, 0]), pa.array(p[order, 1])], ["x", "y"])
+        return pa.table(keys | {"ring": pa.array(range(len(rings)), pa.int64()), "points": pa.ListArray.from_arrays(pa.array(offsets), points)})
 
-    return sides.groupBy(*group).applyInArrow(run, f"{kinds}, ring long, points {geometry.RING}")
+    return sides.repartition(max(1, tasks), *group).groupBy(*group).applyInArrow(run, f"{kinds}, ring long, points {geometry.RING}")
 
 
-def walks(starts: list[tuple[float, float]], ends: list[tuple[float, float]]) -> list[list[int]]:
-    """The sides (by place) of a boundary in the order of its rings."""
-    goes: dict[tuple[float, float], list[int]] = {}
-    for i, v in enumerate(starts):
-        goes.setdefault(v, []).append(i)
+def walks(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """The sides (by place; rows of x, y) of a boundary in the order of its rings."""
+    n = len(starts)
+    corner = np.unique(np.ascontiguousarray(np.concatenate([starts, ends]) + 0.0).view(np.complex128).ravel(), return_inverse=True)[1]
+    order = np.argsort(corner[:n], kind="stable")
+    first, last = (np.searchsorted(corner[:n][order], corner[n:], side) for side in ("left", "right"))
+    after = np.where(first < last, order[np.minimum(first, n - 1)], np.arange(n)).tolist()  # polygons that overlap may leave an end, which closes the ring
 
-    def turn(a: tuple[float, float], b: tuple[float, float]) -> float:
+    def turn(a: np.ndarray, b: np.ndarray) -> float:
         return math.atan2(b[1] - a[1], b[0] - a[0])
 
-    def after(i: int) -> int:
-        ways = goes.get(ends[i], [i])  # polygons that overlap may leave an end, which closes the ring
-        if len(ways) == 1:
-            return ways[0]
+    for i in np.flatnonzero(last - first > 1).tolist():
         back = turn(ends[i], starts[i])
-        return min(ways, key=lambda j: (back - turn(starts[j], ends[j])) % (2 * math.pi) or 2 * math.pi)
-
-    out, seen = [], [False] * len(starts)
-    for i in range(len(starts)):
+        after[i] = min(order[first[i] : last[i]].tolist(), key=lambda j: (back - turn(starts[j], ends[j])) % (2 * math.pi) or 2 * math.pi)
+    out, seen = [], [False] * n
+    for i in range(n):
         ring = []
         while not seen[i]:
             seen[i] = True
             ring.append(i)
-            i = after(i)
+            i = after[i]
         if ring:
             out.append(ring)
     return out
@@ -140,22 +147,26 @@ def _linked(sides: DataFrame, group: list[str]) -> DataFrame:
     return rings.filter(~meets).unionByName(rings.filter(meets).mapInArrow(_loops, schema))
 
 
-def simple_loops(points: list[dict[str, float]]) -> list[list[dict[str, float]]]:
-    """A ring that comes back to some of its corners as rings that don't."""
+def loops_of(corners: list[tuple[float, float]]) -> list[list[int]]:
+    """The places of a ring that comes back to some of its corners, as rings that don't."""
     out, way, place = [], [], {}
-    for p in points:
-        key = p["x"], p["y"]
+    for i, key in enumerate(corners):
         if key in place:
             start = place[key]
             loop, way = way[start:], way[:start]
             for other in loop:
-                del place[other["x"], other["y"]]
+                del place[corners[other]]
             out.append(loop)
         place[key] = len(way)
-        way.append(p)
+        way.append(i)
     return [*out, way]
 
 
+def simple_loops(points: list[dict[str, float]]) -> list[list[dict[str, float]]]:
+    """`loops_of` of points."""
+    return [[points[i] for i in loop] for loop in loops_of([(p["x"], p["y"]) for p in points])]
+
+
 def _loops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         loops = [simple_loops(points) for points in batch.column("points").to_pylist()]
@@ -204,6 +215,13 @@ def dissolved_plans(polygons: DataFrame, plans: DataFrame, key: str, digits: int
     met = rows.groupBy(F.least("p", "q").alias("_low"), F.greatest("p", "q").alias("_high"), "_block").agg(F.collect_list(marked).alias("lists"))
     turned = lambda a: F.transform(a, lambda x: F.struct(x["step"].alias("step"), x["zone"].alias("zone"), (~x["forth"]).alias("forth")))
     left = F.reduce("lists", F.slice(F.get("lists", F.lit(0)), 1, 0), lambda a, b: F.concat(F.array_except(a, turned(b)), F.array_except(b, turned(a))))
+    # nearly all sides have one owner, or two in the same steps: no list is compared with all of another
+    a, b = F.get("lists", F.lit(0)), F.get("lists", F.lit(1))
+    steps = lambda c: F.transform(c, lambda x: x["step"])
+    unlike = F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), lambda x: ~x["a"]["zone"].eqNullSafe(x["b"]["zone"]))
+    apart = F.flatten(F.transform(unlike, lambda x: F.array(x["a"], x["b"])))
+    facing = (F.size("lists") == 2) & (steps(a) == steps(b)) & (F.get(a, F.lit(0))["forth"] != F.get(b, F.lit(0))["forth"])
+    left = F.when(F.size("lists") == 1, a).when(facing, apart).otherwise(left)
     sides = met.select("_low", "_high", F.explode(left).alias("x")).select("x.step", "x.zone", F.when(F.col("x.forth"), F.col("_low")).otherwise(F.col("_high")).alias("p"), F.when(F.col("x.forth"), F.col("_high")).otherwise(F.col("_low")).alias("q"))
     return parts(stitched(sides, ["step", "zone"]), ["step", "zone"])
 
