@@ -31,20 +31,6 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def _crossed(sides: Column, x0: Column, y0: Column, x: Column, y: Column) -> Column:
-    """`_turns` of a row's sides."""
-
-    def upright(s: Column) -> Column:
-        at = s["a"]["y"] + (x0 - s["a"]["x"]) * (s["b"]["y"] - s["a"]["y"]) / F.nullif(s["b"]["x"] - s["a"]["x"], F.lit(0.0))
-        return ((s["a"]["x"] > x0) != (s["b"]["x"] > x0)) & F.coalesce((at > y0) != (at > y), F.lit(False))
-
-    def level(s: Column) -> Column:
-        at = s["a"]["x"] + (y - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"]) / F.nullif(s["b"]["y"] - s["a"]["y"], F.lit(0.0))
-        return ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & F.coalesce((at > x0) != (at > x), F.lit(False))
-
-    return (F.size(F.filter(sides, upright)) + F.size(F.filter(sides, level))) % 2 == 1
-
-
 def _touching(sides: np.ndarray, x0: float, y0: float, size: float) -> np.ndarray:
     """Marks of the sides (rows of ax, ay, bx, by) that come into a closed cell."""
     ax, ay, bx, by = sides.T
@@ -169,18 +155,30 @@ def cover(polygons: DataFrame, keys: list[str], most: int = SIDES, depth: int =
     return done.drop("left")
 
 
-def in_cell(x: Column, y: Column) -> Column:
-    """Whether a point of a cell of `cover` is strictly inside the polygon: one on a side is out."""
-    size = F.pow(F.lit(2.0), F.col("level"))
-
-    def on(s: Column) -> Column:
-        turn = (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (x - s["a"]["x"])
-        along = lambda c, v: (v >= F.least(s["a"][c], s["b"][c])) & (v <= F.greatest(s["a"][c], s["b"][c]))
-        return (turn == 0) & along("x", x) & along("y", y)
-
-    sides = F.col("sides")
-    odd = F.col("inside") != _crossed(sides, (F.col("cx") + ACROSS) * size, (F.col("cy") + UP) * size, x, y)
-    return F.when(F.size(sides) == 0, F.col("inside")).otherwise(~F.exists(sides, on) & odd)
+def _bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells whose sides are the bytes of their ax, ay, bx, by, as many points meet a cell and structs are slow to send."""
+    for batch in batches:
+        held, at = batch.column("sides"), batch.schema.get_field_index("sides")
+        flat, ends = held.flatten(), np.append(0, held.value_lengths().to_numpy(zero_copy_only=False).cumsum()) * 32
+        sides = np.column_stack([flat.field(e).field(c).to_numpy(zero_copy_only=False) for e in "ab" for c in "xy"])
+        sent = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(sides.tobytes())])
+        yield batch.set_column(at, "sides", sent)
+
+
+def in_cell(batch: pa.RecordBatch) -> np.ndarray:
+    """Marks of the points (x, y) that are strictly inside the polygon of their cell of `cover` (sides as `_bytes`): one on a side is out."""
+    column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+    size, inside, held = np.exp2(column("level").astype(float)), column("inside").astype(bool), batch.column("sides").cast(pa.binary())
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset :][: batch.num_rows + 1] if batch.num_rows else np.zeros(1, np.int32)
+    row = np.arange(batch.num_rows).repeat(np.diff(ends) // 32)
+    ax, ay, bx, by = np.frombuffer(held.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.float64).reshape(-1, 4).T
+    x, y, x0, y0 = (v[row] for v in (column("x").astype(float), column("y").astype(float), (column("cx") + ACROSS) * size, (column("cy") + UP) * size))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = ((ax > x0) != (bx > x0)) & (((at := ay + (x0 - ax) * (by - ay) / (bx - ax)) > y0) != (at > y))
+        over = ((ay > y) != (by > y)) & (((at := ax + (y - ay) * (bx - ax) / (by - ay)) > x0) != (at > x))
+    on = ((bx - ax) * (y - ay) - (by - ay) * (x - ax) == 0) & (x >= np.minimum(ax, bx)) & (x <= np.maximum(ax, bx)) & (y >= np.minimum(ay, by)) & (y <= np.maximum(ay, by))
+    turns = np.bincount(row[up], minlength=batch.num_rows) + np.bincount(row[over], minlength=batch.num_rows)
+    return (inside != (turns % 2 == 1)) & (np.bincount(row[on], minlength=batch.num_rows) == 0)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, how: str = "inner", on: tuple[str, ...] = (), most: int = SIDES) -> DataFrame:
@@ -201,10 +199,19 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, how: st
     same = (F.col("level") == F.col("_level")) & (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy"))
     for c in on:
         same &= F.col(c).eqNullSafe(F.col(named[c]))
-    met = spots.join(cells, same & in_cell(F.col("x"), F.col("y")))
+    sent = cells.mapInArrow(_bytes, ", ".join("sides binary" if f.name == "sides" else f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema))
+    near = spots.join(sent, same).drop("_level", "_cell", "_cx", "_cy", *named.values())
     if how == "left":
-        return points.join(met.select("_row", key), "_row", "left").drop("_row")
-    return met.drop("level", "cx", "cy", "inside", "sides", "_level", "_cell", "_cx", "_cy", *named.values())
+        near = near.select("_row", "x", "y", key, "level", "cx", "cy", "inside", "sides")
+    kept = near.drop("level", "cx", "cy", "inside", "sides").schema
+    names = kept.names
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(names).filter(pa.array(in_cell(batch)))
+
+    met = near.mapInArrow(run, kept)
+    return points.join(met.select("_row", key), "_row", "left").drop("_row") if how == "left" else met
 
 
 def first_match(joined: DataFrame, key: str, order: str) -> DataFrame:

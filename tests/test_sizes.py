@@ -10,7 +10,7 @@ from collections import Counter
 
 import numpy as np
 
-from planweave.operators import chains, metrics, outline, spatial, trees
+from planweave.operators import chains, graph, metrics, outline, spatial, trees
 from planweave.plans import catalogue, surrogate
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -125,3 +125,29 @@ def test_wide_plans_are_put_together_packed(spark):
     assert "pivotfirst" not in plan_of(found)
     rows = sorted(map(tuple, found.select("step", "node_id", "zone").collect()))
     assert rows == sorted(map(tuple, surrogate.Surrogate(spark, SF).plans.select("step", "node_id", "zone").collect()))
+
+
+def test_centres_are_looked_for_once_for_all_plans(spark):
+    found = catalogue.QUERIES["units_in_zones"](spark, SF)
+    assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found) and "sides#" in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, surrogate.Surrogate(spark, SF).plans.select("step", "node_id", "zone").collect()))
+
+
+def test_sides_are_dealt_out_by_their_number_to_be_walked_around(spark, monkeypatch):
+    monkeypatch.setattr(outline, "DEALT", 4)
+    corner = lambda x, y: {"x": float(x), "y": float(y)}
+    # two squares a group that meet at a corner
+    rows = [(g, corner(*a), corner(*b)) for g in range(3) for o in (0, 1) for a, b in itertools.pairwise([(o, o), (o + 1, o), (o + 1, o + 1), (o, o + 1), (o, o)])]
+    found = outline.stitched(spark.createDataFrame(rows, "g int, p struct<x:double,y:double>, q struct<x:double,y:double>"), ["g"])
+    assert found.rdd.getNumPartitions() == 6
+    assert sorted((r.g, len(r.points)) for r in found.collect()) == [(g, 4) for g in range(3) for _ in range(2)]
+
+
+def test_lists_of_owners_are_not_compared_with_each_other_whole(spark):
+    node = [(0, 0), (1, 0)]
+    for plans in ([(s, n, n * (s % 2)) for s in range(4) for n in range(2)], [(s, n, n * (s % 2)) for s in range(4) for n in range(2) if (s, n) != (2, 1)]):
+        segments = spark.createDataFrame([(n, o, a, b, 1.0) for n, (x, y) in enumerate(node) for o, a, b in (("V", x, y), ("V", x + 1, y), ("H", x, y), ("H", x, y + 1))], "node_id int, o string, a int, b int, len_m double")
+        found = graph.plan_perimeters(segments, spark.createDataFrame(plans, "step int, node_id int, zone int"), "node_id", ["o", "a", "b"])
+        owned = Counter((s, z) for s, n, z in plans)
+        assert sorted(map(tuple, found.collect())) == sorted((s, z, 4.0 if n == 1 else 6.0) for (s, z), n in owned.items())
+        assert "zip_with" in plan_of(found)
