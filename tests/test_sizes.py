@@ -151,3 +151,12 @@ def test_lists_of_owners_are_not_compared_with_each_other_whole(spark):
         owned = Counter((s, z) for s, n, z in plans)
         assert sorted(map(tuple, found.collect())) == sorted((s, z, 4.0 if n == 1 else 6.0) for (s, z), n in owned.items())
         assert "zip_with" in plan_of(found)
+
+
+def test_edges_and_steps_are_rows_without_structs_or_decimals(spark):
+    s = surrogate.Surrogate(spark, SF)
+    marked = plan_of(metrics.cut_marks(s.edges, s.packed))
+    assert "posexplode(" in marked and "Generate explode(" not in marked
+    assert "inline(" not in plan_of(metrics.with_units(s.packed, s.units.select("node_id", "county")))
+    generated = [x for x in plan_of(s.plans).splitlines() if "AS zone" in x]
+    assert generated and not any("decimal" in x for x in generated)
