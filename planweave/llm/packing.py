@@ -42,8 +42,17 @@ TOGETHER = 1000
 # (but for the two that lower to several characters, or to another's case).
 LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u0180-\u024f"
 PLAIN = re.compile(f"[\x00-\x7f{LATIN}]+")
+LETTERS = re.compile(f"[{LATIN}]+")
 PARTS = re.compile(f"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{LATIN}]+|[0-9]|[^\\s{LATIN}0-9]+")
 
+# What may follow a word's last letter as a part of its own, whatever the word is (no apostrophes, nor what special tokens are written with), and a last letter that is one in lower case, too.
+TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+ENDS = re.compile(rb"(?:[A-Za-z]|(?!\xc3[\x97\xb7]|\xc4\xb0)[\xc3-\xc8][\x80-\xbf])\Z")
+#: The character that stands for each byte, its own or one from 256 on (a space parts words here).
+LEVEL = np.arange(256, dtype="<u2")
+LEVEL[[*range(33), *range(127, 161), 173]] = np.arange(256, 256 + 33 + 34 + 1)
+LEVEL[32] = 32
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -71,18 +80,23 @@ class WordTokenizer:
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         if suffix:
             self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
-        #: For lower-case ASCII letters, which the full one's first steps leave as they are.
-        self.bare = None
+        #: For lower-case letters, whose bytes are all that the full one's first steps still change.
+        self.bare, self.tails = None, False
         if suffix and kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]:
             self.bare = Tokenizer.from_str(self.tokenizer.to_str())
             self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            #: Whether a word and what follows its last letter can be encoded apart.
+            self.tails = all(len(split("a" + tail)) == 2 for tail in (TAIL.decode(), *TAIL.decode()))
 
     def learn(self, words: list[bytes]) -> None:
         """Keep each word's ids. The parts of words of ASCII and Latin letters can be counted, so their ids are told apart by the parts' ends; of others tokens' offsets are needed."""
-        letters = [w for w in words if w.isalpha()] if self.bare else []
+        letters = [w for w in words if w.isalpha() or LETTERS.fullmatch(w.decode("utf-8", "replace"))] if self.bare else []
         if letters:
-            self.told_apart(self.bare, letters, b" ".join(letters).lower().decode(), np.arange(len(letters)))
-            words = [w for w in words if not w.isalpha()]
+            text = b" ".join(letters).decode().lower()
+            text = text if text.isascii() else LEVEL[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+            self.told_apart(self.bare, letters, text, np.arange(len(letters)))
+            words = list(set(words).difference(letters))
         simple, texts, others = [], [], []
         for w in words:
             text = w.decode("utf-8", "replace")
@@ -126,15 +140,22 @@ class WordTokenizer:
         if len(known) + len(missing) > CACHE:
             known.clear()
             missing = set().union(*words)
-        new = list(missing)
+        apart = self.apart(missing) if self.tails else {}
+        new = list(missing.difference(apart).union(*apart.values()).difference(known))
         for i in range(0, len(new), TOGETHER):
             self.learn(new[i : i + TOGETHER])
+        known.update([(w, known[a] + known[b]) for w, (a, b) in apart.items()])
         out = [b"".join(map(known.__getitem__, of)) for of in words]
-        for w in missing:
+        for w in (*missing, *new):
             if len(w) > CACHED_BYTES:
-                del known[w]
+                known.pop(w, None)
         return out
 
+    def apart(self, words: Iterable[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """The words that end in other than letters and digits, each up to its last letter and from there on: words with equal beginnings share its ids."""
+        cut = ((w, w.rstrip(TAIL)) for w in words)
+        return {w: (begin, w[len(begin) :]) for w, begin in cut if len(begin) < len(w) and ENDS.search(begin, max(0, len(begin) - 2))}
+
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document, and its place among all pieces (any number of its own)."""

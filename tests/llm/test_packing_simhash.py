@@ -190,3 +190,15 @@ def test_first_of_each_keeps_clashing_columns(spark):
     assert [r[:2] for r in got if r[0]] == [(1, "a b c d"), (3, "a different one")] and [r for r in got if r[0] == 1] == [(1, "a b c d", "n", 7)]
     assert [r[1] for r in got if r[0] is None] == ["lonely words of no id"] and len(got) == 3
     assert simhash.first_of_each(df).columns == df.columns
+
+
+def test_words_share_their_beginnings_and_letters_go_by_their_bytes(monkeypatch):
+    tool, learnt, by_parts = packing.WordTokenizer(packing.default_tokenizer()), [], []
+    monkeypatch.setattr(tool, "learn", lambda words, learn=tool.learn: learnt.extend(words) or learn(words))
+    monkeypatch.setattr(tool, "told_apart", lambda t, words, *how, through=tool.told_apart: (t is tool.tokenizer and by_parts.extend(words)) or through(t, words, *how))
+    long = "é" * 60 + "!"
+    text = f"Größe Größe. Größe,! GRÖSSE zungä. don't. don't it's.'s x×. ÷. ã÷! İ. aİ, ſ. <|endoftext|>. a<|endoftext|>b.. a… b…. '' é'. {long} 7. ß-_-"
+    assert np.array_equal(np.frombuffer(tool.ids(text.encode()), "<u4"), tool.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert learnt.count("Größe".encode()) == 1 and not {"Größe.".encode(), "Größe,!".encode(), "zungä.".encode()} & set(learnt)
+    assert not {"Größe".encode(), "GRÖSSE".encode()} & set(by_parts)
+    assert long.encode() not in tool.known and long[:-1].encode() not in tool.known and "Größe.".encode() in tool.known
