@@ -118,8 +118,8 @@ def lattice_encode(words: DataFrame, pieces: DataFrame, longest: int | None = No
 
     Substrings are as long as the longest piece, or as `longest` says. Words have
     numbers of their own, so no row of the lattice carries a whole word, and are
-    exploded PART characters at a time. A word's edges meet in one row. Ties go to
-    the longer last piece.
+    exploded PART characters at a time. The pieces, a model's, are sent to the substrings,
+    so only edges are shuffled. A word's edges meet in one row. Ties go to the longer last piece.
     """
     table = pieces.filter("kind = 'piece'").select("piece", "id", "score")
     least, most = table.agg(F.min("score"), F.max(F.length("piece"))).first()
@@ -131,7 +131,7 @@ def lattice_encode(words: DataFrame, pieces: DataFrame, longest: int | None = No
     at = parts.select("number", "from", "text", F.explode(F.sequence(F.lit(0), F.least(F.lit(PART - 1), F.col("n") - F.col("from") - 1))).alias("start"))
     at = at.select("number", "from", "start", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.length("text") - F.col("start")))).alias("size"))
     spans = at.select("number", (F.col("from") + F.col("start")).alias("start"), "size", F.substring("text", F.col("start") + 1, F.col("size")).alias("piece"))
-    edges = spans.join(table, "piece", "left").filter("id is not null or size = 1")
+    edges = spans.join(F.broadcast(table), "piece", "left").filter("id is not null or size = 1")
     edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(unknown)).alias("id"), F.coalesce("score", F.lit(least)).alias("score"))
     grouped = edges.groupBy("number").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     return dealt.join(grouped.select("number", _path(F.col("edges"), most).alias("ids")), "number").select("word", "ids")

@@ -91,3 +91,12 @@ def test_lattice_is_the_best_path(spark):
         assert abs(sum(score[i] for i in found) - best(word)) < 1e-9
         texts = {i: p for p, i, _ in table}
         assert len("".join(texts.get(i, "?") for i in found)) == len(word)
+
+
+def test_only_edges_of_the_lattice_are_shuffled(spark):
+    words = spark.createDataFrame([("▁ab",), ("b",)], "word string")
+    table = spark.createDataFrame([("a", 1, -1.0, "piece"), ("ab", 2, -1.5, "piece")], "piece string, id int, score double, kind string")
+    found = pieces.lattice_encode(words, table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(piece" not in plan and "BroadcastHashJoin [piece" in plan
+    assert dict(map(tuple, found.collect())) == {"▁ab": [0, 2], "b": [0]}
