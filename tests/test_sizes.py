@@ -8,6 +8,7 @@ import threading
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 
 from planweave.operators import chains, graph, metrics, outline, spatial, trees
@@ -160,3 +161,14 @@ def test_edges_and_steps_are_rows_without_structs_or_decimals(spark):
     assert "inline(" not in plan_of(metrics.with_units(s.packed, s.units.select("node_id", "county")))
     generated = [x for x in plan_of(s.plans).splitlines() if "AS zone" in x]
     assert generated and not any("decimal" in x for x in generated)
+
+
+def test_ancestors_that_are_no_units_hold_their_descendants(spark, tmp_path):
+    duckdb.sql(f"copy (select * from '{SF}/customer.parquet' where c_custkey % 7 <> 3 and c_custkey not in (0, 1, 4) union all select * replace (c_custkey + 9000 as c_custkey) from '{SF}/customer.parquet' union all select * from '{SF}/customer.parquet' where c_custkey = 5) to '{tmp_path}/customer.parquet' (format parquet)")
+    con = duckdb.connect()
+    for t in ("customer", "orders", "nation"):
+        con.sql(f"create view {t} as select * from '{tmp_path if t == 'customer' else SF}/{t}.parquet'")
+    found = catalogue.QUERIES["tree_cut"](spark, str(tmp_path)).select("node", "subtree_pop").collect()
+    assert sorted(map(tuple, found)) == sorted(con.sql(f"select node, subtree_pop from ({catalogue.SQL['tree_cut']})").fetchall())
+    held = graph.subtree_sums(spark.createDataFrame([(5, 1, 2), (6, 1, 3), (7, 5, 4)], "node long, parent long, pop long"))
+    assert sorted(map(tuple, held.collect())) == [(1, 9), (5, 6), (6, 3), (7, 4)]
