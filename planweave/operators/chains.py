@@ -11,8 +11,8 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planweave import model
@@ -24,12 +24,13 @@ class Graph:
     """Adjacency in compressed rows, populations, and the walk's transition weights."""
 
     def __init__(self, nodes: np.ndarray, pop: np.ndarray, edges: np.ndarray, weight: np.ndarray, beta: float):
-        self.nodes, self.pop, self.edges = nodes, pop.astype(float), edges
-        both = np.concatenate([edges, edges[:, ::-1]])
+        self.nodes, self.pop, self.edges = nodes, pop.astype(float), edges.astype(np.int32)
+        both = np.concatenate([self.edges, self.edges[:, ::-1]])
         order = np.lexsort((both[:, 1], both[:, 0]))
         self.to = both[order, 1]
-        self.pull = np.concatenate([weight, weight])[order] ** -beta
         self.start = np.searchsorted(both[order, 0], np.arange(len(nodes) + 1))
+        del both
+        self.pull = (weight**-beta).take(order, mode="wrap")
 
     def spanning_tree(self, inside: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Wilson's tree over the marked nodes: (parents, nodes in an order, parents first); the root is the lowest.
@@ -81,18 +82,18 @@ class Graph:
 
     def _below(self, inside: np.ndarray, parent: np.ndarray, order: np.ndarray) -> np.ndarray:
         """The population of every node's subtree."""
-        below, above = np.where(inside, self.pop, 0.0).tolist(), parent.tolist()
-        for node in order[:0:-1].tolist():
+        below, above = trees.numbers_of(np.where(inside, self.pop, 0.0)), trees.numbers_of(parent)
+        for node in trees.numbers_of(order[:0:-1]):
             below[above[node]] += below[node]
-        return np.array(below)
+        return np.frombuffer(below)
 
     def _beneath(self, top: int, parent: np.ndarray, order: np.ndarray) -> np.ndarray:
         """Marks of a node's subtree."""
-        half, above = [False] * len(parent), parent.tolist()
+        half, above = bytearray(len(parent)), trees.numbers_of(parent)
         half[top] = True
-        for node in order[1:].tolist():
+        for node in trees.numbers_of(order[1:]):
             half[node] = half[node] or half[above[node]]
-        return np.array(half)
+        return np.frombuffer(half, bool)
 
     def split(self, inside: np.ndarray, parts: int, ideal: float, tolerance: float, rng: np.random.Generator, label: int, out: np.ndarray, tries: int) -> bool:
         """Label `parts` districts of the marked nodes, halving them by tree cuts whose sides suit whole numbers of districts."""
@@ -108,13 +109,14 @@ class Graph:
             good = order[(np.abs(below[order] - left * ideal) <= tolerance * ideal * left) & (np.abs(below[order[0]] - below[order] - (parts - left) * ideal) <= tolerance * ideal * (parts - left)) & (order != order[0])]
             if len(good):
                 half = self._beneath(good[rng.integers(len(good))], parent, order)
+                del parent, order, below, good  # the parts' own come beside the mark only
                 if self.split(half, left, ideal, tolerance, rng, label, out, tries) and self.split(inside & ~half, parts - left, ideal, tolerance, rng, label + left, out, tries):
                     return True
         return False
 
     def initial(self, k: int, rng: np.random.Generator, tolerance: float = 0.02, tries: int = 60) -> np.ndarray:
         """k districts at a tolerance that doubles, twice at most, while no partition is found."""
-        out, whole, ideal = np.zeros(len(self.nodes), np.int64), np.ones(len(self.nodes), bool), self.pop.sum() / k
+        out, whole, ideal = np.zeros(len(self.nodes), np.int16), np.ones(len(self.nodes), bool), self.pop.sum() / k
         for factor in (1, 2, 4):
             if self.split(whole, k, ideal, tolerance * factor, rng, 0, out, tries):
                 return out
@@ -150,13 +152,6 @@ class Graph:
         return float((np.abs(sums() - ideal) / ideal).max())
 
 
-def graph_of(units: pd.DataFrame, edges: pd.DataFrame, beta: float) -> Graph:
-    units = units.sort_values("node_id")
-    nodes = units["node_id"].to_numpy()
-    ends = np.searchsorted(nodes, edges.sort_values(["u", "v"])[["u", "v"]].to_numpy())
-    return Graph(nodes, units["pop"].to_numpy(), ends, edges.sort_values(["u", "v"])["weight"].to_numpy(float), beta)
-
-
 RECORDED = "state string, chain int, step int, accepted boolean, plan array<smallint>, after string"
 
 
@@ -170,12 +165,12 @@ def _advance(graph: Graph, k: int, steps: int, seed: int, chain: int, before: di
             graph.step(plan, ideal, rng, tolerance)
         done = 0
     else:
-        rng, plan, done = np.random.default_rng(), np.array(before["plan"]), before["done"]
+        rng, plan, done = np.random.default_rng(), np.array(before["plan"], np.int16), before["done"]
         rng.bit_generator.state = before["rng"]
     for i in range(done, done + steps):
         accepted = graph.step(plan, ideal, rng, tolerance)
         last = json.dumps({"done": i + 1, "plan": plan.tolist(), "rng": rng.bit_generator.state}) if i == done + steps - 1 else None
-        yield i, accepted, plan.astype(np.int16), last
+        yield i, accepted, plan, last
 
 
 def run_chains(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: int, seed: int = model.SEED, tolerance: float = model.POP_TOL, burn_in: int = model.BURN_IN, beta: float | None = None, before: DataFrame | None = None) -> DataFrame:
@@ -188,14 +183,17 @@ def run_chains(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: i
     starts = units.select("state").distinct().select("state", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
     starts = starts.join(before.select("state", "chain", "after"), ["state", "chain"], "left") if before is not None else starts.withColumn("after", F.lit(None).cast("string"))
 
-    def run(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        after = state["after"].iloc[0] if len(state) else None
-        found = [(key[0], key[1], i, ok, plan, last) for i, ok, plan, last in _advance(graph_in(rows, beta), k, steps, seed, int(key[1]), json.loads(after) if after else None, tolerance, burn_in)]
-        return pd.DataFrame(found, columns=["state", "chain", "step", "accepted", "plan", "after"])
+    def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, after = graph_in(rows, beta)
+        after = json.loads(after[0]["after"][0].as_py()) if after else None
+        for i, ok, plan, last in _advance(graph, k, steps, seed, key[1].as_py(), after, tolerance, burn_in):
+            districts = pa.ListArray.from_arrays(pa.array([0, len(plan)], pa.int32()), pa.array(plan.copy()))
+            yield pa.RecordBatch.from_pydict({"state": [key[0].as_py()], "chain": pa.array([key[1].as_py()], pa.int32()), "step": pa.array([i], pa.int32()), "accepted": [ok], "plan": districts, "after": pa.array([last], pa.string())})
 
-    # what resumes a chain goes beside its graph, once
-    beside = starts.select("state", "chain", "after").toDF("of_state", "of_chain", "after")
-    return graph_rows(units, edges, starts).groupBy("state", "chain").cogroup(beside.groupBy("of_state", "of_chain")).applyInPandas(run, RECORDED)
+    # what resumes a chain is one more row beside its graph
+    beside = starts.filter("after is not null").select("state", "chain", F.lit(2).alias("kind"), *_empty(), "after")
+    rows = graph_rows(units, edges, starts).withColumn("after", F.lit(None).cast("string")).unionByName(beside)
+    return rows.groupBy("state", "chain").applyInArrow(run, RECORDED)
 
 
 def beta_of(k: int, beta: float | None) -> float:
@@ -210,23 +208,54 @@ def graph_rows(units: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFra
     return nodes.union(links)
 
 
-def graph_in(rows: pd.DataFrame, beta: float) -> Graph:
-    return graph_of(rows[rows["kind"] == 0].rename(columns={"a": "node_id", "x": "pop"}), rows[rows["kind"] == 1].rename(columns={"a": "u", "b": "v", "x": "weight"}), beta)
+def _empty() -> list[Column]:
+    return [F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0.0).alias("x")]
+
+
+def graph_in(batches: Iterator[pa.RecordBatch], beta: float) -> tuple[Graph, list[pa.RecordBatch]]:
+    """The graph of a group's rows, and the rows of other kinds. Rows are read batch by batch and put away as numbers, so no more than the graph is held."""
+    found, others = ([[], []], [[], [], []]), []
+    for batch in batches:
+        kind = batch["kind"].to_numpy()
+        for of, (parts, columns) in enumerate(zip(found, ("ax", "abx"), strict=True)):
+            for part, c in zip(parts, columns, strict=True):
+                part.append(batch[c].to_numpy(zero_copy_only=False)[kind == of])
+        if (kind > 1).any():
+            others.append(batch.filter(pa.array(kind > 1)))
+
+    def whole(parts: list[np.ndarray]) -> np.ndarray:
+        out = np.concatenate(parts)
+        parts.clear()
+        return out
+
+    nodes, pop = map(whole, found[0])
+    order = np.argsort(nodes, kind="stable")
+    nodes, pop = nodes[order], pop[order]
+    u, v = (np.searchsorted(nodes, whole(parts)).astype(np.int32) for parts in found[1][:2])
+    weight, order = whole(found[1][2]), np.lexsort((v, u))
+    ends = np.stack([u[order], v[order]], 1)
+    del u, v
+    return Graph(nodes, pop, ends, weight[order], beta), others
+
+
+#: Nodes in a batch of results.
+BATCH = 1 << 16
 
 
 def spanning_trees(units: DataFrame, edges: DataFrame, trees: int, seed: int = model.SEED, beta: float = model.BETA_FEW) -> DataFrame:
     """state, chain, node_id, parent: random spanning trees of every state's graph, each rooted at its lowest node (parent null)."""
     starts = units.select("state").distinct().select("state", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("chain"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        graph = graph_in(rows, beta)
-        parent, order = graph.spanning_tree(np.ones(len(graph.nodes), bool), np.random.default_rng([seed, int(key[1])]))
+    def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, _ = graph_in(rows, beta)
+        parent, order = graph.spanning_tree(np.ones(len(graph.nodes), bool), np.random.default_rng([seed, key[1].as_py()]))
         if len(order) < len(graph.nodes):
             raise ValueError(f"the graph of {key[0]} isn't connected")
-        above = pd.array([None if p < 0 else int(graph.nodes[p]) for p in parent], "Int64")
-        return pd.DataFrame({"state": key[0], "chain": key[1], "node_id": graph.nodes, "parent": above})
+        for at in range(0, len(parent), BATCH):
+            ids, p = graph.nodes[at : at + BATCH], parent[at : at + BATCH]
+            yield pa.RecordBatch.from_pydict({"state": [key[0].as_py()] * len(p), "chain": pa.array(np.full(len(p), key[1].as_py(), np.int32)), "node_id": ids, "parent": pa.array(graph.nodes[p], mask=p < 0)})
 
-    return graph_rows(units, edges, starts).groupBy("state", "chain").applyInPandas(run, "state string, chain int, node_id long, parent long")
+    return graph_rows(units, edges, starts).groupBy("state", "chain").applyInArrow(run, "state string, chain int, node_id long, parent long")
 
 
 def repaired(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int, seed: int = model.SEED, tolerance: float = model.POP_TOL, beta: float | None = None, most: int = 20_000) -> DataFrame:
@@ -234,14 +263,18 @@ def repaired(units: DataFrame, edges: DataFrame, plans: DataFrame, k: int, seed:
     starts = units.select("state").distinct().withColumn("chain", F.lit(0))
     power = beta_of(k, beta)
 
-    def run(key: tuple, rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        graph = graph_in(rows, power)
-        now = plan.sort_values("node_id")["zone"].to_numpy(np.int64)
+    def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, own = graph_in(rows, power)
+        ids, zones = (np.concatenate([x[c].to_numpy() for x in own]) for c in "ab")
+        now = zones[np.argsort(ids, kind="stable")]
+        del own, ids, zones
         left = graph.repair(now, k, np.random.default_rng(seed), tolerance, most)
-        return pd.DataFrame({"state": key[0], "node_id": graph.nodes, "zone": now, "deviation": left})
+        for at in range(0, len(now), BATCH):
+            zone = now[at : at + BATCH]
+            yield pa.RecordBatch.from_pydict({"state": [key[0].as_py()] * len(zone), "node_id": graph.nodes[at : at + BATCH], "zone": zone, "deviation": np.full(len(zone), left)})
 
-    own = plans.select("state", "node_id", "zone").toDF("of_state", "node_id", "zone")
-    return graph_rows(units, edges, starts).groupBy("state").cogroup(own.groupBy("of_state")).applyInPandas(run, "state string, node_id long, zone long, deviation double")
+    own = plans.select("state", F.lit(0).alias("chain"), F.lit(2).alias("kind"), F.col("node_id").alias("a"), F.col("zone").cast("bigint").alias("b"), F.lit(0.0).alias("x"))
+    return graph_rows(units, edges, starts).unionByName(own).groupBy("state").applyInArrow(run, "state string, node_id long, zone long, deviation double")
 
 
 def run_long(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: int, chunk: int = model.CHUNK, **how) -> DataFrame:

@@ -6,10 +6,12 @@ import math
 import os
 import threading
 import time
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from planweave.operators import chains, graph, metrics, outline, spatial, trees
 from planweave.plans import catalogue, surrogate
@@ -172,3 +174,35 @@ def test_ancestors_that_are_no_units_hold_their_descendants(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted(con.sql(f"select node, subtree_pop from ({catalogue.SQL['tree_cut']})").fetchall())
     held = graph.subtree_sums(spark.createDataFrame([(5, 1, 2), (6, 1, 3), (7, 5, 4)], "node long, parent long, pop long"))
     assert sorted(map(tuple, held.collect())) == [(1, 9), (5, 6), (6, 3), (7, 4)]
+
+
+def test_a_long_graphs_tree_takes_few_bytes_a_node(monkeypatch):
+    g, inside = strip(20, 1_000), np.ones(20_000, bool)
+    whole = g.spanning_tree(inside, np.random.default_rng(1))
+    for name, x in {"KEPT": 1 << 14, "SPAN": 1 << 10}.items():
+        monkeypatch.setattr(trees, name, x, raising=False)
+    tracemalloc.start()
+    parent, order = g.spanning_tree(inside, np.random.default_rng(1))
+    g._beneath(order[1], parent, order)
+    g._below(inside, parent, order)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 * 20_000
+    assert (parent == whole[0]).all() and (order == whole[1]).all()
+
+
+def test_a_graphs_rows_are_read_without_being_held():
+    g, size, held = strip(20, 5_000), 10_000, []
+    n = len(g.nodes)
+    rows = [np.repeat([0, 1], [n, len(g.edges)]), np.concatenate([g.nodes, g.edges[:, 0]]), np.concatenate([0 * g.nodes, g.edges[:, 1]]), np.ones(n + len(g.edges))]
+    rows[0][-1] = 2
+
+    def batches():
+        for at in range(0, len(rows[0]), size):
+            held.append(pa.total_allocated_bytes())
+            buffers = [pa.array(x[at : at + size].tolist()) for x in rows]
+            yield pa.RecordBatch.from_arrays(buffers, names=["kind", "a", "b", "x"])
+
+    got, others = chains.graph_in(batches(), 1.0)
+    assert max(held[2:]) - held[0] < 4 * size * 8 * 4
+    assert [x.num_rows for x in others] == [1] and (got.nodes == g.nodes).all() and got.edges.tolist() == sorted(g.edges[:-1].tolist())
