@@ -24,13 +24,18 @@ class Graph:
     """Adjacency in compressed rows, populations, and the walk's transition weights."""
 
     def __init__(self, nodes: np.ndarray, pop: np.ndarray, edges: np.ndarray, weight: np.ndarray, beta: float):
-        self.nodes, self.pop, self.edges = nodes, pop.astype(float), edges.astype(np.int32)
-        both = np.concatenate([self.edges, self.edges[:, ::-1]])
-        order = np.lexsort((both[:, 1], both[:, 0]))
-        self.to = both[order, 1]
-        self.start = np.searchsorted(both[order, 0], np.arange(len(nodes) + 1))
-        del both
-        self.pull = (weight**-beta).take(order, mode="wrap")
+        self.nodes, self.pop, self.edges = nodes, pop.astype(float, copy=False), edges.astype(np.int32, copy=False)
+        (u, v), n, pull = self.edges.T, len(nodes), weight**-beta
+        self.to, self.pull = np.empty(2 * len(u), np.int32), np.empty(2 * len(u))
+        ways = [np.argsort(x, kind="stable").astype(np.int32) for x in (u, v)]
+        begin = [np.append(0, np.bincount(x, minlength=n).cumsum()) for x in (u, v)]
+        self.start = begin[0] + begin[1]
+        for lo in range(0, n, trees.SPAN):  # rows of some nodes at a time
+            hi = min(n, lo + trees.SPAN)
+            out, back = (way[at[lo] : at[hi]] for way, at in zip(ways, begin, strict=True))
+            origin, to = np.append(u[out], v[back]), np.append(v[out], u[back])
+            order, part = np.lexsort((to, origin)), slice(self.start[lo], self.start[hi])
+            self.to[part], self.pull[part] = to[order], np.append(pull[out], pull[back])[order]
 
     def spanning_tree(self, inside: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Wilson's tree over the marked nodes: (parents, nodes in an order, parents first); the root is the lowest.
@@ -173,11 +178,13 @@ def _advance(graph: Graph, k: int, steps: int, seed: int, chain: int, before: di
         yield i, accepted, plan, last
 
 
-def run_chains(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: int, seed: int = model.SEED, tolerance: float = model.POP_TOL, burn_in: int = model.BURN_IN, beta: float | None = None, before: DataFrame | None = None) -> DataFrame:
+def run_chains(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: int, seed: int = model.SEED, tolerance: float = model.POP_TOL, burn_in: int = model.BURN_IN, beta: float | None = None, before: DataFrame | None = None, packed: bool = False) -> DataFrame:
     """Advance every chain of every state by `steps`: state, chain, step, accepted, plan (districts in node order), after (on the last step, what resumes the chain).
 
     A rejected step records the plan again. units: state, node_id, pop; edges: state,
-    u, v, weight. `before` has state, chain and after of the chains to resume.
+    u, v, weight. `before` has state, chain and after of the chains to resume. `packed`:
+    plans are bytes, one a district or two if k is over 256. Written and read again, an
+    array takes many times its size, as Spark's reader takes up to 4096 rows at a time.
     """
     beta = beta_of(k, beta)
     starts = units.select("state").distinct().select("state", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
@@ -187,13 +194,13 @@ def run_chains(units: DataFrame, edges: DataFrame, k: int, chains: int, steps: i
         graph, after = graph_in(rows, beta)
         after = json.loads(after[0]["after"][0].as_py()) if after else None
         for i, ok, plan, last in _advance(graph, k, steps, seed, key[1].as_py(), after, tolerance, burn_in):
-            districts = pa.ListArray.from_arrays(pa.array([0, len(plan)], pa.int32()), pa.array(plan.copy()))
+            districts = pa.array([plan.astype(np.uint8 if k <= 256 else "<i2").tobytes()], pa.binary()) if packed else pa.ListArray.from_arrays(pa.array([0, len(plan)], pa.int32()), pa.array(plan.copy()))
             yield pa.RecordBatch.from_pydict({"state": [key[0].as_py()], "chain": pa.array([key[1].as_py()], pa.int32()), "step": pa.array([i], pa.int32()), "accepted": [ok], "plan": districts, "after": pa.array([last], pa.string())})
 
     # what resumes a chain is one more row beside its graph
     beside = starts.filter("after is not null").select("state", "chain", F.lit(2).alias("kind"), *_empty(), "after")
     rows = graph_rows(units, edges, starts).withColumn("after", F.lit(None).cast("string")).unionByName(beside)
-    return rows.groupBy("state", "chain").applyInArrow(run, RECORDED)
+    return rows.groupBy("state", "chain").applyInArrow(run, RECORDED.replace("array<smallint>", "binary") if packed else RECORDED)
 
 
 def beta_of(k: int, beta: float | None) -> float:
@@ -233,9 +240,9 @@ def graph_in(batches: Iterator[pa.RecordBatch], beta: float) -> tuple[Graph, lis
     nodes, pop = nodes[order], pop[order]
     u, v = (np.searchsorted(nodes, whole(parts)).astype(np.int32) for parts in found[1][:2])
     weight, order = whole(found[1][2]), np.lexsort((v, u))
-    ends = np.stack([u[order], v[order]], 1)
-    del u, v
-    return Graph(nodes, pop, ends, weight[order], beta), others
+    ends, weight = np.stack([u[order], v[order]], 1), weight[order]
+    del u, v, order
+    return Graph(nodes, pop, ends, weight, beta), others
 
 
 #: Nodes in a batch of results.

@@ -206,3 +206,14 @@ def test_a_graphs_rows_are_read_without_being_held():
     got, others = chains.graph_in(batches(), 1.0)
     assert max(held[2:]) - held[0] < 4 * size * 8 * 4
     assert [x.num_rows for x in others] == [1] and (got.nodes == g.nodes).all() and got.edges.tolist() == sorted(g.edges[:-1].tolist())
+
+
+def test_packed_plans_are_the_same_and_no_arrays_are_written(spark, monkeypatch):
+    units, edges = catalogue.halves(surrogate.Surrogate(spark, SF))
+    how = {"beta": 0.5, "tolerance": 0.05, "burn_in": 0}
+    arrays, packed = (chains.run_chains(units, edges, 4, 1, 2, packed=p, **how).drop("after").collect() for p in (False, True))
+    assert sorted((r.state, r.step, tuple(r.plan)) for r in arrays) == sorted((r.state, r.step, tuple(r.plan)) for r in packed)
+    written, through = [], catalogue.stored
+    monkeypatch.setattr(catalogue, "stored", lambda df, name="table": written.append(dict(df.dtypes).get("plan")) or through(df, name))
+    assert {r.differing for r in catalogue.QUERIES["resume_equivalence"](spark, SF).collect()} == {0}
+    assert written.count("binary") == 1 and not any("array" in str(x) for x in written)
