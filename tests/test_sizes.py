@@ -217,3 +217,21 @@ def test_packed_plans_are_the_same_and_no_arrays_are_written(spark, monkeypatch)
     monkeypatch.setattr(catalogue, "stored", lambda df, name="table": written.append(dict(df.dtypes).get("plan")) or through(df, name))
     assert {r.differing for r in catalogue.QUERIES["resume_equivalence"](spark, SF).collect()} == {0}
     assert written.count("binary") == 1 and not any("array" in str(x) for x in written)
+
+
+def row_of_squares(spark, n):
+    ring = lambda x: [[{"x": x, "y": 0.0}, {"x": x + 1, "y": 0.0}, {"x": x + 1, "y": 1.0}, {"x": x, "y": 1.0}]]
+    return spark.createDataFrame([(i, ring(float(i))) for i in range(n)], "node_id int, geom array<array<struct<x:double,y:double>>>")
+
+
+def test_districts_meet_sides_as_arrays_of_steps_and_zones(spark, monkeypatch):
+    seen, through = [], outline.stitched
+    monkeypatch.setattr(outline, "stitched", lambda sides, group: seen.append(plan_of(sides)) or through(sides, group))
+    # all in one zone, apart, a zone that is null, and steps in which a node has none
+    plans = spark.createDataFrame([(0, n, 5) for n in range(4)] + [(1, n, n % 2) for n in range(4)] + [(2, n, None if n < 2 else 1) for n in range(4)] + [(3, n, 0) for n in (0, 2, 3)], "step int, node_id int, zone int")
+    polygons = row_of_squares(spark, 4)
+    key = lambda r: (r.step, -1 if r.zone is None else r.zone, sorted((p.x, p.y) for ring in r.geom for p in ring))
+    found = sorted(map(key, outline.dissolved_plans(polygons, plans, "node_id").collect()))
+    listed = [x for x in seen[0].splitlines() if "collect_list" in x and "_low" in x]
+    assert listed and not any("transform" in x for x in listed)
+    assert found == sorted(map(key, outline.dissolved(polygons, plans, "node_id", ["step", "zone"]).collect())) and len(found) == 9
