units_in_zones: cells of up to 1000 sides are parted where they are

Symptom: a polygon's cells were dealt out anew after four partings however small they were, 3.5 MB of shuffle for 1.7 MB of polygons.
Evidence: all 2,900 cells that were sent came of 200 polygons of some 850 sides, so a cell held a few dozen sides and parting it costs less than sending it.
Fix: only cells that still hold more than 1000 sides are dealt out, so a large polygon is many tasks' as before; a task gives its cells 1024 at a time. The cells are the same.
Effect, together with 4 more commits on this code: at 1 GB of input CPU 2442 -> 2423 s, shuffle 1.99 -> 0.73 GB, spill 0.00 -> 0.00 GB, read 0.35 -> 0.21 GB, longest task 76 -> 74 s, most memory of a task 306 -> 306 MB; at 6 GB of input CPU 13653 -> 13362 s, shuffle 13.88 -> 6.26 GB, spill 2.18 -> 2.30 GB, read 2.88 -> 2.19 GB, longest task 598 -> 628 s, most memory of a task 671 -> 537 MB; with hot keys, at 1 GB of input CPU 2683 -> 2312 s, shuffle 1.99 -> 0.73 GB, spill 0.00 -> 0.00 GB, read 0.35 -> 0.21 GB, longest task 88 -> 79 s, most memory of a task 306 -> 306 MB.

@@ -9,7 +9,8 @@ as far inside as the sides between it and that place say. So no row carries a po
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from planweave.session import stored
 
 #: Sides that a cell may hold before it is parted, and how often a first cell is parted at most.
 SIDES, DEPTH = 24, 14
-#: Partings before the cells are dealt out anew.
-SPREAD = 4
+#: Partings before cells are dealt out anew, the sides of one that is worth it, and the cells that a task has at a time.
+SPREAD, DEALT, CELLS = 4, 1000, 1024
 # Where in a cell its place is, as shares of its side: off every grid that data lie on.
 ACROSS, UP = 0.38196601125010515, 0.6180339887498949
 
@@ -96,7 +97,7 @@ def _sides_of(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 _SIDE = "struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>"
 
 
-def _as_arrow(batch: pa.RecordBatch, keys: int, found: list[tuple[int, Cell, int]]) -> pa.RecordBatch:
+def _as_arrow(batch: pa.RecordBatch, keys: int, found: Sequence[tuple[int, Cell, int]]) -> pa.RecordBatch:
     """Rows of (row of the batch, cell, partings left) with that row's keys."""
     rows, cells, left = zip(*found, strict=True) if found else ((), (), ())
     taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:keys]]
@@ -111,9 +112,10 @@ def cover(polygons: DataFrame, keys: list[str], most: int = SIDES, depth: int =
     """`keys`, level, cx, cy, inside, sides: the cells, 2^level wide, of every polygon (geom), none over another.
 
     At first there are the four cells or fewer, as wide as the polygon, that it lies in; then
-    those with more than `most` sides are parted in four, `depth` times at most, SPREAD times
-    before they are dealt out anew, so a large polygon is soon many tasks'. Every parting goes by
-    the cell's own sides. Cells without sides are only kept if they are inside.
+    those with more than `most` sides are parted in four, `depth` times at most. After SPREAD times
+    the ones that still have more than DEALT sides are dealt out anew, so a large polygon is soon
+    many tasks'; smaller ones cost less to part than to send. Every parting goes by the cell's own
+    sides. Cells without sides are only kept if they are inside.
     """
     n = len(keys)
 
@@ -121,11 +123,15 @@ def cover(polygons: DataFrame, keys: list[str], most: int = SIDES, depth: int =
         todo = [(c, left, SPREAD) for c in cells]
         while todo:
             cell, left, now = todo.pop()
-            if len(cell[4]) <= most or not left or not now:
+            if len(cell[4]) <= most or not left or now <= 0 and len(cell[4]) > DEALT:
                 yield row, cell, left if len(cell[4]) > most else 0
             else:
                 todo += [(c, left - 1, now - 1) for c in _quarters(cell)]
 
+    def sent(batch: pa.RecordBatch, row: int, cells: Iterable[Cell], left: int) -> Iterator[pa.RecordBatch]:
+        for some in batched(parted(batch, row, cells, left), CELLS):
+            yield _as_arrow(batch, n, some)
+
     def begin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -135,7 +141,7 @@ def cover(polygons: DataFrame, keys: list[str], most: int = SIDES, depth: int =
                 ends = np.cumsum([0, *rings.value_lengths().to_pylist()])
                 sides = _sides_of(xy, ends)
                 if len(sides):
-                    yield _as_arrow(batch, n, list(parted(batch, row, _roots(sides), depth)))
+                    yield from sent(batch, row, _roots(sides), depth)
 
     def go_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +150,7 @@ def cover(polygons: DataFrame, keys: list[str], most: int = SIDES, depth: int =
                 held = batch.column("sides").slice(row, 1).flatten()
                 sides = np.column_stack([held.field(e).field(c).to_numpy(zero_copy_only=False) for e in "ab" for c in "xy"])
                 cell = tuple(plain[c][row] for c in ("level", "cx", "cy", "inside")) + (sides,)
-                yield _as_arrow(batch, n, list(parted(batch, row, [cell], plain["left"][row])))
+                yield from sent(batch, row, [cell], plain["left"][row])
 
     schema = ", ".join([*(f"`{k}` {polygons.schema[k].dataType.simpleString()}" for k in keys), f"level int, cx long, cy long, inside boolean, sides array<{_SIDE}>, left int"])
     cells = stored(polygons.filter("geom is not null").select(*keys, "geom").mapInArrow(begin, schema), "cover")

@@ -235,3 +235,18 @@ def test_districts_meet_sides_as_arrays_of_steps_and_zones(spark, monkeypatch):
     listed = [x for x in seen[0].splitlines() if "collect_list" in x and "_low" in x]
     assert listed and not any("transform" in x for x in listed)
     assert found == sorted(map(key, outline.dissolved(polygons, plans, "node_id", ["step", "zone"]).collect())) and len(found) == 9
+
+
+def test_small_cells_are_parted_where_they_are(spark, monkeypatch):
+    n = 400
+    star = [{"x": math.cos(i * 2 * math.pi / n) * (90 + 20 * (i % 2)), "y": math.sin(i * 2 * math.pi / n) * (90 + 20 * (i % 2))} for i in range(n)]
+    polygons = spark.createDataFrame([(1, [star])], "id int, geom array<array<struct<x:double,y:double>>>")
+    rounds, through, cells = [], spatial.stored, []
+    monkeypatch.setattr(spatial, "stored", lambda df, name: rounds.append(name) or through(df, name))
+    for dealt, times in ((1000, 1), (0, 2)):
+        monkeypatch.setattr(spatial, "DEALT", dealt, raising=False)
+        monkeypatch.setattr(spatial, "CELLS", 7, raising=False)
+        rounds.clear()
+        cells.append(sorted((c.level, c.cx, c.cy, c.inside, sorted(c.sides)) for c in spatial.cover(polygons, ["id"], 4, 8).collect()))
+        assert len(rounds) == times
+    assert cells[0] == cells[1] and len(cells[0]) > 100
