@@ -250,3 +250,11 @@ def test_small_cells_are_parted_where_they_are(spark, monkeypatch):
         cells.append(sorted((c.level, c.cx, c.cy, c.inside, sorted(c.sides)) for c in spatial.cover(polygons, ["id"], 4, 8).collect()))
         assert len(rounds) == times
     assert cells[0] == cells[1] and len(cells[0]) > 100
+
+
+def test_polygons_meet_their_districts_before_they_are_sides(spark, monkeypatch):
+    seen, through = [], outline.stitched
+    monkeypatch.setattr(outline, "stitched", lambda sides, group: seen.append(plan_of(sides)) or through(sides, group))
+    plans = spark.createDataFrame([(0, n, n % 2) for n in range(3)], "step int, node_id int, zone int")
+    found = outline.dissolved_plans(row_of_squares(spark, 3), plans, "node_id").collect()
+    assert "explode" not in seen[0][seen[0].index("SortMergeJoin") :] and sorted(r.zone for r in found) == [0, 0, 1]
