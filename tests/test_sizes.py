@@ -258,3 +258,13 @@ def test_polygons_meet_their_districts_before_they_are_sides(spark, monkeypatch)
     plans = spark.createDataFrame([(0, n, n % 2) for n in range(3)], "step int, node_id int, zone int")
     found = outline.dissolved_plans(row_of_squares(spark, 3), plans, "node_id").collect()
     assert "explode" not in seen[0][seen[0].index("SortMergeJoin") :] and sorted(r.zone for r in found) == [0, 0, 1]
+
+
+def test_rings_are_not_sent_about_where_few_have_holes(spark):
+    square = lambda x, side: [{"x": x, "y": x}, {"x": x + side, "y": x}, {"x": x + side, "y": x + side}, {"x": x, "y": x + side}]
+    rows = [(g, square(10.0 * i, 3.0)) for g in range(5) for i in range(20)] + [(0, square(1.0, 1.0)[::-1]), (None, square(0.0, 3.0)), (None, square(1.0, 1.0)[::-1])]
+    for some, holes in ((rows, 2), (rows[:100], 0)):
+        found = outline.parts(spark.createDataFrame(some, "g int, points array<struct<x:double,y:double>>"), ["g"])
+        assert "hashpartitioning" not in plan_of(found)
+        sizes = Counter(len(r.geom) for r in found.collect())
+        assert sizes[2] == holes and sizes[1] + sizes[2] == len(some) - holes
