@@ -268,3 +268,18 @@ def test_rings_are_not_sent_about_where_few_have_holes(spark):
         assert "hashpartitioning" not in plan_of(found)
         sizes = Counter(len(r.geom) for r in found.collect())
         assert sizes[2] == holes and sizes[1] + sizes[2] == len(some) - holes
+
+
+def test_segments_travel_once_to_their_cells_and_once_to_their_keys(spark):
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    # a long side over three short ones, there twice and once without a key, and a short one twice
+    rows = [(k, point(0, 0), point(300, 0)) for k in (1, 1, None)] + [(2, point(100 * i, 0), point(100 * i + 100, 0)) for i in (0, 1, 1, 2)]
+    segments = spark.createDataFrame(rows, "id int, p struct<x:double,y:double>, q struct<x:double,y:double>")
+    cut = graph.split_segments(segments, "id", 70.0)
+    pieces = Counter((r.id, r.p.x, r.q.x, r.len_m) for r in cut.collect())
+    whole = [(1, 100.0 * i, 100.0 * i + 100, 100.0) for i in range(3)] * 2 + [(None, 0.0, 300.0, 300.0)]
+    assert pieces == Counter(whole + [(2, 100.0 * i, 100.0 * i + 100, 100.0) for i in (0, 1, 1, 2)])
+    owners = spark.createDataFrame([(1, 0), (2, 0)], "id int, g int")
+    found = graph.dissolved_boundary(cut, owners, "id", ["g"], ["p", "q"])
+    assert plan_of(found).count("Exchange hashpartitioning") == 7
+    assert found.first().perimeter_m == 200  # three owners of the outer two, four of the middle one
