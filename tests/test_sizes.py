@@ -270,6 +270,15 @@ def test_rings_are_not_sent_about_where_few_have_holes(spark):
         assert sizes[2] == holes and sizes[1] + sizes[2] == len(some) - holes
 
 
+def test_sides_are_sent_without_structs_to_be_walked_around(spark):
+    corner = lambda x, y: {"x": float(x), "y": float(y)}
+    rows = [(g, corner(*a), corner(*b)) for g in (1, None) for a, b in itertools.pairwise([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)])]
+    found = outline.stitched(spark.createDataFrame(rows, "g int, p struct<x:double,y:double>, q struct<x:double,y:double>"), ["g"])
+    plan = plan_of(found)
+    assert "_xp" in plan[plan.index("Exchange") :]
+    assert sorted((r.g or 0, len(r.points)) for r in found.collect()) == [(0, 4), (1, 4)]
+
+
 def test_segments_travel_once_to_their_cells_and_once_to_their_keys(spark):
     point = lambda x, y: {"x": float(x), "y": float(y)}
     # a long side over three short ones, there twice and once without a key, and a short one twice
